@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from stratamill.llm import licenses, mixing, secrets
+from stratamill.llm import langid, licenses, mixing, ogg, secrets, tokens
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op3_token_ids": tokens.op3_token_ids,
         "op4_mixing": mixing.op4_mixing,
         "op5_license_scan": licenses.op5_license_scan,
+        "op8_ogg_media": ogg.op8_ogg_media,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
