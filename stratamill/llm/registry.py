@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stratamill.llm import langid, licenses, mixing, ogg, secrets, tokens
+from stratamill.llm import langid, licenses, mixing, neardup, ogg, secrets, tokens
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_token_ids": tokens.op3_token_ids,
         "op4_mixing": mixing.op4_mixing,
         "op5_license_scan": licenses.op5_license_scan,
