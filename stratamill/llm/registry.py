@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratamill.llm import langid, licenses, mixing, neardup, ogg, secrets, tokens
+from stratamill.llm import langid, licenses, lm, mixing, neardup, ogg, secrets, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_ids": tokens.op3_token_ids,
         "op4_mixing": mixing.op4_mixing,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_lm_score": lm.op6_lm_score,
         "op8_ogg_media": ogg.op8_ogg_media,
         "op10_language_id": langid.op10_language_id,
     }
