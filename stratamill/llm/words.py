@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are looked at together.
 PIECE = 2 << 20
@@ -51,6 +52,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
+def lowered(col: pa.Array) -> pa.Array:
+    """The column in lower case by Unicode."""
+    return pc.utf8_lower(col)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where its rows begin (one more than rows); null is empty."""
     if pa.types.is_dictionary(col.type):
