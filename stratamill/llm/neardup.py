@@ -1,6 +1,7 @@
 """Near-duplicate documents by BagMinHash signatures.
 
-A document is the multiset of its five-word shingles; similarity is the weighted
+A document is the multiset of its five-word shingles (words in lower case, without
+ASCII punctuation); similarity is the weighted
 Jaccard index, the sum of minima over the sum of maxima of the counts. A signature
 register is the time of the first point that falls to it in Poisson processes, one
 for each shingle and each dyadic range of count levels [0,1), [1,2), [2,4), [4,8) ...
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import stage, table
-from stratamill.llm.words import MARKS, mix64, pieces, words
+from stratamill.llm.words import MARKS, lowered, mix64, pieces, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -59,7 +60,7 @@ _STEP = _U(0x9E3779B97F4A7C15)
 
 def shingles(col: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle hash, count), sorted by row and hash."""
-    row, h, *_ = words(col, MARKS)
+    row, h, *_ = words(lowered(col), MARKS)
     if not len(row):
         return row, h, row
     first = np.flatnonzero(np.diff(row, prepend=-1))
@@ -184,39 +185,29 @@ def _sign(bands: int, rows: int):
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A multiset as a set, which has the same Jaccard index: each shingle with the numbers 0, 1, ... up to its count; 32 bits of a hash each."""
     for batch in pieces(batches):
         row, h, c = shingles(batch.column("text"))
+        number = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        row, h = np.repeat(row, c), (mix64(np.repeat(h, c) + number.astype(_U) * _STEP) >> _U(32)).astype("<u4")
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
         at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        hs, cs = (h >> _U(16)).astype("<u8"), np.minimum(c, 0xFFFF).astype(_U)
-        # 48 bits of the hash and 16 of the count; a count beyond that is split over several entries
-        packed = (hs << _U(16)) | cs
-        more = np.flatnonzero(c > 0xFFFF)
-        values = [packed[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        for i in more:
-            extra = c[i] - 0xFFFF
-            while extra > 0:
-                part = min(extra, 0xFFFF)
-                values[row[i]] = np.append(values[row[i]], (mix64(h[i : i + 1] + _U(extra))[0] >> _U(16) << _U(16)) | _U(part))
-                extra -= part
-        yield pa.record_batch({"node": batch.column("node"), "bag": pa.array([np.sort(v).astype("<u8").tobytes() for v in values], pa.binary())})
+        yield pa.record_batch({"node": batch.column("node"), "bag": pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two packed multisets, each sorted."""
-    ca, cb = a & _U(0xFFFF), b & _U(0xFFFF)
-    ha, hb = a >> _U(16), b >> _U(16)
-    at = np.searchsorted(ha, hb)
-    at[at == len(ha)] = 0
-    same = ha[at] == hb if len(ha) else np.zeros(len(hb), bool)
-    least = int(np.minimum(ca[at[same]], cb[same]).sum())
-    most = int(ca.sum()) + int(cb.sum()) - least
-    return least / most if most else 1.0
+    """Jaccard of two sorted sets."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum()) if len(a) else 0
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist()
-        sims = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b, strict=True)]
+        sims = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b, strict=True)]
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "sim": pa.array(sims, pa.float64())})
 
 
@@ -266,21 +257,19 @@ def _blocks(threshold: float):
         left, right = group[group["asks"]], group[~group["asks"]]
         out = []
         if len(left) and len(right):
-            bags = [np.frombuffer(x, "<u8") for x in right["bag"]]
-            every = np.concatenate(bags)
-            owner = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
-            order = np.argsort(every >> _U(16), kind="stable")
-            h, c, owner = (every >> _U(16))[order], (every & _U(0xFFFF))[order].astype(np.int64), owner[order]
-            size = np.bincount(owner, c, len(bags))
+            bags = [np.frombuffer(x, "<u4") for x in right["bag"]]
+            size = np.array([len(x) for x in bags])
+            every, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
             nodes, labels = right["node"].to_numpy(), right["label"].to_numpy()
             for node, label, bag in zip(left["node"], left["label"], left["bag"], strict=True):
-                x = np.frombuffer(bag, "<u8")
-                hx, cx = x >> _U(16), (x & _U(0xFFFF)).astype(np.int64)
-                lo, hi = np.searchsorted(h, hx, "left"), np.searchsorted(h, hx, "right")
+                x = np.frombuffer(bag, "<u4")
+                lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                least = np.bincount(owner[at], np.minimum(c[at], np.repeat(cx, n)), len(bags))
-                sim = least / (size + cx.sum() - least)
+                both = np.bincount(owner[at], minlength=len(bags))
+                sim = both / (size + len(x) - both)
                 for i in np.flatnonzero((sim >= threshold) & (labels != label)):
                     out.append((node, nodes[i], sim[i]))
         return pd.DataFrame(out, columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})

@@ -24,7 +24,9 @@ has the ids that it has in the whole text.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,10 @@ from stratamill.llm.store import stage, table
 END = 1
 #: A block is closed when it holds so many token ids.
 BLOCK_TOKENS = 1 << 20
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers; what comes after them is encoded again in each piece.
+REMEMBERED = 1_400_000
+#: Words of Latin letters only, each of which is one unit to a tokenizer that splits at anything else.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: One position in so many is sampled for select().
 SAMPLE = 256
 
@@ -108,17 +112,38 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        #: Ids that end a word, for vocabularies that mark them.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Encode the words that aren't known; return those that found no room."""
+        new = [w for w in words if w not in self]
+        out = self if len(self) + len(new) <= REMEMBERED else {}
+        plain, other = [], []
+        for w in new:
+            t = w.decode()
+            (plain if _LETTERS.fullmatch(t) else other).append((w, t))
+        for i in range(0, len(plain), 500):  # words of letters together, as the ids tell where one ends
+            some = plain[i : i + 500]
+            ids = self._encode([" ".join(t for _, t in some)])[0]
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(some):
+                other += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (w, _), end in zip(some, ends.tolist(), strict=True):
+                out[w] = raw[begin:end]
+                begin = end
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
+            out.update(zip((w for w, _ in some), (x.tobytes() for x in self._encode([t for _, t in some])), strict=True))
+        return {} if out is self else out
 
 
 def encoder(path: str) -> WordIds:
@@ -134,8 +159,9 @@ def encode_texts(texts: list[bytes | None], path: str) -> tuple[list[bytes], np.
     """Ids of each UTF-8 text as little-endian bytes. bytes.split() cuts at ASCII white space and nowhere else."""
     ids = encoder(path)
     cut = [t.split() if t else [] for t in texts]
-    ids.learn([w for ws in cut for w in ws])
-    return [b"".join(map(ids.__getitem__, ws)) for ws in cut], ids.dtype
+    rest = ids.learn(set().union(*cut) if cut else set())
+    find = ChainMap(ids, rest).__getitem__ if rest else ids.__getitem__
+    return [b"".join(map(find, ws)) for ws in cut], ids.dtype
 
 
 def _blocks(path: str, end: int, block_tokens: int):
@@ -158,7 +184,7 @@ def _blocks(path: str, end: int, block_tokens: int):
             kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
             return pa.record_batch([pa.array([v], kinds[c.split()[1]]) for v, c in zip(row, BLOCK.split(", "), strict=True)], names=names)
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 8 << 20):
             encoded, dtype = encode_texts(batch.column("text").cast(pa.binary()).to_pylist(), path)
             width = dtype.itemsize
             stop = np.array([end], dtype).tobytes()
