@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratamill.llm import langid, licenses, lm, mixing, neardup, ogg, secrets, tokens
+from stratamill.llm import decontam, langid, licenses, lm, mixing, neardup, ogg, secrets, tokens
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_license_scan": licenses.op5_license_scan,
         "op6_lm_score": lm.op6_lm_score,
         "op8_ogg_media": ogg.op8_ogg_media,
+        "op9_decontaminate": decontam.op9_decontaminate,
         "op10_language_id": langid.op10_language_id,
     }
 
