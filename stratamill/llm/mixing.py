@@ -113,17 +113,36 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return cut.select(F.col("source").alias("s"), F.col("low").alias("cut"))
 
 
-def mix(docs: DataFrame, keys=("doc_id",), weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """keys, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source)."""
-    sized = stage(docs.select(*keys, "source", size_of(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("h")), "mix_sized")
+def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> tuple[DataFrame, DataFrame]:
+    """(sized, per_source): sized has doc_id, source, size, h for every row; per_source has s, source_size, target, once, cut."""
+    sized = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("h")), "mix_sized")
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     second = F.col("target") > F.col("source_size")
     goals = stage(goals.withColumn("once", F.when(second, 1).otherwise(0)).withColumn("budget", F.col("target") - F.when(second, F.col("source_size")).otherwise(F.lit(0))), "mix_goals")
     cuts = thresholds(sized, goals)
-    per_source = stage(goals.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "once", "cut"), "mix_per_source")
+    per_source = goals.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "once", "cut")
+    return sized, stage(per_source, "mix_per_source")
+
+
+def _copies(h: Column) -> Column:
+    return F.col("once") + F.when(h < F.col("cut"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source)."""
+    sized, per_source = plan(docs, **how)
     out = sized.join(per_source, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.col("once") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    return out.select(*keys, "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    copies = _copies(F.col("h"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def take(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: docs with each row as often as it's taken. Rows stay where they are; only the table of sources is sent to them."""
+    _, per_source = plan(docs, **how)
+    per_source = per_source.select(*(F.col(c).alias(f"_mix_{c}") for c in per_source.columns))
+    rows = docs.join(per_source, F.col("source").eqNullSafe(F.col("_mix_s")))
+    copies = F.col("_mix_once") + F.when(hash60(F.col("doc_id"), F.col("text")) < F.col("_mix_cut"), 1).otherwise(0)
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies > 0).select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir):

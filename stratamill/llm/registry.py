@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from stratamill.llm import decontam, langid, licenses, lm, mixing, neardup, ogg, secrets, tokens
+from stratamill.llm import decontam, langid, licenses, lm, mixing, neardup, ogg, rollups, secrets, tokens
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_token_ids": tokens.op3_token_ids,
         "op4_mixing": mixing.op4_mixing,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_lm_score": lm.op6_lm_score,
+        "op7_token_rollups": rollups.op7_token_rollups,
         "op8_ogg_media": ogg.op8_ogg_media,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_language_id": langid.op10_language_id,
@@ -24,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": secrets.ORACLE_OP1,
         "op4_mixing": mixing.ORACLE_OP4,
         "op5_license_scan": licenses.ORACLE_OP5,
+        "op7_token_rollups": rollups.ORACLE_OP7,
     }
