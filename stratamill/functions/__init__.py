@@ -1 +1 @@
-
+"""The metric expression language."""

@@ -1 +1 @@
-
+"""Operators over trials, curves and studies."""

@@ -1 +1 @@
-
+"""Search spaces, samplers and studies."""

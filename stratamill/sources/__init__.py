@@ -1 +1 @@
-
+"""Readers of bars, trials and candidate lists."""
