@@ -75,7 +75,7 @@ def read_binary(spark: SparkSession, path: str, sidecar: dict | None = None) ->
         kind = np.dtype([*((c, "<f8") for c in COLUMNS[1:]), ("timestamp", "<i8")])
         for batch in batches:
             for content, name in zip(batch.column("content").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                if len(content) % RECORD.size:
+                if len(content) % kind.itemsize:
                     raise Refusal("binary_size", f"{name}: {len(content)}")
                 x = np.frombuffer(content, kind)
                 yield pa.record_batch({"record": pa.array(np.arange(len(x)), pa.int64())} | {c: pa.array(x[c]) for c in COLUMNS})
