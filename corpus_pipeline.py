@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
-    found = langid.predict(model, docs)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    found = langid.predict(model, docs, "_lang_pred", "_lang_score")
+    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= SURE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

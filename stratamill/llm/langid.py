@@ -14,10 +14,11 @@ Words are runs of letters and non-ASCII bytes, lower-cased, with a blank before
 them that stands for the vocabulary's word mark. Words longer than LONGEST bytes are
 cut there, and no piece crosses such a cut. Any byte can stand alone.
 
-Defined results: `und` with score 0 where text is null, empty or without a letter, or
+Columns pass through. Defined results: `und` with score 0 where text is null, empty or without a letter, or
 where there was nothing to learn from; ties go to the smallest language in code point
 order; a null doc_id is kept; repeated rows each get a row; an empty table gives an
-empty result; texts are read whole; other input columns are ignored.
+empty result; texts are read whole; an input column with the name of a result is to be avoided by
+naming the results otherwise.
 """
 
 from __future__ import annotations
@@ -244,9 +245,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS,
 # ---- Prediction --------------------------------------------------------------
 
 
-def _predict(shared, path: str, named: str):
-    held: dict = {}
-
+def _predict(shared, path: str, names_of: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probability = shared.value
         vocabulary = Pieces.of(path)
@@ -276,35 +275,29 @@ def _predict(shared, path: str, named: str):
                 total[row[full]] = np.add.reduceat(values[slots[at]], full)
             best = total.argmax(1)
             score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
+            lettered = batch.column("_lettered").to_numpy(zero_copy_only=False)
             pred = np.where(lettered, np.array(languages, object)[best], UNKNOWN)
-            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "lettered"]
-            names = [x for x in batch.schema.names if x != "lettered"]
-            yield pa.record_batch([*kept, pa.array(pred.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, "lang_pred", "score"])
+            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_lettered"]
+            names = [x for x in batch.schema.names if x != "_lettered"]
+            yield pa.record_batch([*kept, pa.array(pred.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, *names_of])
 
     return run
 
 
-def predict(model: Model, docs: DataFrame) -> DataFrame:
-    """docs (with a column text) and two more columns, lang_pred and score."""
+def predict(model: Model, docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs (with a column text) and two more columns, named pred and score."""
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.probability))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("lettered", lettered).mapInArrow(_predict(shared, model.path, "lettered"), f"{fields}, lang_pred string, score double")
+    return docs.withColumn("_lettered", lettered).mapInArrow(_predict(shared, model.path, (pred, score)), f"{fields}, `{pred}` string, `{score}` double")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """docs (documents' columns) and lang_pred, score; learnt from the labelled rows that aren't held out."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return predict(model, docs)
-
-
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
