@@ -49,6 +49,8 @@ BANDS, ROWS = 24, 5
 STARS = 2
 #: Buckets up to this size compare their rest as pairs; larger ones in blocks of BLOCK by BLOCK members.
 FEW, BLOCK = 64, 512
+#: Shared shingles that a block counts at once.
+PAIRS = 1 << 20
 #: Members that one copy of a star's centre is compared with.
 SALT = 64
 #: A candidate table up to this size is sent to every executor; a larger one is joined by shuffle.
@@ -189,26 +191,17 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         row, h, c = shingles(batch.column("text"))
         number = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        row, h = np.repeat(row, c), (mix64(np.repeat(h, c) + number.astype(_U) * _STEP) >> _U(32)).astype("<u4")
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        yield pa.record_batch({"node": batch.column("node"), "bag": pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+        row, h = np.repeat(row, c), (mix64(np.repeat(h, c) + number.astype(_U) * _STEP) >> _U(32)).astype(np.uint32)
+        key = np.unique((row.astype(_U) << _U(32)) | h)  # sorted by row and hash
+        at = np.searchsorted(key >> _U(32), np.arange(batch.num_rows + 1))
+        values = (key & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        yield pa.record_batch({"node": batch.column("node"), "bag": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))})
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard of two sorted sets."""
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    both = int((a[at] == b).sum()) if len(a) else 0
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist()
-        sims = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b, strict=True)]
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "sim": pa.array(sims, pa.float64())})
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard index of two sets."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -217,7 +210,7 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     centres = bags.join(often, bags.node == often.b).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("bag").alias("bag_b"), "parts")
     dealt = pairs.join(often, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     joined = dealt.join(centres.drop("parts"), ["b", "part"]).join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a bigint, b bigint, sim double")
+    return joined.select("a", "b", similarity(F.col("bag_a"), F.col("bag_b")).alias("sim"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,18 +250,20 @@ def _blocks(threshold: float):
         left, right = group[group["asks"]], group[~group["asks"]]
         out = []
         if len(left) and len(right):
-            bags = [np.frombuffer(x, "<u4") for x in right["bag"]]
-            size = np.array([len(x) for x in bags])
-            every, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+            size = np.array([len(x) for x in right["bag"]])
+            every, owner = np.concatenate(right["bag"].to_list()), np.repeat(np.arange(len(size), dtype=np.int32), size)
             order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
             nodes, labels = right["node"].to_numpy(), right["label"].to_numpy()
-            for node, label, bag in zip(left["node"], left["label"], left["bag"], strict=True):
-                x = np.frombuffer(bag, "<u4")
+            for node, label, x in zip(left["node"], left["label"], left["bag"], strict=True):
                 lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
                 n = hi - lo
-                at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(bags))
+                both, total = np.zeros(len(size), np.int64), np.cumsum(n)
+                # shingles that very many members hold are looked at a part at a time
+                for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(total // PAIRS)) + 1):
+                    k, first = n[part], lo[part]
+                    at = np.repeat(first - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                    both += np.bincount(owner[at], minlength=len(size))
                 sim = both / (size + len(x) - both)
                 for i in np.flatnonzero((sim >= threshold) & (labels != label)):
                     out.append((node, nodes[i], sim[i]))
@@ -287,7 +282,7 @@ def edges(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> D
     asked = stage(members.groupBy("node").agg(F.first("of").alias("of")).select("node", "of.doc_id", "of.tk"), "neardup_asked")
     members = members.drop("of")
     found = docs.select("doc_id", "text", _key().alias("tk")).alias("d").join(small(asked, 48).alias("q"), F.expr("d.tk = q.tk and d.doc_id <=> q.doc_id"))
-    bags = stage(found.select("node", "text").dropDuplicates(["node"]).mapInArrow(_multisets, "node bigint, bag binary"), "neardup_bags")
+    bags = stage(found.select("node", "text").dropDuplicates(["node"]).mapInArrow(_multisets, "node bigint, bag array<int>"), "neardup_bags")
     similar: list[DataFrame] = []
     labelled = members.withColumn("label", F.col("node"))
 
