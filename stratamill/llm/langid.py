@@ -44,7 +44,7 @@ SCALE = 1000.0
 #: Weight of the pooled distribution in each language's, in expected pieces.
 POOLED = 50.0
 #: Words whose probabilities a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 GROUP = 2048
 
 LETTERS = MARKS.copy()
