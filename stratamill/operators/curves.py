@@ -125,3 +125,10 @@ def block_moments(curve: DataFrame, blocks: int) -> DataFrame:
     d = F.col("r") - F.col("s") / F.col("n")
     second = placed.join(first, ["key", "block"]).groupBy("key", "block").agg(F.sum(d * d).alias("m2"))
     return first.join(second, ["key", "block"]).select("key", "block", "n", "s", F.when(F.col("n") == 1, 0.0).otherwise(F.col("m2")).alias("m2"), (F.col("skips") == 1).alias("non_positive"))
+
+
+def layout_disagreements(layouts: DataFrame) -> DataFrame:
+    """key, of rows (key, block, first_interval, n) of a key whose layout isn't that of the lowest key."""
+    whole = layouts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "first_interval", "n"))).alias("layout"))  # one element per block
+    owner = whole.agg(F.min_by("layout", "key").alias("own"))
+    return whole.join(F.broadcast(owner)).where(F.col("layout") != F.col("own")).select("key")

@@ -104,3 +104,16 @@ def domination_counts(df: DataFrame, axes: dict[str, str], max_work: int | None
     keys = [((F.col(a) if d == "maximize" else -F.col(a)) + 0.0) for a, d in axes.items()]
     rows = df.withColumns({n: k for n, k in zip(names, keys, strict=True)}).join(counts, names, "left")
     return rows.withColumn("dominated_by", F.coalesce("dominated_by", F.lit(0))).drop(*names)
+
+
+def work(n: int) -> int:
+    """Rows read and comparisons of all pairs, which is what `max_work` admits."""
+    return n + n * (n - 1) // 2
+
+
+def input_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """digest, rows: a name for a set of rows whatever their order: per-row SHA-256, combined by bucket and then over 256 buckets."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    buckets = df.select(row.alias("d")).groupBy(F.substring("d", 1, 2).alias("b"), F.substring("d", 3, 3).alias("c")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
+    top = buckets.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"]), ""), 256).alias("d"), F.sum("n").alias("n"))
+    return top.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("rows"))

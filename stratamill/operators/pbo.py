@@ -86,3 +86,36 @@ def pbo(moments: DataFrame, blocks: int, max_work: int | None = None) -> dict:
         by[r["side"]] += Fraction(r["n"], r["ties"])
     n = math.comb(blocks, blocks // 2)
     return {"n_splits": n, "n_lt0": float(by[-1]), "n_eq0": float(by[0]), "n_gt0": float(by[1]), "pbo": float((by[-1] + by[0]) / n), "strict_rate": float(by[-1] / n), "work": work(blocks, trials)}
+
+
+#: Samplers whose trials don't depend on results (fixed names).
+INDEPENDENT = ("grid", "random", "sobol")
+ADAPTIVE = ("tpe", "dlib_global", "candidates")
+#: Why a roster's rows can't be used, in the order in which they're told.
+DEFECTS = ("roster_mismatch", "status_error", "status_pruned", "status_partial", "rows_incomplete", "block_mismatch")
+
+
+def roster_label(sampler: str, early_stop: bool) -> str:
+    """Whether the estimate is that of the published method or only a diagnostic."""
+    if sampler not in INDEPENDENT + ADAPTIVE:
+        raise Refusal("sampler_unknown", sampler)
+    return "paper_conformant" if sampler in INDEPENDENT and not early_stop else "diagnostic_adaptive_roster"
+
+
+def roster_defects(rows: DataFrame, roster: DataFrame, blocks: int) -> DataFrame:
+    """key, defect: rows (key, status, n_blocks) held against the declared roster (key)."""
+    j = rows.withColumn("_row", F.lit(1)).join(roster.withColumn("_in", F.lit(1)), "key", "full_outer")
+    defect = (
+        F.when(F.col("_row").isNull() | F.col("_in").isNull(), DEFECTS[0])
+        .when(~F.col("status").isin("ok", "constraint_violation", "pruned", "partial"), DEFECTS[1])
+        .when(F.col("status") == "pruned", DEFECTS[2])
+        .when(F.col("status") == "partial", DEFECTS[3])
+        .when(F.col("n_blocks").isNull(), DEFECTS[4])
+        .when(F.col("n_blocks") != blocks, DEFECTS[5])
+    )
+    return j.select("key", defect.alias("defect")).where("defect is not null")
+
+
+def first_defect(defects: DataFrame) -> str | None:
+    found = {r["defect"] for r in defects.select("defect").distinct().collect()}
+    return next((d for d in DEFECTS if d in found), None)

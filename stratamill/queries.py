@@ -613,3 +613,6 @@ l AS (SELECT *, max(CASE WHEN v IS NOT NULL AND (best IS NULL OR v > best) THEN
 h AS (SELECT study, min(trial_id) AS stops_at FROM l WHERE n - last >= 100 GROUP BY 1) SELECT study, stops_at FROM (SELECT DISTINCT study FROM em) LEFT JOIN h USING (study)""")
 def str10_patience(spark, sf_dir):
     return emission.patience(_emitted(spark, sf_dir), 100)
+
+
+from stratamill import queries_detail  # noqa: E402, F401  the rest of the inventory, registered on import

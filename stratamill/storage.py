@@ -14,3 +14,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "stratamill"))
     return df.checkpoint()
+
+
+def folder(spark) -> str:
+    """The shared folder for tables that are written and read again."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return found.rstrip("/") if found else os.path.join(tempfile.gettempdir(), "checkpoints")
