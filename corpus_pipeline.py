@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm import decontam, langid, mixing, neardup, tokens
-from stratamill.llm.store import stage, table
+from stratamill.llm.store import bound_batches, stage, table
 
 #: A language that is less likely than this is no decision.
 SURE = 0.5
@@ -18,6 +18,7 @@ SURE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learnt languages stay. Where there is no label to learn from, all do."""
+    bound_batches(spark)
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
@@ -27,6 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the smallest doc_id."""
+    bound_batches(spark)
     return neardup.keep_one(docs)
 
 
@@ -42,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token blocks are written and read back: place, length and checksum of every document's ids."""
+    bound_batches(spark)
     return tokens.token_ids(docs)
 
 

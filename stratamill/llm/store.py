@@ -35,5 +35,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the rows of an Arrow batch to `rows`: texts are long, and a batch of 10,000 takes some 100 MB on each side of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, batch: int = 1000) -> DataFrame:
+    bound_batches(spark, batch)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,6 +1,6 @@
 """Words of Arrow text columns as numpy arrays, for code that runs inside tasks.
 
-Texts are walked in pieces of a few MB, so that temporary arrays stay small; a
+Texts are walked in pieces of half a MB, so that temporary arrays stay small; a
 single text is never cut. Words are named by a 64-bit hash of their bytes.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are looked at together.
-PIECE = 2 << 20
+PIECE = 512 << 10
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
