@@ -57,17 +57,15 @@ class Study:
 
     def scored(self, evaluated: DataFrame) -> DataFrame:
         """evaluated with objective, status and feasible."""
-        flat = evaluated.withColumns({f"_m_{m}": F.col("metrics")[m] for m in self.metrics})
         plain = columns(list(self.metrics))
 
         def metric(name: str) -> Column | None:
-            return None if plain(name) is None else F.col(f"_m_{name.removeprefix('report.')}")
+            return None if plain(name) is None else F.col("metrics")[name if name in self.metrics else name.removeprefix("report.")]
 
         goal = Expression(self.objective).compile(metric, self.policy)
         limits = [Expression(c).compile(metric, Policy()) for c in self.constraints]
         state = F.when(F.col("error").isNotNull(), "trial_error").otherwise(status(goal, limits))
-        out = flat.withColumns({"objective": goal[0], "status": state}).withColumn("feasible", F.col("status") == "ok")
-        return out.drop(*(f"_m_{m}" for m in self.metrics))
+        return evaluated.withColumns({"objective": goal[0], "status": state}).withColumn("feasible", F.col("status") == "ok")
 
     def run(self, candidates: DataFrame, bars: dict, evaluator) -> DataFrame:
         """All candidates in one job: grid, random, Sobol and listed candidates need no feedback."""
