@@ -39,3 +39,9 @@ def numbered(df: DataFrame, keys: list[str], block: str, order: list[str], out:
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     edge = counts.withColumn("_edge", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return df.withColumn("_own", F.row_number().over(inside) - 1).join(edge, [*keys, block]).withColumn(out, F.col("_own") + F.col("_edge")).drop("_own", "_edge")
+
+
+def islands(df: DataFrame, keys: list[str], number: str, block: int = 1 << 16) -> DataFrame:
+    """df with `_island`, the same for numbers of a key that follow each other without a gap; each number comes once."""
+    rows = df.withColumn("_block", F.floor(F.col(number) / block))
+    return numbered(rows, keys, "_block", [number], "_n").withColumn("_island", F.col(number) - F.col("_n")).drop("_n", "_block")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratamill.functions.expr import Expression, Policy, columns, status
 from stratamill.operators.evaluate import evaluate
+from stratamill.operators.ordered import islands
 from stratamill.plans.space import Space
 
 
@@ -131,7 +132,4 @@ def write_trials(trials: DataFrame, path: str) -> None:
 def list_coverage(trials: DataFrame, listed: DataFrame) -> DataFrame:
     """first, last: ranges of listed candidates that have no row."""
     gap = listed.select("trial_id").join(trials.select("trial_id"), "trial_id", "left_anti")
-    from pyspark.sql import Window
-
-    island = F.col("trial_id") - F.row_number().over(Window.orderBy("trial_id"))
-    return gap.withColumn("_i", island).groupBy("_i").agg(F.min("trial_id").alias("first"), F.max("trial_id").alias("last")).drop("_i")
+    return islands(gap.withColumn("_k", F.lit(0)), ["_k"], "trial_id").groupBy("_island").agg(F.min("trial_id").alias("first"), F.max("trial_id").alias("last")).drop("_island")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stratamill.operators.ordered import islands
+
 #: Rows that may wait for an earlier one, per study.
 PENDING = 10_000
 
@@ -53,10 +55,8 @@ def emit(trials: DataFrame, floor: int = 0, pending: int = PENDING) -> DataFrame
 
 def watermark(trials: DataFrame, floor: int = 0) -> DataFrame:
     """study, watermark: the largest id up to which all ids from the floor are there; floor - 1 if the first isn't."""
-    own = Window.partitionBy("study").orderBy("trial_id")
     rows = trials.where(F.col("trial_id") >= floor).select("study", "trial_id").distinct()
-    row = rows.withColumn("_i", F.col("trial_id") - F.row_number().over(own))
-    first = row.where(F.col("_i") == floor - 1).groupBy("study").agg(F.max("trial_id").alias("watermark"))
+    first = islands(rows, ["study"], "trial_id").where(F.col("_island") == floor).groupBy("study").agg(F.max("trial_id").alias("watermark"))
     return trials.select("study").distinct().join(first, "study", "left").select("study", F.coalesce("watermark", F.lit(floor - 1)).alias("watermark"))
 
 
