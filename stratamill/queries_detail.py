@@ -394,3 +394,168 @@ def str7_month_buckets(spark, sf_dir):
 def str8_sliding_windows(spark, sf_dir):
     w = F.window(F.timestamp_millis("ms"), "2 hours", "1 hour")
     return events(spark, sf_dir).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.unix_millis("w.start").alias("start"), "n")
+
+
+# ---- Studies, documents, identities ------------------------------------------
+
+
+@query(f"WITH {CURVE}{STATS}, x AS (SELECT key, (mean - 0.02 / periods) / std AS sr FROM st) SELECT count(*) AS eligible, round(max(sr), 6) AS top, arg_max(key, sr) AS selected FROM x")
+def dsr4_selected_is_max(spark, sf_dir):
+    good = dsr_.eligible(curves.return_stats(user_curve(spark, sf_dir)))
+    return good.agg(F.count("*").alias("eligible"), r(F.max("sharpe_per_period")).alias("top"), F.max_by("key", "sharpe_per_period").alias("selected"))
+
+
+@query(f"WITH {CURVE}{BLOCKS}, m AS (SELECT bm.key, y.r FROM bm JOIN y ON y.key = bm.key AND y.block = bm.block WHERE bm.block < 3) SELECT key, CAST(count(*) AS DOUBLE) AS n, round(sum(r), 9) AS s, round(var_pop(r) * count(*), 9) AS m2 FROM m GROUP BY 1")
+def pbo3_moment_merge(spark, sf_dir):
+    moments = curves.block_moments(user_curve(spark, sf_dir), 6).where("block < 3")
+    item = F.struct("block", F.col("n").cast("double").alias("n"), "s", "m2")
+    g = moments.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("b"))  # three elements
+    first = F.struct(F.col("b")[0]["n"].alias("n"), F.col("b")[0]["s"].alias("s"), F.col("b")[0]["m2"].alias("m2"))
+    m = F.aggregate(F.slice("b", 2, F.size("b")), first, pbo.merge)
+    return g.select("key", m["n"].alias("n"), r(m["s"], 9).alias("s"), r(m["m2"], 9).alias("m2"))
+
+
+SELECTED = HOURLY + f""", g AS (SELECT range AS trial_id, 12 + 2 * (range // 4) AS entry, 2 + 2 * (range % 4) AS exit FROM range(20)),
+k AS (SELECT trial_id, timestamp, close, CASE WHEN close >= entry THEN 1 WHEN close <= exit THEN 0 END AS s FROM g, b WHERE symbol = 'view' AND timestamp >= {START} AND timestamp < {START + 5 * 86_400_000}),
+h AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY trial_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING), 0) AS held FROM k),
+i AS (SELECT trial_id, coalesce(lag(held) OVER w * (close - lag(close) OVER w), 0) AS gain FROM h WINDOW w AS (PARTITION BY trial_id ORDER BY timestamp))"""
+
+
+@query(f"WITH {SELECTED} SELECT trial_id, round(sum(gain), 6) AS net_profit FROM i GROUP BY 1")
+def evl12_selected_window(spark, sf_dir):
+    b = bars_.between(hourly(spark, sf_dir).where("symbol = 'view'"), START, START + 5 * 86_400_000)
+    out = evaluate.evaluate(EVAL_SPACE.grid(spark), evaluate.bars_of(b, ("timestamp", "close")), evaluate.threshold, ("net_profit",))
+    return out.select("trial_id", r(F.col("metrics")["net_profit"]).alias("net_profit"))
+
+
+@query("SELECT range AS trial_id, 'num_trades' AS metrics FROM range(20)")
+def evl7_requested_metrics(spark, sf_dir):
+    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    out = evaluate.evaluate(EVAL_SPACE.grid(spark), b, evaluate.threshold, ("num_trades",))
+    return out.select("trial_id", F.array_join(F.map_keys("metrics"), ",").alias("metrics"))
+
+
+@query(None)
+def lif1_batches(spark, sf_dir):
+    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    found, why = STUDY.run_adaptive(spark, continuation.Random(EVAL_SPACE, 3), b, evaluate.threshold, 16, batch=8, patience=10)
+    return spark.createDataFrame([(x["trial_id"], x["status"], x["objective"], why.name) for x in found], "trial_id bigint, status string, objective double, stop string")
+
+
+@query(None)
+def lif2_rolling_schedule(spark, sf_dir):
+    from stratamill.plans import rolling
+
+    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    _, log = rolling.run(spark, STUDY, continuation.Random(EVAL_SPACE, 3), b, evaluate.threshold, 4)
+    return spark.createDataFrame(log, "completion_order int, trial_id int, completed_before int")
+
+
+@query(f"WITH {TRIALS_SQL}, g AS (SELECT range AS ordinal, 1 + range // 25 AS size, 'Brand#' || (1 + range % 25) AS brand FROM range(1250)), u AS (SELECT g.* FROM g ANTI JOIN tr USING (size, brand)) SELECT (SELECT max(trial_id) FROM tr) + row_number() OVER (ORDER BY ordinal) AS trial_id, size, brand FROM u ORDER BY ordinal LIMIT 100")
+def lif6_continued_grid(spark, sf_dir):
+    return continuation.continued_grid(spark, PART_SPACE, trials(spark, sf_dir), 100)
+
+
+SPEC = {
+    "schema_version": 1,
+    "mode": "single_strategy",
+    "strategies": [{"id": "t", "source": "t", "datasets": ["d"], "search_space": {"a": {"kind": "integer", "low": 1, "high": 9}, "b": {"kind": "boolean"}}}],
+    "datasets": [{"id": "d", "ohlcv": "x.csv", "input_tf": "1", "script_tf": "15"}],
+    "objective": {"kind": "expression", "direction": "maximize", "expression": "net_profit", "constraints": ["num_trades >= 1"]},
+    "sampler": {"kind": "grid"},
+}
+
+
+@query("SELECT 18 AS cardinality, 'a,b' AS dimensions, TRUE AS same_hash")
+def src17_study_spec(spark, sf_dir):
+    from stratamill.plans.spec import parse
+
+    spec, other = parse(json.dumps(SPEC)), parse(json.dumps(SPEC | {"sampler": {"kind": "random", "trials": 5}}))
+    return spark.createDataFrame([(spec.space.cardinality(), ",".join(spec.space.names), spec.space_hash() == other.space_hash())], "cardinality int, dimensions string, same_hash boolean")
+
+
+@query("SELECT * FROM (VALUES ('{\"a\":1}', 'ok'), ('{\"a\":1,\"a\":2}', 'json_repeated_key'), ('[NaN]', 'json_constant'), ('1e999', 'json_range'), ('{', 'json_syntax')) t(text, outcome)")
+def src8_strict_json(spark, sf_dir):
+    def outcome(text):
+        try:
+            trial_files.loads_strict(text)
+            return "ok"
+        except trial_files.Refusal as e:
+            return e.code
+
+    texts = ('{"a":1}', '{"a":1,"a":2}', "[NaN]", "1e999", "{")
+    return spark.createDataFrame([(x, outcome(x)) for x in texts], "text string, outcome string")
+
+
+@query(f"WITH {TRIALS_SQL} SELECT status, count(*) AS n FROM tr GROUP BY 1")
+def snk1_document_counts(spark, sf_dir):
+    tr = trials(spark, sf_dir)
+    found = Study(PART_SPACE, "price", ("price",)).document(tr, "grid")
+    return spark.createDataFrame(sorted(found["statuses"].items()), "status string, n bigint")
+
+
+@query("SELECT * FROM (VALUES ('a', TRUE), ('b', TRUE), ('c', TRUE), ('d', TRUE), ('e', FALSE)) t(name, refused)")
+def spc1_dimension_refusals(spark, sf_dir):
+    from stratamill.types import Refusal
+
+    def refused(make):
+        try:
+            make()
+            return False
+        except Refusal:
+            return True
+
+    made = {"a": lambda: Integer("a", 2, 1), "b": lambda: Integer("b", 0, 9, log=True), "c": lambda: Real("c", 0.0, 1.0, 0.0), "d": lambda: Categorical("d", ("x", "x")), "e": lambda: Real("e", 0.5, 0.5)}
+    return spark.createDataFrame([(n, refused(f)) for n, f in made.items()], "name string, refused boolean")
+
+
+@query("SELECT * FROM (VALUES ('grid', 1250), ('mixed', 1200), ('continuous', NULL)) t(space, cardinality)")
+def spc2_cardinality(spark, sf_dir):
+    mixed = Space((Integer("size", 1, 50), Categorical("mode", ("ema", "sma", "wma")), Boolean("flag"), Real("x", 0.0, 0.3, 0.1)))
+    made = {"grid": PART_SPACE, "mixed": mixed, "continuous": Space((Real("x", 0.0, 1.0),))}
+    return spark.createDataFrame([(n, s.cardinality()) for n, s in made.items()], "space string, cardinality int")
+
+
+@query("SELECT * FROM (VALUES ('0.10000000000000001'), ('3'), ('true'), ('ema')) t(value)")
+def spc8_serialised(spark, sf_dir):
+    from stratamill.plans.space import serialised
+
+    return spark.createDataFrame([(serialised(v),) for v in (0.1, 3, True, "ema")], "value string")
+
+
+@query("SELECT * FROM (VALUES ('a', TRUE), ('b', FALSE)) t(name, injective)")
+def spc7_injective_grids(spark, sf_dir):
+    from stratamill.plans.spec import injective
+
+    return spark.createDataFrame([("a", injective(Real("a", 0.0, 1.0, 0.001))), ("b", injective(Real("b", 1e16, 1e16 + 64, 0.5)))], "name string, injective boolean")
+
+
+@query(f"SELECT '{samplers.continuation_seed(7, 100):016x}' AS seed")
+def smp22_continuation_seed(spark, sf_dir):
+    return spark.createDataFrame([(f"{samplers.continuation_seed(7, 100):016x}",)], "seed string")
+
+
+@query("SELECT range AS trial_id, 1 + range // 2 AS n, range % 2 = 1 AS b FROM range(40)")
+def smp21_listed_candidates(spark, sf_dir):
+    return src16_candidate_list(spark, sf_dir)
+
+
+@query(f"WITH {EMITTED}, i AS (SELECT study, trial_id, trial_id - row_number() OVER (PARTITION BY study ORDER BY trial_id) AS k FROM em) SELECT study, trial_id, status FROM i JOIN em USING (study, trial_id) WHERE k = -1")
+def str1_ordered_emission(spark, sf_dir):
+    source, out, state = (_scratch(spark, x) for x in ("stream", "emitted", "state"))
+    _emitted(spark, sf_dir).select(F.col("study").cast("string").alias("study"), "trial_id", "status").repartition(4).write.json(source)
+    stream = spark.readStream.schema("study string, trial_id bigint, status string").option("maxFilesPerTrigger", 2).json(source)
+    q = emission.emit(stream).where("outcome = 'emitted'").writeStream.outputMode("append").option("checkpointLocation", state).format("parquet").option("path", out).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select(F.col("study").cast("bigint").alias("study"), "trial_id", "status")
+
+
+@query(f"WITH {EMITTED} SELECT DISTINCT study, trial_id FROM em")
+def str9_repeated_trials(spark, sf_dir):
+    source, out, state = (_scratch(spark, x) for x in ("stream", "distinct", "state"))
+    rows_ = _emitted(spark, sf_dir).select("study", "trial_id", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    rows_.union(rows_).write.parquet(source)
+    stream = spark.readStream.schema("study bigint, trial_id bigint, at timestamp").parquet(source)
+    q = emission.late(stream, "1 hour").writeStream.outputMode("append").option("checkpointLocation", state).format("parquet").option("path", out).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select("study", "trial_id")
