@@ -14,6 +14,8 @@ from stratamill.llm.store import bound_batches, stage, table
 
 #: A language that is less likely than this is no decision.
 SURE = 0.5
+#: Words whose ids a worker remembers here, where the stages before have left less memory than a run of its own has.
+WORDS = 500_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token blocks are written and read back: place, length and checksum of every document's ids."""
     bound_batches(spark)
-    return tokens.token_ids(docs)
+    return tokens.token_ids(docs, remembered=WORDS)
 
 
 STAGES = [

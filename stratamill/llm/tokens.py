@@ -121,10 +121,10 @@ class WordIds(dict):
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: set[bytes], most: int) -> dict[bytes, bytes]:
         """Encode the words that aren't known; return those that found no room."""
         new = [w for w in words if w not in self]
-        out = self if len(self) + len(new) <= REMEMBERED else {}
+        out = self if len(self) + len(new) <= most else {}
         plain, other = [], []
         for w in new:
             t = w.decode()
@@ -155,16 +155,16 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def encode_texts(texts: list[bytes | None], path: str) -> tuple[list[bytes], np.dtype]:
+def encode_texts(texts: list[bytes | None], path: str, remembered: int | None = None) -> tuple[list[bytes], np.dtype]:
     """Ids of each UTF-8 text as little-endian bytes. bytes.split() cuts at ASCII white space and nowhere else."""
     ids = encoder(path)
     cut = [t.split() if t else [] for t in texts]
-    rest = ids.learn(set().union(*cut) if cut else set())
+    rest = ids.learn(set().union(*cut) if cut else set(), REMEMBERED if remembered is None else remembered)
     find = ChainMap(ids, rest).__getitem__ if rest else ids.__getitem__
     return [b"".join(map(find, ws)) for ws in cut], ids.dtype
 
 
-def _blocks(path: str, end: int, block_tokens: int):
+def _blocks(path: str, end: int, block_tokens: int, remembered: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -185,7 +185,7 @@ def _blocks(path: str, end: int, block_tokens: int):
             return pa.record_batch([pa.array([v], kinds[c.split()[1]]) for v, c in zip(row, BLOCK.split(", "), strict=True)], names=names)
 
         for batch in pieces(batches, 8 << 20):
-            encoded, dtype = encode_texts(batch.column("text").cast(pa.binary()).to_pylist(), path)
+            encoded, dtype = encode_texts(batch.column("text").cast(pa.binary()).to_pylist(), path, remembered)
             width = dtype.itemsize
             stop = np.array([end], dtype).tobytes()
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
@@ -200,12 +200,12 @@ def _blocks(path: str, end: int, block_tokens: int):
     return run
 
 
-def encode(docs: DataFrame, path: str, end: int = END, block_tokens: int = BLOCK_TOKENS, partitions: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, end: int = END, block_tokens: int = BLOCK_TOKENS, partitions: int | None = None, remembered: int | None = None) -> DataFrame:
     """Blocks of docs (doc_id, text) in doc_id order, not yet written."""
     rows = docs.select("doc_id", "text")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_blocks(path, end, block_tokens), BLOCK)
+    return dealt.mapInArrow(_blocks(path, end, block_tokens, remembered), BLOCK)
 
 
 def write(docs: DataFrame, path: str, out: str, **how) -> None:
@@ -255,5 +255,5 @@ def op3_token_ids(spark, sf_dir):
     return token_ids(table(spark, sf_dir, "documents", 5000))
 
 
-def token_ids(docs: DataFrame) -> DataFrame:
-    return read(stage(encode(docs, tokenizer_path()), "token_blocks"))
+def token_ids(docs: DataFrame, **how) -> DataFrame:
+    return read(stage(encode(docs, tokenizer_path(), **how), "token_blocks"))

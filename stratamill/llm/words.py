@@ -6,6 +6,7 @@ single text is never cut. Words are named by a 64-bit hash of their bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,14 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks and stages, and share an executor's limit with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE, by: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `most` bytes of the column `by`, or one row."""
     for batch in batches:
@@ -82,6 +91,7 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE, by: str = "text
             last = min(last, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    give_back()
 
 
 def words(col: pa.Array, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
