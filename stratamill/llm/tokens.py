@@ -252,7 +252,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op3_token_ids(spark, sf_dir):
-    return token_ids(table(spark, sf_dir, "documents", 5000))
+    return token_ids(table(spark, sf_dir, "documents", 10_000))
 
 
 def token_ids(docs: DataFrame, **how) -> DataFrame:
