@@ -47,8 +47,6 @@ SHORT = 8
 #: Texts are cut in blocks of so many words; a window is four times so many blocks, and an item belongs to the window nearest its own length, as a ratio.
 CUT = 4
 STEPS = (1, 2, 3, 5, 8, 12, 18, 27, 40)
-#: The singular vectors, which only propose candidates, are learnt from about so many documents, chosen by a hash. Document frequencies come from all.
-FIT_DOCS = 16_384
 #: Items that are searched for at once.
 ITEMS = 4096
 #: Terms summed together, and partial sums added in the first step.
@@ -150,8 +148,8 @@ def decompose(z: np.ndarray, drawn: np.ndarray, rank: int) -> tuple[np.ndarray,
     return u[:, :rank], np.sqrt(np.maximum(s[:rank] ** 2 - shift, 0))
 
 
-def fit(docs: DataFrame, terms: int = TERMS, rank: int = RANK, size: int = PASSAGE, skip: int = COMMON, sample: int = FIT_DOCS) -> Space:
-    """Frequencies over all passages of docs (text), and singular vectors number skip to skip + rank over those of about `sample` texts."""
+def fit(docs: DataFrame, terms: int = TERMS, rank: int = RANK, size: int = PASSAGE, skip: int = COMMON) -> Space:
+    """Frequencies over all passages of docs (text), and singular vectors number skip to skip + rank over them, too."""
     width = skip + rank + EXTRA
     spark = docs.sparkSession
     text = docs.select("text")
@@ -166,9 +164,7 @@ def fit(docs: DataFrame, terms: int = TERMS, rank: int = RANK, size: int = PASSA
     drawn = np.random.default_rng(7).standard_normal((terms, width))
     shared = spark.sparkContext.broadcast((idf.astype(np.float32), drawn.astype(np.float32)))
     schema = "part int, task int, z binary"
-    rate = min(1.0, sample / max(1, docs.count()))
-    chosen = text.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * (1 << 30)) if rate < 1 else text
-    sums = chosen.mapInArrow(_products(shared, terms, size), schema)
+    sums = text.mapInArrow(_products(shared, terms, size), schema)
     sums = sums.groupBy("part", (F.col("task") / FIRST).cast("int")).applyInPandas(_add, schema)
     sums = sums.groupBy("part").applyInPandas(_add, schema).toPandas()  # terms x width numbers
     z = np.zeros((terms, width))

@@ -406,6 +406,19 @@ def test_decomposition():
     assert np.allclose(singular, s[:6], rtol=1e-2) and np.allclose(np.abs((v[:4] @ basis[:, :4]).diagonal()), 1, atol=1e-2)
 
 
+def test_singular_vectors_come_from_all_documents(spark):
+    rng, terms = random.Random(4), 256
+    plain, rare = [f"w{i}" for i in range(40)], [f"r{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(rare if i % 20 == 0 else plain, k=10)) for i in range(20_000)]
+    space = decontam.fit(spark.createDataFrame([(t,) for t in texts], "text string"), terms=terms, rank=60, skip=1)
+    row, h, *_ = w.words(pa.array(texts), w.MARKS)
+    counts = np.zeros((len(texts), terms))
+    np.add.at(counts, (row, decontam.term(h, terms)), 1)
+    a = counts * space.idf
+    a /= np.sqrt(counts @ space.idf**2)[:, None]
+    assert np.allclose(space.singular[:8], np.linalg.svd(a, compute_uv=False)[1:9], rtol=2e-2)
+
+
 def test_decontamination(spark, odd_rows, none):
     rng = random.Random(12)
     syllables = ["ka", "lo", "mi", "ne", "tu", "ra", "si", "vo", "pe", "du"]
