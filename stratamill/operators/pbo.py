@@ -12,7 +12,7 @@ import math
 from fractions import Fraction
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.types import Refusal
@@ -66,8 +66,9 @@ def split_results(moments: DataFrame, blocks: int, spark: SparkSession | None =
     stats = pooled(moments, splits_table(spark, blocks))
     train = stats.where("train").select("split", "key", "stat")
     test = stats.where("not train").select("split", "key", F.col("stat").alias("out"))
-    top = Window.partitionBy("split")
-    winners = train.withColumn("top", F.max("stat").over(top)).where("stat = top").withColumn("ties", F.count("*").over(top)).select("split", F.col("key").alias("winner"), "ties")
+    top = train.groupBy("split").agg(F.max("stat").alias("top"))
+    best = train.join(top, "split").where("stat = top").select("split", F.col("key").alias("winner"))
+    winners = best.join(best.groupBy("split").agg(F.count("*").alias("ties")), "split")
     reference = winners.join(test.withColumnRenamed("key", "winner"), ["split", "winner"]).withColumnRenamed("out", "ref")
     ranked = test.join(reference, "split").groupBy("split", "winner", "ties").agg((2 * F.sum((F.col("out") < F.col("ref")).cast("long")) + F.sum((F.col("out") == F.col("ref")).cast("long")) + 1).alias("rank2"), F.count("*").alias("trials"))
     return ranked.withColumn("side", F.signum((F.col("rank2") - (F.col("trials") + 1)).cast("double")).cast("int"))

@@ -428,7 +428,7 @@ def par3_domination_counts(spark, sf_dir):
 
 
 def _moments(spark, sf_dir):
-    return cut_lineage(curves.block_moments(user_curve(spark, sf_dir).where("key % 8 = 0"), 6).select("key", "block", "n", "s", "m2"))
+    return cut_lineage(curves.block_moments(user_curve(spark, sf_dir), 6).select("key", "block", "n", "s", "m2"))
 
 
 @query(None)

@@ -1,4 +1,5 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,37 @@ def test_front_and_counts_by_brute_force(spark, axes):
         pareto.domination_counts(df, spec, max_work=10)
 
 
+def test_split_results_against_brute_force(spark):
+    rng = random.Random(8)
+    returns = {k: [[rng.gauss(0, 1) for _ in range(5)] for _ in range(4)] for k in range(11)}
+    returns[11] = returns[3]  # winners may tie
+    rows = [(k, b, len(x), sum(x), sum((v - sum(x) / len(x)) ** 2 for v in x)) for k, xs in returns.items() for b, x in enumerate(xs)]
+    found = pbo.split_results(spark.createDataFrame(rows, "key int, block int, n int, s double, m2 double"), 4)
+    assert "Window" not in found._jdf.queryExecution().toString()  # no split in one task
+
+    def sharpe(xs):
+        flat = [v for x in xs for v in x]
+        return statistics.mean(flat) / statistics.stdev(flat)
+
+    want = set()
+    for i, half in enumerate(pbo.ordered_splits(4)):
+        inside = {k: sharpe([xs[b] for b in half]) for k, xs in returns.items()}
+        out = {k: sharpe([xs[b] for b in range(4) if b not in half]) for k, xs in returns.items()}
+        best = [k for k, v in inside.items() if v == max(inside.values())]
+        for k in best:
+            rank2 = 2 * sum(v < out[k] for v in out.values()) + sum(v == out[k] for v in out.values()) + 1
+            want.add((i, k, len(best), rank2, 12, (rank2 > 13) - (rank2 < 13)))
+    assert {tuple(x) for x in found.select("split", "winner", "ties", "rank2", "trials", "side").collect()} == want
+
+
+def test_overfitting_queries_hold_every_user(spark):
+    from stratamill import queries
+
+    sf = "/root/testdata/sf0.001"
+    users = queries.events(spark, sf).select("user_id").distinct().count()
+    assert {x["trials"] for x in queries.pbo5_split_results(spark, sf).collect()} == {users}
+
+
 def test_overfitting_of_the_hand_worked_returns(spark):
     returns = [(6, 2, 7, 3), (4, 9, 3, 11), (8, 5, 1, 9), (2, 4, 10, 7)]
     rows = [(k, b, 1, float(x), 0.0) for k, xs in enumerate(returns) for b, x in enumerate(xs)]
