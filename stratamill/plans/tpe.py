@@ -10,7 +10,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from stratamill.operators.ranks import below
 from stratamill.plans.samplers import Twister, draw
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 
@@ -24,6 +27,15 @@ def weights(n: int) -> np.ndarray:
     return np.concatenate([ramp, np.ones(FULL)])
 
 
+def weighted(trials: DataFrame, key: str = "trial_id") -> DataFrame:
+    """trials and their `weight`, as weights() gives it in the order of key, which is unique."""
+    n = trials.count()
+    ranks = below(trials, key).select(key, "before")
+    ramp = 1 / n + F.col("before") * ((1 - 1 / n) / max(n - FULL - 1, 1)) if n else F.lit(1.0)
+    weight = F.when(F.col("before") < n - FULL, ramp).otherwise(1.0)
+    return trials.join(ranks, key).withColumn("weight", weight).drop("before")
+
+
 def split(scores: list[tuple[float, int]]) -> tuple[list[int], list[int]]:
     """Ids of good and other observations, from (score, id); higher is better and ties go to the lower id."""
     order = [i for _, i in sorted(scores, key=lambda x: (-x[0], x[1]))]

@@ -14,7 +14,7 @@ from stratamill.operators import dsr as dsr_
 from stratamill.plans import continuation, samplers
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, write_trials
-from stratamill.plans.tpe import Tpe, weights
+from stratamill.plans.tpe import Tpe, weighted
 from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, RETURNS, SELECTION, SOBOL_N, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _sobol_sql, _two, events, hourly, query, r, studies, trials, user_curve
 from stratamill.sources import bars as bars_
 from stratamill.sources import trials as trial_files
@@ -161,8 +161,7 @@ def smp7_sobol_continuation(spark, sf_dir):
 @query(f"""WITH {TRIALS_SQL}, k AS (SELECT trial_id, row_number() OVER (ORDER BY trial_id) AS rn, count(*) OVER () AS n FROM tr WHERE status = 'ok' AND trial_id < 200)
 SELECT trial_id, round(CASE WHEN n < 25 OR rn > n - 25 THEN 1.0 ELSE 1.0 / n + (rn - 1) * (1 - 1.0 / n) / (n - 26) END, 9)::DOUBLE AS weight FROM k""")
 def smp10_weights(spark, sf_dir):
-    ids = [x["trial_id"] for x in trials(spark, sf_dir).where("status = 'ok' and trial_id < 200").select("trial_id").orderBy("trial_id").collect()]
-    return spark.createDataFrame([(i, round(float(v), 9)) for i, v in zip(ids, weights(len(ids)), strict=True)], "trial_id bigint, weight double")
+    return weighted(trials(spark, sf_dir).where("status = 'ok' and trial_id < 200").select("trial_id")).select("trial_id", r(F.col("weight"), 9).alias("weight"))
 
 
 @query(f"""WITH {TRIALS_SQL}, x AS (SELECT DISTINCT (size - 0.5) / 50 AS v FROM tr), g AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS lo, lead(v) OVER (ORDER BY v) - v AS hi, count(*) OVER () AS n FROM x)

@@ -10,7 +10,7 @@ from stratamill.operators import evaluate, rows
 from stratamill.plans import samplers
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space, serialised
 from stratamill.plans.study import Patience, Stop, Study, data_context, retained, write_trials
-from stratamill.plans.tpe import Parzen, Tpe, split, weights
+from stratamill.plans.tpe import Parzen, Tpe, split, weighted, weights
 from stratamill.sources import bars, trials
 from stratamill.streaming import emission
 from stratamill.types import Refusal
@@ -219,3 +219,10 @@ def test_audit_and_provenance(spark, tmp_path):
     assert data_context([("a", 1, 2)]) == data_context([["a", 1, 2]])
     write_trials(spark.range(5).withColumnRenamed("id", "trial_id"), str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t")).count() == 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 24, 25, 26, 27, 1000])
+def test_weights_of_a_whole_table(spark, n):
+    found = weighted(spark.range(n).select((F.col("id") * 7).alias("trial_id"))).orderBy("trial_id").collect()
+    assert [x["trial_id"] for x in found] == [7 * i for i in range(n)]
+    assert [x["weight"] for x in found] == pytest.approx(list(weights(n)) if n else [])
