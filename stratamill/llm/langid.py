@@ -37,10 +37,9 @@ UNKNOWN = "und"
 PER_LANGUAGE = 2000
 ROUNDS = 3
 LONGEST = 64
-#: Longest piece, in bytes.
-PIECE_BYTES = 16
-#: Each byte's factor, which keeps products of 64 small numbers above the smallest double.
+#: Each byte's factor, which keeps most words' products within doubles. Words with a sum below SMALL are done in logarithms.
 SCALE = 1000.0
+SMALL = 1e-280
 #: Weight of the pooled distribution in each language's, in expected pieces.
 POOLED = 50.0
 #: Words whose probabilities a worker remembers.
@@ -77,7 +76,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = {sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        plain = sorted(p for p in plain if 1 < len(p) <= PIECE_BYTES)
+        plain = sorted(p for p in plain if len(p) > 1)
         self.names = [bytes([b]) for b in range(256)] + plain
         self.size = len(self.names)
         by_length: dict[int, list[tuple[int, int]]] = {}
@@ -88,11 +87,11 @@ class Pieces:
             by_length.setdefault(len(p), []).append((h, i))
         self.tables = {n: (np.array([h for h, _ in x], _U), np.array([i for _, i in x])) for n, x in ((n, sorted(x)) for n, x in by_length.items())}
 
-    def ids(self, letters: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """For each piece length the piece that begins at each place of each word; `size` where there is none."""
+    def ids(self, letters: np.ndarray, lengths: np.ndarray) -> dict[int, np.ndarray]:
+        """For each length that pieces have the piece that begins at each place of each word; `size` where there is none."""
         count, width = letters.shape
-        code, out, h = _CODE[letters], [], np.zeros((count, width), _U)
-        for n in range(1, min(PIECE_BYTES, width) + 1):
+        code, out, h = _CODE[letters], {}, np.zeros((count, width), _U)
+        for n in range(1, min(max(self.tables, default=1), width) + 1):
             h = h[:, : width - n + 1] * _RADIX + code[:, n - 1 :]
             if n == 1:
                 found = letters.astype(np.int64)
@@ -101,8 +100,8 @@ class Pieces:
                 at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                 found = np.where(hashes[at] == h, ids[at], self.size)
             else:
-                found = np.full(h.shape, self.size)
-            out.append(np.where(np.arange(n, width + 1) <= lengths[:, None], found, self.size))
+                continue
+            out[n] = np.where(np.arange(n, width + 1) <= lengths[:, None], found, self.size)
         return out
 
 
@@ -112,27 +111,58 @@ def _matrix(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in group), np.uint8).reshape(len(group), width), lengths
 
 
-def forward(ids: list[np.ndarray], probability: np.ndarray) -> np.ndarray:
+def forward(ids: dict[int, np.ndarray], probability: np.ndarray) -> np.ndarray:
     """alpha[word, place, language]; probability has a last row of zeros for no piece."""
-    count, width = ids[0].shape
+    count, width = ids[1].shape
     alpha = np.zeros((count, width + 1, probability.shape[1]))
     alpha[:, 0] = 1
     for j in range(1, width + 1):
-        for n in range(1, min(len(ids), j) + 1):
-            alpha[:, j] += alpha[:, j - n] * probability[ids[n - 1][:, j - n]]
+        for n, found in ids.items():
+            if n <= j:
+                alpha[:, j] += alpha[:, j - n] * probability[found[:, j - n]]
     return alpha
 
 
-def backward(ids: list[np.ndarray], probability: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    count, width = ids[0].shape
+def backward(ids: dict[int, np.ndarray], probability: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    count, width = ids[1].shape
     beta = np.zeros((count, width + 1, probability.shape[1]))
     beta[np.arange(count), lengths] = 1
     for j in range(width - 1, -1, -1):
-        for n in range(1, min(len(ids), width - j) + 1):
-            beta[:, j] += beta[:, j + n] * probability[ids[n - 1][:, j]]
+        for n, found in ids.items():
+            if n <= width - j:
+                beta[:, j] += beta[:, j + n] * probability[found[:, j]]
     return beta
 
 
+def log_forward(ids: dict[int, np.ndarray], logs: np.ndarray) -> np.ndarray:
+    """ln alpha, from the logarithms of the factors."""
+    count, width = ids[1].shape
+    alpha = np.full((count, width + 1, logs.shape[1]), -np.inf)
+    alpha[:, 0] = 0
+    for j in range(1, width + 1):
+        for n, found in ids.items():
+            if n <= j:
+                alpha[:, j] = np.logaddexp(alpha[:, j], alpha[:, j - n] + logs[found[:, j - n]])
+    return alpha
+
+
+def log_backward(ids: dict[int, np.ndarray], logs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    count, width = ids[1].shape
+    beta = np.full((count, width + 1, logs.shape[1]), -np.inf)
+    beta[np.arange(count), lengths] = 0
+    for j in range(width - 1, -1, -1):
+        for n, found in ids.items():
+            if n <= width - j:
+                beta[:, j] = np.logaddexp(beta[:, j], beta[:, j + n] + logs[found[:, j]])
+    return beta
+
+
+def _small(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Words of which a sum, at any place up to their end, is too small for a double."""
+    inside = np.arange(sums.shape[1]) <= lengths[:, None]
+    return np.flatnonzero(((sums < SMALL).any(2) & inside).any(1))
+
+
 def scaled(probability: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     lengths = np.array([len(p) for p in vocabulary.names])
     return np.vstack([probability * SCALE ** lengths[:, None], np.zeros((1, probability.shape[1]))])
@@ -145,8 +175,14 @@ def log_probability(found: list[bytes], factors: np.ndarray, vocabulary: Pieces)
     for a in range(0, len(order), GROUP):
         at = order[a : a + GROUP]
         letters, lengths = _matrix([found[i] for i in at])
-        alpha = forward(vocabulary.ids(letters, lengths), factors)
-        out[at] = np.log(alpha[np.arange(len(at)), lengths]) - lengths[:, None] * np.log(SCALE)
+        ids = vocabulary.ids(letters, lengths)
+        alpha = forward(ids, factors)
+        small = _small(alpha, lengths)
+        with np.errstate(divide="ignore"):
+            logs = np.log(alpha[np.arange(len(at)), lengths])
+            if len(small):
+                logs[small] = log_forward({n: i[small] for n, i in ids.items()}, np.log(factors))[np.arange(len(small)), lengths[small]]
+        out[at] = logs - lengths[:, None] * np.log(SCALE)
     return out
 
 
@@ -158,9 +194,21 @@ def expected(found: list[bytes], times: np.ndarray, factors: np.ndarray, vocabul
         at = order[a : a + GROUP]
         letters, lengths = _matrix([found[i] for i in at])
         ids = vocabulary.ids(letters, lengths)
-        alpha, beta = forward(ids, factors)[:, :, 0], backward(ids, factors, lengths)[:, :, 0]
-        each = times[at] / alpha[np.arange(len(at)), lengths]
-        for n, i in enumerate(ids, 1):
+        alpha, beta = forward(ids, factors), backward(ids, factors, lengths)
+        small = np.union1d(_small(alpha, lengths), _small(beta, lengths))
+        alpha, beta, many = alpha[:, :, 0], beta[:, :, 0], times[at].astype(float)
+        if len(small):
+            with np.errstate(divide="ignore"):
+                logs = np.log(factors)
+            some = {n: i[small] for n, i in ids.items()}
+            la, lb = log_forward(some, logs)[:, :, 0], log_backward(some, logs, lengths[small])[:, :, 0]
+            whole = la[np.arange(len(small)), lengths[small]][:, None]
+            for n, i in some.items():
+                use = np.exp(la[:, : i.shape[1]] + logs[i, 0] + lb[:, n : n + i.shape[1]] - whole) * many[small, None]
+                out += np.bincount(i.ravel(), use.ravel(), vocabulary.size + 1)
+            alpha[small], many[small] = 1, 0
+        each = many / alpha[np.arange(len(at)), lengths]
+        for n, i in ids.items():
             use = alpha[:, : i.shape[1]] * factors[i, 0] * beta[:, n : n + i.shape[1]] * each[:, None]
             out += np.bincount(i.ravel(), use.ravel(), vocabulary.size + 1)
     return out[:-1]

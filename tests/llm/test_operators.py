@@ -481,6 +481,43 @@ def test_expected_uses():
     assert (use * lengths).sum() == pytest.approx(2 * 4 + 3)
 
 
+def test_pieces_of_any_length():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=langid.vocabulary_path())
+    longest = max(len(sp.id_to_piece(i).replace("▁", " ").encode()) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
+    vocabulary = langid.Pieces.of(langid.vocabulary_path())
+    assert max(map(len, vocabulary.names)) == longest > 16
+    p = np.full((vocabulary.size, 1), 1e-12)
+    name = next(x for x in vocabulary.names if len(x) == longest)
+    p[vocabulary.names.index(name)] = 0.5
+    assert langid.log_probability([name], langid.scaled(p, vocabulary), vocabulary)[0, 0] == pytest.approx(math.log(0.5))
+
+
+def test_words_below_the_smallest_double():
+    vocabulary = langid.Pieces.of(langid.vocabulary_path())
+    p = np.full((vocabulary.size, 2), 1e-12)
+    p[vocabulary.names.index(b" the")] = [0.2, 0.01]
+    rare = b" the" + b"\xf5" * 60  # a byte that no piece holds
+    assert not any(b"\xf5" in x for x in vocabulary.names[256:])
+    factors = langid.scaled(p, vocabulary)
+    got = langid.log_probability([rare, b" the"], factors, vocabulary)
+    assert np.allclose(got[0] - 60 * math.log(1e-12), got[1], atol=1e-6)
+    use = langid.expected([rare, b" the"], np.array([2.0, 1.0]), factors[:, :1], vocabulary)
+    lengths = np.array([len(x) for x in vocabulary.names])
+    assert use[0xF5] == pytest.approx(120) and (use * lengths).sum() == pytest.approx(2 * 64 + 4)
+
+
+def test_unseen_characters_do_not_hide_a_language(spark):
+    rng = random.Random(10)
+    kinds = {"aa": "abcde", "bb": "vwxyz", "cc": "klmno"}
+    model = langid.fit(frame(spark, [(i, words(rng, 30, kinds[g]), g, "a") for i in range(60) for g in [list(kinds)[i % 3]]]))
+    run = "\U0001f600" * 40 + "\ua500" * 40
+    rows = [(900 + i, f"{words(rng, 15, kinds[g])} {run} {words(rng, 15, kinds[g])}", g, "a") for i, g in enumerate(kinds)]
+    got = {r["doc_id"]: r for r in langid.predict(model, frame(spark, rows), "p", "q").select("doc_id", "p", "q").collect()}
+    assert all(got[d]["p"] == g and 0.5 <= got[d]["q"] <= 1 for d, _, g, _ in rows)
+
+
 def test_language_identification(spark, odd_rows, none):
     rng = random.Random(9)
     kinds = {"aa": "abcde", "bb": "vwxyz", "cc": "klmno"}
