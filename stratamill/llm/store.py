@@ -16,17 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a default is set only where the session has none (tests)."""
+    """The shared folder; a default is set only where the session has none and runs on this machine alone, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", "stratamill")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Remove a table that stage() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    base = f"{shared_dir(spark)}/stratamill/"
+    for file in df.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if base.split(":")[-1].lstrip("/") in str(path):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back."""
     spark = df.sparkSession
@@ -43,6 +55,14 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as it takes to clash with no column (Spark tells no case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, batch: int = 1000) -> DataFrame:
     bound_batches(spark, batch)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,17 +16,17 @@ in unary, about 2 + log2(tokens / documents) bits a document. select(i) finds th
 i-th one bit of `high` from sampled positions.
 
 Defined results: null text is empty and gives the end id alone; repeated doc_ids
-are kept next to each other, ordered by text; rows with null doc_id come first;
-empty tables give no blocks; other input columns are not read. A text is encoded
-whole: it's cut only at ASCII white space, which this tokenizer drops, and each cut
-has the ids that it has in the whole text.
+are kept next to each other, ordered by text; rows with null doc_id come first, and
+are dealt out by the beginnings of their texts; empty tables give no blocks; other
+input columns are not read. A text is encoded whole: it's cut only at ASCII white
+space, which this tokenizer drops, and each cut has the ids that it has in the whole
+text.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +35,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import stage, table
+from stratamill.llm.words import SPACES, pieces, words
 
 END = 1
 #: A block is closed when it holds so many token ids.
 BLOCK_TOKENS = 1 << 20
-#: Words whose ids a worker remembers; what comes after them is encoded again in each piece.
-REMEMBERED = 1_400_000
+#: Words whose ids a worker remembers, some 50 bytes each; beyond that it starts anew.
+REMEMBERED = 1_000_000
+#: UTF-8 bytes of text in a partition.
+PARTITION = 64 << 20
+#: Characters of a text by which rows without a doc_id, or with the same one, are dealt to partitions.
+PREFIX = 32
 #: Words of Latin letters only, each of which is one unit to a tokenizer that splits at anything else.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: One position in so many is sampled for select().
@@ -104,11 +109,30 @@ class Bounds:
 _encoders: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
-    """Token ids (as bytes) of the white-space-separated words met so far."""
+class Buffer:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.size = np.zeros(1 << 12, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.size + len(x) > len(self.held):
+            grown = np.zeros(max(2 * len(self.held), self.size + len(x)), self.held.dtype)
+            grown[: self.size] = self.held[: self.size]
+            self.held = grown
+        self.held[self.size : self.size + len(x)] = x
+        self.size += len(x)
+
+
+def _places(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each stretch, one after the other."""
+    return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - begin, length)
+
+
+class WordIds:
+    """Token ids of the white-space-separated words met so far: in arrays, found by a hash and compared byte for byte."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -117,33 +141,78 @@ class WordIds(dict):
         #: Ids that end a word, for vocabularies that mark them.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        #: Sorted hashes and the words' numbers, in a large and a small level that is merged into it.
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.raw, self.raw_end = Buffer(np.uint8), Buffer(np.int64)
+        self.ids, self.ids_end = Buffer(self.dtype), Buffer(np.int64)
+        self.raw_end.add(np.zeros(1, np.int64))
+        self.ids_end.add(np.zeros(1, np.int64))
+        self.words = 0
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes], most: int) -> dict[bytes, bytes]:
-        """Encode the words that aren't known; return those that found no room."""
-        new = [w for w in words if w not in self]
-        out = self if len(self) + len(new) <= most else {}
+    def encode(self, found: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word; words of letters together, as the ids tell where one ends."""
+        out: list = [None] * len(found)
         plain, other = [], []
-        for w in new:
+        for i, w in enumerate(found):
             t = w.decode()
-            (plain if _LETTERS.fullmatch(t) else other).append((w, t))
-        for i in range(0, len(plain), 500):  # words of letters together, as the ids tell where one ends
-            some = plain[i : i + 500]
+            (plain if _LETTERS.fullmatch(t) else other).append((i, t))
+        for a in range(0, len(plain), 500):
+            some = plain[a : a + 500]
             ids = self._encode([" ".join(t for _, t in some)])[0]
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 other += some
                 continue
-            raw, begin = ids.tobytes(), 0
-            for (w, _), end in zip(some, ends.tolist(), strict=True):
-                out[w] = raw[begin:end]
+            begin = 0
+            for (i, _), end in zip(some, ends.tolist(), strict=True):
+                out[i] = ids[begin:end]
                 begin = end
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            out.update(zip((w for w, _ in some), (x.tobytes() for x in self._encode([t for _, t in some])), strict=True))
-        return {} if out is self else out
+        for a in range(0, len(other), 4096):
+            some = other[a : a + 4096]
+            for (i, _), ids in zip(some, self._encode([t for _, t in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, found: list[bytes]) -> np.ndarray:
+        """Numbers of the words, which are new and whose hashes are sorted."""
+        ids = self.encode(found)
+        number = np.arange(self.words, self.words + len(found), dtype=np.int32)
+        self.raw.add(np.frombuffer(b"".join(found), np.uint8))
+        self.raw_end.add(self.raw_end.held[self.words] + np.cumsum([len(w) for w in found]))
+        self.ids.add(np.concatenate(ids))
+        self.ids_end.add(self.ids_end.held[self.words] + np.cumsum([len(x) for x in ids]))
+        self.words += len(found)
+        self.levels[1] = _merged(self.levels[1], (hashes, number))
+        if len(self.levels[1][0]) > 1 << 16:
+            self.levels = [_merged(*self.levels), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        return number
+
+    def numbers(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray, most: int) -> np.ndarray:
+        """Number of each word; the hashes are sorted and different."""
+        if self.words + len(hashes) > most:
+            self.forget()
+        out = np.full(len(hashes), -1, np.int64)
+        for level, number in self.levels:
+            if len(level):
+                at = np.minimum(np.searchsorted(level, hashes), len(level) - 1)
+                out = np.where(level[at] == hashes, number[at], out)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            raw = data.tobytes()
+            out[new] = self._learn(hashes[new], [raw[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+        return out
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    h, number = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(h, kind="stable")
+    return h[order], number[order]
 
 
 def encoder(path: str) -> WordIds:
@@ -155,57 +224,91 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
+def encode_column(col: pa.Array, path: str, remembered: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many of each row) of a text column, cut at ASCII white space and nowhere else."""
+    held = encoder(path)
+    row, h, start, end, data = words(col, SPACES, exact=True)
+    if not len(row):
+        return np.zeros(0, held.dtype), np.zeros(len(col), np.int64)
+    distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+    number = held.numbers(distinct, start[first], end[first], data, REMEMBERED if remembered is None else remembered)
+    # every word against the remembered one of its hash
+    own, length = number[at], end - start
+    begin = held.raw_end.held[own]
+    known = held.raw_end.held[own + 1] - begin
+    same = known == length
+    if same.all() and (data[_places(start, length)] == held.raw.held[_places(begin, length)]).all():
+        begin = held.ids_end.held[own]
+        n = held.ids_end.held[own + 1] - begin
+        return held.ids.held[_places(begin, n)], np.bincount(row, n, len(col)).astype(np.int64)
+    raw = data.tobytes()  # two words of one hash: this piece word by word
+    every = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    kinds = sorted(set(every))
+    ids = dict(zip(kinds, held.encode(kinds), strict=True))
+    n = np.array([len(ids[w]) for w in every], np.int64)
+    return np.concatenate([ids[w] for w in every]), np.bincount(row, n, len(col)).astype(np.int64)
+
+
 def encode_texts(texts: list[bytes | None], path: str, remembered: int | None = None) -> tuple[list[bytes], np.dtype]:
-    """Ids of each UTF-8 text as little-endian bytes. bytes.split() cuts at ASCII white space and nowhere else."""
-    ids = encoder(path)
-    cut = [t.split() if t else [] for t in texts]
-    rest = ids.learn(set().union(*cut) if cut else set(), REMEMBERED if remembered is None else remembered)
-    find = ChainMap(ids, rest).__getitem__ if rest else ids.__getitem__
-    return [b"".join(map(find, ws)) for ws in cut], ids.dtype
+    """Ids of each UTF-8 text as little-endian bytes."""
+    ids, n = encode_column(pa.array(texts, pa.binary()), path, remembered)
+    ends = np.cumsum(n)
+    return [ids[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)], ids.dtype
+
+
+def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end id after each row's ids."""
+    out = np.full(len(ids) + len(lengths), end, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+    return out, lengths + 1
 
 
 def _blocks(path: str, end: int, block_tokens: int, remembered: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from stratamill.llm.words import pieces
-
         part, seq = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, bytes]] = []
-        size, width = 0, 2
+        docs, lengths, ids = [], [], []
 
         def closed():
-            lengths = np.array([len(b) // width for _, b in held], np.int64)
-            bits, low, high = encode_bounds(np.cumsum(lengths))
-            docs = [d for d, _ in held if d is not None]
-            deltas = np.diff(np.array(docs, "<i8"), prepend=0).astype("<i8").tobytes()
-            row = (part, seq, len(held), int(lengths.sum()), width, bits, deltas, len(held) - len(docs), b"".join(b for _, b in held), low, high)
+            n, every = np.concatenate(lengths), np.concatenate(ids)
+            bits, low, high = encode_bounds(np.cumsum(n))
+            named = pa.chunked_array(docs).combine_chunks().drop_null().to_numpy(zero_copy_only=False)
+            deltas = np.diff(named.astype("<i8"), prepend=0).astype("<i8").tobytes()
+            row = (part, seq, len(n), len(every), every.dtype.itemsize, bits, deltas, len(n) - len(named), every.tobytes(), low, high)
             names = [c.split()[0] for c in BLOCK.split(", ")]
             kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
             return pa.record_batch([pa.array([v], kinds[c.split()[1]]) for v, c in zip(row, BLOCK.split(", "), strict=True)], names=names)
 
-        for batch in pieces(batches, 8 << 20):
-            encoded, dtype = encode_texts(batch.column("text").cast(pa.binary()).to_pylist(), path, remembered)
-            width = dtype.itemsize
-            stop = np.array([end], dtype).tobytes()
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                held.append((doc, ids + stop))
-                size += len(ids) // width + 1
-                if size >= block_tokens:
+        for batch in pieces(batches):
+            found, n = with_end(*encode_column(batch.column("text"), path, remembered), end)
+            doc, taken, at = batch.column("doc_id"), 0, np.cumsum(n)
+            # a block ends with the document that fills it
+            while taken < len(n):
+                held = sum(map(len, ids))
+                before = int(at[taken - 1]) if taken else 0
+                last = min(len(n), int(np.searchsorted(at, before + max(1, block_tokens - held))) + 1)
+                docs.append(doc.slice(taken, last - taken))
+                lengths.append(n[taken:last])
+                ids.append(found[before : int(at[last - 1])])
+                taken = last
+                if held + len(ids[-1]) >= block_tokens:
                     yield closed()
-                    held, size, seq = [], 0, seq + 1
-        if held:
+                    docs, lengths, ids, seq = [], [], [], seq + 1
+        if lengths:
             yield closed()
 
     return run
 
 
 def encode(docs: DataFrame, path: str, end: int = END, block_tokens: int = BLOCK_TOKENS, partitions: int | None = None, remembered: int | None = None) -> DataFrame:
-    """Blocks of docs (doc_id, text) in doc_id order, not yet written."""
+    """Blocks of docs (doc_id, text) in doc_id order, not yet written. There are as many partitions as the texts fill."""
     rows = docs.select("doc_id", "text")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_blocks(path, end, block_tokens, remembered), BLOCK)
+    if partitions is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
+    dealt = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PREFIX).asc_nulls_first())
+    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(_blocks(path, end, block_tokens, remembered), BLOCK)
 
 
 def write(docs: DataFrame, path: str, out: str, **how) -> None:
@@ -252,7 +355,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op3_token_ids(spark, sf_dir):
-    return token_ids(table(spark, sf_dir, "documents", 10_000))
+    return token_ids(table(spark, sf_dir, "documents"))
 
 
 def token_ids(docs: DataFrame, **how) -> DataFrame:

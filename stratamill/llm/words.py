@@ -37,7 +37,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))[_LOWER]
+_EXACT = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_BYTE = _EXACT[_LOWER]
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -94,8 +95,8 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE, by: str = "text
     give_back()
 
 
-def words(col: pa.Array, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, start, end, bytes): the words of every row in order; `apart` says which bytes separate. A-Z count as a-z."""
+def words(col: pa.Array, apart: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start, end, bytes): the words of every row in order; `apart` says which bytes separate. A-Z count as a-z, unless `exact`."""
     data, at = buffers(col)
     low = int(at[0])
     data, at = data[low : int(at[-1])], at - low
@@ -118,5 +119,5 @@ def words(col: pa.Array, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     power, inverse = _power(n + 1)
     total = np.empty(n + 1, _U)
     total[0] = 0
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    np.cumsum((_EXACT if exact else _BYTE)[data] * power[:n], out=total[1:])
     return row, mix64((total[end] - total[start]) * inverse[start]), start, end, data
