@@ -7,20 +7,28 @@ the driver gets one terms x rank matrix, from which the randomised (Nystrom) for
 the decomposition gives the leading right singular vectors of A. Document frequencies
 come from all passages, too.
 
-In the search every window of a text, as long as the items of its class, is projected
-and compared by cosine with the items of that class; a window steps on by a quarter of
-its length, so that any copy of an item is covered but for an eighth. Windows at or
-above the cosine bound are candidates. Their longest common subsequence with the item
-decides: NEAR of the item's words, or LOOSE of them if the item's answer (its last
-sentence) stands there word for word. A candidate whose bag of words can't reach that
-is passed over first. A document goes by its own words: no shuffle, no pair tables.
-
-Items are taken in blocks, so that what executors hold is bounded.
+In the search an inverted index of the items' rarest words says which windows of a
+text are to be compared with which item: a window is as long as its item, whatever
+that length, and lies so that the rare word stands where the item has it. Windows
+whose cosine with the item in the space of the singular vectors reaches the bound are
+candidates. Their longest common subsequence with the item, in a span of twice the
+item's length, decides: NEAR of the item's words, or LOOSE of them if the item's answer
+(its last sentence) stands there word for word. A candidate whose bag of words can't
+reach that is passed over first. A document goes by its own words: no shuffle, no pair
+tables.
+
+The index loses nothing that the last step would keep. NEAR leaves out a fifth of an
+item's words at most, so that of its rarest words, as many as fill a little more than a
+fifth of it, one is there; LOOSE asks for the whole answer, so its rarest word is there.
+
+Items go to the executors in blocks of ITEM_WORDS words (about 60 bytes each); a
+benchmark beyond one block is searched for in further passes.
 
 Defined results: null or empty text matches nothing; items without words match
-nothing, items of fewer than SHORT words only as a whole; a text shorter than a window
-is one window; repeated rows and items each count; empty tables give empty results;
-texts are read whole; input columns pass through and none is looked at but text.
+nothing, items of fewer than SHORT words only as a whole; a window ends where its text
+ends; repeated rows and items each count; empty tables give empty results; texts are
+read whole; input columns pass through, whatever their names, and none is looked at
+but text.
 """
 
 from __future__ import annotations
@@ -34,21 +42,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm.store import table
+from stratamill.llm.store import free_name, table
 from stratamill.llm.words import MARKS, lowered, pieces, words
 
 #: Hashed terms; leading singular vectors passed over (what all passages of a language have in common), vectors kept, columns drawn beyond them.
 TERMS, COMMON, RANK, EXTRA = 1 << 15, 4, 40, 4
 #: Words of a passage when frequencies and singular vectors are learnt.
 PASSAGE = 32
-COSINE = 0.6
+COSINE = 0.5
 NEAR, LOOSE = 0.8, 0.5
 SHORT = 8
-#: Texts are cut in blocks of so many words; a window is four times so many blocks, and an item belongs to the window nearest its own length, as a ratio.
-CUT = 4
-STEPS = (1, 2, 3, 5, 8, 12, 18, 27, 40)
-#: Items that are searched for at once.
-ITEMS = 4096
+#: Words of the items that are searched for at once.
+ITEM_WORDS = 1 << 20
+#: Windows of an item that start within an eighth of its length of each other are one.
+GRID = 8
+#: Words that are looked at together.
+TOGETHER = 1 << 17
 #: Terms summed together, and partial sums added in the first step.
 PART, FIRST = 512, 64
 
@@ -86,6 +95,30 @@ def _frequencies(terms: int, size: int):
     return run
 
 
+def row_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of the table's rows at[i] for each i, column by column, which is much faster than reduceat."""
+    out = table[at[:, 0]]
+    for j in range(1, at.shape[1]):
+        out += table[at[:, j]]
+    return out
+
+
+def add_by_term(total: np.ndarray, t: np.ndarray, y: np.ndarray, p: np.ndarray) -> None:
+    """total[t] += y[p] for words with term t in passage p: frequent terms one by one, all others an occurrence a round."""
+    order = np.argsort(t.astype(np.uint16), kind="stable")
+    ts, p = t[order], p[order]
+    begin = np.flatnonzero(np.diff(ts, prepend=-1))
+    count = np.diff(np.append(begin, len(ts)))
+    often = count > 16
+    for k, a, n in zip(ts[begin[often]].tolist(), begin[often].tolist(), count[often].tolist(), strict=True):
+        total[k] += y[p[a : a + n]].sum(0)
+    begin, count = begin[~often], count[~often]
+    while len(begin):
+        total[ts[begin]] += y[p[begin]]
+        more = count > 1
+        begin, count = begin[more] + 1, count[more] - 1
+
+
 def _products(shared, terms: int, size: int):
     """A'(A W) over a task's passages, in parts of PART terms."""
 
@@ -93,7 +126,8 @@ def _products(shared, terms: int, size: int):
         from pyspark import TaskContext
 
         idf, drawn = shared.value
-        drawn = drawn * idf[:, None]
+        drawn = np.vstack([drawn * idf[:, None], np.zeros((1, drawn.shape[1]), np.float32)])
+        squares = np.append(idf**2, np.float32(0))[:, None]
         total = np.zeros((terms, drawn.shape[1]), np.float32)
         for batch in pieces(batches, 1 << 20):
             row, h, *_ = words(lowered(batch.column("text")), MARKS)
@@ -101,13 +135,11 @@ def _products(shared, terms: int, size: int):
                 continue
             p, t = _passages(row, size), term(h, terms)
             first = np.flatnonzero(np.diff(p, prepend=-1))
-            y = np.add.reduceat(drawn[t], first)
+            padded = np.full((len(first), size), terms)
+            padded[p, np.arange(len(t)) - first[p]] = t
             # passages are scaled to the length that they'd have without repeated words
-            y /= np.maximum(np.add.reduceat(idf[t] ** 2, first), 1e-12)[:, None]
-            order = np.argsort(t.astype(np.uint16), kind="stable")
-            ts = t[order]
-            begin = np.flatnonzero(np.diff(ts, prepend=-1))
-            total[ts[begin]] += np.add.reduceat(y[p[order]], begin)
+            y = row_sums(drawn, padded) / np.maximum(row_sums(squares, padded), 1e-12)
+            add_by_term(total, t, y, p)
         total *= idf[:, None]
         task = TaskContext.get().partitionId()
         for i in range(0, terms, PART):
@@ -180,7 +212,7 @@ def fit(docs: DataFrame, terms: int = TERMS, rank: int = RANK, size: int = PASSA
 
 
 class Items:
-    """A block of items by window length, with all that verification needs."""
+    """A block of items, with an index of their rarest words and all that verification needs."""
 
     def __init__(self, ids: list, texts: list[str], space: Space):
         self.ids, self.words, self.answers = [], [], []
@@ -192,20 +224,38 @@ class Items:
                 self.ids.append(i)
                 self.words.append(h)
                 self.answers.append(sentences[-1] if len(sentences) > 1 and len(sentences[-1]) >= 3 else h[-min(5, len(h)) :])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, _U)
-        table = space.table()
-        #: by blocks that a window steps on: items, their vectors, and which words are theirs and their answers', and how many
-        self.by_step: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for step in STEPS:
-            own = [k for k, w in enumerate(self.words) if step == min(STEPS, key=lambda x: abs(np.log(4 * CUT * x / len(w))))]
-            if own:
-                vectors = np.array([table[term(self.words[k], len(space.idf))].sum(0) for k in own])
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-                holds = np.zeros((2, len(own), len(self.vocabulary) + 1), bool)
-                for j, k in enumerate(own):
-                    holds[0, j, np.searchsorted(self.vocabulary, self.words[k])] = True
-                    holds[1, j, np.searchsorted(self.vocabulary, self.answers[k])] = True
-                self.by_step[step] = (np.array(own), vectors, holds, holds.sum(2))
+        table, kinds = space.table(), len(self.vocabulary)
+        self.vectors = np.array([table[term(w, len(space.idf))].sum(0) for w in self.words]).reshape(len(self.words), table.shape[1])
+        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
+        codes = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        answers = [np.unique(np.searchsorted(self.vocabulary, a)) for a in self.answers]
+        distinct = [np.unique(c) for c in codes]
+        #: item x kinds + word, sorted, for all words of each item and for those of its answer
+        self.holds, self.holds_answer = (np.concatenate([np.zeros(0, np.int64), *(k * kinds + c for k, c in enumerate(x))]) for x in (distinct, answers))
+        self.distinct, self.distinct_answer = (np.array([len(c) for c in x], np.int64) for x in (distinct, answers))
+        rarity = space.idf[term(self.vocabulary, len(space.idf))]
+        entries = [_anchors(c, a, rarity, k) for k, (c, a) in enumerate(zip(codes, answers, strict=True))]
+        word, item, place = np.concatenate([np.zeros((3, 0), np.int64), *entries], axis=1)
+        order = np.lexsort((place, item, word))
+        word, self.item, self.place = word[order], item[order], place[order]
+        at = np.flatnonzero(np.diff(word, prepend=-1))
+        #: the rare words' hashes, and where the entries of each begin
+        self.anchors, self.begin = self.vocabulary[word[at]], np.append(at, len(word))
+
+
+def _anchors(codes: np.ndarray, answer: np.ndarray, rarity: np.ndarray, item: int) -> np.ndarray:
+    """(word, item, place) of the item's rarest words: without all of them no text can hold it."""
+    kinds, times = np.unique(codes, return_counts=True)
+    order = np.lexsort((kinds, -rarity[kinds]))
+    missing = len(codes) - int(np.ceil(NEAR * len(codes) - 1e-9)) if len(codes) >= SHORT else 0
+    enough = int(np.searchsorted(np.cumsum(times[order]), missing, "right")) + 1
+    chosen = kinds[order[:enough]]
+    if len(codes) >= SHORT:
+        chosen = np.append(chosen, answer[np.argmax(rarity[answer])])
+    place = np.flatnonzero(np.isin(codes, chosen))
+    return np.stack([codes[place], np.full(len(place), item), place])
 
 
 def _sentences(text: str) -> list[str]:
@@ -244,111 +294,126 @@ def verify(item: np.ndarray, answer: np.ndarray, span: np.ndarray) -> tuple[int,
     return (n, there) if n >= NEAR * len(item) or there else None
 
 
+def _flat(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place): the places start, start + 1, ... of each stretch."""
+    owner = np.repeat(np.arange(len(start)), length)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length) + start[owner]
+
+
+def _chunks(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose sizes add up to about `most`, or that hold one."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def _windows(items: Items, h: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, item, start) of the windows in which a rare word of the item stands at its place; `text` is an index of first and stop."""
+    at = np.minimum(np.searchsorted(items.anchors, h), len(items.anchors) - 1)
+    hit = np.flatnonzero(items.anchors[at] == h)
+    which = at[hit]
+    count = items.begin[which + 1] - items.begin[which]
+    text_of = np.searchsorted(first, hit, "right") - 1
+    for part in _chunks(count, TOGETHER * 4):
+        own, entry = _flat(items.begin[which[part]], count[part])
+        k, text, place = items.item[entry], text_of[part][own], hit[part][own]
+        size = items.sizes[k]
+        long = stop[text] - first[text] >= np.where(size < SHORT, size, LOOSE * size)
+        k, text, size = k[long], text[long], size[long]
+        grid = np.maximum(1, size // GRID)
+        cell = (place[long] - items.place[entry[long]] - first[text] + size) // grid
+        if len(cell):
+            key = (k * len(first) + text) * (int(cell.max()) + 1) + cell
+            _, one = np.unique(key, return_index=True)
+            yield text[one], k[one], cell[one] * grid[one] - size[one] + first[text[one]]
+
+
+def cosines(table: np.ndarray, terms: np.ndarray, lo: np.ndarray, hi: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosine of each stretch of terms with its vector. table has a last row of zeros."""
+    out, size = np.zeros(len(lo)), hi - lo
+    order = np.argsort(size, kind="stable")
+    for part in _chunks(size[order], TOGETHER):
+        at = order[part]
+        if size[at].max() > 512:
+            y = np.array([table[terms[a:b]].sum(0) for a, b in zip(lo[at], hi[at], strict=True)])
+        else:
+            place = lo[at][:, None] + np.arange(max(1, int(size[at].max())))
+            y = row_sums(table, np.where(place < hi[at][:, None], terms[np.minimum(place, len(terms) - 1)], len(table) - 1))
+        out[at] = (y * vectors[at]).sum(1) / np.maximum(np.linalg.norm(y, axis=1), 1e-12)
+    return out
+
+
+def _held(pairs: np.ndarray, asked: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """How many different ones of `asked`, by owner, are among the sorted pairs."""
+    if not len(pairs):
+        return np.zeros(count, np.int64)
+    at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+    ok = pairs[at] == asked
+    return np.bincount(np.unique(owner[ok] * len(pairs) + at[ok]) // len(pairs), minlength=count)
+
+
+def _possible(items: Items, h: np.ndarray, k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether the words of each span, in whatever order, are enough for its item."""
+    out, kinds = np.zeros(len(k), bool), len(items.vocabulary)
+    for part in _chunks(hi - lo, TOGETHER * 4):
+        kp = k[part]
+        own, place = _flat(lo[part], (hi - lo)[part])
+        at = np.minimum(np.searchsorted(items.vocabulary, h[place]), kinds - 1)
+        known = items.vocabulary[at] == h[place]
+        asked, own = kp[own[known]] * kinds + at[known], own[known]
+        size = items.sizes[kp]
+        most = _held(items.holds, asked, own, len(kp)) + size - items.distinct[kp]
+        answered = _held(items.holds_answer, asked, own, len(kp)) == items.distinct_answer[kp]
+        out[part] = (most >= NEAR * size) | answered & (most >= LOOSE * size)
+    return out
+
+
+def find(table: np.ndarray, items: Items, terms: int, cosine: float, count: int, row: np.ndarray, h: np.ndarray) -> list[dict[int, tuple]]:
+    """For each of `count` texts the items it holds: item -> (common words, answer stands, cosine)."""
+    found: list[dict[int, tuple]] = [{} for _ in range(count)]
+    if not len(row) or not len(items.words):
+        return found
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    stop = np.append(first[1:], len(row))
+    t = term(h, terms)
+    for text, k, start in _windows(items, h, row, first, stop):
+        size = items.sizes[k]
+        lo, hi = np.clip(start, first[text], stop[text]), np.clip(start + size, first[text], stop[text])
+        like = cosines(table, t, lo, hi, items.vectors[k])
+        near = np.flatnonzero(like >= cosine)
+        text, k, start, size, like = text[near], k[near], start[near], size[near], like[near]
+        lo, hi = np.maximum(start - size // 2, first[text]), np.minimum(start + size + size // 2, stop[text])
+        for j in np.flatnonzero(_possible(items, h, k, lo, hi)).tolist():
+            i, held = int(k[j]), found[row[first[text[j]]]]
+            if held.get(i, (0,))[0] == size[j]:
+                continue
+            got = verify(items.words[i], items.answers[i], h[lo[j] : hi[j]])
+            if got and got[0] > held.get(i, (0,))[0]:
+                held[i] = (*got, float(like[j]))
+    return found
+
+
 def _search(shared, terms: int, cosine: float, named: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, items = shared.value
-        for batch in pieces(batches, 1 << 18):
-            count = batch.num_rows
-            found: list[dict[int, tuple]] = [{} for _ in range(count)]
+        kind = pa.list_(pa.struct({"item_id": pa.int64(), "item_words": pa.int64(), "common": pa.int64(), "answer": pa.bool_(), "cosine": pa.float64()}))
+        for batch in pieces(batches):
             row, h, *_ = words(lowered(batch.column("text")), MARKS)
-            if len(row) and len(items.words):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                stop = np.append(first[1:], len(row))
-                blocks = Blocks(first, stop, term(h, terms), table)
-                at = np.minimum(np.searchsorted(items.vocabulary, h), len(items.vocabulary) - 1)
-                none = len(items.vocabulary)
-                code = np.where(items.vocabulary[at] == h, at, none).astype(np.int16 if none < 1 << 15 else np.int32)
-                sizes = np.array([len(x) for x in items.words])
-                for step, (own, vectors, holds, whole) in items.by_step.items():
-                    length = 4 * step * CUT
-                    for start, end, x in blocks.windows(step):
-                        like = x @ vectors.T
-                        w, k = np.nonzero(like >= cosine)
-                        if not len(w):
-                            continue
-                        lo = np.maximum(first[np.searchsorted(first, start[w], "right") - 1], start[w] - length // 2)
-                        hi = np.minimum(stop[np.searchsorted(stop, start[w], "right")], end[w] + length // 2)
-                        near = np.arange(2 * length, dtype=np.int32) + lo.astype(np.int32)[:, None]
-                        span = code[np.minimum(near, len(code) - 1)]
-                        span[near >= hi[:, None]] = none
-                        # words of the item in the span, repeated ones counted again: a bound that needs no sorting
-                        enough = np.flatnonzero(np.count_nonzero(holds[0][k[:, None], span], axis=1) + sizes[own[k]] - whole[0, k] >= LOOSE * sizes[own[k]])
-                        k, lo, hi, w, span = k[enough], lo[enough], hi[enough], w[enough], span[enough]
-                        # the span's words once each: how many of the item's and of its answer's are there?
-                        span.sort(axis=1)
-                        span[:, 1:][span[:, 1:] == span[:, :-1]] = none
-                        item = own[k]
-                        most = np.count_nonzero(holds[0][k[:, None], span], axis=1) + sizes[item] - whole[0, k]
-                        answered = np.count_nonzero(holds[1][k[:, None], span], axis=1) == whole[1, k]
-                        for j in np.flatnonzero((most >= NEAR * sizes[item]) | answered & (most >= LOOSE * sizes[item])):
-                            i, text = item[j], row[start[w[j]]]
-                            if found[text].get(i, (0,))[0] == sizes[i]:
-                                continue
-                            got = verify(items.words[i], items.answers[i], h[lo[j] : hi[j]])
-                            if got and got[0] > found[text].get(i, (0,))[0]:
-                                found[text][i] = (*got, float(like[w[j], k[j]]))
+            found = find(table, items, terms, cosine, batch.num_rows, row, h)
             lists = [[{"item_id": items.ids[i], "item_words": len(items.words[i]), "common": n, "answer": a, "cosine": c} for i, (n, a, c) in sorted(f.items())] for f in found]
-            kind = pa.list_(pa.struct({"item_id": pa.int64(), "item_words": pa.int64(), "common": pa.int64(), "answer": pa.bool_(), "cosine": pa.float64()}))
             yield pa.record_batch([*batch.columns, pa.array(lists, kind)], names=[*batch.schema.names, named])
 
     return run
 
 
-class Blocks:
-    """Coordinates of the blocks of some texts, each text followed by empty blocks, so that no window reaches into the next one."""
-
-    def __init__(self, first: np.ndarray, stop: np.ndarray, terms: np.ndarray, table: np.ndarray):
-        """table: a row for each term, and a last one of zeros."""
-        self.first, self.stop = first, stop
-        self.count = -(-(stop - first) // CUT)
-        self.room = 4 * STEPS[-1]
-        held = self.count + np.minimum(self.room, 4 * np.maximum(1, self.count))
-        self.begin = np.cumsum(held) - held
-        place = np.full(int(held.sum()) * CUT, len(table) - 1)
-        rank = np.arange(len(terms)) - np.repeat(first, stop - first)
-        place[np.repeat(self.begin * CUT, stop - first) + rank] = terms
-        place = place.reshape(-1, CUT)
-        self.sums = table[place[:, 0]]
-        for i in range(1, CUT):
-            self.sums += table[place[:, i]]
-        self._held = {1: self.sums}
-
-    def _wide(self, power: int) -> np.ndarray:
-        """Sums of so many (a power of two) blocks that follow each other."""
-        if power not in self._held:
-            half = self._wide(power // 2)
-            self._held[power] = np.vstack([half[: -(power // 2)] + half[power // 2 :], half[-(power // 2) :]])
-        return self._held[power]
-
-    def windows(self, step: int, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(start, end, unit vector) of all windows of 4 x step blocks, some thousand at a time.
-
-        A window begins at every step-th block as long as it isn't mostly empty: the
-        last one of a text may reach over its end by less than a step.
-        """
-        n = np.maximum(1, -(-self.count // step) - 3)
-        text = np.repeat(np.arange(len(n)), n)
-        rank = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
-        at = self.begin[text] + rank
-        # 4 x step as a sum of powers of two
-        total, size, power = None, 0, 1
-        while size < 4 * step:
-            if 4 * step & power:
-                moved = self._wide(power)[np.minimum(at + size, len(self.sums) - 1)]
-                total, size = moved if total is None else total + moved, size + power
-            power *= 2
-        start = self.first[text] + rank * CUT
-        end = np.minimum(start + 4 * step * CUT, self.stop[text])
-        total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
-        for a in range(0, len(at), most):
-            yield start[a : a + most], end[a : a + most], total[a : a + most]
-
-
 LEAKS = "array<struct<item_id:bigint,item_words:bigint,common:bigint,answer:boolean,cosine:double>>"
 
 
-def search(docs: DataFrame, benchmark: DataFrame, space: Space, cosine: float = COSINE, block: int = ITEMS, out: str = "leaks") -> DataFrame:
-    """docs (with a column text) and `out`: the items of benchmark (item_id, text) that each text holds."""
+def search(docs: DataFrame, benchmark: DataFrame, space: Space, cosine: float = COSINE, block: int = ITEM_WORDS, out: str = "leaks") -> DataFrame:
+    """docs (with a column text) and `out`: the items of benchmark (item_id, text) that each text holds. `out` replaces a column of its name."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == out.lower()))
     spark, table_, held = docs.sparkSession, space.table(), []
     found = docs
 
@@ -356,19 +421,20 @@ def search(docs: DataFrame, benchmark: DataFrame, space: Space, cosine: float =
         nonlocal found
         shared = spark.sparkContext.broadcast((table_, Items(ids, texts, space)))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-        held.append(f"_leaks_{len(held)}_{out}")
+        held.append(free_name(f"_leaks_{len(held)}", found.columns))
         found = found.mapInArrow(_search(shared, len(space.idf), cosine, held[-1]), f"{fields}, `{held[-1]}` {LEAKS}")
 
-    ids, texts = [], []
+    ids, texts, size = [], [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
-        if len(ids) == block:
+        size += len((r["text"] or "").split())
+        if size >= block:
             one_block(ids, texts)
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
     if ids or not held:
         one_block(ids, texts)
-    return found.select(*docs.columns, F.concat(*held).alias(out))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.concat(*(F.col(f"`{c}`") for c in held)).alias(out))
 
 
 def op9_decontaminate(spark, sf_dir):
@@ -379,5 +445,6 @@ def op9_decontaminate(spark, sf_dir):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
-    found = search(docs, benchmark, fit(docs), out="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = free_name("_leaks", docs.columns)
+    found = search(docs, benchmark, fit(docs), out=leaks)
+    return found.where(F.size(leaks) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
