@@ -11,14 +11,15 @@ each piece is used. Texts to learn from are a bounded sample: about `per_languag
 of each language, chosen by a hash of doc_id. The tables are pieces x languages.
 
 Words are runs of letters and non-ASCII bytes, lower-cased, with a blank before
-them that stands for the vocabulary's word mark. Words longer than LONGEST bytes are
-cut there, and no piece crosses such a cut. Any byte can stand alone.
-
-Columns pass through. Defined results: `und` with score 0 where text is null, empty or without a letter, or
-where there was nothing to learn from; ties go to the smallest language in code point
-order; a null doc_id is kept; repeated rows each get a row; an empty table gives an
-empty result; texts are read whole; an input column with the name of a result is to be avoided by
-naming the results otherwise.
+them that stands for the vocabulary's word mark; words and pieces have any length. Any
+byte can stand alone. Sums of words over LONG bytes, and of those that a double can't
+hold, are done in logarithms.
+
+Columns pass through. Defined results: `und` with score 0 where text is null, empty or
+without a letter, or where there was nothing to learn from; ties go to the smallest
+language in code point order; a null doc_id is kept; repeated rows each get a row; an
+empty table gives an empty result; texts are read whole; an input column with the name
+of a result is replaced by the result.
 """
 
 from __future__ import annotations
@@ -30,21 +31,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm.store import stage, table
+from stratamill.llm.store import free_name, stage, table
 from stratamill.llm.words import MARKS, pieces, words
 
 UNKNOWN = "und"
 PER_LANGUAGE = 2000
 ROUNDS = 3
-LONGEST = 64
-#: Each byte's factor, which keeps most words' products within doubles. Words with a sum below SMALL are done in logarithms.
+#: Each byte's factor, which keeps most words' products within doubles. Words with a sum below SMALL, and those longer than LONG bytes, are done in logarithms.
 SCALE = 1000.0
-SMALL = 1e-280
+SMALL, LONG = 1e-280, 64
 #: Weight of the pooled distribution in each language's, in expected pieces.
 POOLED = 50.0
 #: Words whose probabilities a worker remembers.
 REMEMBERED = 250_000
-GROUP = 2048
+#: Bytes of words whose sums are made together; a longer word is alone.
+TOGETHER = 1 << 15
 
 LETTERS = MARKS.copy()
 LETTERS[48:58] = True
@@ -168,20 +169,36 @@ def scaled(probability: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     return np.vstack([probability * SCALE ** lengths[:, None], np.zeros((1, probability.shape[1]))])
 
 
+def _groups(found: list[bytes]) -> Iterator[tuple[list[int], bool]]:
+    """(words of about one length, whether they are long), by their numbers."""
+    order = sorted(range(len(found)), key=lambda i: len(found[i]))
+    a = 0
+    while a < len(order):
+        long = len(found[order[a]]) > LONG
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * len(found[order[b]]) <= TOGETHER and (len(found[order[b]]) > LONG) == long:
+            b += 1
+        yield order[a:b], long
+        a = b
+
+
 def log_probability(found: list[bytes], factors: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """ln P(word) in each language, summed over all segmentations."""
     out = np.empty((len(found), factors.shape[1]))
-    order = sorted(range(len(found)), key=lambda i: len(found[i]))
-    for a in range(0, len(order), GROUP):
-        at = order[a : a + GROUP]
+    with np.errstate(divide="ignore"):
+        logged = np.log(factors)
+    for at, long in _groups(found):
         letters, lengths = _matrix([found[i] for i in at])
         ids = vocabulary.ids(letters, lengths)
-        alpha = forward(ids, factors)
-        small = _small(alpha, lengths)
-        with np.errstate(divide="ignore"):
-            logs = np.log(alpha[np.arange(len(at)), lengths])
-            if len(small):
-                logs[small] = log_forward({n: i[small] for n, i in ids.items()}, np.log(factors))[np.arange(len(small)), lengths[small]]
+        if long:
+            small, logs = np.arange(len(at)), np.empty((len(at), factors.shape[1]))
+        else:
+            alpha = forward(ids, factors)
+            small = _small(alpha, lengths)
+            with np.errstate(divide="ignore"):
+                logs = np.log(alpha[np.arange(len(at)), lengths])
+        if len(small):
+            logs[small] = log_forward({n: i[small] for n, i in ids.items()}, logged)[np.arange(len(small)), lengths[small]]
         out[at] = logs - lengths[:, None] * np.log(SCALE)
     return out
 
@@ -189,34 +206,35 @@ def log_probability(found: list[bytes], factors: np.ndarray, vocabulary: Pieces)
 def expected(found: list[bytes], times: np.ndarray, factors: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """Expected uses of each piece in `times` occurrences of the words; factors: one language."""
     out = np.zeros(vocabulary.size + 1)
-    order = sorted(range(len(found)), key=lambda i: len(found[i]))
-    for a in range(0, len(order), GROUP):
-        at = order[a : a + GROUP]
+    with np.errstate(divide="ignore"):
+        logs = np.log(factors)
+    for at, long in _groups(found):
         letters, lengths = _matrix([found[i] for i in at])
-        ids = vocabulary.ids(letters, lengths)
-        alpha, beta = forward(ids, factors), backward(ids, factors, lengths)
-        small = np.union1d(_small(alpha, lengths), _small(beta, lengths))
-        alpha, beta, many = alpha[:, :, 0], beta[:, :, 0], times[at].astype(float)
+        ids, many = vocabulary.ids(letters, lengths), times[at].astype(float)
+        if long:
+            small = np.arange(len(at))
+        else:
+            alpha, beta = forward(ids, factors), backward(ids, factors, lengths)
+            small = np.union1d(_small(alpha, lengths), _small(beta, lengths))
+            alpha, beta = alpha[:, :, 0], beta[:, :, 0]
         if len(small):
-            with np.errstate(divide="ignore"):
-                logs = np.log(factors)
             some = {n: i[small] for n, i in ids.items()}
             la, lb = log_forward(some, logs)[:, :, 0], log_backward(some, logs, lengths[small])[:, :, 0]
             whole = la[np.arange(len(small)), lengths[small]][:, None]
             for n, i in some.items():
                 use = np.exp(la[:, : i.shape[1]] + logs[i, 0] + lb[:, n : n + i.shape[1]] - whole) * many[small, None]
                 out += np.bincount(i.ravel(), use.ravel(), vocabulary.size + 1)
+        if not long:
             alpha[small], many[small] = 1, 0
-        each = many / alpha[np.arange(len(at)), lengths]
-        for n, i in ids.items():
-            use = alpha[:, : i.shape[1]] * factors[i, 0] * beta[:, n : n + i.shape[1]] * each[:, None]
-            out += np.bincount(i.ravel(), use.ravel(), vocabulary.size + 1)
+            each = many / alpha[np.arange(len(at)), lengths]
+            for n, i in ids.items():
+                use = alpha[:, : i.shape[1]] * factors[i, 0] * beta[:, n : n + i.shape[1]] * each[:, None]
+                out += np.bincount(i.ravel(), use.ravel(), vocabulary.size + 1)
     return out[:-1]
 
 
-def _cut(word: bytes) -> list[bytes]:
-    word = b" " + word.decode("utf-8", "replace").lower().encode()
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def _spelled(word: bytes) -> bytes:
+    return b" " + word.decode("utf-8", "replace").lower().encode()
 
 
 # ---- Learning ----------------------------------------------------------------
@@ -231,9 +249,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, code = np.unique(np.array(langs, object).astype(str), return_inverse=True)
         key, first, n = np.unique(h ^ (code[row].astype(_U) * _RADIX), return_index=True, return_counts=True)
         for f, k in zip(first.tolist(), n.tolist(), strict=True):
-            for w in _cut(raw[start[f] : end[f]]):
-                at = (str(names[code[row[f]]]), w)
-                counts[at] = counts.get(at, 0) + k
+            at = (str(names[code[row[f]]]), _spelled(raw[start[f] : end[f]]))
+            counts[at] = counts.get(at, 0) + k
         yield pa.record_batch({"lang": pa.array([a for a, _ in counts], pa.string()), "word": pa.array([w for _, w in counts], pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
@@ -293,7 +310,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS,
 # ---- Prediction --------------------------------------------------------------
 
 
-def _predict(shared, path: str, names_of: tuple[str, str]):
+def _predict(shared, path: str, lettered_as: str, names_of: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probability = shared.value
         vocabulary = Pieces.of(path)
@@ -311,9 +328,7 @@ def _predict(shared, path: str, names_of: tuple[str, str]):
                 keys = distinct.tolist()
                 new = [i for i, k in enumerate(keys) if k not in known]
                 if new:
-                    parts = [_cut(raw[start[f] : end[f]]) for f in first[new].tolist()]
-                    each = log_probability([w for p in parts for w in p], factors, vocabulary)
-                    each = np.add.reduceat(each, np.cumsum([0, *map(len, parts)])[:-1])
+                    each = log_probability([_spelled(raw[start[f] : end[f]]) for f in first[new].tolist()], factors, vocabulary)
                     if len(known) + len(new) > len(values):
                         values = np.vstack([values, np.zeros((len(known) + len(new), len(languages)))])
                     values[len(known) : len(known) + len(new)] = each
@@ -323,10 +338,10 @@ def _predict(shared, path: str, names_of: tuple[str, str]):
                 total[row[full]] = np.add.reduceat(values[slots[at]], full)
             best = total.argmax(1)
             score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            lettered = batch.column("_lettered").to_numpy(zero_copy_only=False)
+            lettered = batch.column(batch.schema.names.index(lettered_as)).to_numpy(zero_copy_only=False)
             pred = np.where(lettered, np.array(languages, object)[best], UNKNOWN)
-            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_lettered"]
-            names = [x for x in batch.schema.names if x != "_lettered"]
+            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != lettered_as]
+            names = [x for x in batch.schema.names if x != lettered_as]
             yield pa.record_batch([*kept, pa.array(pred.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, *names_of])
 
     return run
@@ -334,12 +349,15 @@ def _predict(shared, path: str, names_of: tuple[str, str]):
 
 def predict(model: Model, docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs (with a column text) and two more columns, named pred and score."""
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in (pred.lower(), score.lower())))
     if not model.languages:
         return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.probability))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_lettered", lettered).mapInArrow(_predict(shared, model.path, (pred, score)), f"{fields}, `{pred}` string, `{score}` double")
+    lettered = free_name("_lettered", docs.columns)
+    return docs.withColumn(lettered, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(
+        _predict(shared, model.path, lettered, (pred, score)), f"{fields}, `{pred}` string, `{score}` double"
+    )
 
 
 def held_out(doc_id: Column) -> Column:
