@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratamill.llm.store import stage, table
+from stratamill.llm.store import free_name, stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -139,10 +139,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def take(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs with each row as often as it's taken. Rows stay where they are; only the table of sources is sent to them."""
     _, per_source = plan(docs, **how)
-    per_source = per_source.select(*(F.col(c).alias(f"_mix_{c}") for c in per_source.columns))
-    rows = docs.join(per_source, F.col("source").eqNullSafe(F.col("_mix_s")))
-    copies = F.col("_mix_once") + F.when(hash60(F.col("doc_id"), F.col("text")) < F.col("_mix_cut"), 1).otherwise(0)
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies > 0).select(*docs.columns)
+    own = {c: free_name(f"_mix_{c}", docs.columns) for c in (*per_source.columns, "copy")}
+    per_source = per_source.select(*(F.col(c).alias(own[c]) for c in per_source.columns))
+    rows = docs.join(per_source, F.col("source").eqNullSafe(F.col(own["s"])))
+    copies = F.col(own["once"]) + F.when(hash60(F.col("doc_id"), F.col("text")) < F.col(own["cut"]), 1).otherwise(0)
+    return rows.withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies > 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_mixing(spark, sf_dir):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm.store import stage, table
+from stratamill.llm.store import free_name, stage, table
 from stratamill.llm.words import MARKS, lowered, mix64, pieces, words
 
 SHINGLE = 5
@@ -345,8 +345,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     of = of.select(F.col("node").alias("n"), "class_id", F.col("tk").alias("class_tk"))
     rows = signed.select("doc_id", "tk", "node").join(of, F.col("node").eqNullSafe(F.col("n")))
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tk") == F.col("class_tk"))
-    gone = stage(rows.where(~first).select(F.col("doc_id").alias("_gone_id"), F.col("tk").alias("_gone_tk")).distinct(), "neardup_gone")
-    out = docs.join(small(gone, 32), (_key() == F.col("_gone_tk")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone_id, gone_tk = (free_name(c, docs.columns) for c in ("_gone_id", "_gone_tk"))
+    gone = stage(rows.where(~first).select(F.col("doc_id").alias(gone_id), F.col("tk").alias(gone_tk)).distinct(), "neardup_gone")
+    out = docs.join(small(gone, 32), (_key() == F.col(gone_tk)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
     repeated = rows.where(first).groupBy("doc_id", "tk").agg(F.count("*").alias("times")).where("times > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
