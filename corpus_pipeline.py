@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm import decontam, langid, mixing, neardup, tokens
-from stratamill.llm.store import bound_batches, stage, table
+from stratamill.llm.store import bound_batches, free_name, stage, table
 
 #: A language that is less likely than this is no decision.
 SURE = 0.5
-#: Words whose ids a worker remembers here, where the stages before have left less memory than a run of its own has.
-WORDS = 500_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
-    found = langid.predict(model, docs, "_lang_pred", "_lang_score")
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= SURE)).select(*docs.columns)
+    pred, score = (free_name(c, docs.columns) for c in ("_lang_pred", "_lang_score"))
+    found = langid.predict(model, docs, pred, score)
+    return found.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= SURE)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token blocks are written and read back: place, length and checksum of every document's ids."""
     bound_batches(spark)
-    return tokens.token_ids(docs, remembered=WORDS)
+    return tokens.token_ids(docs)
 
 
 STAGES = [
