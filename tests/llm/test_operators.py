@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -280,13 +281,107 @@ def test_language_model(spark, odd_rows, none):
             ws = lm_tokens(t)
             want[d, len(ws), sum(counts[x] > 0 for x in ws), round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in ws), 6)] += 1
         assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-    held = [r for r in lm.score(model, df).collect() if r["doc_id"] and r["doc_id"] >= 300 and r["doc_id"] % 5 == 0]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # where all words are known both are probabilities of the same events
+    known = [r for r in got if r["n_known"] == r["n_tokens"]]
+    assert len(known) > 20 and sum(r["score"] for r in known) > sum(r["base_score"] for r in known)
+    for most, pairs in ((10, 3), (lm.FREQUENT, 0), (0, 0)):  # joined or kept by every executor, a score is the same
+        other = lm.score(model, df, most, pairs).collect()
+        assert sorted((r["doc_id"] or 0, round(r["score"], 3)) for r in other) == sorted((r["doc_id"] or 0, round(r["score"], 3)) for r in lm.score(model, df).collect())
     assert lm.score(model, none).count() == 0
     empty = lm.fit(none)
     assert [r["score"] for r in lm.score(empty, df.where("doc_id = 4")).collect()] == [0.0, 0.0]
 
 
+def test_words_in_order(spark):
+    said = "the cat sat on the mat"
+    model = lm.fit(frame(spark, [(i, said, "en", "a") for i in range(20)]), context=0.01)
+    texts = [said, "mat the on sat cat the", "zq", "antidisestablishmentarianism"]
+    got = {r["doc_id"]: r for r in lm.score(model, frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got[0]["score"] > got[1]["score"] + 3 and got[0]["score"] > got[0]["base_score"]
+    assert got[2]["score"] > got[3]["score"] + 5 and got[2]["base_score"] == got[3]["base_score"]
+    # what a context gives its own words and leaves to its parent sums to one
+    a = Counter()
+    for r in model.words.collect():
+        for slot, x in zip(r["slots"], r["a"], strict=True):
+            a[slot] += x
+    assert all(a[k] + b == pytest.approx(1) and 0 < b < 1 for k, b in enumerate(model.backed))
+
+
+def test_contexts_help_on_texts_held_out(spark):
+    """Words that follow each other by chance, but by different ones after each word."""
+    rng = random.Random(15)
+    kinds = [f"{a}{b}" for a in "bdfg" for b in "aeiou"]
+    after = {k: rng.sample(kinds, 4) for k in kinds}
+
+    def text():
+        out = [rng.choice(kinds)]
+        while len(out) < 60:
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    df = frame(spark, [(i, text(), "en", "a") for i in range(120)])
+    learnt, held = df.where("doc_id % 4 != 1"), df.where("doc_id % 4 = 1")
+    own, flat = (lm.score(lm.fit(learnt, context=c), held).agg(lm.perplexity().alias("p")).first()["p"] for c in (0.001, 2.0))
+    assert own < 6 < 15 < flat
+
+
+def test_seats_against_all_seatings():
+    """Sampled means against the sum over every number of tables in all restaurants."""
+    ns = {("a", "a"): 3, ("a", "b"): 2, ("b", "a"): 2, ("b", "c"): 4, ("c", "c"): 1}
+    kinds, base = "abc", np.array([0.2, 0.05, 0.01])
+    n_of = {u: sum(n for (v, _), n in ns.items() if v == u) for u in kinds}
+    pairs_, words_ = lm.stirling(12, lm.PAIR_D), lm.stirling(12, lm.WORD_D)
+
+    def rising(x, step, n):
+        return sum(math.log(x + step * i) for i in range(n))
+
+    total, q, a = 0.0, np.zeros(3), Counter()
+    for ts in itertools.product(*(range(1, n + 1) for n in ns.values())):
+        t = dict(zip(ns, ts, strict=True))
+        c = [sum(k for (_, x), k in t.items() if x == w_) for w_ in kinds]
+        w1 = sum(pairs_[ns[p], t[p]] for p in ns) + sum(rising(lm.PAIR_S, lm.PAIR_D, sum(k for (v, _), k in t.items() if v == u)) for u in kinds) - rising(lm.WORD_S, 1, sum(c))
+        for own in itertools.product(*(range(1, k + 1) for k in c)):
+            weight = math.exp(w1 + rising(lm.WORD_S, lm.WORD_D, sum(own)) + sum(words_[k, o] + o * math.log(b) for k, o, b in zip(c, own, base, strict=True)))
+            total += weight
+            q += weight * (np.array(c) - lm.WORD_D * np.array(own)) / (lm.WORD_S + sum(c))
+            for p in ns:
+                a[p] += weight * (ns[p] - lm.PAIR_D * t[p]) / (lm.PAIR_S + n_of[p[0]])
+
+    class Spelt:
+        def log_p(self, data, start, end):
+            return np.log(base)
+
+    class Shared:
+        value = None
+
+    slots = [[kinds.index(u) for (u, x) in ns if x == w_] for w_ in kinds]
+    counts = [[n for (_, x), n in ns.items() if x == w_] for w_ in kinds]
+    n = np.array([sum(x) for x in counts])
+    empty = [[0.0] * len(x) for x in counts]
+    batch = pa.record_batch({"h": pa.array(np.arange(3)), "word": pa.array([b"a", b"b", b"c"], pa.binary()), "n": pa.array(n), "tables": pa.array(np.ones(3, np.int64)), "q": pa.array(np.zeros(3)), "slots": pa.array(slots, pa.list_(pa.int32())), "ns": pa.array(counts, pa.list_(pa.int64())), "ts": pa.array([[1] * len(x) for x in counts], pa.list_(pa.int64())), "a": pa.array(empty, pa.list_(pa.float64()))})
+    passes = 1500
+    for number in range(passes):
+        x = lm.Seats(batch)
+        Shared.value = (Spelt(), x.tables.sum(), x.customers().sum(), np.bincount(x.slots, x.ts, 3), np.array([n_of[u] for u in kinds]))
+        (batch,) = lm._pass(Shared, number, 1 / passes)(iter([batch]))
+    x = lm.Seats(batch)
+    assert np.allclose(x.q, q / total, rtol=0.07)
+    want = [a[kinds[s_], w_] / total for w_, ss in zip(kinds, slots, strict=True) for s_ in ss]
+    assert np.allclose(x.a, want, rtol=0.07)
+
+
+def test_long_queues():
+    rng = np.random.default_rng(2)
+    ways = lm.stirling(400, 0.75)
+    for c, p, others in ((60, 0.05, 10), (200, 0.1, 10), (400, 0.3, 100)):
+        t = np.arange(1, c + 1)
+        w_ = ways[c, 1:] if c == 400 else ways[c, 1 : c + 1]
+        w_ = w_ + np.cumsum(np.log(2.0 + 0.75 * (others + t - 1)) + np.log(p))
+        w_ = np.exp(w_ - w_.max())
+        got = lm.reseat(np.full(4000, c), np.full(4000, others), lambda i, at: np.full(len(at), p), 0.75, 2.0, rng)
+        assert got.mean() == pytest.approx((w_ * t).sum() / w_.sum(), rel=0.08) and got.min() >= 1 and got.max() <= c
+
+
 def test_seating_is_a_restaurant():
     rng = np.random.default_rng(0)
     t = lm.seat(np.full(4000, 20), np.full(4000, 0.3), np.zeros(4000, int), 0.5, 1.0, rng)
