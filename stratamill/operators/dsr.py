@@ -14,9 +14,29 @@ from stratamill.types import Refusal
 GAMMA = 0.57721566490153286
 
 
+#: The largest count of returns that a row may state (fixed value).
+MOST_COUNT = 1 << 53
+
+
+def reasons(stats: DataFrame) -> DataFrame:
+    """stats (key, sharpe_per_period, count, skew, kurt_raw, status) with `reason`: the first cause why a row can't be used, null if it can."""
+
+    def odd(c):
+        return F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+
+    missing = F.col("status").isNull() | F.col("count").isNull()
+    reason = (
+        F.when(missing, "missing")
+        .when(F.col("status") != 0, F.concat(F.lit("status_"), F.col("status").cast("string")))
+        .when((F.col("count") < 2) | (F.col("count") > MOST_COUNT), "count")
+        .when(odd("sharpe_per_period") | odd("skew") | odd("kurt_raw"), "not_finite")
+    )
+    return stats.withColumn("reason", reason)
+
+
 def eligible(stats: DataFrame) -> DataFrame:
-    """Rows (key, sharpe_per_period, count, skew, kurt_raw, status) that have what is needed: status 0 and a count of 2 or more."""
-    return stats.where("status = 0 and count >= 2 and sharpe_per_period is not null and skew is not null and kurt_raw is not null")
+    """Rows that have what is needed: status 0, a count of 2 to MOST_COUNT, finite figures."""
+    return reasons(stats).where("reason is null").drop("reason")
 
 
 def expected_maximum(variance: float, trials: int) -> float:
@@ -45,6 +65,8 @@ def dsr(stats: DataFrame, selected, trials: int | None = None) -> dict:
         raise Refusal("too_few_eligible", str(first["n"]))
     d = F.col("sharpe_per_period") - F.lit(first["m"])
     variance = good.agg(F.sum(d * d)).first()[0] / (first["n"] - 1)
+    if not variance > 0:
+        raise Refusal("zero_variance", f"{first['n']} rows of one Sharpe ratio")
     n = trials or stats.count()
     if n < 2:
         raise Refusal("trials", str(n))

@@ -64,6 +64,14 @@ def spearman(selection: DataFrame, holdout: DataFrame) -> dict:
     return {"n": n, "rho": math.copysign(math.sqrt(sxy * sxy / (sxx * syy)), sxy), "reason": None}
 
 
+def unmatched(selection: DataFrame, holdout: DataFrame) -> DataFrame:
+    """vector, trial_id, reason, rows, first_id, last_id: vectors of the selection that the holdout has no usable row of, why, and by which of its rows."""
+    missing = by_vector(selection).join(by_vector(holdout).select("vector"), "vector", "left_anti").select("vector", "trial_id")
+    rows = holdout.join(missing.select("vector"), "vector", "left_semi")
+    first = rows.groupBy("vector").agg(F.min_by("reason", "trial_id").alias("why"), F.count("*").alias("rows"), F.min("trial_id").alias("first_id"), F.max("trial_id").alias("last_id"))
+    return missing.join(first, "vector", "left").select("vector", "trial_id", F.coalesce("why", F.lit("no_row")).alias("reason"), F.coalesce("rows", F.lit(0)).alias("rows"), "first_id", "last_id")
+
+
 def holdout_only(selection: DataFrame, holdout: DataFrame) -> DataFrame:
     return by_vector(holdout).join(by_vector(selection).select("vector"), "vector", "left_anti")
 

@@ -7,6 +7,8 @@ them when it's small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,36 +18,74 @@ from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 SENT = 1_000_000
 
 
-def moves(d, c: Column) -> Column:
-    """array of values next to c in one dimension: one step either way, the other truth value, every other choice."""
+#: How far a continuous value moves: a share of its span, and a factor where it's logarithmic.
+FRACTION, RATIO = 0.05, 1.25
+
+
+def _rounded(value: Column, ratio: float, up: bool) -> Column:
+    """value x ratio or value / ratio, rounded half up, in exact integers: a double is a fraction of two of them."""
+    p, q = ratio.as_integer_ratio()
+    if not up:
+        p, q = q, p
+    whole = "decimal(38,0)"
+    over, under = value.cast(whole) * F.lit(2 * p).cast(whole) + F.lit(q).cast(whole), F.lit(2 * q).cast(whole)
+    return ((over - F.pmod(over, under)) / under).cast("long")
+
+
+def candidates(d, c: Column, fraction: float = FRACTION, ratio: float = RATIO) -> Column:
+    """array of the moves from c in one dimension, lower first, whether or not they are in bounds; null where there's no such step."""
+    if d.count == 1:
+        return F.array().cast("array<bigint>")
     if isinstance(d, Boolean):
         return F.array(~c)
     if isinstance(d, Categorical):
         return F.filter(F.array(*map(F.lit, d.choices)), lambda x: x != c)
     if isinstance(d, Integer) and d.log:
-        return F.array_distinct(F.array(F.greatest(F.floor(c / 2).cast("long"), F.lit(d.low)), F.least(c * 2, F.lit(d.high))))
+        return F.array(_rounded(c, ratio, False), _rounded(c, ratio, True))
     if isinstance(d, Integer):
         return F.array(c - d.step, c + d.step)
     if isinstance(d, Real) and d.step is not None:
         i = d.index(c)
-        return F.transform(F.filter(F.array(i - 1, i + 1), lambda k: (k >= 0) & (k < d.count)), lambda k: d.value(k))
-    span = (d.high - d.low) / 20
-    return F.array(c - span, c + span) if not d.log else F.array(c / 1.25, c * 1.25)
+        return F.transform(F.array(i - 1, i + 1), lambda k: F.when((k >= 0) & (k < d.count), d.value(F.greatest(F.least(k, F.lit(d.count - 1)), F.lit(0)))))
+    if d.log:
+        return F.array(c / ratio, c * ratio)
+    delta = fraction * (d.high - d.low)
+    return F.array(c - delta, c + delta)
+
 
+def _outside(d, x: Column) -> Column:
+    return F.lit(False) if isinstance(d, (Boolean, Categorical)) else x.isNull() | (x < d.low) | (x > d.high)
 
-def neighbours(centres: DataFrame, space: Space) -> DataFrame:
+
+def moves(d, c: Column, fraction: float = FRACTION, ratio: float = RATIO) -> Column:
+    """array of values next to c in one dimension that are in bounds and not c: one step either way, the other truth value, every other choice."""
+    return F.filter(candidates(d, c, fraction, ratio), lambda x: (x != c) & ~_outside(d, x))
+
+
+def neighbours(centres: DataFrame, space: Space, fraction: float = FRACTION, ratio: float = RATIO) -> DataFrame:
     """centre, dimension and the dimensions: every vector one move away that is in bounds and not the centre itself."""
     out = None
     for d in space.dimensions:
-        c = F.col(f"`{d.name}`")
-        new = centres.withColumn("_to", F.explode(moves(d, c))).where(F.col("_to") != c)
-        if not isinstance(d, (Boolean, Categorical)):
-            new = new.where((F.col("_to") >= d.low) & (F.col("_to") <= d.high))
+        if d.count == 1:
+            continue
+        new = centres.withColumn("_to", F.explode(moves(d, F.col(f"`{d.name}`"), fraction, ratio)))
         part = new.select("centre", F.lit(d.name).alias("dimension"), *(F.col("_to").alias(n) if n == d.name else F.col(f"`{n}`") for n in space.names))
         out = part if out is None else out.union(part)
     return out
 
 
+def dropped(centres: DataFrame, space: Space, fraction: float = FRACTION, ratio: float = RATIO) -> DataFrame:
+    """centre, dimension, bounds, same_as_centre: moves that leave the bounds, and moves that end where they began."""
+    def of(d) -> DataFrame:
+        c = F.col(f"`{d.name}`")
+        every = candidates(d, c, fraction, ratio)
+        same = F.size(F.filter(every, lambda x: x == c))
+        bounds = F.size(F.filter(every, lambda x: F.coalesce(x != c, F.lit(True)) & _outside(d, x)))
+        return centres.select("centre", F.lit(d.name).alias("dimension"), bounds.cast("long").alias("bounds"), same.cast("long").alias("same_as_centre"))
+
+    return reduce(DataFrame.union, map(of, space.dimensions))
+
+
 def cells(trials: DataFrame, space: Space) -> DataFrame:
     """dimensions, cell, objective, trial_id: what is known of each tried vector."""
     scored = (F.col("status").isin("ok", "constraint_violation")) & F.col("objective").isNotNull() & ~F.isnan("objective")
@@ -74,13 +114,23 @@ def top(trials: DataFrame, space: Space, k: int, minimize: bool = False) -> Data
     return c.orderBy(*order).limit(k).withColumn("centre", F.row_number().over(Window.orderBy(*order))).select("centre", "trial_id", "objective", *space.names)
 
 
+def near_best(trials: DataFrame, band: float, relative: bool = False, minimize: bool = False) -> DataFrame:
+    """trials with best, the best objective of those that are ok, and near: whether their own is within the band of it."""
+    best = trials.where("status = 'ok' and objective is not null and not isnan(objective)").agg((F.min if minimize else F.max)("objective").alias("best"))
+    return _banded(trials.join(F.broadcast(best)), band, relative)  # one row
+
+
+def _banded(rows: DataFrame, band: float, relative: bool) -> DataFrame:
+    width = F.abs(F.col("best")) * band if relative else F.lit(float(band))
+    return rows.withColumn("near", F.abs(F.col("best") - F.col("objective")) <= width)
+
+
 def profile(trials: DataFrame, space: Space, centres: DataFrame, band: float, relative: bool = False, minimize: bool = False) -> DataFrame:
     """One row per centre: its neighbours by cell, how many are near the best objective of all trials, the share near and the coverage."""
     best = trials.where("status = 'ok' and objective is not null and not isnan(objective)").agg((F.min if minimize else F.max)("objective").alias("best"))
     found = looked_up(neighbours(centres, space), trials, space).join(F.broadcast(best))
-    gap = F.abs(F.col("best") - F.col("objective"))
-    width = F.abs(F.col("best")) * band if relative else F.lit(float(band))
-    near = (F.col("cell") == "scored_ok") & (gap <= width)
+    found = _banded(found, band, relative)
+    near = (F.col("cell") == "scored_ok") & F.col("near")
 
     def count(what: str) -> Column:
         return F.sum((F.col("cell") == what).cast("long"))
@@ -118,7 +168,7 @@ def pair_map(trials: DataFrame, space: Space, centres: DataFrame, first: str, se
     def reached(name: str) -> Column:
         d, c = by[name], F.col(f"`{name}`")
         around = F.concat(F.array(c), moves(d, c))
-        return around if isinstance(d, (Boolean, Categorical)) else F.filter(around, lambda x: (x >= d.low) & (x <= d.high))
+        return around
 
     rows = centres.withColumn("_a", F.explode(reached(first))).withColumn("_b", F.explode(reached(second)))
     moved = (F.col("_a") != F.col(f"`{first}`")).cast("int") + (F.col("_b") != F.col(f"`{second}`")).cast("int")

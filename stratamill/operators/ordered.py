@@ -21,6 +21,23 @@ def lag_within(df: DataFrame, keys: list[str], block: str, order: list[str], val
     return joined.withColumn(out, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_own"))).drop("_own", "_first", "_edge")
 
 
+def lead_within(df: DataFrame, keys: list[str], number: str, block: int, out: str) -> DataFrame:
+    """df with `out`: the number of the row after in the key's order by that number, dealt out by blocks of it."""
+    back = df.withColumn("_back", -F.col(number)).withColumn("_block", F.floor(F.col("_back") / block))
+    return lag_within(back, keys, "_block", ["_back"], number, out).drop("_back", "_block")
+
+
+def running_max(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str, inclusive: bool = True) -> DataFrame:
+    """df with `out`: the largest value up to each row in the key's order, with or without the row's own."""
+    df = df.withColumn("_v", value)
+    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    tops = df.groupBy(*keys, block).agg(F.max("_v").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    edge = tops.withColumn("_edge", F.max("_top").over(before)).drop("_top")
+    rows = df.withColumn("_own", F.max("_v").over(inside)).join(edge, [*keys, block])
+    return rows.withColumn(out, F.greatest("_own", "_edge")).drop("_own", "_edge", "_v")
+
+
 def running(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str) -> DataFrame:
     """df with `out`: the sum of value up to and with each row in the key's order."""
     df = df.withColumn("_v", value)

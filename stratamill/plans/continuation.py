@@ -8,13 +8,17 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamill.operators.ranks import below
 from stratamill.plans.samplers import Twister, continuation_seed, draw, random_indexed
 from stratamill.plans.space import Space
 from stratamill.plans.tpe import Tpe
+from stratamill.storage import cut_lineage
 from stratamill.types import Refusal
 
 #: Proposals that may fail before the lowest untried ordinal is taken.
 ATTEMPTS = 64
+#: Times that a random continuation draws again for what was rejected.
+ROUNDS = 6
 
 
 def admit_history(history: DataFrame, space: Space, space_hash: str | None = None) -> DataFrame:
@@ -45,11 +49,32 @@ def continued_grid(spark: SparkSession, space: Space, history: DataFrame, trials
 
 
 def continued_random(spark: SparkSession, space: Space, history: DataFrame, seed: int, trials: int) -> DataFrame:
-    """A random sample with the mixed seed, without vectors of the history; a vector comes once."""
-    start = next_id(history)
-    drawn = random_indexed(spark, space, continuation_seed(seed, history.count()), trials, start)
-    first = drawn.groupBy(*space.names).agg(F.min("trial_id").alias("trial_id"))
-    return first.join(history.select(*space.names).distinct(), space.names, "left_anti").select("trial_id", *space.names)
+    """`trials` vectors of a random sample with the mixed seed, none of them in the history or twice; fewer only if the space has no more.
+
+    What is rejected is drawn again further on in the sample, ROUNDS times at most; the
+    lowest untried vectors take what places are left then.
+    """
+    start, names = next_id(history), space.names
+    mixed = continuation_seed(seed, history.count())
+    tried, size = cut_lineage(history.select(*names).distinct()), space.cardinality()
+    wanted = trials if size is None else min(trials, size - space.encode(tried).select("ordinal").distinct().count())
+    found, drawn, have = None, 0, 0
+    for _ in range(ROUNDS):
+        if have >= wanted:
+            break
+        more = 2 * (wanted - have)
+        some = random_indexed(spark, space, mixed, more, drawn).withColumnRenamed("trial_id", "_at")
+        drawn += more
+        every = some if found is None else found.unionByName(some)
+        found = cut_lineage(every.groupBy(*names).agg(F.min("_at").alias("_at")).join(tried, names, "left_anti"))
+        have = found.count()
+    if found is None:
+        return spark.range(0).select(F.col("id").alias("trial_id")).join(tried.limit(0))
+    if have < wanted:
+        rest = space.continued(spark, found.select(*names).union(tried), wanted - have)
+        found = found.unionByName(rest.select(*names, (F.col("ordinal") + drawn).alias("_at")))
+    ranks = below(found, "_at").where(F.col("before") < wanted).select("_at", "before")
+    return found.join(ranks, "_at").select((F.col("before") + start).alias("trial_id"), *names)
 
 
 def lowest_untried(spark: SparkSession, space: Space, tried: DataFrame, k: int = 1) -> list[int]:

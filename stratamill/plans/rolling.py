@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 from pyspark.sql import SparkSession
@@ -12,8 +13,9 @@ from stratamill.plans.study import Study
 def run(spark: SparkSession, study: Study, sampler, bars: dict, evaluator, trials: int, workers: int = 2, seconds: float | None = None) -> tuple[list[dict], list[tuple[int, int, int]]]:
     """(rows in trial order, log of (completion_order, trial_id, completed_before)).
 
-    `workers` small jobs run side by side. A trial that takes longer than `seconds`
-    is cancelled with its job group and recorded as trial_timeout.
+    `workers` small jobs run side by side. A trial that takes longer than `seconds`,
+    counted from its own start, is cancelled with its job group and recorded as
+    trial_timeout; the others go on.
     """
     sc = spark.sparkContext
 
@@ -22,7 +24,7 @@ def run(spark: SparkSession, study: Study, sampler, bars: dict, evaluator, trial
         frame = spark.createDataFrame([{"trial_id": trial_id} | c]).select("trial_id", *study.space.names)
         return study.run(frame, bars, evaluator).first().asDict()
 
-    rows, log, running, issued = {}, [], {}, 0
+    rows, log, running, issued, until = {}, [], {}, 0, {}
     with ThreadPoolExecutor(workers) as pool:
         while issued < trials or running:
             while issued < trials and len(running) < workers:
@@ -30,12 +32,15 @@ def run(spark: SparkSession, study: Study, sampler, bars: dict, evaluator, trial
                 if c is None:
                     trials = issued
                     break
-                running[pool.submit(one, issued, c)] = (issued, c, len(log))
+                f = pool.submit(one, issued, c)
+                running[f], until[f] = (issued, c, len(log)), None if seconds is None else time.monotonic() + seconds
                 issued += 1
-            done, _ = wait(running, timeout=seconds, return_when=FIRST_COMPLETED)
-            for f in done or list(running):
+            left = None if seconds is None else max(0.0, min(until[f] for f in running) - time.monotonic())
+            done, _ = wait(running, timeout=left, return_when=FIRST_COMPLETED)
+            late = () if seconds is None else [f for f in running if f not in done and until[f] <= time.monotonic()]
+            for f in (*done, *late):
                 i, c, before = running.pop(f)
-                if done:
+                if f in done:
                     row = f.result()
                 else:
                     sc.cancelJobGroup(f"trial-{i}")

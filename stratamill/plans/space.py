@@ -228,6 +228,24 @@ class Space:
         """An exact name of a vector: typed scalars, reals by their bits, -0.0 as 0.0."""
         return json.dumps({n: scalar(values[n]) for n in sorted(self.names)}, separators=(",", ":"), ensure_ascii=False)
 
+    def vector_key_column(self) -> Column:
+        """vector_key() of rows that have a column for each dimension; a continuous real has no such column form."""
+
+        def one(d) -> Column:
+            c = F.col(f"`{d.name}`")
+            if isinstance(d, Real):
+                named = F.create_map(*(x for v in d.values() for x in (F.lit(v), F.lit(json.dumps(scalar(v), separators=(",", ":"))))))
+                return named[c]
+            if isinstance(d, Categorical):
+                return F.element_at(F.array(*(F.lit(json.dumps(scalar(v), separators=(",", ":"), ensure_ascii=False)) for v in d.choices)), F.array_position(F.array(*map(F.lit, d.choices)), c).cast("int"))
+            if isinstance(d, Boolean):
+                return F.when(c, '["boolean",true]').otherwise('["boolean",false]')
+            return F.concat(F.lit('["integer","'), c.cast("string"), F.lit('"]'))
+
+        by = {d.name: d for d in self.dimensions}
+        parts = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), one(by[n])) for n in sorted(self.names)]
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
     def info(self, tried: DataFrame) -> DataFrame:
         """cardinality, tried, remaining, next_id."""
         n = self.cardinality()

@@ -36,14 +36,26 @@ def weighted(trials: DataFrame, key: str = "trial_id") -> DataFrame:
     return trials.join(ranks, key).withColumn("weight", weight).drop("before")
 
 
+def split_size(n: int) -> int:
+    """How many of n observations are good."""
+    return min(max(1, math.ceil(GAMMA * n)), MOST_GOOD, n - 1)
+
+
 def split(scores: list[tuple[float, int]]) -> tuple[list[int], list[int]]:
     """Ids of good and other observations, from (score, id); higher is better and ties go to the lower id."""
     order = [i for _, i in sorted(scores, key=lambda x: (-x[0], x[1]))]
-    n = len(order)
-    good = min(max(1, math.ceil(GAMMA * n)), MOST_GOOD, n - 1)
+    good = split_size(len(order))
     return sorted(order[:good]), sorted(order[good:])
 
 
+def split_rows(trials: DataFrame, objective: str = "objective", key: str = "trial_id") -> DataFrame:
+    """trials with `good`, as split() tells it: the best rows by the objective, ties to the lower key, are sent to all others; they are MOST_GOOD at most."""
+    best = trials.orderBy(F.col(objective).desc(), key).limit(MOST_GOOD).select(key, objective).collect()
+    most = split_size(trials.count())
+    good = [r[key] for r in sorted(best, key=lambda r: (-r[objective], r[key]))[: max(0, most)]]
+    return trials.withColumn("good", F.col(key).isin(good) if good else F.lit(False))
+
+
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
@@ -88,9 +100,13 @@ class Parzen:
 
 def choice_mass(index: np.ndarray, w: np.ndarray, choices: int) -> np.ndarray:
     """Smoothed probabilities of the choices."""
-    total, alpha = 1.0 + w.sum(), 1.0 / (len(index) + 1)
-    share = np.array([w[index == c].sum() for c in range(choices)])
-    return (w.sum() * alpha + share) / (total * (1 + alpha * choices)) + (1.0 / total) / choices
+    return smoothed(np.array([w[index == c].sum() for c in range(choices)]), len(index))
+
+
+def smoothed(share: np.ndarray, observations: int) -> np.ndarray:
+    """Probabilities of choices that `observations` gave these weights."""
+    total, alpha, choices = 1.0 + share.sum(), 1.0 / (observations + 1), len(share)
+    return (share.sum() * alpha + share) / (total * (1 + alpha * choices)) + (1.0 / total) / choices
 
 
 class Tpe:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from stratamill.functions.expr import Expression, Policy, columns, satisfied, st
 from stratamill.operators import curves, evaluate, holdout, neighbourhood, pareto, pbo, rows
 from stratamill.operators.dsr import dsr
 from stratamill.operators.ordered import numbered, running
-from stratamill.plans import samplers
+from stratamill.plans import samplers, tpe
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, list_coverage
 from stratamill.sources import bars as bars_
@@ -57,6 +58,12 @@ def hourly(spark, sf_dir):
     return e.groupBy("symbol", "timestamp").agg(F.min_by("value", "o").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "o").alias("close"), F.count("*").cast("double").alias("volume"))
 
 
+def every_hour(spark, sf_dir):
+    """timestamp, open, high, low, close, volume of all events together: the bars of one symbol"""
+    e = events(spark, sf_dir).select((F.col("ms") - F.col("ms") % 3_600_000).alias("timestamp"), F.struct("ms", "event_id").alias("o"), "value")
+    return e.groupBy("timestamp").agg(F.min_by("value", "o").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "o").alias("close"), F.count("*").cast("double").alias("volume"))
+
+
 DAY = 86_400_000
 
 
@@ -82,6 +89,10 @@ HOURLY = EVENTS + """, b AS (
   SELECT event_type AS symbol, ms - ms % 3600000 AS timestamp, arg_min(value, (ms, event_id)) AS open, max(value) AS high, min(value) AS low,
          arg_max(value, (ms, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM e GROUP BY 1, 2)"""
+EVERY_HOUR = EVENTS + """, b AS (
+  SELECT ms - ms % 3600000 AS timestamp, arg_min(value, (ms, event_id)) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, (ms, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+  FROM e GROUP BY 1)"""
 CURVE = EVENTS + """, c AS (
   SELECT user_id AS key, row_number() OVER w - 1 AS idx, ms AS time_ms,
          CAST(CAST(1000 AS DECIMAL(18,6)) + sum(CAST(value AS DECIMAL(18,6)) - CAST(10 AS DECIMAL(18,6))) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS equity
@@ -128,12 +139,14 @@ SELECTION, HOLDOUT = 1996, 1997
 # ---- Sources -----------------------------------------------------------------
 
 
-@query(f"WITH {HOURLY}, x AS (SELECT symbol, count(*) AS bars, CAST(sum(CAST(low > high OR volume <= 0 AS INT)) AS BIGINT) AS odd, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM b GROUP BY 1) SELECT symbol, bars, odd, first_ts, last_ts, CAST(0 AS BIGINT) AS violations FROM x")
+@query(f"""WITH {HOURLY}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) - 1 AS k FROM b), x AS (SELECT symbol, timestamp, k, k + CASE k % 7 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS record, CASE WHEN k % 50 = 9 THEN -1 ELSE volume END AS volume FROM o),
+y AS (SELECT *, lag(timestamp) OVER (PARTITION BY symbol ORDER BY record, k) AS prior FROM x) SELECT symbol, timestamp, CASE WHEN volume < 0 THEN 'volume' ELSE 'order' END AS reason FROM y WHERE volume < 0 OR timestamp <= prior""")
 def src3_bar_invariants(spark, sf_dir):
-    b = hourly(spark, sf_dir)
-    bad = bars_.violations(b, ["symbol"], "timestamp").groupBy("symbol").agg(F.count("*").alias("v"))
-    g = b.groupBy("symbol").agg(F.count("*").alias("bars"), F.sum(((F.col("low") > F.col("high")) | (F.col("volume") <= 0)).cast("long")).alias("odd"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
-    return g.join(bad, "symbol", "left").select("symbol", "bars", "odd", "first_ts", "last_ts", F.coalesce("v", F.lit(0)).alias("violations"))
+    """Every seventh pair of bars changes places, every fiftieth bar has a volume below 0."""
+    b = numbered(hourly(spark, sf_dir).withColumn("_b", F.floor(F.col("timestamp") / (30 * DAY))), ["symbol"], "_b", ["timestamp"], "k").drop("_b")
+    moved = F.when(F.col("k") % 7 == 2, 1).when(F.col("k") % 7 == 3, -1).otherwise(0)
+    b = b.withColumns({"record": 2 * (F.col("k") + moved) + F.when(moved < 0, 1).otherwise(0), "volume": F.when(F.col("k") % 50 == 9, -1.0).otherwise(F.col("volume"))})
+    return bars_.violations(b, ["symbol"], "record").select("symbol", "timestamp", "reason")
 
 
 @query(f"WITH {HOURLY}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) - 1 AS k FROM b) SELECT symbol, timestamp, open, high, low, close, volume FROM n WHERE k >= 24 AND k < 72")
@@ -301,27 +314,22 @@ def smp3_random(spark, sf_dir):
 @query(f"""WITH {TRIALS_SQL}, ok AS (SELECT *, row_number() OVER (ORDER BY objective DESC, trial_id) AS rank, count(*) OVER () AS n FROM tr WHERE status = 'ok')
 SELECT trial_id, rank <= least(greatest(1, ceil(0.1 * n)), 25, n - 1) AS good FROM ok""")
 def smp9_good_bad_split(spark, sf_dir):
-    ok = trials(spark, sf_dir).where("status = 'ok'")
-    n = ok.agg(F.count("*").alias("n"))
-    good = ok.orderBy(F.col("objective").desc(), "trial_id").limit(25).withColumn("rank", F.row_number().over(Window.orderBy(F.col("objective").desc(), "trial_id"))).select("trial_id", "rank")
-    bound = F.least(F.greatest(F.lit(1), F.ceil(F.lit(0.1) * F.col("n"))), F.lit(25), F.col("n") - 1)
-    return ok.select("trial_id").join(F.broadcast(good), "trial_id", "left").join(F.broadcast(n)).select("trial_id", F.coalesce(F.col("rank") <= bound, F.lit(False)).alias("good"))
+    return tpe.split_rows(trials(spark, sf_dir).where("status = 'ok'")).select("trial_id", "good")
 
 
 @query(f"WITH {TRIALS_SQL}, c AS (SELECT brand, count(*) AS w, sum(count(*)) OVER () AS n FROM tr WHERE status = 'ok' GROUP BY 1) SELECT brand, round(((w + n * (1.0 / (n + 1))) / ((1.0 + n) * (1 + 25.0 / (n + 1)))) + (1.0 / (1.0 + n)) / 25, 9)::DOUBLE AS mass FROM c")
 def smp14_choice_mass(spark, sf_dir):
-    c = trials(spark, sf_dir).where("status = 'ok'").groupBy("brand").agg(F.count("*").alias("w"))
-    n = c.agg(F.sum("w").alias("n"))
-    alpha = 1.0 / (F.col("n") + 1)
-    return c.join(F.broadcast(n)).select("brand", r((F.col("w") + F.col("n") * alpha) / ((1.0 + F.col("n")) * (1 + 25.0 * alpha)) + (1.0 / (1.0 + F.col("n"))) / 25, 9).alias("mass"))
+    found = {x["brand"]: x["n"] for x in trials(spark, sf_dir).where("status = 'ok'").groupBy("brand").agg(F.count("*").alias("n")).collect()}  # a row for each choice
+    mass = tpe.smoothed(np.array([found.get(b, 0) for b in BRANDS], float), sum(found.values()))
+    return spark.createDataFrame([(b, round(float(m), 9)) for b, m in zip(BRANDS, mass, strict=True) if b in found], "brand string, mass double")
 
 
 # ---- Evaluation --------------------------------------------------------------
 
 EVAL_SPACE = Space((Integer("entry", 12, 20, 2), Integer("exit", 2, 8, 2)))
 STUDY = Study(EVAL_SPACE, "net_profit - 0.25 * max_equity_drawdown", evaluate.THRESHOLD_METRICS, ("num_trades >= 1",))
-SIGNALS = HOURLY + """, g AS (SELECT range AS trial_id, 12 + 2 * (range // 4) AS entry, 2 + 2 * (range % 4) AS exit FROM range(20)),
-k AS (SELECT trial_id, entry, exit, timestamp, close, CASE WHEN close >= entry THEN 1 WHEN close <= exit THEN 0 END AS s FROM g, b WHERE symbol = 'view'),
+SIGNALS = EVERY_HOUR + """, g AS (SELECT range AS trial_id, 12 + 2 * (range // 4) AS entry, 2 + 2 * (range % 4) AS exit FROM range(20)),
+k AS (SELECT trial_id, entry, exit, timestamp, close, CASE WHEN close >= entry THEN 1 WHEN close <= exit THEN 0 END AS s FROM g, b),
 h AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY trial_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING), 0) AS held FROM k),
 i AS (SELECT *, lag(held, 1, 0) OVER w AS was, coalesce(lag(held) OVER w * (close - lag(close) OVER w), 0) AS gain FROM h WINDOW w AS (PARTITION BY trial_id ORDER BY timestamp)),
 q AS (SELECT *, 1000 + sum(gain) OVER (PARTITION BY trial_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS equity FROM i),
@@ -331,7 +339,7 @@ m AS (SELECT trial_id, any_value(entry) AS entry, any_value(exit) AS exit, sum(g
 
 @query(f"WITH {SIGNALS} SELECT trial_id, entry, exit, CASE WHEN trades >= 1 THEN 'ok' ELSE 'constraint_violation' END AS status, round(net - 0.25 * dd, 6) AS objective, CAST(trades AS DOUBLE) AS trades FROM m")
 def evl1_grid_study(spark, sf_dir):
-    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     out = STUDY.run(EVAL_SPACE.grid(spark), b, evaluate.threshold)
     return out.select("trial_id", "entry", "exit", "status", r(F.col("objective")).alias("objective"), F.col("metrics")["num_trades"].alias("trades"))
 
@@ -431,19 +439,28 @@ def _moments(spark, sf_dir):
     return cut_lineage(curves.block_moments(user_curve(spark, sf_dir), 6).select("key", "block", "n", "s", "m2"))
 
 
-@query(None)
+BLOCK_PAIRS = BLOCKS + """, sp AS (SELECT row_number() OVER (ORDER BY (m & 1) = 0, l) - 1 AS split, m FROM (SELECT range AS m, array_to_string(list_filter([0, 1, 2, 3, 4, 5], lambda b: (range >> b) & 1 = CASE WHEN range & 1 = 1 THEN 1 ELSE 0 END), '') AS l FROM range(64)) WHERE bit_count(m::BIGINT) = 3),
+hv AS (SELECT sp.split, y.key, (sp.m >> y.block) & 1 = 1 AS train, round(avg(r) / stddev_samp(r), 12) AS stat FROM sp, y WHERE r IS NOT NULL GROUP BY 1, 2, 3),
+tp AS (SELECT split, key AS winner FROM hv WHERE train QUALIFY stat = max(stat) OVER (PARTITION BY split)), wn AS (SELECT split, winner, count(*) OVER (PARTITION BY split) AS ties FROM tp),
+rk AS (SELECT wn.split, wn.winner, wn.ties, CAST(2 * sum((h.stat < o.stat)::INT) + sum((h.stat = o.stat)::INT) + 1 AS BIGINT) AS rank2, count(*) AS trials
+       FROM wn JOIN hv o ON o.split = wn.split AND o.key = wn.winner AND NOT o.train JOIN hv h ON h.split = wn.split AND NOT h.train GROUP BY ALL)"""
+
+
+@query(f"WITH {CURVE}{BLOCK_PAIRS} SELECT CAST(split AS INT) AS split, winner, ties, rank2, trials, CAST(sign(rank2 - (trials + 1)) AS INT) AS side FROM rk")
 def pbo5_split_results(spark, sf_dir):
     return pbo.split_results(_moments(spark, sf_dir), 6)
 
 
-@query(None)
+@query(f"""WITH {CURVE}{BLOCK_PAIRS}, si AS (SELECT sum(CASE WHEN rank2 < trials + 1 THEN 1.0::DOUBLE / ties ELSE 0 END) AS lt, sum(CASE WHEN rank2 = trials + 1 THEN 1.0::DOUBLE / ties ELSE 0 END) AS eq, sum(CASE WHEN rank2 > trials + 1 THEN 1.0::DOUBLE / ties ELSE 0 END) AS gt, any_value(trials) AS n FROM rk)
+SELECT 20 AS n_splits, lt AS n_lt0, eq AS n_eq0, gt AS n_gt0, (lt + eq) / 20 AS pbo, lt / 20 AS strict_rate, CAST(10 * n * 4 + 40 * n AS BIGINT) AS work FROM si""")
 def pbo6_probability(spark, sf_dir):
     return spark.createDataFrame([pbo.pbo(_moments(spark, sf_dir), 6)])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {b}, {'TRUE' if b in c else 'FALSE'})" for i, c in enumerate(pbo.ordered_splits(4)) for b in range(4)) + ") x(split, block, train)")
+@query("""WITH m AS (SELECT range AS m, array_to_string(list_filter([0, 1, 2, 3, 4, 5], lambda b: (range >> b) & 1 = CASE WHEN range & 1 = 1 THEN 1 ELSE 0 END), '') AS l FROM range(64) WHERE bit_count(range::BIGINT) = 3),
+n AS (SELECT m, row_number() OVER (ORDER BY (m & 1) = 0, l) - 1 AS split FROM m) SELECT CAST(split AS INT) AS split, CAST(b AS INT) AS block, (m >> b) & 1 = 1 AS train FROM n, range(6) t(b)""")
 def pbo2_splits(spark, sf_dir):
-    return pbo.splits_table(spark, 4)
+    return pbo.splits_table(spark, 6)
 
 
 @query(None)

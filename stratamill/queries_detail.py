@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from stratamill.operators import dsr as dsr_
 from stratamill.plans import continuation, samplers
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, write_trials
-from stratamill.plans.tpe import Tpe, weighted
-from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, RETURNS, SELECTION, SOBOL_N, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _sobol_sql, _two, events, hourly, query, r, studies, trials, user_curve
+from stratamill.plans.tpe import Parzen, Tpe, weighted
+from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, EVERY_HOUR, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, RETURNS, SELECTION, SOBOL_N, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _sobol_sql, _two, events, every_hour, hourly, query, r, studies, trials, user_curve
 from stratamill.sources import bars as bars_
 from stratamill.sources import trials as trial_files
 from stratamill.storage import folder, cut_lineage
@@ -28,10 +29,10 @@ def _scratch(spark, name: str) -> str:
     return f"{folder(spark)}/stratamill/{uuid.uuid4().hex}/{name}"
 
 
-@query(f"WITH {HOURLY} SELECT timestamp, open, high, low, close, volume FROM b WHERE symbol = 'view'")
+@query(f"WITH {EVERY_HOUR} SELECT timestamp, open, high, low, close, volume FROM b")
 def src1_csv_scan(spark, sf_dir):
     path = _scratch(spark, "bars.csv")
-    hourly(spark, sf_dir).where("symbol = 'view'").drop("symbol").write.option("header", True).csv(path)
+    every_hour(spark, sf_dir).write.option("header", True).csv(path)
     return bars_.read_csv(spark, path)
 
 
@@ -50,16 +51,26 @@ def src16_candidate_list(spark, sf_dir):
     return trial_files.read_candidates(spark, path + "/*.json", space)
 
 
-@query("SELECT 'a' AS space_hash")
+@query(f"""WITH {TRIALS_SQL}, g AS (SELECT brand AS source, count(DISTINCT CASE WHEN size = 7 THEN 'b' ELSE 'a' END) AS k FROM tr GROUP BY 1) SELECT source, k = 1 AS common FROM g""")
 def src13_common_space(spark, sf_dir):
-    found = trial_files.common_space(trials(spark, sf_dir).select(F.lit("a").alias("space_hash")))
-    return spark.createDataFrame([(found,)], "space_hash string")
+    """Each brand as a set of sources, whose space is another one for size 7."""
+    rows_ = trials(spark, sf_dir).select("brand", F.when(F.col("size") == 7, "b").otherwise("a").alias("space_hash")).groupBy("brand").agg(F.collect_set("space_hash").alias("h"))
+
+    def common(brand, hashes):
+        try:
+            trial_files.common_space(spark.createDataFrame([(h,) for h in hashes], "space_hash string"))
+            return (brand, True)
+        except trial_files.Refusal:
+            return (brand, False)
+
+    return spark.createDataFrame([common(x["brand"], x["h"]) for x in rows_.collect()], "source string, common boolean")  # a row for each brand
 
 
-@query(f"SELECT count(*) AS mismatches FROM range(0)")
+@query("SELECT range AS trial_id FROM range(500) WHERE range % 45 = 8")
 def src18_sobol_parent(spark, sf_dir):
-    parent = samplers.sobol(spark, SOBOL_SPACE, 500, seed=3)
-    return samplers.admit_sobol(spark, SOBOL_SPACE, parent, seed=3).agg(F.count("*").alias("mismatches"))
+    """A parent study with some rows that its generator doesn't make."""
+    parent = samplers.sobol(spark, SOBOL_SPACE, 500, seed=3).withColumn("a", F.when(F.col("trial_id") % 45 == 8, F.pmod(F.col("a") + 1, F.lit(1000))).otherwise(F.col("a")))
+    return samplers.admit_sobol(spark, SOBOL_SPACE, parent, seed=3).select("trial_id")
 
 
 @query(f"WITH {TRIALS_SQL} SELECT trial_id, status, objective FROM tr")
@@ -136,12 +147,21 @@ def spc4_decode(spark, sf_dir):
     return space.decode(spark.range(30).withColumnRenamed("id", "ordinal"))
 
 
-@query(f"WITH {TRIALS_SQL} SELECT trial_id, sha256(concat_ws('|', 'integer', CAST(size AS VARCHAR), 'string', brand)) AS key FROM tr")
+@query(f"""WITH {TRIALS_SQL} SELECT trial_id, '{{"brand":["string","' || brand || '"],"size":["integer","' || size || '"]}}' AS key FROM tr""")
 def spc9_vector_keys(spark, sf_dir):
-    return trials(spark, sf_dir).select("trial_id", F.sha2(F.concat_ws("|", F.lit("integer"), F.col("size").cast("string"), F.lit("string"), "brand"), 256).alias("key"))
+    return trials(spark, sf_dir).select("trial_id", PART_SPACE.vector_key_column().alias("key"))
+
+
+def _split_mix_sql(x: str) -> str:
+    """SplitMix64 of a UHUGEINT below 2**64, from its published definition."""
+    word = "18446744073709551616::UHUGEINT"
+    x = f"(({x} + 11400714819323198485::UHUGEINT) % {word})"
+    x = f"((xor({x}, {x} >> 30) * 13787848793156543929::UHUGEINT) % {word})"
+    x = f"((xor({x}, {x} >> 27) * 10723151780598845931::UHUGEINT) % {word})"
+    return f"xor({x}, {x} >> 31)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({c}, '{samplers.shift_word(42, c):016x}')" for c in range(4)) + ") t(col, word)")
+@query(f"SELECT CAST(range AS INT) AS col, lpad(lower(hex(CAST({_split_mix_sql('((42::UHUGEINT + range::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)')} AS UBIGINT))), 16, '0') AS word FROM range(4)")
 def smp5_digital_shift(spark, sf_dir):
     return spark.createDataFrame([(c, f"{samplers.shift_word(42, c):016x}") for c in range(4)], "col int, word string")
 
@@ -158,21 +178,18 @@ def smp7_sobol_continuation(spark, sf_dir):
     return samplers.sobol(spark, SOBOL_SPACE, 500, seed=42, first=1000).select("trial_id", "a")
 
 
-@query(f"""WITH {TRIALS_SQL}, k AS (SELECT trial_id, row_number() OVER (ORDER BY trial_id) AS rn, count(*) OVER () AS n FROM tr WHERE status = 'ok' AND trial_id < 200)
+@query(f"""WITH {TRIALS_SQL}, k AS (SELECT trial_id, row_number() OVER (ORDER BY trial_id) AS rn, count(*) OVER () AS n FROM tr WHERE status = 'ok')
 SELECT trial_id, round(CASE WHEN n < 25 OR rn > n - 25 THEN 1.0 ELSE 1.0 / n + (rn - 1) * (1 - 1.0 / n) / (n - 26) END, 9)::DOUBLE AS weight FROM k""")
 def smp10_weights(spark, sf_dir):
-    return weighted(trials(spark, sf_dir).where("status = 'ok' and trial_id < 200").select("trial_id")).select("trial_id", r(F.col("weight"), 9).alias("weight"))
+    return weighted(trials(spark, sf_dir).where("status = 'ok'").select("trial_id")).select("trial_id", r(F.col("weight"), 9).alias("weight"))
 
 
 @query(f"""WITH {TRIALS_SQL}, x AS (SELECT DISTINCT (size - 0.5) / 50 AS v FROM tr), g AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS lo, lead(v) OVER (ORDER BY v) - v AS hi, count(*) OVER () AS n FROM x)
 SELECT round(v, 6)::DOUBLE AS v, round(least(greatest(greatest(coalesce(lo, hi), coalesce(hi, lo)), 1.0 / least(100, n + 2)), 1), 6)::DOUBLE AS sigma FROM g""")
 def smp11_parzen_widths(spark, sf_dir):
-    x = trials(spark, sf_dir).select(((F.col("size") - 0.5) / 50).alias("v")).distinct()  # as many as the dimension has values
-    w = Window.orderBy("v")
-    lo, hi = F.col("v") - F.lag("v").over(w), F.lead("v").over(w) - F.col("v")
-    g = x.withColumns({"lo": lo, "hi": hi, "n": F.count("*").over(Window.partitionBy())})
-    gap = F.greatest(F.coalesce("lo", "hi"), F.coalesce("hi", "lo"))
-    return g.select(r(F.col("v")).alias("v"), r(F.least(F.greatest(gap, 1.0 / F.least(F.lit(100), F.col("n") + 2)), F.lit(1.0))).alias("sigma"))
+    x = np.array([r_["v"] for r_ in trials(spark, sf_dir).select(((F.col("size") - 0.5) / 50).alias("v")).distinct().collect()])  # as many as the dimension has values
+    p = Parzen(x, np.ones(len(x)))
+    return spark.createDataFrame([(round(float(v), 6), round(float(s), 6)) for v, s in zip(p.mean[:-1], p.sigma[:-1], strict=True)], "v double, sigma double")
 
 
 @query(f"WITH {TRIALS_SQL}, g AS (SELECT range AS ordinal, 1 + range // 25 AS size, 'Brand#' || (1 + range % 25) AS brand FROM range(1250)) SELECT min(ordinal) AS ordinal FROM g ANTI JOIN tr USING (size, brand)")
@@ -182,7 +199,7 @@ def smp16_lowest_untried(spark, sf_dir):
 
 @query(None)
 def smp8_parzen_study(spark, sf_dir):
-    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     found, _ = STUDY.run_adaptive(spark, Tpe(EVAL_SPACE, 1), b, evaluate.threshold, 24, batch=12)
     return spark.createDataFrame([(x["trial_id"], x["entry"], x["exit"], x["objective"]) for x in found], "trial_id bigint, entry bigint, exit bigint, objective double")
 
@@ -214,7 +231,7 @@ def evl5_survivors(spark, sf_dir):
 @query("SELECT range AS trial_id, CASE WHEN 5 + range // 3 <= 4 + 2 * (range % 3) THEN 'trial_error' ELSE 'ok' END AS status FROM range(9)")
 def evl6_status_taxonomy(spark, sf_dir):
     space = Space((Integer("entry", 5, 7), Integer("exit", 4, 8, 2)))
-    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     return Study(space, "net_profit", evaluate.THRESHOLD_METRICS).run(space.grid(spark), b, evaluate.threshold).select("trial_id", "status")
 
 
@@ -233,7 +250,7 @@ def evl13_symbol_routing(spark, sf_dir):
 
 @query(None)
 def evl4_successive_halving(spark, sf_dir):
-    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     out = evaluate.halving(EVAL_SPACE.grid(spark), b, evaluate.threshold, ("net_profit",), lambda d: F.col("metrics")["net_profit"], [0.25, 0.5], 3)
     return out.select("trial_id", "entry", "exit", "objective", "rung", "bars_processed", "pruned")
 
@@ -276,9 +293,11 @@ def par4_front_vectors(spark, sf_dir):
     return pareto.front(trials(spark, sf_dir).where("status = 'ok'"), AXES).agg(F.count_distinct("price", "size").alias("vectors"), F.count("*").alias("trials"))
 
 
-@query(None)
+@query(f"""WITH {TRIALS_SQL}, d AS (SELECT sha256('{{"trial_id":' || trial_id || ',"status":"' || status || '","size":' || size || ',"brand":"' || brand || '"}}') AS d FROM tr),
+x AS (SELECT d[1:2] AS b, d[3:5] AS c, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM d GROUP BY 1, 2), y AS (SELECT b, sha256(string_agg(d, '' ORDER BY c)) AS d, sum(n) AS n FROM x GROUP BY 1)
+SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM y""")
 def par5_input_digest(spark, sf_dir):
-    return pareto.input_digest(trials(spark, sf_dir), ["trial_id", "status", "price", "size"])
+    return pareto.input_digest(trials(spark, sf_dir), ["trial_id", "status", "size", "brand"])
 
 
 @query(f"WITH {TRIALS_SQL}, n AS (SELECT count(*) AS n FROM tr) SELECT n AS rows, CAST(n + n * (n - 1) // 2 AS BIGINT) AS work FROM n")
@@ -287,24 +306,28 @@ def par6_work_figure(spark, sf_dir):
     return spark.createDataFrame([(n, pareto.work(n))], "rows bigint, work bigint")
 
 
-@query(f"WITH {TRIALS_SQL} SELECT trial_id AS key, CASE WHEN trial_id % 5 = 0 THEN 'roster_mismatch' WHEN status = 'engine_error' THEN 'status_error' WHEN status = 'pruned' THEN 'status_pruned' WHEN size % 2 = 1 THEN 'block_mismatch' END AS defect FROM tr WHERE trial_id % 5 = 0 OR status IN ('engine_error', 'pruned') OR size % 2 = 1")
+@query(f"""WITH {TRIALS_SQL}, x AS (SELECT trial_id AS key, CASE WHEN size = 13 THEN 'pbo_input_invalid' WHEN trial_id % 5 = 0 THEN 'pbo_roster_mismatch' WHEN status = 'engine_error' THEN 'pbo_status_error' WHEN status = 'pruned' THEN 'pbo_status_pruned'
+WHEN size % 10 = 4 THEN 'pbo_non_positive_equity' WHEN size % 10 = 6 THEN 'pbo_rows_incomplete' WHEN size % 2 = 1 THEN 'pbo_block_mismatch' END AS defect FROM tr) SELECT * FROM x WHERE defect IS NOT NULL""")
 def pbo1_roster_admission(spark, sf_dir):
-    tr = trials(spark, sf_dir).select(F.col("trial_id").alias("key"), "status", F.when(F.col("size") % 2 == 1, 3).otherwise(4).alias("n_blocks"))
+    size = F.col("size")
+    tr = trials(spark, sf_dir).select(
+        F.col("trial_id").alias("key"), F.when(size != 13, F.col("status")).alias("status"), F.when(size % 10 == 6, None).when(size % 2 == 1, 3).otherwise(4).alias("n_blocks"), F.when(size % 10 == 4, 2).otherwise(0).alias("block_status")
+    )
     return pbo.roster_defects(tr, tr.where("key % 5 != 0").select("key"), 4)
 
 
-POOLED = CURVE + BLOCKS + """, sp AS (SELECT unnest([0, 1, 2]) AS block), mo AS (SELECT bm.key, ret.r FROM bm JOIN sp USING (block) JOIN y ret ON ret.key = bm.key AND ret.block = bm.block),
+POOLED = CURVE + BLOCKS + """, sp AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS block), mo AS (SELECT bm.key, ret.r FROM bm JOIN sp USING (block) JOIN y ret ON ret.key = bm.key AND ret.block = bm.block),
 po AS (SELECT key, avg(r) AS m, stddev_samp(r) AS sd FROM mo GROUP BY 1)"""
 
 
 @query(f"WITH {POOLED} SELECT key, round(m / sd, 9) AS stat FROM po")
 def pbo4_ranking_statistic(spark, sf_dir):
-    moments = curves.block_moments(user_curve(spark, sf_dir), 6).where("block < 3").select("key", "block", "n", "s", "m2")
-    half = spark.createDataFrame([(0, b, True) for b in range(3)], "split int, block int, train boolean")
-    return pbo.pooled(moments, half).select("key", r(F.col("stat"), 9).alias("stat"))
+    moments = curves.block_moments(user_curve(spark, sf_dir), 6).select("key", "block", "n", "s", "m2")
+    every = spark.range(6).select(F.lit(0).alias("split"), F.col("id").cast("int").alias("block"), F.lit(True).alias("train"))
+    return pbo.pooled(moments, every).select("key", r(F.col("stat"), 9).alias("stat"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({s}, {n}, {pbo.work(s, n)})" for s, n in ((4, 4), (8, 20), (16, 100))) + ") t(blocks, trials, work)")
+@query("WITH x(blocks, trials) AS (VALUES (4, 4), (8, 20), (16, 100)), c AS (SELECT *, factorial(blocks) // (factorial(blocks // 2) * factorial(blocks // 2)) AS splits FROM x) SELECT blocks, trials, CAST(splits // 2 * trials * (blocks - 2) + 2 * splits * trials AS INT) AS work FROM c")
 def pbo7_work(spark, sf_dir):
     return spark.createDataFrame([(s, n, pbo.work(s, n)) for s, n in ((4, 4), (8, 20), (16, 100))], "blocks int, trials int, work int")
 
@@ -334,10 +357,10 @@ def hld3_vector_join(spark, sf_dir):
     return holdout.pool(*_two(spark, sf_dir)).select("vector", "value", "selected_value")
 
 
-@query(f"WITH {POOL} SELECT vector, trial_id FROM sel ANTI JOIN hol USING (vector)")
+@query(f"""WITH {POOL}, un AS (SELECT vector, trial_id FROM sel ANTI JOIN hol USING (vector)), ho AS (SELECT vector, arg_min(reason, trial_id) AS why, count(*) AS rows, min(trial_id) AS first_id, max(trial_id) AS last_id FROM s WHERE window = {HOLDOUT} GROUP BY 1)
+SELECT vector, un.trial_id, coalesce(why, 'no_row') AS reason, coalesce(rows, 0) AS rows, first_id, last_id FROM un LEFT JOIN ho USING (vector)""")
 def hld4_unmatched(spark, sf_dir):
-    s, h = _two(spark, sf_dir)
-    return holdout.holdout_only(h, s).select("vector", "trial_id")
+    return holdout.unmatched(*_two(spark, sf_dir))
 
 
 @query(f"WITH {STUDIES}, w AS (SELECT DISTINCT window FROM s WHERE window <> 1995), n AS (SELECT window, lead(window) OVER (ORDER BY window) AS next_window FROM w) SELECT window, next_window FROM n WHERE next_window > window + 1")
@@ -358,9 +381,19 @@ def nbh2_cells(spark, sf_dir):
 
 @query(f"WITH {NBH} SELECT trial_id, best - objective <= 0.05 * abs(best) AS near FROM u, be WHERE status = 'ok'")
 def nbh3_band(spark, sf_dir):
-    u = _nbh(spark, sf_dir).where("status = 'ok'")
-    best = u.agg(F.max("objective").alias("best"))
-    return u.join(F.broadcast(best)).select("trial_id", (F.col("best") - F.col("objective") <= 0.05 * F.abs("best")).alias("near"))
+    return neighbourhood.near_best(_nbh(spark, sf_dir).where("status = 'ok'"), 0.05, relative=True).select("trial_id", "near")
+
+
+LOGGED = Space((Integer("n", 2, 50, log=True), Real("x", 0.001, 1000.0, log=True)))
+
+
+@query(f"""WITH {TRIALS_SQL}, c AS (SELECT DISTINCT size AS n FROM tr WHERE size >= 2), m AS (SELECT n, unnest([floor(n / 1.5 + 0.5), floor(n * 1.5 + 0.5)])::BIGINT AS t FROM c)
+SELECT n AS centre, list_sort(list(t) FILTER (t <> n AND t BETWEEN 2 AND 50)) AS moves, CAST(sum((t <> n AND t NOT BETWEEN 2 AND 50)::INT) AS BIGINT) AS bounds, CAST(sum((t = n)::INT) AS BIGINT) AS same_as_centre FROM m GROUP BY 1""")
+def nbh1_log_integer_moves(spark, sf_dir):
+    """Every size of a part as a value of a logarithmic dimension, with the ratio 1.5."""
+    c = trials(spark, sf_dir).where("size >= 2").select("size").distinct().select(F.col("size").alias("centre"), F.col("size").alias("n"), F.lit(1.0).alias("x"))
+    moved = neighbourhood.neighbours(c, LOGGED, ratio=1.5).where("dimension = 'n'").groupBy("centre").agg(F.sort_array(F.collect_list("n")).alias("moves"))
+    return moved.join(neighbourhood.dropped(c, LOGGED, ratio=1.5).where("dimension = 'n'").drop("dimension"), "centre")
 
 
 # ---- Emission ----------------------------------------------------------------
@@ -377,9 +410,9 @@ def str4_beyond_watermark(spark, sf_dir):
     return emission.beyond(_emitted(spark, sf_dir), 1).select("study", "trial_id", "beyond_watermark", "rejected")
 
 
-@query("WITH l AS (SELECT CAST(0 AS INT) AS study, o_orderkey AS trial_id, o_custkey % 50 AS completed_before, o_custkey % 40 AS completion_order FROM orders WHERE o_custkey % 9 = 0), p AS (SELECT *, lag(completed_before) OVER (ORDER BY trial_id) AS b FROM l) SELECT trial_id FROM p WHERE completed_before < b OR completed_before > completion_order")
+@query("WITH l AS (SELECT CAST(0 AS INT) AS study, o_orderkey AS trial_id, o_custkey % 50 AS completed_before, o_custkey % 40 AS completion_order FROM orders), p AS (SELECT *, lag(completed_before) OVER (ORDER BY trial_id) AS b FROM l) SELECT trial_id FROM p WHERE completed_before < b OR completed_before > completion_order")
 def str6_log_audit(spark, sf_dir):
-    log = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey % 9 = 0").select(F.lit(0).alias("study"), F.col("o_orderkey").alias("trial_id"), (F.col("o_custkey") % 50).alias("completed_before"), (F.col("o_custkey") % 40).alias("completion_order"))
+    log = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(0).alias("study"), F.col("o_orderkey").alias("trial_id"), (F.col("o_custkey") % 50).alias("completed_before"), (F.col("o_custkey") % 40).alias("completion_order"))
     return emission.audit(log).select("trial_id")
 
 
@@ -404,39 +437,38 @@ def dsr4_selected_is_max(spark, sf_dir):
     return good.agg(F.count("*").alias("eligible"), r(F.max("sharpe_per_period")).alias("top"), F.max_by("key", "sharpe_per_period").alias("selected"))
 
 
-@query(f"WITH {CURVE}{BLOCKS}, m AS (SELECT bm.key, y.r FROM bm JOIN y ON y.key = bm.key AND y.block = bm.block WHERE bm.block < 3) SELECT key, CAST(count(*) AS DOUBLE) AS n, round(sum(r), 9) AS s, round(var_pop(r) * count(*), 9) AS m2 FROM m GROUP BY 1")
+@query(f"""WITH {CURVE}{BLOCKS}, f0 AS (SELECT key, list(struct_pack(n := n::DOUBLE, s := s, m2 := m2) ORDER BY block) AS b FROM bm GROUP BY 1),
+m AS (SELECT key, list_reduce(b, lambda x, z: struct_pack(n := x.n + z.n, s := x.s + z.s, m2 := (x.m2 + z.m2) + (z.s / z.n - x.s / x.n) * (z.s / z.n - x.s / x.n) * x.n * z.n / (x.n + z.n))) AS v FROM f0)
+SELECT key, v.n AS n, round(v.s, 9) AS s, round(v.m2, 9) AS m2 FROM m""")
 def pbo3_moment_merge(spark, sf_dir):
-    moments = curves.block_moments(user_curve(spark, sf_dir), 6).where("block < 3")
-    item = F.struct("block", F.col("n").cast("double").alias("n"), "s", "m2")
-    g = moments.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("b"))  # three elements
-    first = F.struct(F.col("b")[0]["n"].alias("n"), F.col("b")[0]["s"].alias("s"), F.col("b")[0]["m2"].alias("m2"))
-    m = F.aggregate(F.slice("b", 2, F.size("b")), first, pbo.merge)
-    return g.select("key", m["n"].alias("n"), r(m["s"], 9).alias("s"), r(m["m2"], 9).alias("m2"))
+    m = F.col("m")
+    found = pbo.folded(curves.block_moments(user_curve(spark, sf_dir), 6), "key")
+    return found.select("key", m["n"].alias("n"), r(m["s"], 9).alias("s"), r(m["m2"], 9).alias("m2"))
 
 
-SELECTED = HOURLY + f""", g AS (SELECT range AS trial_id, 12 + 2 * (range // 4) AS entry, 2 + 2 * (range % 4) AS exit FROM range(20)),
-k AS (SELECT trial_id, timestamp, close, CASE WHEN close >= entry THEN 1 WHEN close <= exit THEN 0 END AS s FROM g, b WHERE symbol = 'view' AND timestamp >= {START} AND timestamp < {START + 5 * 86_400_000}),
+SELECTED = EVERY_HOUR + f""", g AS (SELECT range AS trial_id, 12 + 2 * (range // 4) AS entry, 2 + 2 * (range % 4) AS exit FROM range(20)),
+k AS (SELECT trial_id, timestamp, close, CASE WHEN close >= entry THEN 1 WHEN close <= exit THEN 0 END AS s FROM g, b WHERE timestamp >= {START} AND timestamp < {START + 5 * 86_400_000}),
 h AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY trial_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING), 0) AS held FROM k),
 i AS (SELECT trial_id, coalesce(lag(held) OVER w * (close - lag(close) OVER w), 0) AS gain FROM h WINDOW w AS (PARTITION BY trial_id ORDER BY timestamp))"""
 
 
 @query(f"WITH {SELECTED} SELECT trial_id, round(sum(gain), 6) AS net_profit FROM i GROUP BY 1")
 def evl12_selected_window(spark, sf_dir):
-    b = bars_.between(hourly(spark, sf_dir).where("symbol = 'view'"), START, START + 5 * 86_400_000)
+    b = bars_.between(every_hour(spark, sf_dir), START, START + 5 * 86_400_000)
     out = evaluate.evaluate(EVAL_SPACE.grid(spark), evaluate.bars_of(b, ("timestamp", "close")), evaluate.threshold, ("net_profit",))
     return out.select("trial_id", r(F.col("metrics")["net_profit"]).alias("net_profit"))
 
 
 @query("SELECT range AS trial_id, 'num_trades' AS metrics FROM range(20)")
 def evl7_requested_metrics(spark, sf_dir):
-    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     out = evaluate.evaluate(EVAL_SPACE.grid(spark), b, evaluate.threshold, ("num_trades",))
     return out.select("trial_id", F.array_join(F.map_keys("metrics"), ",").alias("metrics"))
 
 
 @query(None)
 def lif1_batches(spark, sf_dir):
-    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     found, why = STUDY.run_adaptive(spark, continuation.Random(EVAL_SPACE, 3), b, evaluate.threshold, 16, batch=8, patience=10)
     return spark.createDataFrame([(x["trial_id"], x["status"], x["objective"], why.name) for x in found], "trial_id bigint, status string, objective double, stop string")
 
@@ -445,7 +477,7 @@ def lif1_batches(spark, sf_dir):
 def lif2_rolling_schedule(spark, sf_dir):
     from stratamill.plans import rolling
 
-    b = evaluate.bars_of(hourly(spark, sf_dir).where("symbol = 'view'"), ("timestamp", "close"))
+    b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     _, log = rolling.run(spark, STUDY, continuation.Random(EVAL_SPACE, 3), b, evaluate.threshold, 4)
     return spark.createDataFrame(log, "completion_order int, trial_id int, completed_before int")
 
@@ -529,7 +561,7 @@ def spc7_injective_grids(spark, sf_dir):
     return spark.createDataFrame([("a", injective(Real("a", 0.0, 1.0, 0.001))), ("b", injective(Real("b", 1e16, 1e16 + 64, 0.5)))], "name string, injective boolean")
 
 
-@query(f"SELECT '{samplers.continuation_seed(7, 100):016x}' AS seed")
+@query(f"SELECT lpad(lower(hex(CAST({_split_mix_sql('xor(7::UHUGEINT, 100::UHUGEINT)')} AS UBIGINT))), 16, '0') AS seed")
 def smp22_continuation_seed(spark, sf_dir):
     return spark.createDataFrame([(f"{samplers.continuation_seed(7, 100):016x}",)], "seed string")
 

@@ -10,11 +10,14 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratamill.operators.ordered import lag_within, lead_within, numbered
 from stratamill.types import BAR, Refusal
 
 COLUMNS = ("timestamp", "open", "high", "low", "close", "volume")
 #: One binary record: five little-endian doubles and the bar's opening time in ms.
 RECORD = struct.Struct("<5dq")
+#: Bars that follow each other are dealt out by blocks of so many ms, or so many records.
+BLOCK_MS, BLOCK_RECORDS = 1 << 31, 1 << 16
 _UNIT_MS = {"D": 86_400_000, "W": 7 * 86_400_000, "S": 1000}
 _TIMEFRAME = re.compile(r"([1-9][0-9]{0,4})$|([1-9][0-9]{0,3})([DWMS])$")
 
@@ -38,8 +41,11 @@ def bar_close(ts: Column, token: str) -> Column:
     return ts + n * (60_000 if unit == "m" else _UNIT_MS[unit])
 
 
-def read_csv(spark: SparkSession, path: str, extra: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> DataFrame:
-    """Bars of a CSV file with a header in any case; further columns are allowed. Rows that don't parse are refused, and so is a file without rows."""
+def read_csv(spark: SparkSession, path: str, extra: tuple[str, ...] = (), optional: tuple[str, ...] = (), placed: bool = False) -> DataFrame:
+    """Bars of a CSV file with a header in any case; further columns are allowed. Rows that don't parse are refused, and so is a file without rows.
+
+    placed: add `place` (file, start, line), which rises with the rows' order in the file.
+    """
     raw = spark.read.option("header", False).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).text(path)
     head = raw.where(F.trim("value") != "").first()
     if head is None:
@@ -51,18 +57,19 @@ def read_csv(spark: SparkSession, path: str, extra: tuple[str, ...] = (), option
     if missing := [c for c in wanted if c not in names]:
         raise Refusal("csv_columns", ", ".join(missing))
     parts = F.split(F.regexp_replace("value", "^﻿", ""), ",", -1)
-    rows = raw.where((F.trim("value") != "") & (F.col("value") != head["value"])).select(parts.alias("p"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    rows = raw.select("value", *([place.alias("place")] if placed else [])).where((F.trim("value") != "") & (F.col("value") != head["value"])).select(parts.alias("p"), *(["place"] if placed else []))
     kind = {"timestamp": "bigint", "time_close": "bigint"}
     cells = {c: F.trim(F.get("p", F.lit(names.index(c)))) for c in wanted}
-    typed = rows.select(F.size("p").alias("_n"), *(F.when(cells[c].rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), cells[c].try_cast(kind.get(c, "double"))).alias(c) for c in wanted))
-    bad = typed.where((F.col("_n") < len(names)) | F.greatest(*(F.col(c).isNull().cast("int") for c in wanted), F.lit(0)).cast("boolean"))
-    first = bad.limit(1).collect()
-    if first:
-        raise Refusal("csv_row", str(first[0].asDict()))
-    out = typed.drop("_n")
-    if out.isEmpty():
+    number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    typed = rows.select(F.size("p").alias("_n"), *(F.when(cells[c].rlike(number), cells[c].try_cast(kind.get(c, "double"))).alias(c) for c in wanted), *(["place"] if placed else []))
+    bad = (F.col("_n") < len(names)) | F.greatest(*(F.col(c).isNull().cast("int") for c in wanted), F.lit(0)).cast("boolean")
+    seen = typed.agg(F.count("*").alias("n"), F.any_value(F.when(bad, F.struct(*wanted)), ignoreNulls=True).alias("bad")).first()
+    if seen["bad"] is not None:
+        raise Refusal("csv_row", str(seen["bad"].asDict()))
+    if not seen["n"]:
         raise Refusal("csv_empty", path)
-    return out
+    return typed.drop("_n")
 
 
 def read_binary(spark: SparkSession, path: str, sidecar: dict | None = None) -> DataFrame:
@@ -86,6 +93,9 @@ def read_binary(spark: SparkSession, path: str, sidecar: dict | None = None) ->
         if sidecar.get("record_size") != RECORD.size:
             raise Refusal("sidecar_record_size", str(sidecar.get("record_size")))
         seen = out.agg(F.count("*").alias("count"), F.min_by("timestamp", "record").alias("first_ts"), F.max_by("timestamp", "record").alias("last_ts")).first().asDict()
+        digests = {r["d"] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).limit(2).collect()}
+        if "sha256" in sidecar and digests != {sidecar["sha256"]}:
+            raise Refusal("sidecar_sha256", path)
         for k, v in seen.items():
             if sidecar.get(k) != v:
                 raise Refusal("sidecar_" + k, f"{sidecar.get(k)} is {v}")
@@ -98,25 +108,32 @@ def sidecar_of(content: bytes, symbol: str, tf: str) -> dict:
 
 
 def violations(bars: DataFrame, keys: list[str], order: str, binary: bool = False) -> DataFrame:
-    """Rows that break an invariant, with the first reason: prices that aren't finite, volume (a missing one passes in binary bars), times that don't rise."""
+    """Rows that break an invariant, with the first reason: prices that aren't finite, volume (a missing one passes in binary bars), times that don't rise.
+
+    order: what the rows follow each other by: `record` of binary bars, `place` of CSV rows, or a time.
+    """
 
     def odd(c):
         return F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
 
-    w = Window.partitionBy(*keys).orderBy(order)
+    if order == "place":
+        block, inside = F.struct("place.file", "place.start"), "place"
+    else:
+        block, inside = F.floor(F.col(order) / (BLOCK_MS if order == "timestamp" else BLOCK_RECORDS)), order
+    bars = lag_within(bars.withColumn("_block", block), keys, "_block", [inside], "timestamp", "_prior").drop("_block")
     volume = (F.col("volume") < 0) | (F.abs("volume") == F.lit(float("inf")))
     reason = (
         F.when(odd("open") | odd("high") | odd("low") | odd("close"), "price")
         .when(volume if binary else volume | odd("volume"), "volume")
-        .when(F.col("timestamp") <= F.lag("timestamp").over(w), "order")
+        .when(F.col("timestamp") <= F.col("_prior"), "order")
     )
-    return bars.withColumn("reason", reason).where("reason is not null")
+    return bars.withColumn("reason", reason).where("reason is not null").drop("_prior")
 
 
 def sliced(bars: DataFrame, keys: list[str], begin: int, length: int) -> DataFrame:
     """The `length` bars from number `begin` on, by key."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp")) - 1
-    return bars.withColumn("_n", n).where((F.col("_n") >= begin) & (F.col("_n") < begin + length)).drop("_n")
+    n = numbered(bars.withColumn("_block", F.floor(F.col("timestamp") / BLOCK_MS)), keys, "_block", ["timestamp"], "_n")
+    return n.where((F.col("_n") >= begin) & (F.col("_n") < begin + length)).drop("_n", "_block")
 
 
 def between(bars: DataFrame, start: int, end: int) -> DataFrame:
@@ -135,8 +152,7 @@ def resample(bars: DataFrame, keys: list[str], ms: int) -> DataFrame:
 def feed_checks(feed: DataFrame, token: str) -> DataFrame:
     """timestamp, time_close, ok of another symbol's feed: each bar closes after it opens, and before or when the next opens."""
     close = F.coalesce("time_close", bar_close(F.col("timestamp"), token)) if "time_close" in feed.columns else bar_close(F.col("timestamp"), token)
-    following = F.lead("timestamp").over(Window.partitionBy("symbol").orderBy("timestamp"))
-    rows = feed.withColumn("time_close", close).withColumn("_next", following)
+    rows = lead_within(feed.withColumn("time_close", close), ["symbol"], "timestamp", BLOCK_MS, "_next")
     return rows.withColumn("ok", (F.col("timestamp") < F.col("time_close")) & F.coalesce(F.col("time_close") <= F.col("_next"), F.lit(True))).drop("_next")
 
 

@@ -5,18 +5,34 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from stratamill.types import Refusal
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder for tables that are written and read again; one is set only where the session has none and runs on this machine alone, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise Refusal("checkpoint_dir", "set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "stratamill"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder is set only where the session has none, as in tests."""
+    """df.checkpoint() in the shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "stratamill"))
+    shared = folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
 
 
-def folder(spark) -> str:
-    """The shared folder for tables that are written and read again."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else os.path.join(tempfile.gettempdir(), "checkpoints")
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file to any store that Spark reaches."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
+    out.write(bytearray(content))
+    out.close()

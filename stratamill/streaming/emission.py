@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stratamill.operators.ordered import islands
+from stratamill.operators.ordered import islands, lag_within, numbered, running_max
 
-#: Rows that may wait for an earlier one, per study.
-PENDING = 10_000
+#: Ids that are dealt to one task in ordered operations over a table.
+BLOCK = 1 << 16
 
 
 def projected(status: Column) -> tuple[Column, Column]:
@@ -24,10 +24,11 @@ def projected(status: Column) -> tuple[Column, Column]:
     return F.when(status.isin("ok", "constraint_violation"), "ok").when(status.isin("pruned", "partial"), status).otherwise("failed"), status == "ok"
 
 
-def emit(trials: DataFrame, floor: int = 0, pending: int = PENDING) -> DataFrame:
+def emit(trials: DataFrame, floor: int = 0) -> DataFrame:
     """study, trial_id, status, outcome of a stream of (study, trial_id, status).
 
     outcome: emitted (in order), rejected (an id that was emitted or lies below the floor).
+    Rows that wait for an earlier one are held as state, however many they are.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,8 +44,6 @@ def emit(trials: DataFrame, floor: int = 0, pending: int = PENDING) -> DataFrame
         while following in waiting:
             out.append((key[0], following, waiting.pop(following), "emitted"))
             following += 1
-        if len(waiting) > pending:
-            raise RuntimeError(f"study {key[0]}: {len(waiting)} trials wait for trial {following}")
         state.update((following, list(waiting), list(waiting.values())))
         yield pd.DataFrame(out, columns=["study", "trial_id", "status", "outcome"])
 
@@ -62,7 +61,7 @@ def watermark(trials: DataFrame, floor: int = 0) -> DataFrame:
 
 def beyond(trials: DataFrame, floor: int = 0) -> DataFrame:
     """trials with beyond_watermark, and rejected for those below the floor."""
-    return trials.join(F.broadcast(watermark(trials, floor)), "study").withColumn("beyond_watermark", F.col("trial_id") > F.col("watermark")).withColumn("rejected", F.col("trial_id") < floor).drop("watermark")
+    return trials.join(watermark(trials, floor), "study").withColumn("beyond_watermark", F.col("trial_id") > F.col("watermark")).withColumn("rejected", F.col("trial_id") < floor).drop("watermark")
 
 
 def accounting(trials: DataFrame, floor: int = 0) -> DataFrame:
@@ -73,20 +72,20 @@ def accounting(trials: DataFrame, floor: int = 0) -> DataFrame:
 
 def patience(trials: DataFrame, limit: int, minimize: bool = False) -> DataFrame:
     """study, stops_at: the first id at which `limit` trials in a row, after the first feasible one, brought no strict improvement; null if none."""
-    own = Window.partitionBy("study").orderBy("trial_id")
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
     value = F.when(F.col("feasible"), -F.col("objective") if minimize else F.col("objective"))
-    rows = trials.withColumn("_v", value).withColumn("_best", F.max("_v").over(before))
-    rows = rows.withColumn("_better", F.col("_v").isNotNull() & (F.col("_best").isNull() | (F.col("_v") > F.col("_best"))))
-    rows = rows.withColumn("_n", F.row_number().over(own)).withColumn("_last", F.max(F.when(F.col("_better"), F.col("_n"))).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = trials.withColumn("_value", value).withColumn("_block", F.floor(F.col("trial_id") / BLOCK))
+    rows = running_max(rows, ["study"], "_block", ["trial_id"], F.col("_value"), "_best", inclusive=False)
+    rows = numbered(rows, ["study"], "_block", ["trial_id"], "_n")
+    better = F.col("_value").isNotNull() & (F.col("_best").isNull() | (F.col("_value") > F.col("_best")))
+    rows = running_max(rows, ["study"], "_block", ["trial_id"], F.when(better, F.col("_n")), "_last")
     hit = rows.where(F.col("_n") - F.col("_last") >= limit).groupBy("study").agg(F.min("trial_id").alias("stops_at"))
     return trials.select("study").distinct().join(hit, "study", "left")
 
 
 def audit(log: DataFrame) -> DataFrame:
     """Rows of a completion log (completion_order, trial_id, completed_before) that break its rules: completed_before falls, or isn't below the row's own place."""
-    before = F.lag("completed_before").over(Window.partitionBy("study").orderBy("trial_id"))
-    return log.withColumn("_b", before).where((F.col("completed_before") < F.col("_b")) | (F.col("completed_before") > F.col("completion_order"))).drop("_b")
+    rows = lag_within(log.withColumn("_block", F.floor(F.col("trial_id") / BLOCK)), ["study"], "_block", ["trial_id"], "completed_before", "_b")
+    return rows.where((F.col("completed_before") < F.col("_b")) | (F.col("completed_before") > F.col("completion_order"))).drop("_b", "_block")
 
 
 def late(trials: DataFrame, delay: str) -> DataFrame:

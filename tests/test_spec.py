@@ -106,8 +106,8 @@ def test_rosters_and_digests(spark):
     rows = spark.createDataFrame([(1, "ok", 4), (2, "pruned", 4), (3, "ok", 3), (4, "engine_error", 4)], "key int, status string, n_blocks int")
     roster = spark.createDataFrame([(1,), (2,), (3,), (4,)], "key int")
     defects = pbo.roster_defects(rows, roster, 4)
-    assert pbo.first_defect(defects) == "status_error" and defects.count() == 3
-    assert pbo.first_defect(pbo.roster_defects(rows, roster.where("key < 4"), 4)) == "roster_mismatch"
+    assert pbo.first_defect(defects) == "pbo_status_error" and defects.count() == 3
+    assert pbo.first_defect(pbo.roster_defects(rows, roster.where("key < 4"), 4)) == "pbo_roster_mismatch"
     a = pareto.input_digest(rows, ["key", "status"]).first()
     assert a == pareto.input_digest(rows.repartition(3), ["key", "status"]).first() and a["rows"] == 4
     assert a["digest"] != pareto.input_digest(rows.where("key > 1"), ["key", "status"]).first()["digest"]
