@@ -149,10 +149,11 @@ def row_key() -> Column:
 
 def build_index(docs: DataFrame, vocabulary: list[str], blocks: int) -> DataFrame:
     """(block, trigram, postings): the rows of each block whose lower-cased text contains the trigram."""
-    low = F.lower("text")
-    held = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in vocabulary)), lambda x: x.isNotNull())
+    # a text is lowered once, in a projection of its own; array_except drops the nulls in generated code
+    low = docs.select(row_key().alias("k"), F.lower("text").alias("low"))
+    held = F.array_except(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in vocabulary)), F.array(F.lit(None).cast("string")))
     return (
-        docs.select(row_key().alias("k"), F.explode(held).alias("trigram"))
+        low.select("k", F.explode(held).alias("trigram"))
         .groupBy(F.pmod("k", F.lit(blocks)).alias("block"), "trigram")
         .agg(F.collect_set("k").alias("postings"))
     )
