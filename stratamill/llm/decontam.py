@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import free_name, table
-from stratamill.llm.words import MARKS, lowered, pieces, words
+from stratamill.llm.words import MARKS, kept, lowered, pieces, words
 
 #: Hashed terms; leading singular vectors passed over (what all passages of a language have in common), vectors kept, columns drawn beyond them.
 TERMS, COMMON, RANK, EXTRA = 1 << 15, 4, 40, 4
@@ -79,6 +79,7 @@ def _passages(row: np.ndarray, size: int) -> np.ndarray:
 
 def _frequencies(terms: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("decontam", None, lambda: None)
         df, total = np.zeros(terms, np.int64), 0
         for batch in pieces(batches):
             row, h, *_ = words(lowered(batch.column("text")), MARKS)

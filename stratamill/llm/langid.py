@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import free_name, stage, table
-from stratamill.llm.words import MARKS, pieces, words
+from stratamill.llm.words import MARKS, kept, pieces, words
 
 UNKNOWN = "und"
 PER_LANGUAGE = 2000
@@ -64,13 +64,9 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 class Pieces:
     """The vocabulary as hashes by length; piece 0 to 255 are the single bytes."""
 
-    _held: dict[str, "Pieces"] = {}
-
     @classmethod
     def of(cls, path: str) -> "Pieces":
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        return kept("langid", path, lambda: cls(path))
 
     def __init__(self, path: str):
         import sentencepiece
@@ -340,9 +336,9 @@ def _predict(shared, path: str, lettered_as: str, names_of: tuple[str, str]):
             score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             lettered = batch.column(batch.schema.names.index(lettered_as)).to_numpy(zero_copy_only=False)
             pred = np.where(lettered, np.array(languages, object)[best], UNKNOWN)
-            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != lettered_as]
+            passed = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != lettered_as]
             names = [x for x in batch.schema.names if x != lettered_as]
-            yield pa.record_batch([*kept, pa.array(pred.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, *names_of])
+            yield pa.record_batch([*passed, pa.array(pred.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, *names_of])
 
     return run
 

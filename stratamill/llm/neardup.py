@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import free_name, stage, table
-from stratamill.llm.words import MARKS, lowered, mix64, pieces, words
+from stratamill.llm.words import MARKS, kept, lowered, mix64, pieces, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -156,6 +156,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
 
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("neardup", None, lambda: None)
         salt = np.arange(1, bands + 1, dtype=_U) * _STEP
         for batch in pieces(batches):
             n = batch.num_rows

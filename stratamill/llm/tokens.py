@@ -25,6 +25,7 @@ text.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import stage, table
-from stratamill.llm.words import SPACES, pieces, words
+from stratamill.llm.words import SPACES, kept, pieces, words
 
 END = 1
 #: A block is closed when it holds so many token ids.
@@ -106,9 +107,6 @@ class Bounds:
 
 # ---- Encoding ----------------------------------------------------------------
 
-_encoders: dict[str, "WordIds"] = {}
-
-
 class Buffer:
     """A numpy array that grows at its end."""
 
@@ -216,12 +214,8 @@ def _merged(a: tuple, b: tuple) -> tuple:
 
 
 def encoder(path: str) -> WordIds:
-    if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept("tokens", path, lambda: WordIds(path))
 
 
 def encode_column(col: pa.Array, path: str, remembered: int | None = None) -> tuple[np.ndarray, np.ndarray]:

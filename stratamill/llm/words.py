@@ -54,6 +54,19 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
+_kept: dict = {}
+
+
+def kept(owner: str, key, make):
+    """What a worker keeps for later tasks. It keeps things of one operator only: those of others go when another one begins."""
+    if _kept.get("owner") != owner:
+        _kept.clear()
+        _kept["owner"] = owner
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def lowered(col: pa.Array) -> pa.Array:
     """The column in lower case by Unicode."""
     return pc.utf8_lower(col)

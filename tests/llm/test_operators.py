@@ -210,7 +210,7 @@ def test_token_blocks(spark, odd, odd_rows, none):
 
 def test_words_that_find_no_room(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    monkeypatch.setattr(tokens, "_encoders", {})
+    monkeypatch.setattr(w, "_kept", {})
     texts = [b"one two three", "vier fünf, sechs. <|endoftext|> I'm İx".encode(), b"one seven", None]
     got, dtype = tokens.encode_texts(texts, tokens.tokenizer_path())
     tk = tokens.encoder(tokens.tokenizer_path()).tokenizer
