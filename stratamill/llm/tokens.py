@@ -47,8 +47,10 @@ REMEMBERED = 1_000_000
 PARTITION = 64 << 20
 #: Characters of a text by which rows without a doc_id, or with the same one, are dealt to partitions.
 PREFIX = 32
-#: Words of Latin letters only, each of which is one unit to a tokenizer that splits at anything else.
+#: A tokenizer that splits words at anything but letters makes one unit of a run of Latin letters, of a digit, and of a run of these marks.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_UNIT = re.compile('[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[.,;:!?()"/=+-]+')
+_UNITS = re.compile('[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?()"/=+-]+')
 #: One position in so many is sampled for select().
 SAMPLE = 256
 
@@ -154,26 +156,31 @@ class WordIds:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, found: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; words of letters together, as the ids tell where one ends."""
+        """Ids of each word; words of plain units together, as the ids tell where a unit ends."""
         out: list = [None] * len(found)
         plain, other = [], []
         for i, w in enumerate(found):
             t = w.decode()
-            (plain if _LETTERS.fullmatch(t) else other).append((i, t))
+            if _LETTERS.fullmatch(t):
+                plain.append((i, t, 1))
+            elif _UNITS.fullmatch(t):
+                plain.append((i, t, len(_UNIT.findall(t))))
+            else:
+                other.append((i, t, 0))
         for a in range(0, len(plain), 500):
             some = plain[a : a + 500]
-            ids = self._encode([" ".join(t for _, t in some)])[0]
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
+            ids = self._encode([" ".join(t for _, t, _ in some)])[0]
+            ends, units = np.flatnonzero(self.ends[ids]) + 1, np.cumsum([n for *_, n in some])
+            if len(ends) != units[-1]:
                 other += some
                 continue
             begin = 0
-            for (i, _), end in zip(some, ends.tolist(), strict=True):
+            for (i, *_), end in zip(some, ends[units - 1].tolist(), strict=True):
                 out[i] = ids[begin:end]
                 begin = end
         for a in range(0, len(other), 4096):
             some = other[a : a + 4096]
-            for (i, _), ids in zip(some, self._encode([t for _, t in some]), strict=True):
+            for (i, *_), ids in zip(some, self._encode([t for _, t, _ in some]), strict=True):
                 out[i] = ids
         return out
 
