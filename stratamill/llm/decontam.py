@@ -49,7 +49,7 @@ from stratamill.llm.words import MARKS, kept, lowered, pieces, words
 TERMS, COMMON, RANK, EXTRA = 1 << 15, 4, 40, 4
 #: Words of a passage when frequencies and singular vectors are learnt.
 PASSAGE = 32
-COSINE = 0.5
+COSINE = 0.2
 NEAR, LOOSE = 0.8, 0.5
 SHORT = 8
 #: Words of the items that are searched for at once.
