@@ -1,11 +1,18 @@
 """Licence scan by a positional rare-token index (DataFrame functions only).
 
-Templates are lists of key phrases. Inverse document frequencies of the template
-words come from all documents. Each phrase is looked up by its rarest words: a
-file's positional index holds where those words stand, shifting each list by the
-word's place in the phrase gives candidate starts, and the lists of one phrase are
-intersected. A start that survives is verified against the whole phrase. A
-template's label is given when each of its mandatory phrases is found.
+A template is a licence text with mandatory key phrases, whose places in the text are
+known. Inverse document frequencies of the phrases' words come from all documents. A
+file is looked up by its own licence words of the highest inverse frequency: of each
+phrase the ANCHORS rarest, as far as the file holds them. A file's positional index
+holds where those words stand; shifting each list by the word's place in the phrase
+gives candidate starts, the lists of one phrase are intersected, and a start that
+survives is verified against the whole phrase.
+
+Between phrases the postings are intersected by relative position: a phrase found at s
+that stands at q in the template puts the template's beginning at s - q, and phrases
+belong together if their beginnings lie no further apart than the template is long, as
+names, shortening and insertions shift them. A template's score is the largest share
+of its phrases that belong together, and its label is given when that is all of them.
 
 Every place of a phrase holds the phrase's rarest word, so the lookup loses none.
 
@@ -17,11 +24,13 @@ table gives an empty result; texts are read whole; other input columns are ignor
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamill.llm import license_texts as texts
 from stratamill.llm.store import table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,21 +41,40 @@ ANCHORS = 2
 
 @dataclass(frozen=True)
 class Template:
+    """phrases stand in text in that order; a template without a text of its own is its only phrase."""
+
     label: str
     phrases: tuple[str, ...]
+    text: str = ""
     base: bool = False
 
+    @property
+    def words(self) -> list[str]:
+        return [w for w in re.split(SEPARATORS, (self.text or self.phrases[0]).lower()) if w]
+
+    @property
+    def places(self) -> list[int]:
+        """Where each phrase begins in the text."""
+        ws, out = self.words, []
+        for phrase in self.phrases:
+            p = phrase.split()
+            out.append(next(i for i in range(out[-1] + 1 if out else 0, len(ws)) if ws[i : i + len(p)] == p))
+        return out
+
 
 TEMPLATES = (
-    Template("cc-by", ("cc by",), True),
-    Template("gpl", ("general public license",), True),
-    Template("reserved", ("all rights reserved",), True),
-    Template("mit", ("permission is hereby granted free of charge", "the software is provided as is")),
-    Template("apache", ("licensed under the apache license",)),
-    Template("bsd", ("redistribution and use in source and binary forms", "this software is provided by the copyright holders")),
-    Template("mpl", ("subject to the terms of the mozilla public license",)),
-    Template("isc", ("permission to use copy modify and or distribute this software",)),
-    Template("unlicense", ("free and unencumbered software released into the public domain",)),
+    Template("cc-by", ("cc by",), base=True),
+    Template("gpl", ("general public license",), base=True),
+    Template("reserved", ("all rights reserved",), base=True),
+    Template("mit", ("permission is hereby granted free of charge", "the software is provided as is"), texts.MIT),
+    Template("apache", ("licensed under the apache license",), texts.APACHE),
+    Template("apache-notice", ("licensed under the apache license", "in compliance with the license", "unless required by applicable law or agreed to in writing"), texts.APACHE),
+    Template("bsd", ("redistribution and use in source and binary forms", "this software is provided by the copyright holders"), texts.BSD),
+    Template("mpl", ("subject to the terms of the mozilla public license",), texts.MPL),
+    Template("isc", ("permission to use copy modify and or distribute this software",), texts.ISC),
+    Template("isc-text", ("permission to use copy modify and or distribute this software", "this permission notice appear in all copies", "the author disclaims all warranties"), texts.ISC),
+    Template("unlicense", ("free and unencumbered software released into the public domain",), texts.UNLICENSE),
+    Template("zlib", ("in no event will the authors be held liable", "the origin of this software must not be misrepresented", "this notice may not be removed or altered"), texts.ZLIB),
     Template("cc0", ("cc0 1 0 universal",)),
 )
 
@@ -109,10 +137,20 @@ def digest(scanned: DataFrame, templates=TEMPLATES) -> DataFrame:
     base = [t.label for t in templates if t.base]
     of_base = F.transform(F.filter("places", lambda p: p["label"].isin(base)), lambda p: p["start"])
 
-    def phrases_found(t):
-        return F.size(F.array_distinct(F.transform(F.filter("places", lambda p: p["label"] == t.label), lambda p: p["phrase"])))
+    def together(t):
+        """The largest share of the template's phrases whose places agree."""
+        own = F.filter("places", lambda p: p["label"] == t.label)
+        if len(t.phrases) == 1:
+            return F.when(F.size(own) > 0, 1.0).otherwise(0.0)
+        at = F.array(*map(F.lit, t.places))
+        begins = F.transform(own, lambda p: F.struct(p["phrase"].alias("phrase"), (p["start"] - F.element_at(at, p["phrase"] + 1)).alias("begin")))
+
+        def agreeing(x):
+            return F.size(F.array_distinct(F.transform(F.filter(begins, lambda y: F.abs(y["begin"] - x["begin"]) <= len(t.words)), lambda y: y["phrase"])))
+
+        return F.coalesce(F.array_max(F.transform(begins, agreeing)), F.lit(0)) / F.lit(float(len(t.phrases)))
 
-    share = {t.label: phrases_found(t) / F.lit(float(len(t.phrases))) for t in templates}
+    share = {t.label: together(t) for t in templates}
 
     def labels(ts):
         given = F.array(*(F.when(share[t.label] == 1.0, F.lit(t.label)) for t in ts))
@@ -147,7 +185,15 @@ def _oracle(templates=TEMPLATES) -> str:
             name = f"p_{t.label.replace('-', '_')}_{i}"
             cols.append(f"{places(p)} AS {name}")
             mine.append(name)
-        share = "(" + " + ".join(f"CAST(len({m}) > 0 AS INT)" for m in mine) + f") / {float(len(mine))}::DOUBLE"
+        if len(mine) == 1:
+            share = f"CAST(len({mine[0]}) > 0 AS INT) / 1.0::DOUBLE"
+        else:
+            q = t.places
+            near = [
+                f"list_transform({m}, lambda s: " + " + ".join(f"CAST(len(list_filter({o}, lambda y: abs((y - {q[j]}) - (s - {q[i]})) <= {len(t.words)})) > 0 AS INT)" for j, o in enumerate(mine)) + ")"
+                for i, m in enumerate(mine)
+            ]
+            share = f"coalesce(list_max(list_concat({', '.join(near)})), 0) / {float(len(mine))}::DOUBLE"
         shares.append(share)
         label = f"CASE WHEN {share} = 1 THEN '{t.label}' END"
         labels.append(label)

@@ -3,8 +3,12 @@
 A media value holds two logical streams, multiplexed page by page. Stream "pcm" has
 a header packet and then the samples (8-bit unsigned, one channel) in packets of
 PACKET bytes; a page's granule position is the number of samples up to the end of
-its last whole packet, so that a packet's time is granule / rate. Stream "meta" has
-one header packet and one packet with the unpadded length.
+its last whole packet. Stream "meta" has one header packet and one packet with the
+unpadded length.
+
+A packet that ends a page's whole packets ends at granule / rate; the others of that
+page end before it by the samples of those that follow. Packets after the last page
+that states a position have no time.
 
 Reading checks every page: capture pattern, version, CRC-32 (polynomial 04c11db7,
 not reflected, no inversion), page sequence. A page that fails is skipped, the next
@@ -150,15 +154,33 @@ def demux(media: bytes) -> tuple[dict[int, Stream], int]:
     return streams, skipped
 
 
+def packet_ends(stream: Stream, samples_of=len) -> list[int | None]:
+    """The position, in samples, at which each packet ends: stated by its page, or counted back from the next packet's."""
+    out: list[int | None] = []
+    following: int | None = None
+    for packet, granule in zip(reversed(stream.packets), reversed(stream.granules), strict=True):
+        end = granule if granule >= 0 else following
+        out.append(end)
+        following = None if end is None else end - samples_of(packet)
+    return out[::-1]
+
+
+def packet_times(stream: Stream, rate: int, samples_of=len) -> list[tuple[float, float] | None]:
+    """(start, end) of each packet in ms."""
+    return [None if e is None else ((e - samples_of(p)) * 1000 / rate, e * 1000 / rate) for p, e in zip(stream.packets, packet_ends(stream, samples_of), strict=True)]
+
+
 def features(samples: bytes, streams: dict[int, Stream], skipped: int, rate: int) -> str:
     x = np.frombuffer(samples, np.uint8).astype(np.int64)
     centred = 2 * x - 255
-    granule = max((g for g in streams[PCM].granules), default=0)
+    data = Stream(streams[PCM].packets[1:], streams[PCM].granules[1:])
+    times = [x for x in packet_times(data, rate) if x]
+    gaps = sum(abs(b[0] - a[1]) > 1e-6 for a, b in zip(times, times[1:], strict=False))
     crossings = int(np.count_nonzero(np.diff(centred > 0)))
     return ";".join(
         (
             f"streams={len(streams)}", f"pages={sum(s.pages for s in streams.values())}", f"packets={sum(len(s.packets) for s in streams.values())}",
-            f"bad={skipped + sum(s.lost for s in streams.values())}", f"ms={granule * 1000 // rate}", f"mean={int(x.sum()) // len(x)}",
+            f"bad={skipped + sum(s.lost for s in streams.values())}", f"ms={int(times[-1][1]) if times else 0}", f"gaps={gaps}", f"mean={int(x.sum()) // len(x)}",
             f"power={int((centred * centred).sum()) // len(x)}", f"peak={int(x.max())}", f"crossings={crossings}",
         )
     )

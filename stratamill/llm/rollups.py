@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import shared_dir, stage, table
+from stratamill.llm.tokens import encode_column
+from stratamill.llm.words import pieces
 
 BY = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, docs bigint, tokens bigint"
@@ -74,8 +77,24 @@ def count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def counted_by(docs: DataFrame, version: str, path: str, column: str = "tokens") -> DataFrame:
+    """docs (with a column text) with version and the number of ids that a public tokenizer's file makes of each text. Columns of those names are replaced."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("version", column.lower())))
+
+    def run(batches):
+        for batch in pieces(batches):
+            n = encode_column(batch.column(batch.schema.names.index("text")), path)[1]
+            yield pa.record_batch([*batch.columns, pa.array([version] * batch.num_rows, pa.string()), pa.array(n)], names=[*batch.schema.names, "version", column])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, version string, `{column}` bigint")
+
+
 def op7_token_rollups(spark, sf_dir):
-    """Three batches over all documents: counts by two tokenizers, a recount of the first that also counts each text's end, and the removal of what `labels` calls toxic."""
+    """Three batches over all documents: counts by two tokenizers that SQL can express, too, a recount of the first that also counts each text's end, and the removal of what `labels` calls toxic.
+
+    counted_by() gives the counts of a tokenizer's file for the same ledger.
+    """
     docs = table(spark, sf_dir, "documents")
     counted = stage(docs.select("doc_id", "source", "lang", count(F.col("text"), WORD_1).alias("a"), count(F.col("text"), WORD_2).alias("b")), "rollup_counts")
     both = F.explode(F.array(F.struct(F.lit("words-1").alias("version"), F.col("a").alias("tokens")), F.struct(F.lit("words-2").alias("version"), F.col("b").alias("tokens"))))
