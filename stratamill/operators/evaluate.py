@@ -76,6 +76,14 @@ def evaluate(candidates: DataFrame, bars: dict, evaluator: Callable[[dict, dict]
     return candidates.mapInPandas(run, f"{fields}, metrics map<string,double>, error string")
 
 
+def settings(timezone: str | None = None, overrides: dict | None = None, inputs: dict | None = None, syminfo: dict | None = None, feeds: dict | None = None) -> list[tuple[str, str, object]]:
+    """(kind, name, value) in the order in which a trial is set up; a trial gets a list of its own, so no state passes from one to the next."""
+    out = [("timezone", "timezone", timezone)] if timezone is not None else []
+    for kind, held in (("override", overrides), ("input", inputs), ("syminfo", syminfo), ("feed", feeds)):
+        out += [(kind, k, v) for k, v in (held or {}).items()]
+    return out
+
+
 # ---- Pruning -----------------------------------------------------------------
 
 

@@ -14,6 +14,14 @@ from stratamill.types import Refusal
 SENT = 50_000
 
 
+def admit(axes: list[tuple[str, str]]) -> dict[str, str]:
+    """Axes as (name, direction): two or more, different names, directions that are said."""
+    if len({n for n, _ in axes}) != len(axes):
+        raise Refusal("axis_repeated", str([n for n, _ in axes]))
+    _axes(dict(axes))
+    return dict(axes)
+
+
 def _axes(axes: dict[str, str]) -> list[str]:
     if len(axes) < 2:
         raise Refusal("axes", "two or more are needed")

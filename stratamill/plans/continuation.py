@@ -13,7 +13,7 @@ from stratamill.plans.samplers import Twister, continuation_seed, draw, random_i
 from stratamill.plans.space import Space
 from stratamill.plans.tpe import Tpe
 from stratamill.storage import cut_lineage
-from stratamill.types import Refusal
+from stratamill.types import STATUSES, Refusal
 
 #: Proposals that may fail before the lowest untried ordinal is taken.
 ATTEMPTS = 64
@@ -32,6 +32,24 @@ def admit_history(history: DataFrame, space: Space, space_hash: str | None = Non
     return history
 
 
+def history_defects(history: DataFrame, space: Space) -> DataFrame:
+    """trial_id, defect: warm rows (trial_id, status, feasible, objective, dimensions, and rung_scores if there are any) that can't be admitted, with the first reason."""
+    finite = F.col("objective").isNotNull() & ~F.isnan("objective") & (F.abs("objective") < F.lit(float("inf")))
+    odd_score = F.exists("rung_scores", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) if "rung_scores" in history.columns else F.lit(False)
+    twice = history.groupBy("trial_id").agg(F.count("*").alias("_times"))
+    issues = space.issues(history).select("trial_id", "issue").dropDuplicates(["trial_id"])
+    defect = (
+        F.when(F.col("trial_id").isNull() | (F.col("trial_id") < 0), "id")
+        .when(F.col("_times") > 1, "repeated")
+        .when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "status")
+        .when(F.col("feasible") != (F.col("status") == "ok"), "feasible")
+        .when((F.col("status") == "ok") & ~F.coalesce(finite, F.lit(False)), "objective")
+        .when(F.col("issue").isNotNull(), "vector")
+        .when(F.coalesce(odd_score, F.lit(False)), "rung_score")
+    )
+    return history.join(twice, "trial_id", "left").join(issues, "trial_id", "left").select("trial_id", defect.alias("defect")).where("defect is not null").distinct()
+
+
 def next_id(history: DataFrame) -> int:
     last = history.agg(F.max("trial_id")).first()[0]
     return 0 if last is None else last + 1

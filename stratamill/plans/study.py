@@ -18,6 +18,15 @@ from stratamill.operators.ordered import islands
 from stratamill.plans.space import Space
 
 
+#: What a run that was begun gives back: a best trial exists, input or output failed, no trial is feasible, a trial took too long, the history was refused, the space has no more (fixed values).
+EXITS = {"best": 0, "failed": 1, "infeasible": 2, "timeout": 3, "history_refused": 4, "exhausted": 5}
+
+
+def exit_code(statuses: set[str], best: bool) -> int:
+    """A timeout tells even where an earlier trial was feasible."""
+    return EXITS["timeout"] if "trial_timeout" in statuses else EXITS["best"] if best else EXITS["infeasible"]
+
+
 class Stop(IntEnum):
     """Why a study ended."""
 
@@ -124,6 +133,14 @@ def retained(trials: DataFrame, mode: str, k: int = 0, minimize: bool = False) -
     return ok.orderBy(F.col("objective").asc() if minimize else F.col("objective").desc(), "trial_id").limit(k if mode == "best-k" else 0)
 
 
+def with_space(trials: DataFrame, space: Space, mode: str = "hash") -> DataFrame:
+    """trials with what each row says of its space: `full` (its canonical JSON, too), `hash`, `none`."""
+    if mode not in ("full", "hash", "none"):
+        raise ValueError(mode)
+    named = {"space_hash_version": F.lit(1), "space_hash": F.lit(space.hash())} if mode != "none" else {}
+    return trials.withColumns(named | ({"space": F.lit(space.canonical())} if mode == "full" else {}))
+
+
 def write_trials(trials: DataFrame, path: str) -> None:
     """JSON lines; files and lines in them follow the trial ids, without one task that writes all."""
     trials.repartitionByRange("trial_id").sortWithinPartitions("trial_id").write.mode("errorifexists").json(path)

@@ -59,8 +59,32 @@ def split_rows(trials: DataFrame, objective: str = "objective", key: str = "tria
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def _phi(x: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+def log_phi(x: np.ndarray) -> np.ndarray:
+    """ln of the normal distribution function, by its series far below where erfc is 0."""
+    x = np.asarray(x, float)
+    far = x < -12
+    y = np.where(far, x, -12.0)
+    z = 1 / (y * y)
+    tail = -0.5 * y * y - np.log(-y) - 0.5 * math.log(2 * math.pi) + np.log1p(-z * (1 - 3 * z * (1 - 5 * z * (1 - 7 * z * (1 - 9 * z)))))
+    return np.where(far, tail, np.log(0.5 * np.asarray(_erfc(-np.where(far, 0.0, x) / math.sqrt(2)), float)))
+
+
+def log_interval(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """ln of the normal mass between low and high, taken in the tail where both lie."""
+    low, high = np.broadcast_arrays(np.asarray(low, float), np.asarray(high, float))
+    above = low > 0
+    a, b = np.where(above, -high, low), np.where(above, -low, high)
+    with np.errstate(divide="ignore"):
+        return log_phi(b) + np.log1p(-np.exp(np.minimum(log_phi(a) - log_phi(b), 0)))
+
+
+#: Terms so far below the largest don't count in a sum of logarithms (fixed value).
+CUT = -128.0
+
+
+def log_sum(x: np.ndarray) -> float:
+    top = float(x.max())
+    return top + math.log(float(np.exp(x[x - top >= CUT] - top).sum())) if math.isfinite(top) else top
 
 
 class Parzen:
@@ -78,7 +102,9 @@ class Parzen:
         sigma = np.clip(sigma, 1 / min(100, n + 2), 1.0)
         self.mean, self.sigma = np.append(x, 0.5), np.append(sigma, 1.0)
         self.weight = np.append(w, 1.0) / (w.sum() + 1.0)
-        self.mass = np.maximum(_phi((1 - self.mean) / self.sigma) - _phi(-self.mean / self.sigma), 1e-300)
+        self.log_mass_of = log_interval(-self.mean / self.sigma, (1 - self.mean) / self.sigma)
+        with np.errstate(divide="ignore"):
+            self.log_weight = np.log(self.weight)
 
     def draw(self, rng: Twister) -> float:
         k = min(int(np.searchsorted(np.cumsum(self.weight), rng.unit())), len(self.mean) - 1)
@@ -91,11 +117,10 @@ class Parzen:
 
     def log_density(self, x: float) -> float:
         z = (x - self.mean) / self.sigma
-        return math.log(max(float((self.weight * np.exp(-0.5 * z * z) / (self.sigma * math.sqrt(2 * math.pi) * self.mass)).sum()), 1e-300))
+        return log_sum(self.log_weight - 0.5 * z * z - np.log(self.sigma * math.sqrt(2 * math.pi)) - self.log_mass_of)
 
     def log_mass(self, low: float, high: float) -> float:
-        p = (_phi((high - self.mean) / self.sigma) - _phi((low - self.mean) / self.sigma)) / self.mass
-        return math.log(max(float((self.weight * p).sum()), 1e-300))
+        return log_sum(self.log_weight + log_interval((low - self.mean) / self.sigma, (high - self.mean) / self.sigma) - self.log_mass_of)
 
 
 def choice_mass(index: np.ndarray, w: np.ndarray, choices: int) -> np.ndarray:

@@ -590,3 +590,6 @@ def str9_repeated_trials(spark, sf_dir):
     q = emission.late(stream, "1 hour").writeStream.outputMode("append").option("checkpointLocation", state).format("parquet").option("path", out).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).select("study", "trial_id")
+
+
+from stratamill import queries_more  # noqa: E402, F401

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import json
+import math
 import re
 import struct
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratamill.operators.ordered import lag_within, lead_within, numbered
+from stratamill.sources.trials import loads_strict
 from stratamill.types import BAR, Refusal
 
 COLUMNS = ("timestamp", "open", "high", "low", "close", "volume")
@@ -187,11 +188,55 @@ def verify_unchanged(spark: SparkSession, path: str, before: list) -> None:
         raise Refusal("input_changed", path)
 
 
-def load_index(text: str) -> list[dict]:
-    """Entries of a feed index: symbol, timeframe and path each; at most 256."""
-    entries = json.loads(text)["feeds"]
-    if len(entries) > 256:
-        raise Refusal("feeds", f"{len(entries)} feeds")
-    for e in entries:
+#: Symbols, and feeds in all, that an index may name.
+MOST_SYMBOLS, MOST_FEEDS = 256, 256
+#: Facts of an instrument that are read (fixed names): texts, numbers, and one whole number.
+FACT_TEXTS, FACT_NUMBERS, FACT_WHOLE = ("tickerid", "type", "timezone", "session", "currency"), ("mincontract", "mintick", "pointvalue"), "series_origin_ms"
+
+
+def symbol_info(raw) -> dict:
+    """An instrument's facts from JSON text or an object, flat or below `syminfo`; unknown facts and null are passed over."""
+    raw = loads_strict(raw) if isinstance(raw, str) else raw
+    if isinstance(raw, dict) and isinstance(raw.get("syminfo"), dict):
+        raw = raw["syminfo"]
+    if raw is None:
+        return {}
+    if not isinstance(raw, dict):
+        raise Refusal("syminfo", "not an object")
+    out = {}
+    for name, v in raw.items():
+        if v is None:
+            continue
+        number = type(v) in (int, float)
+        if name in FACT_TEXTS:
+            good = isinstance(v, str) and 0 < len(v) <= 256 and all(ord(c) >= 32 for c in v)
+        elif name in FACT_NUMBERS:
+            good = number and math.isfinite(v) and v > 0
+        elif name == FACT_WHOLE:
+            good = type(v) is int
+        else:
+            continue
+        if not good:
+            raise Refusal("syminfo", name)
+        out[name] = v
+    return out
+
+
+def load_index(text: str, base: str = "") -> list[dict]:
+    """symbol, syminfo, timeframe, path of every feed that an index names; paths are relative to `base`, the index's folder."""
+    raw, out = loads_strict(text), []
+    if "feeds" in raw and isinstance(raw["feeds"], list):
+        out = [{"symbol": e["symbol"], "syminfo": {}, "timeframe": e["timeframe"], "path": e["path"]} for e in raw["feeds"]]
+    else:
+        for symbol, entry in raw.items():
+            if set(entry) - {"syminfo", "feeds"}:
+                raise Refusal("feeds", f"{symbol}: {sorted(set(entry) - {'syminfo', 'feeds'})}")
+            facts = symbol_info(entry.get("syminfo"))
+            out += [{"symbol": symbol, "syminfo": facts, "timeframe": t, "path": p} for t, p in (entry.get("feeds") or {}).items()]
+    if len(out) > MOST_FEEDS or len({e["symbol"] for e in out}) > MOST_SYMBOLS or len(raw) > MOST_SYMBOLS:
+        raise Refusal("feeds", f"{len(out)} feeds")
+    for e in out:
         timeframe(e["timeframe"])
-    return entries
+        if base and not re.match(r"([a-z0-9]+:)?/", e["path"]):
+            e["path"] = f"{base.rstrip('/')}/{e['path']}"
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratamill.operators import curves, dsr, holdout, neighbourhood, pareto, pbo
 from stratamill.operators.ordered import lag_within, numbered, running
 from stratamill.operators.ranks import twice_mid_rank
-from stratamill.plans.space import Boolean, Categorical, Integer, Space
+from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.types import Refusal
 
 
@@ -92,8 +92,54 @@ def test_overfitting_of_the_hand_worked_returns(spark):
     assert (found["n_splits"], found["n_lt0"], found["n_eq0"], found["n_gt0"], found["pbo"], found["work"]) == (6, 3.0, 0.0, 3.0, 0.5, 72)
 
 
-def test_splits_order():
+def test_splits_order(spark):
     assert pbo.ordered_splits(4) == [(0, 1), (0, 2), (0, 3), (2, 3), (1, 3), (1, 2)]
+    for blocks in (2, 4, 8):
+        made = {}
+        for x in pbo.splits_table(spark, blocks).where("train").collect():
+            made.setdefault(x["split"], set()).add(x["block"])
+        assert [made[i] for i in range(len(made))] == [set(c) for c in pbo.ordered_splits(blocks)]
+
+
+def test_merging_keeps_its_order_of_operations(spark):
+    rng = random.Random(5)
+    rows = [(k, b, float(rng.randint(2, 9)), rng.gauss(0, 3), abs(rng.gauss(0, 1))) for k in range(40) for b in range(6)]
+    found = {x["key"]: x["m"] for x in pbo.folded(spark.createDataFrame(rows, "key int, block int, n double, s double, m2 double"), "key").collect()}
+    for k in range(40):
+        n, s, m = next((n, s, m) for key, b, n, s, m in rows if key == k and b == 0)
+        for _, _, n2, s2, m2 in rows[6 * k + 1 : 6 * k + 6]:
+            d = s2 / n2 - s / n
+            term = d * d
+            term = term * n
+            term = term * n2
+            n, s, m = n + n2, s + s2, (m + m2) + term / (n + n2)
+        assert (found[k]["n"], found[k]["s"], found[k]["m2"]) == (n, s, m)
+
+
+def test_flat_trials_are_refused(spark):
+    rows = [(k, b, 3, float(k + b), 0.0 if k == 2 else 1.0 + k) for k in range(4) for b in range(4)]
+    flat = [(2, b, 3, 6.0, 0.0) if k == 2 else (k, b, n, s, m) for k, b, n, s, m in rows]
+    with pytest.raises(Refusal, match="pbo_zero_variance"):
+        pbo.pbo(spark.createDataFrame(flat, "key int, block int, n int, s double, m2 double"), 4)
+    one = spark.createDataFrame([x for x in rows if x[0] == 0], "key int, block int, n int, s double, m2 double")
+    with pytest.raises(Refusal, match="pbo_too_few_trials"):
+        pbo.pbo(one, 4)
+
+
+def test_moves_of_logarithmic_values(spark):
+    space = Space((Integer("n", 2, 100, log=True), Real("x", 0.5, 8.0, log=True), Real("y", 0.0, 10.0)))
+    c = spark.createDataFrame([(1, 5, 1.0, 5.0), (2, 3, 8.0, 0.2), (3, 60, 0.5, 9.9), (4, 2, 2.0, 10.0)], "centre int, n bigint, x double, y double")
+    got = {}
+    for r in neighbourhood.neighbours(c, space, fraction=0.1, ratio=2.0).collect():
+        got.setdefault((r["centre"], r["dimension"]), []).append(r[r["dimension"]])
+    assert [sorted(got.get((k, "n"), [])) for k in (1, 2, 3, 4)] == [[3, 10], [2, 6], [30], [4]]
+    assert [sorted(got.get((k, "x"), [])) for k in (1, 2, 3, 4)] == [[0.5, 2.0], [4.0], [1.0], [1.0, 4.0]]
+    assert [sorted(got.get((k, "y"), [])) for k in (1, 2, 3, 4)] == [[4.0, 6.0], [1.2], [8.9], [9.0]]
+    dropped = {(r["centre"], r["dimension"]): (r["bounds"], r["same_as_centre"]) for r in neighbourhood.dropped(c, space, fraction=0.1, ratio=2.0).collect()}
+    assert dropped[3, "n"] == (1, 0) and dropped[4, "n"] == (1, 0) and dropped[1, "n"] == (0, 0) and dropped[2, "x"] == (1, 0) and dropped[2, "y"] == (1, 0)
+    # a small ratio rounds back to the value itself
+    same = {r["centre"]: (r["bounds"], r["same_as_centre"]) for r in neighbourhood.dropped(c, space, ratio=1.05).where("dimension = 'n'").collect()}
+    assert same[1] == (0, 2) and same[3] == (0, 0)
 
 
 def test_deflated_sharpe_of_the_hand_worked_case(spark):

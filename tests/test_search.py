@@ -49,7 +49,10 @@ def test_continuation_and_issues(spark):
 def test_sobol_first_points(spark):
     space = Space(tuple(Real(f"x{i}", 0.0, 1.0) for i in range(3)))
     got = [tuple(r)[1:] for r in samplers.sobol(spark, space, 8).orderBy("trial_id").collect()]
-    assert got[:4] == [(0.0, 0.0, 0.0), (0.5, 0.5, 0.5), (0.75, 0.25, 0.25), (0.25, 0.75, 0.75)]
+    # the points that are published with the direction numbers
+    assert got == [(0.0, 0.0, 0.0), (0.5, 0.5, 0.5), (0.75, 0.25, 0.25), (0.25, 0.75, 0.75), (0.375, 0.375, 0.625), (0.875, 0.875, 0.125), (0.625, 0.125, 0.875), (0.125, 0.625, 0.375)]
+    assert [x >> 49 for x in samplers.direction_words(1)[:15]] == [m << 15 - k for k, m in enumerate([1, 3, 5, 15, 17, 51, 85, 255, 257, 771, 1285, 3855, 4369, 13107, 21845], 1)]
+    assert samplers.split_mix(0) == 0xE220A8397B1DCDAF and samplers.split_mix(0x9E3779B97F4A7C15) == 0x6E789E6AA1B965F4
     assert sorted(x for x, *_ in got) == [i / 8 for i in range(8)]
     later = samplers.sobol(spark, space, 4, seed=9, first=4)
     assert sorted(map(tuple, later.collect())) == sorted(tuple(r) for r in samplers.sobol(spark, space, 8, seed=9).where("trial_id >= 4").collect())
@@ -150,6 +153,25 @@ def test_csv(spark, tmp_path):
             bars.read_csv(spark, str(tmp_path / "b.csv"))
 
 
+def test_order_in_the_file(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    times = [3, 1, 2, 4, 4, 5]
+    path.write_text("timestamp,open,high,low,close,volume\n" + "".join(f"{t},1,1,1,1,1\n" for t in times))
+    got = bars.read_csv(spark, str(path), placed=True).withColumn("s", F.lit(1))
+    bad = bars.violations(got, ["s"], "place")
+    assert sorted(r["timestamp"] for r in bad.collect()) == [1, 4] and {r["reason"] for r in bad.collect()} == {"order"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        many = [i for i in range(400)]
+        many[100], many[101] = many[101], many[100]
+        path.write_text("timestamp,open,high,low,close,volume\n" + "".join(f"{t},1,1,1,1,1\n" for t in many))
+        split = bars.read_csv(spark, str(path), placed=True).withColumn("s", F.lit(1))
+        assert split.select("place.start").distinct().count() > 10
+        assert [r["timestamp"] for r in bars.violations(split, ["s"], "place").collect()] == [100]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_binary(spark, tmp_path):
     content = b"".join(struct.pack("<5dq", 1.0, 2.0, 0.5, 1.5, 3.0, ts) for ts in (10, 20, 20))
     (tmp_path / "a.bin").write_bytes(content)
