@@ -81,29 +81,41 @@ class Study:
         """All candidates in one job: grid, random, Sobol and listed candidates need no feedback."""
         return self.scored(evaluate(candidates, bars, evaluator, self.metrics))
 
-    def run_adaptive(self, spark: SparkSession, sampler, bars: dict, evaluator, trials: int, batch: int = 8, patience: int | None = None, seconds: float | None = None) -> tuple[list[dict], Stop]:
-        """Batches of proposals, each one job; results go back to the sampler in trial order."""
-        done: list[dict] = []
+    def run_adaptive(self, spark: SparkSession, sampler, bars: dict, evaluator, trials: int, batch: int | None = 8, patience: int | None = None, seconds: float | None = None, out: str | None = None) -> tuple[list[dict], Stop]:
+        """Batches of proposals, each one job; results go back to the sampler in trial order.
+
+        batch: as many as the cluster runs at once, if None. out: a folder to which every
+        batch's rows are appended; then none is held here, and the list is empty.
+        """
+        kept: list[dict] = []
+        asked_for, any_good = 0, False
+        batch = batch or max(8, spark.sparkContext.defaultParallelism)
         waiting = Patience(patience, self.minimize) if patience else None
         began = time.monotonic()
-        while len(done) < trials:
+        while asked_for < trials:
             if seconds is not None and time.monotonic() - began >= seconds:
-                return done, Stop.WALL_LIMIT
-            asked = [c for c in (sampler.ask() for _ in range(min(batch, trials - len(done)))) if c is not None]
+                return kept, Stop.WALL_LIMIT
+            asked = [c for c in (sampler.ask() for _ in range(min(batch, trials - asked_for))) if c is not None]
             if not asked:
                 break
-            rows = [{"trial_id": len(done) + i} | c for i, c in enumerate(asked)]
+            rows = [{"trial_id": asked_for + i} | c for i, c in enumerate(asked)]
             frame = spark.createDataFrame(rows).select("trial_id", *self.space.names)
-            found = sorted(self.run(frame, bars, evaluator).collect(), key=lambda r: r["trial_id"])  # a batch
+            result = self.run(frame, bars, evaluator)
+            found = sorted(result.collect(), key=lambda r: r["trial_id"])  # a batch
+            if out is not None:
+                spark.createDataFrame(found, result.schema).write.mode("append").parquet(out)
+            else:
+                kept += [r.asDict() for r in found]
+            asked_for += len(found)
             stop = False
             for c, r in zip(asked, found, strict=True):
-                done.append(r.asDict())
+                any_good = any_good or r["feasible"]
                 good = r["feasible"] and r["objective"] is not None and math.isfinite(r["objective"])
                 sampler.tell(c, r["objective"]) if good else sampler.abandon(c)
                 stop = stop or bool(waiting and waiting.observe(r["feasible"], r["objective"]))
             if stop:
-                return done, Stop.PATIENCE
-        return done, Stop.COMPLETE if any(r["feasible"] for r in done) else Stop.NO_FEASIBLE
+                return kept, Stop.PATIENCE
+        return kept, Stop.COMPLETE if any_good else Stop.NO_FEASIBLE
 
     def document(self, trials: DataFrame, sampler: str) -> dict:
         """The study's result without its trials, which are written as a table."""

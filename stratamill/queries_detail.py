@@ -16,7 +16,7 @@ from stratamill.plans import continuation, samplers
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, write_trials
 from stratamill.plans.tpe import Parzen, Tpe, weighted
-from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, EVERY_HOUR, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, RETURNS, SELECTION, SOBOL_N, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _sobol_sql, _two, events, every_hour, hourly, query, r, studies, trials, user_curve
+from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, EVERY_HOUR, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, SIGNALS, RETURNS, SELECTION, SOBOL_N, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _sobol_sql, _two, events, every_hour, hourly, query, r, studies, trials, user_curve
 from stratamill.sources import bars as bars_
 from stratamill.sources import trials as trial_files
 from stratamill.storage import folder, cut_lineage
@@ -204,9 +204,12 @@ def smp8_parzen_study(spark, sf_dir):
     return spark.createDataFrame([(x["trial_id"], x["entry"], x["exit"], x["objective"]) for x in found], "trial_id bigint, entry bigint, exit bigint, objective double")
 
 
-@query(None)
+@query(f"WITH {TRIALS_SQL}, g AS (SELECT 1 + range // 25 AS size, 'Brand#' || (1 + range % 25) AS brand FROM range(1250)) SELECT size, brand, TRUE AS later FROM g ANTI JOIN tr USING (size, brand)")
 def smp23_random_continuation(spark, sf_dir):
-    return continuation.continued_random(spark, PART_SPACE, trials(spark, sf_dir), 5, 500)
+    """More is asked than is left, so all of it comes, with ids after those of the history."""
+    history = trials(spark, sf_dir)
+    last = history.agg(F.max("trial_id")).first()[0]
+    return continuation.continued_random(spark, PART_SPACE, history, 5, 2000).select("size", "brand", (F.col("trial_id") > last).alias("later"))
 
 
 # ---- Evaluation --------------------------------------------------------------
@@ -248,10 +251,18 @@ def evl13_symbol_routing(spark, sf_dir):
     return evaluate.routed(hourly(spark, sf_dir), bound, "symbol").groupBy("symbol", "dataset_id").agg(F.sum("volume").alias("volume"))
 
 
-@query(None)
+PREFIXED = SIGNALS + """, no AS (SELECT trial_id, entry, exit, timestamp, equity - 1000 AS net, row_number() OVER (PARTITION BY trial_id ORDER BY timestamp) AS i FROM q),
+nb AS (SELECT max(i) AS n, CAST(ceil(0.25 * max(i)) AS BIGINT) AS a, CAST(ceil(0.5 * max(i)) AS BIGINT) AS b FROM no),
+r0 AS (SELECT trial_id, entry, exit, round(net, 6) AS net, i, row_number() OVER (ORDER BY round(net, 6) DESC, trial_id) AS place, count(*) OVER () AS m FROM no, nb WHERE i = a), c0 AS (SELECT net AS cut FROM r0 WHERE place = ceil(m / 3.0)),
+r1 AS (SELECT no.trial_id, no.entry, no.exit, round(no.net, 6) AS net, no.i, row_number() OVER (ORDER BY round(no.net, 6) DESC, no.trial_id) AS place, count(*) OVER () AS m FROM no, nb, c0, r0 WHERE no.i = b AND r0.trial_id = no.trial_id AND r0.net >= cut), c1 AS (SELECT net AS cut FROM r1 WHERE place = ceil(m / 3.0)),
+r2 AS (SELECT no.trial_id, no.entry, no.exit, round(no.net, 6) AS net, no.i FROM no, nb, c1, r1 WHERE no.i = n AND r1.trial_id = no.trial_id AND r1.net >= cut)"""
+
+
+@query(f"""WITH {PREFIXED} SELECT trial_id, entry, exit, net AS objective, CAST(0 AS INT) AS rung, CAST(i AS INT) AS bars_processed, TRUE AS pruned FROM r0, c0 WHERE net < cut
+UNION ALL SELECT trial_id, entry, exit, net, 1, CAST(i AS INT), TRUE FROM r1, c1 WHERE net < cut UNION ALL SELECT trial_id, entry, exit, net, 2, CAST(i AS INT), FALSE FROM r2""")
 def evl4_successive_halving(spark, sf_dir):
     b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
-    out = evaluate.halving(EVAL_SPACE.grid(spark), b, evaluate.threshold, ("net_profit",), lambda d: F.col("metrics")["net_profit"], [0.25, 0.5], 3)
+    out = evaluate.halving(EVAL_SPACE.grid(spark), b, evaluate.threshold, ("net_profit",), lambda d: F.round(F.col("metrics")["net_profit"], 6), [0.25, 0.5], 3)
     return out.select("trial_id", "entry", "exit", "objective", "rung", "bars_processed", "pruned")
 
 

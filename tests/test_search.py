@@ -134,6 +134,15 @@ def test_adaptive_study(spark):
     assert [p.observe(*x) for x in ((False, None), (True, 1.0), (True, 1.0), (True, 0.5))] == [False, False, False, True]
 
 
+def test_adaptive_rows_go_to_a_table(spark, tmp_path):
+    study = Study(EVAL, "net_profit", ("net_profit", "num_trades"))
+    out = str(tmp_path / "trials")
+    held, why = study.run_adaptive(spark, Tpe(EVAL, 3), BARS, evaluate.threshold, 20, batch=None, out=out)
+    kept, same = study.run_adaptive(spark, Tpe(EVAL, 3), BARS, evaluate.threshold, 20, batch=max(8, spark.sparkContext.defaultParallelism))
+    rows = spark.read.parquet(out).orderBy("trial_id").collect()
+    assert held == [] and why == same and [(r["trial_id"], r["entry"], r["objective"]) for r in rows] == [(r["trial_id"], r["entry"], r["objective"]) for r in kept]
+
+
 def test_pruning(spark):
     assert evaluate.rungs([0.1, 0.25, 0.25, 1.0], 20) == [2, 5, 20]
     h = spark.createDataFrame([(0, i, float(s)) for i, s in enumerate([1, 5, 3, 4, 2, 6])], "rung int, trial_id int, score double")
