@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamill.operators.ranks import RANGES
+from stratamill.storage import cut_lineage
 from stratamill.types import Refusal
 
 #: Distinct vectors that are sent to every executor at once.
@@ -88,7 +89,7 @@ def front(df: DataFrame, axes: dict[str, str]) -> DataFrame:
     if len(names) == 2:
         on = _front_2(v)
     else:
-        left = v.mapInPandas(_local(names), ", ".join(f"{n} double" for n in names))
+        left = cut_lineage(v.mapInPandas(_local(names), ", ".join(f"{n} double" for n in names)))
         blocks = -(-left.count() // SENT)
         on = left
         for b in range(blocks):
@@ -99,16 +100,83 @@ def front(df: DataFrame, axes: dict[str, str]) -> DataFrame:
     return rows.join(on, names, "left_semi").drop(*names)
 
 
+#: Vectors of a range, and ranges of an axis at most (their square is the size of a table that every executor gets).
+IN_RANGE, MOST_RANGES = 50_000, 1024
+
+
+def _above(x, y, n, apart):
+    """For each point the weights of those with a larger x (`apart`), or of others with an x as large at least, and a y as large at least.
+
+    Points are different, unless only those apart count.
+    """
+    import numpy as np
+
+    order = np.lexsort((-y, -x))
+    x, y, n = x[order], y[order], n[order]
+    out = np.zeros(len(x), np.int64)
+    edges = np.flatnonzero(np.diff(x, prepend=np.inf)) if apart else np.arange(0, len(x), 1024)
+    seen, weight = np.zeros(0), np.zeros(0, np.int64)
+    for j in map(slice, edges, np.append(edges[1:], len(x))):
+        # what came before: its y in order, and the weights from each on
+        after = np.append(np.cumsum(weight[::-1])[::-1], 0)
+        out[j] = after[np.searchsorted(seen, y[j], "left")]
+        if not apart:
+            out[j] += ((x[j] >= x[j][:, None]) & (y[j] >= y[j][:, None])) @ n[j] - n[j]
+        at = np.argsort(np.append(seen, y[j]), kind="stable")
+        seen, weight = np.append(seen, y[j])[at], np.append(weight, n[j])[at]
+    back = np.empty(len(x), np.int64)
+    back[order] = out
+    return back
+
+
+def _counts_2(v: DataFrame) -> DataFrame:
+    """_0, _1, dominated_by of distinct vectors of two axes, without pairs of them.
+
+    Both axes are cut in ranges. What dominates a vector lies in its own range of the
+    first axis, or beyond that in its own range of the second, or beyond both: the first
+    two are counted inside a range, the last is a sum over cells of ranges.
+    """
+    import numpy as np
+    import pandas as pd
+
+    v = cut_lineage(v)
+    ranges = max(1, min(MOST_RANGES, -(-v.count() // IN_RANGE)))
+    cuts = [np.array(sorted(set(c))) for c in v.approxQuantile(["_0", "_1"], [i / ranges for i in range(1, ranges)], 0.1 / ranges)] if ranges > 1 else [np.zeros(0)] * 2
+
+    def dealt(batches):
+        for x in batches:
+            yield x.assign(r0=np.searchsorted(cuts[0], x["_0"], "right"), r1=np.searchsorted(cuts[1], x["_1"], "right"))
+
+    rows = cut_lineage(v.mapInPandas(dealt, "_0 double, _1 double, n bigint, r0 int, r1 int"))
+    cells = np.zeros((ranges + 1, ranges + 1), np.int64)
+    for c in rows.groupBy("r0", "r1").agg(F.sum("n").alias("n")).toLocalIterator():  # ranges x ranges at most
+        cells[c["r0"], c["r1"]] = c["n"]
+    beyond = v.sparkSession.sparkContext.broadcast(cells[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1])
+
+    def first(g: pd.DataFrame) -> pd.DataFrame:
+        own = _above(g["_0"].to_numpy(), g["_1"].to_numpy(), g["n"].to_numpy(), False)
+        return g[["_0", "_1"]].assign(above=own + beyond.value[g["r0"] + 1, g["r1"] + 1])
+
+    def second(g: pd.DataFrame) -> pd.DataFrame:
+        return g[["_0", "_1"]].assign(above=_above(g["r0"].to_numpy(float), g["_1"].to_numpy(), g["n"].to_numpy(), True))
+
+    kind = "_0 double, _1 double, above bigint"
+    both = rows.groupBy("r0").applyInPandas(first, kind).union(rows.groupBy("r1").applyInPandas(second, kind))
+    return both.groupBy("_0", "_1").agg(F.sum("above").alias("dominated_by"))
+
+
 def domination_counts(df: DataFrame, axes: dict[str, str], max_work: int | None = None) -> DataFrame:
-    """df with `dominated_by`, the number of rows that dominate it. The work is one comparison for each pair of distinct vectors."""
+    """df with `dominated_by`, the number of rows that dominate it. Two axes are counted by ranges; more cost one comparison for each pair of distinct vectors."""
     _axes(axes)
     names = [f"_{i}" for i in range(len(axes))]
     v = vectors(df, axes)
     if max_work is not None and (n := v.count()) * (n - 1) // 2 > max_work:
         raise Refusal("work", f"{n * (n - 1) // 2} comparisons, {max_work} admitted")
-    # the first axis bounds the search: ranges of it that lie below a vector can't dominate it
-    pairs = v.alias("b").join(v.alias("a"), _dominates(names, "a", "b"))
-    counts = pairs.groupBy(*(F.col(f"b.{n}").alias(n) for n in names)).agg(F.sum("a.n").alias("dominated_by"))
+    if len(names) == 2:
+        counts = _counts_2(v)
+    else:
+        pairs = v.alias("b").join(v.alias("a"), _dominates(names, "a", "b"))
+        counts = pairs.groupBy(*(F.col(f"b.{n}").alias(n) for n in names)).agg(F.sum("a.n").alias("dominated_by"))
     keys = [((F.col(a) if d == "maximize" else -F.col(a)) + 0.0) for a, d in axes.items()]
     rows = df.withColumns({n: k for n, k in zip(names, keys, strict=True)}).join(counts, names, "left")
     return rows.withColumn("dominated_by", F.coalesce("dominated_by", F.lit(0))).drop(*names)

@@ -1,6 +1,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,21 @@ def test_front_and_counts_by_brute_force(spark, axes):
         pareto.domination_counts(df, spec, max_work=10)
 
 
+def test_domination_counts_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(pareto, "IN_RANGE", 40)
+    rng = random.Random(12)
+    rows = [(i, float(rng.choice([1, 2, 2, 3, rng.randint(0, 60)])), float(rng.choice([5, 5, rng.randint(0, 60), rng.random()]))) for i in range(700)]
+    got = {r["i"]: r["dominated_by"] for r in pareto.domination_counts(spark.createDataFrame(rows, "i int, a double, b double"), {"a": "maximize", "b": "minimize"}).collect()}
+    assert got == {i: sum(x >= a and y <= b and (x > a or y < b) for _, x, y in rows) for i, a, b in rows}
+    points = [(float(rng.randrange(5)), float(rng.randrange(700))) for _ in range(5000)]
+    for apart, of in ((True, points), (False, list(dict.fromkeys(points)))):
+        x, y = np.array(of).T
+        n = np.array(rng.choices([1, 2, 5], k=len(of)))
+        over = (x > x[:, None] if apart else x >= x[:, None]) & (y >= y[:, None])
+        np.fill_diagonal(over, False)
+        assert (pareto._above(x, y, n, apart) == over @ n).all()
+
+
 def test_split_results_against_brute_force(spark):
     rng = random.Random(8)
     returns = {k: [[rng.gauss(0, 1) for _ in range(5)] for _ in range(4)] for k in range(11)}
