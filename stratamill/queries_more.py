@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from stratamill.failures import CODES
 from stratamill.operators import evaluate, pareto
-from stratamill.plans import continuation, rolling
-from stratamill.plans.space import Boolean, Integer, Real, Space
+from stratamill.plans import continuation, rolling, samplers
+from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, data_context, exit_code, with_space
 from stratamill.plans.tpe import Parzen, Tpe, log_interval
 from stratamill.queries import EVAL_SPACE, EVERY_HOUR, PART_SPACE, SIGNALS, TRIALS_SQL, every_hour, query, trials
@@ -195,6 +195,17 @@ def smp17_bounded_history(spark, sf_dir):
     return spark.createDataFrame([(t.count, len(t.kept), len(values & set(map(float, range(975, 1000)))), len(set(ids) & set(range(936, 1000))))], "told int, kept int, best int, newest int")
 
 
+#: The first outputs of the 64-bit Mersenne Twister seeded with 5489, as published (fixed values).
+PUBLISHED_WORDS = (14514284786278117030, 4620546740167642908, 13109570281517897720, 17462938647148434322, 355488278567739596, 7469126240319926998, 4635995468481642529, 418970542659199878, 9604170989252516556)
+
+
+@query(f"""WITH w AS (SELECT i - 1 AS i, CAST(x AS UBIGINT) AS x FROM (SELECT generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT [{", ".join(f"{x}::UBIGINT" for x in PUBLISHED_WORDS)}] AS l)))
+SELECT CAST(i // 3 AS BIGINT) AS trial_id, CAST(max(x % 1000) FILTER (i % 3 = 0) AS BIGINT) AS a, max(x % 2) FILTER (i % 3 = 1) = 1 AS b, CAST(max(x % 7) FILTER (i % 3 = 2) AS BIGINT) AS c FROM w GROUP BY 1""")
+def smp3_serial_stream(spark, sf_dir):
+    space = Space((Integer("a", 0, 999), Boolean("b"), Categorical("c", tuple(range(7)))))
+    return spark.createDataFrame([(i, x["a"], x["b"], x["c"]) for i, x in enumerate(samplers.random_serial(space, 5489, 3))], "trial_id bigint, a bigint, b boolean, c bigint")
+
+
 # ---- Studies -----------------------------------------------------------------
 
 
