@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm.store import shared_dir, stage, table
+from stratamill.llm.store import session_dir, stage, table
 from stratamill.llm.tokens import encode_column
 from stratamill.llm.words import pieces
 
@@ -98,7 +98,7 @@ def op7_token_rollups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     counted = stage(docs.select("doc_id", "source", "lang", count(F.col("text"), WORD_1).alias("a"), count(F.col("text"), WORD_2).alias("b")), "rollup_counts")
     both = F.explode(F.array(F.struct(F.lit("words-1").alias("version"), F.col("a").alias("tokens")), F.struct(F.lit("words-2").alias("version"), F.col("b").alias("tokens"))))
-    ledger = Ledger(spark, f"{shared_dir(spark)}/stratamill/{uuid.uuid4().hex}/rollups")
+    ledger = Ledger(spark, f"{session_dir(spark)}/{uuid.uuid4().hex}/rollups")
     ledger.commit("load", counted.select("source", "lang", both.alias("v"), F.lit("insert").alias("kind")).select("source", "lang", "v.*", "kind"))
     recount = counted.select("source", "lang", F.lit("words-1").alias("version"), F.lit("revise").alias("kind"), (F.col("a") + 1).alias("tokens"), F.col("a").alias("old_tokens"))
     ledger.commit("recount", recount)

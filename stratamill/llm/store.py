@@ -29,20 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{shared_dir(spark)}/stratamill/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path) -> None:
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all tables that this application staged; results that weren't written elsewhere go with them."""
+    _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark)))
+
+
 def drop_stage(df: DataFrame) -> None:
     """Remove a table that stage() wrote and that nothing reads any more."""
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/stratamill/"
     for file in df.inputFiles()[:1]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if base.split(":")[-1].lstrip("/") in str(path):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if f"/stratamill/{spark.sparkContext.applicationId}/" in str(path):
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratamill/{uuid.uuid4().hex}/{name}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratamill.llm import decontam, langid, licenses, lm, mixing, neardup, ogg, registry, rollups, secrets, tokens
 from stratamill.llm import words as w
-from stratamill.llm.store import shared_dir, stage
+from stratamill.llm.store import drop_stage, session_dir, shared_dir, stage
 from tests.llm.conftest import frame, words
 
 
@@ -793,5 +793,16 @@ def test_registered():
     assert set(registry.oracle_sql()) <= set(q)
 
 
+def test_staged_tables_can_be_removed(spark):
+    import glob
+
+    kept, gone = stage(spark.range(5), "kept"), stage(spark.range(3), "gone")
+    where = session_dir(spark).removeprefix("file:")
+    assert kept.count() == 5 and glob.glob(f"{where}/*/gone")
+    drop_stage(gone)
+    assert not glob.glob(f"{where}/*/gone") and glob.glob(f"{where}/*/kept")
+    drop_stage(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))  # isn't ours
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
