@@ -37,7 +37,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,9 +148,12 @@ def _products(shared, terms: int, size: int):
     return run
 
 
-def _add(group: pd.DataFrame) -> pd.DataFrame:
-    z = np.sum([np.frombuffer(x, np.float32) for x in group["z"]], axis=0, dtype=np.float32)
-    return pd.DataFrame({"part": group["part"].iloc[:1], "task": group["task"].iloc[:1] // FIRST, "z": [z.tobytes()]})
+def _add(group: pa.Table) -> pa.Table:
+    z = np.zeros(len(group["z"][0].as_py()) // 4, np.float32)
+    for chunk in group["z"].chunks:
+        for x in chunk:
+            z += np.frombuffer(x.as_buffer(), np.float32)
+    return pa.table({"part": group["part"].slice(0, 1), "task": pa.array([group["task"][0].as_py() // FIRST], pa.int32()), "z": pa.array([z.tobytes()], pa.binary())})
 
 
 @dataclass
@@ -198,8 +200,8 @@ def fit(docs: DataFrame, terms: int = TERMS, rank: int = RANK, size: int = PASSA
     shared = spark.sparkContext.broadcast((idf.astype(np.float32), drawn.astype(np.float32)))
     schema = "part int, task int, z binary"
     sums = text.mapInArrow(_products(shared, terms, size), schema)
-    sums = sums.groupBy("part", (F.col("task") / FIRST).cast("int")).applyInPandas(_add, schema)
-    sums = sums.groupBy("part").applyInPandas(_add, schema).toPandas()  # terms x width numbers
+    sums = sums.groupBy("part", (F.col("task") / FIRST).cast("int")).applyInArrow(_add, schema)
+    sums = sums.groupBy("part").applyInArrow(_add, schema).toPandas()  # terms x width numbers
     z = np.zeros((terms, width))
     for i, x in zip(sums["part"], sums["z"], strict=True):
         z[i * PART : (i + 1) * PART] = np.frombuffer(x, np.float32).reshape(-1, width)

@@ -33,13 +33,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import free_name, stage, table
-from stratamill.llm.words import MARKS, kept, lowered, mix64, pieces, words
+from stratamill.llm.words import MARKS, give_back, kept, lowered, mix64, pieces, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -246,17 +245,27 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return made.select("doc_id", "tk", F.when(F.col("some"), F.xxhash64("same", "same2")).alias("node"), "keys")
 
 
+def _flat(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    col = col.combine_chunks()
+    return col.flatten().to_numpy(), col.value_lengths().to_numpy().astype(np.int64)
+
+
 def _blocks(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["asks"]], group[~group["asks"]]
-        out = []
+    def run(group: pa.Table) -> pa.Table:
+        asks = group["asks"].to_numpy()
+        left, right = group.filter(pa.array(asks)), group.filter(pa.array(~asks))
+        out: list[list[np.ndarray]] = [[], [], []]
         if len(left) and len(right):
-            size = np.array([len(x) for x in right["bag"]])
-            every, owner = np.concatenate(right["bag"].to_list()), np.repeat(np.arange(len(size), dtype=np.int32), size)
+            every, size = _flat(right["bag"])
+            owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
             order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
             nodes, labels = right["node"].to_numpy(), right["label"].to_numpy()
-            for node, label, x in zip(left["node"], left["label"], left["bag"], strict=True):
+            asked, long = _flat(left["bag"])
+            ends = np.cumsum(long)
+            for node, label, a, b in zip(left["node"].to_numpy(), left["label"].to_numpy(), ends - long, ends, strict=True):
+                x = asked[a:b]
                 lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
                 n = hi - lo
                 both, total = np.zeros(len(size), np.int64), np.cumsum(n)
@@ -266,9 +275,12 @@ def _blocks(threshold: float):
                     at = np.repeat(first - (np.cumsum(k) - k), k) + np.arange(k.sum())
                     both += np.bincount(owner[at], minlength=len(size))
                 sim = both / (size + len(x) - both)
-                for i in np.flatnonzero((sim >= threshold) & (labels != label)):
-                    out.append((node, nodes[i], sim[i]))
-        return pd.DataFrame(out, columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
+                i = np.flatnonzero((sim >= threshold) & (labels != label))
+                for held, found in zip(out, (np.full(len(i), node), nodes[i], sim[i]), strict=True):
+                    held.append(found)
+        a, b, sim = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        give_back()
+        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "sim": pa.array(sim.astype(float))})
 
     return run
 
@@ -313,7 +325,7 @@ def edges(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> D
     own, others = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     asking = high.where("asks").select("key", "node", "label", "bag", F.lit(True).alias("asks"), own.alias("i"), others.alias("j"))
     asked_of = high.select("key", "node", "label", "bag", F.lit(False).alias("asks"), own.alias("j"), others.alias("i"))
-    blocks = asking.unionByName(asked_of).groupBy("key", "i", "j").applyInPandas(_blocks(threshold), "a bigint, b bigint, sim double")
+    blocks = asking.unionByName(asked_of).groupBy("key", "i", "j").applyInArrow(_blocks(threshold), "a bigint, b bigint, sim double")
     similar.append(blocks.select("a", "b"))
     every = similar[0]
     for e in similar[1:]:
