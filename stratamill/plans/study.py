@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import IntEnum
 
@@ -16,6 +17,7 @@ from stratamill.functions.expr import Expression, Policy, columns, status
 from stratamill.operators.evaluate import evaluate
 from stratamill.operators.ordered import islands
 from stratamill.plans.space import Space
+from stratamill.types import Refusal
 
 
 #: What a run that was begun gives back: a best trial exists, input or output failed, no trial is feasible, a trial took too long, the history was refused, the space has no more (fixed values).
@@ -54,9 +56,42 @@ class Patience:
         return self.idle >= self.limit
 
 
+#: Objectives by name: functions of metric(name) -> column that give a column.
+OBJECTIVES: dict[str, Callable[[Callable[[str], Column]], Column]] = {}
+
+
+def objective(name: str):
+    """Register a function as an objective; a study names it as `custom:name`."""
+
+    def keep(f):
+        if name in OBJECTIVES:
+            raise Refusal("objective_repeated", name)
+        OBJECTIVES[name] = f
+        return f
+
+    return keep
+
+
+def goal(text: str, metric: Callable[[str], Column | None], policy: Policy) -> tuple[Column, Column]:
+    """(value, error) of an expression or a registered objective, whose value has to be finite."""
+    if not text.startswith("custom:"):
+        return Expression(text).compile(metric, policy)
+    name = text.removeprefix("custom:")
+    if name not in OBJECTIVES:
+        raise Refusal("objective_unknown", name)
+
+    def named(m: str) -> Column:
+        found = metric(m)
+        return F.lit(None).cast("double") if found is None else found
+
+    value = OBJECTIVES[name](named)
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+    return F.when(finite, value), F.when(~finite, "not_finite")
+
+
 @dataclass
 class Study:
-    """An objective and constraints over metrics of an evaluator."""
+    """An objective (an expression, or `custom:` and a registered name) and constraints over metrics of an evaluator."""
 
     space: Space
     objective: str
@@ -72,10 +107,10 @@ class Study:
         def metric(name: str) -> Column | None:
             return None if plain(name) is None else F.col("metrics")[name if name in self.metrics else name.removeprefix("report.")]
 
-        goal = Expression(self.objective).compile(metric, self.policy)
+        aim = goal(self.objective, metric, self.policy)
         limits = [Expression(c).compile(metric, Policy()) for c in self.constraints]
-        state = F.when(F.col("error").isNotNull(), "trial_error").otherwise(status(goal, limits))
-        return evaluated.withColumns({"objective": goal[0], "status": state}).withColumn("feasible", F.col("status") == "ok")
+        state = F.when(F.col("error").isNotNull(), "trial_error").otherwise(status(aim, limits))
+        return evaluated.withColumns({"objective": aim[0], "status": state}).withColumn("feasible", F.col("status") == "ok")
 
     def run(self, candidates: DataFrame, bars: dict, evaluator) -> DataFrame:
         """All candidates in one job: grid, random, Sobol and listed candidates need no feedback."""

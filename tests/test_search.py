@@ -126,6 +126,26 @@ def test_study(spark):
     assert failing["status"] == "trial_error" and not failing["feasible"]
 
 
+def test_registered_objective(spark):
+    from stratamill.plans.study import OBJECTIVES, objective
+
+    @objective("per_root_trade")
+    def per_root_trade(metric):
+        return F.try_divide(metric("net_profit"), F.sqrt(metric("num_trades") - 1))
+
+    try:
+        rows_ = {r["trial_id"]: r for r in Study(EVAL, "custom:per_root_trade", evaluate.THRESHOLD_METRICS).run(EVAL.grid(spark), BARS, evaluate.threshold).collect()}
+        for r in rows_.values():
+            n, m = r["metrics"]["num_trades"], r["metrics"]["net_profit"]
+            assert (r["status"], r["objective"]) == (("ok", pytest.approx(m / math.sqrt(n - 1))) if n > 1 else ("objective_error", None))
+        with pytest.raises(Refusal):
+            objective("per_root_trade")(per_root_trade)
+        with pytest.raises(Refusal):
+            Study(EVAL, "custom:other", ("net_profit",)).run(EVAL.grid(spark), BARS, evaluate.threshold)
+    finally:
+        OBJECTIVES.pop("per_root_trade")
+
+
 def test_adaptive_study(spark):
     study = Study(EVAL, "net_profit", evaluate.THRESHOLD_METRICS)
     done, why = study.run_adaptive(spark, Tpe(EVAL, 1), BARS, evaluate.threshold, 16, batch=8)
