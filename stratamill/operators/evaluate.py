@@ -2,7 +2,9 @@
 
 An evaluator is `f(bars, parameters) -> dict of metrics`, with bars as numpy arrays
 by column. Candidates are rows dealt over the cluster; the bars, whose number is
-checked against MOST_BARS first, are sent once to every executor.
+checked against MOST_BARS first, are sent once to every executor. More bars than that
+go by blocks through evaluate_long(), for evaluators that carry a state from one block
+to the next.
 
 The built-in evaluator `threshold` is our own definition: after a bar that closes at
 or above `entry` one unit is held, after one at or below `exit` none, else as before;
@@ -17,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratamill.operators.ranks import below
 from stratamill.storage import cut_lineage
 from stratamill.types import Refusal
 
@@ -25,23 +28,51 @@ MOST_BARS = 4_000_000
 THRESHOLD_METRICS = ("net_profit", "num_trades", "max_equity_drawdown", "time_in_market_pct")
 
 
-def threshold(bars: dict, p: dict) -> dict:
-    import numpy as np
+class Stepwise:
+    """An evaluator that can be given its bars in parts. States are dicts of numbers."""
 
-    if p["exit"] >= p["entry"]:
-        raise ValueError("exit must lie below entry")
-    close = bars["close"]
-    signal = np.where(close >= p["entry"], 1, np.where(close <= p["exit"], 0, -1))
-    at = np.maximum.accumulate(np.where(signal >= 0, np.arange(len(close)), -1))
-    held = np.where(at >= 0, signal[np.maximum(at, 0)], 0)
-    equity = 1000 + np.concatenate([[0.0], np.cumsum(held[:-1] * np.diff(close))]) if len(close) else np.array([1000.0])
-    top = np.maximum.accumulate(equity)
-    return {
-        "net_profit": float(equity[-1] - 1000),
-        "num_trades": float(np.count_nonzero(np.diff(held, prepend=0) == 1)),
-        "max_equity_drawdown": float((top - equity).max()),
-        "time_in_market_pct": float(100 * held.mean()) if len(held) else 0.0,
-    }
+    def start(self, p: dict) -> dict:
+        raise NotImplementedError
+
+    def step(self, state: dict, bars: dict, p: dict) -> dict:
+        raise NotImplementedError
+
+    def finish(self, state: dict) -> dict:
+        raise NotImplementedError
+
+    def __call__(self, bars: dict, p: dict) -> dict:
+        return self.finish(self.step(self.start(p), bars, p))
+
+
+class Threshold(Stepwise):
+    def start(self, p):
+        if p["exit"] >= p["entry"]:
+            raise ValueError("exit must lie below entry")
+        return {"held": 0.0, "last": math.nan, "gain": 0.0, "top": 1000.0, "down": 0.0, "trades": 0.0, "bars": 0.0, "inside": 0.0}
+
+    def step(self, state, bars, p):
+        import numpy as np
+
+        close = bars["close"]
+        if not len(close):
+            return state
+        signal = np.where(close >= p["entry"], 1, np.where(close <= p["exit"], 0, -1))
+        at = np.maximum.accumulate(np.where(signal >= 0, np.arange(len(close)), -1))
+        held = np.where(at >= 0, signal[np.maximum(at, 0)], state["held"])
+        before = np.append(state["held"], held[:-1])
+        change = np.diff(close, prepend=close[0] if math.isnan(state["last"]) else state["last"])
+        equity = 1000 + (state["gain"] + np.cumsum(before * change))
+        top = np.maximum(np.maximum.accumulate(equity), state["top"])
+        return {
+            "held": float(held[-1]), "last": float(close[-1]), "gain": float(equity[-1] - 1000), "top": float(top[-1]), "down": max(state["down"], float((top - equity).max())),
+            "trades": state["trades"] + float(np.count_nonzero(held - before == 1)), "bars": state["bars"] + len(close), "inside": state["inside"] + float(held.sum()),
+        }
+
+    def finish(self, state):
+        return {"net_profit": state["gain"], "num_trades": state["trades"], "max_equity_drawdown": state["down"], "time_in_market_pct": 100 * state["inside"] / state["bars"] if state["bars"] else 0.0}
+
+
+threshold = Threshold()
 
 
 def bars_of(bars: DataFrame, columns: tuple[str, ...] = ("timestamp", "open", "high", "low", "close", "volume")) -> dict:
@@ -84,6 +115,48 @@ def settings(timezone: str | None = None, overrides: dict | None = None, inputs:
     return out
 
 
+def evaluate_long(candidates: DataFrame, bars: DataFrame, evaluator: Stepwise, metrics: tuple[str, ...], columns: tuple[str, ...] = ("close",), block: int = MOST_BARS) -> DataFrame:
+    """evaluate() over any number of bars (timestamp, which is unique, and columns): a block of them at a time, with every candidate's state written between."""
+    names = [c for c in candidates.columns if c != "trial_id"]
+    placed = bars.select("timestamp", *columns).join(below(bars, "timestamp").select("timestamp", "before"), "timestamp")
+    placed = cut_lineage(placed.withColumn("_block", F.floor(F.col("before") / block)))
+    blocks = placed.agg(F.coalesce(F.max("_block") + 1, F.lit(0))).first()[0]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields)
+    rows = candidates.withColumns({"_state": F.lit(None).cast("map<string,double>"), "error": F.lit(None).cast("string")})
+
+    def told(e: Exception) -> str:
+        return f"{type(e).__name__}: {e}"[:500]
+
+    def one(shared):
+        def run(batches):
+            for batch in batches:
+                states, errors = [], []
+                for p, state, error in zip(batch[names].to_dict("records"), batch["_state"], batch["error"], strict=True):
+                    try:
+                        state = evaluator.start(p) if state is None and error is None else dict(state or {})
+                        states.append(evaluator.step(state, shared.value, p) if error is None else None)
+                        errors.append(error)
+                    except Exception as e:
+                        states.append(None)
+                        errors.append(told(e))
+                yield batch.assign(_state=states, error=errors)
+
+        return run
+
+    for b in range(max(1, blocks)):
+        part = placed.where(F.col("_block") == b).drop("_block", "before").toArrow().sort_by("timestamp")  # a block at most
+        shared = candidates.sparkSession.sparkContext.broadcast({c: part.column(c).to_numpy() for c in part.column_names})
+        rows = cut_lineage(rows.mapInPandas(one(shared), f"{fields}, _state map<string,double>, error string"))
+        shared.unpersist()
+
+    def last(batches):
+        for batch in batches:
+            found = [{} if s is None else {m: float(v) if math.isfinite(v) else None for m, v in evaluator.finish(dict(s)).items() if m in metrics} for s in batch["_state"]]
+            yield batch.drop(columns=["_state", "error"]).assign(metrics=found, error=batch["error"])
+
+    return rows.mapInPandas(last, f"{fields}, metrics map<string,double>, error string")
+
+
 # ---- Pruning -----------------------------------------------------------------
 
 

@@ -163,6 +163,18 @@ def test_adaptive_rows_go_to_a_table(spark, tmp_path):
     assert held == [] and why == same and [(r["trial_id"], r["entry"], r["objective"]) for r in rows] == [(r["trial_id"], r["entry"], r["objective"]) for r in kept]
 
 
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_bars_by_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    bars_ = spark.createDataFrame([(i * 60, float(c)) for i, c in enumerate(10 + np.cumsum(rng.integers(-2, 3, 40)))], "timestamp bigint, close double").repartition(3)
+    asked = Space((Integer("entry", 8, 16, 2), Integer("exit", 4, 9))).grid(spark)
+    whole = {r["trial_id"]: r for r in evaluate.evaluate(asked, evaluate.bars_of(bars_, ("timestamp", "close")), evaluate.threshold, evaluate.THRESHOLD_METRICS).collect()}
+    parts = evaluate.evaluate_long(asked, bars_, evaluate.threshold, evaluate.THRESHOLD_METRICS, block=block if block > 1 else 20).collect()
+    assert len(parts) == len(whole) == 30 and any(r["error"] for r in parts)
+    for r in parts:
+        assert r["error"] == whole[r["trial_id"]]["error"] and r["metrics"] == pytest.approx(whole[r["trial_id"]]["metrics"])
+
+
 def test_pruning(spark):
     assert evaluate.rungs([0.1, 0.25, 0.25, 1.0], 20) == [2, 5, 20]
     h = spark.createDataFrame([(0, i, float(s)) for i, s in enumerate([1, 5, 3, 4, 2, 6])], "rung int, trial_id int, score double")
