@@ -463,11 +463,25 @@ def pbo2_splits(spark, sf_dir):
     return pbo.splits_table(spark, 6)
 
 
-@query(None)
+def _phi_sql(x: str) -> str:
+    """The normal distribution function by its series around 0."""
+    return f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(150), lambda k: sign({x}) * exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))))"
+
+
+@query(f"""WITH RECURSIVE {CURVE}{STATS}, sh AS (SELECT key, n, (mean - 0.02 / periods) / std AS sr, skew, kurt FROM st),
+al AS (SELECT var_samp(sr) AS v, count(*) AS m FROM sh), pick AS (SELECT * FROM sh ORDER BY sr DESC, key LIMIT 1),
+qu(i, part, p, lo, hi) AS (SELECT 0, part, 1 - 1 / (m * CASE part WHEN 0 THEN 1 ELSE exp(1) END), 0.0::DOUBLE, 8.0::DOUBLE FROM al, range(2) t(part)
+  UNION ALL SELECT i + 1, part, p, CASE WHEN {_phi_sql('(lo + hi) / 2')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_phi_sql('(lo + hi) / 2')} < p THEN hi ELSE (lo + hi) / 2 END FROM qu WHERE i < 50),
+dx AS (SELECT max(lo) FILTER (part = 0) AS a, max(lo) FILTER (part = 1) AS b FROM qu WHERE i = 50),
+dy AS (SELECT v, m, sr, n, sqrt(v) * ((1 - 0.57721566490153286) * a + 0.57721566490153286 * b) AS sr0, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS den FROM al, dx, pick),
+dz AS (SELECT *, (sr - sr0) * sqrt(n - 1) / sqrt(den) AS z FROM dy)
+SELECT round(v, 6) AS variance, round(sr0, 6) AS sr0, round(den, 6) AS den, round(z, 5) AS z, round({_phi_sql('z')}, 6) AS dsr, m AS trials, m AS eligible, TRUE AS selected_is_max FROM dz""")
 def dsr3_deflated_sharpe(spark, sf_dir):
     stats = cut_lineage(curves.return_stats(user_curve(spark, sf_dir)))
     top = stats.where("status = 0").orderBy(F.col("sharpe_per_period").desc(), "key").first()["key"]
-    return spark.createDataFrame([dsr(stats, top)])
+    found = dsr(stats, top)
+    digits = {"variance": 6, "sr0": 6, "den": 6, "z": 5, "dsr": 6}
+    return spark.createDataFrame([{k: round(v, digits[k]) if k in digits else v for k, v in found.items()}])
 
 
 def _two(spark, sf_dir):

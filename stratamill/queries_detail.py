@@ -477,11 +477,21 @@ def evl7_requested_metrics(spark, sf_dir):
     return out.select("trial_id", F.array_join(F.map_keys("metrics"), ",").alias("metrics"))
 
 
-@query(None)
+#: The serial random stream of seed 3 over EVAL_SPACE (fixed values): entry and exit of 16 trials.
+DRAWN = ((16, 8), (12, 4), (14, 2), (20, 2), (18, 8), (12, 6), (12, 6), (18, 8), (16, 2), (20, 6), (20, 8), (18, 6), (20, 4), (14, 2), (20, 6), (16, 4))
+G = SIGNALS[SIGNALS.index("g AS (") : SIGNALS.index("k AS (")]
+OF_DRAWN = SIGNALS.replace(G, "g AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {e}, {x})" for i, (e, x) in enumerate(DRAWN)) + ") v(trial_id, entry, exit)),\n")
+
+
+@query(f"""WITH {OF_DRAWN}, st AS (SELECT trial_id, CASE WHEN trades >= 1 THEN 'ok' ELSE 'constraint_violation' END AS status, round(net - 0.25 * dd, 6) AS objective FROM m),
+be AS (SELECT *, CASE WHEN status = 'ok' THEN objective END AS v, max(CASE WHEN status = 'ok' THEN objective END) OVER (ORDER BY trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM st),
+la AS (SELECT *, trial_id - max(CASE WHEN v IS NOT NULL AND (best IS NULL OR v > best) THEN trial_id END) OVER (ORDER BY trial_id ROWS UNBOUNDED PRECEDING) AS idle FROM be),
+wh AS (SELECT CASE WHEN max(idle) >= 10 THEN 'PATIENCE' WHEN bool_or(status = 'ok') THEN 'COMPLETE' ELSE 'NO_FEASIBLE' END AS stop FROM la)
+SELECT CAST(trial_id AS BIGINT) AS trial_id, status, objective, stop FROM la, wh""")
 def lif1_batches(spark, sf_dir):
     b = evaluate.bars_of(every_hour(spark, sf_dir), ("timestamp", "close"))
     found, why = STUDY.run_adaptive(spark, continuation.Random(EVAL_SPACE, 3), b, evaluate.threshold, 16, batch=8, patience=10)
-    return spark.createDataFrame([(x["trial_id"], x["status"], x["objective"], why.name) for x in found], "trial_id bigint, status string, objective double, stop string")
+    return spark.createDataFrame([(x["trial_id"], x["status"], None if x["objective"] is None else round(x["objective"], 6), why.name) for x in found], "trial_id bigint, status string, objective double, stop string")
 
 
 @query(None)
