@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import session_dir, stage, table
-from stratamill.llm.tokens import encode_column
+from stratamill.llm.tokens import encode_column, encoder
 from stratamill.llm.words import pieces
 
 BY = ("source", "lang", "version")
@@ -83,8 +83,12 @@ def counted_by(docs: DataFrame, version: str, path: str, column: str = "tokens")
 
     def run(batches):
         for batch in pieces(batches):
-            n = encode_column(batch.column(batch.schema.names.index("text")), path)[1]
-            yield pa.record_batch([*batch.columns, pa.array([version] * batch.num_rows, pa.string()), pa.array(n)], names=[*batch.schema.names, "version", column])
+            col, held = batch.column(batch.schema.names.index("text")), encoder(path)
+            if held.drops_space:
+                n = encode_column(col, path)[1]
+            else:
+                n = [len(e.ids) for e in held.tokenizer.encode_batch_fast([t or "" for t in col.to_pylist()], add_special_tokens=False)]
+            yield pa.record_batch([*batch.columns, pa.array([version] * batch.num_rows, pa.string()), pa.array(n, pa.int64())], names=[*batch.schema.names, "version", column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, version string, `{column}` bigint")

@@ -19,8 +19,9 @@ Defined results: null text is empty and gives the end id alone; repeated doc_ids
 are kept next to each other, ordered by text; rows with null doc_id come first, and
 are dealt out by the beginnings of their texts; empty tables give no blocks; other
 input columns are not read. A text is encoded whole: it's cut only at ASCII white
-space, which this tokenizer drops, and each cut has the ids that it has in the whole
-text.
+space, which this tokenizer drops, and where its own rule always parts an ASCII letter,
+digit or mark from the next, so each cut has the ids that it has in the whole text.
+Whether a tokenizer does so is tried when it's loaded.
 """
 
 from __future__ import annotations
@@ -47,10 +48,12 @@ REMEMBERED = 1_000_000
 PARTITION = 64 << 20
 #: Characters of a text by which rows without a doc_id, or with the same one, are dealt to partitions.
 PREFIX = 32
-#: A tokenizer that splits words at anything but letters makes one unit of a run of Latin letters, of a digit, and of a run of these marks.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_UNIT = re.compile('[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[.,;:!?()"/=+-]+')
-_UNITS = re.compile('[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?()"/=+-]+')
+#: Bytes that are parted from their neighbours: letters (1) and marks (3) from those of another kind, digits (2) from each other, too. An apostrophe may begin a unit with letters in it, and a bar stands in special tokens.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = [1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 0 if chr(c) in "'|" else 3 for c in range(33, 127)]
+#: What is tried when a tokenizer is loaded.
+_TRIED = "ab,c12d. X-y(z)=1/2!? e.g. a_b#c@d ~x^ {q}[r] 3rd \"Oh\" don't"
 #: One position in so many is sampled for select().
 SAMPLE = 256
 
@@ -129,8 +132,15 @@ def _places(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - begin, length)
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Before which bytes (and after the last) a unit surely ends."""
+    kind, out = _KIND[data], np.zeros(len(data) + 1, bool)
+    out[1:-1] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    return out
+
+
 class WordIds:
-    """Token ids of the white-space-separated words met so far: in arrays, found by a hash and compared byte for byte."""
+    """Token ids of the words met so far: in arrays, found by a hash and compared byte for byte."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -142,6 +152,14 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
+        self.drops_space = self._parted(_TRIED.split())
+        raw = np.frombuffer(_TRIED.encode(), np.uint8)
+        at = [0, *np.flatnonzero(cuts(raw)).tolist(), len(raw)]
+        #: Whether units can be parted as cuts() does.
+        self.parts = self.drops_space and self._parted([x for a, b in zip(at, at[1:], strict=False) for x in raw[a:b].tobytes().decode().split()])
+
+    def _parted(self, found: list[str]) -> bool:
+        return np.concatenate(self._encode(found)).tolist() == self._encode([_TRIED])[0].tolist()
 
     def forget(self) -> None:
         #: Sorted hashes and the words' numbers, in a large and a small level that is merged into it.
@@ -156,31 +174,26 @@ class WordIds:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, found: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; words of plain units together, as the ids tell where a unit ends."""
+        """Ids of each word; words of letters together, as the ids tell where one ends."""
         out: list = [None] * len(found)
         plain, other = [], []
         for i, w in enumerate(found):
             t = w.decode()
-            if _LETTERS.fullmatch(t):
-                plain.append((i, t, 1))
-            elif _UNITS.fullmatch(t):
-                plain.append((i, t, len(_UNIT.findall(t))))
-            else:
-                other.append((i, t, 0))
+            (plain if _LETTERS.fullmatch(t) else other).append((i, t))
         for a in range(0, len(plain), 500):
             some = plain[a : a + 500]
-            ids = self._encode([" ".join(t for _, t, _ in some)])[0]
-            ends, units = np.flatnonzero(self.ends[ids]) + 1, np.cumsum([n for *_, n in some])
-            if len(ends) != units[-1]:
+            ids = self._encode([" ".join(t for _, t in some)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
                 other += some
                 continue
             begin = 0
-            for (i, *_), end in zip(some, ends[units - 1].tolist(), strict=True):
+            for (i, _), end in zip(some, ends.tolist(), strict=True):
                 out[i] = ids[begin:end]
                 begin = end
         for a in range(0, len(other), 4096):
             some = other[a : a + 4096]
-            for (i, *_), ids in zip(some, self._encode([t for _, t, _ in some]), strict=True):
+            for (i, _), ids in zip(some, self._encode([t for _, t in some]), strict=True):
                 out[i] = ids
         return out
 
@@ -226,9 +239,11 @@ def encoder(path: str) -> WordIds:
 
 
 def encode_column(col: pa.Array, path: str, remembered: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, how many of each row) of a text column, cut at ASCII white space and nowhere else."""
+    """(ids, how many of each row) of a text column."""
     held = encoder(path)
-    row, h, start, end, data = words(col, SPACES, exact=True)
+    if not held.drops_space:
+        raise ValueError(f"a tokenizer that keeps white space: {path}")
+    row, h, start, end, data = words(col, SPACES, exact=True, cuts=cuts if held.parts else None)
     if not len(row):
         return np.zeros(0, held.dtype), np.zeros(len(col), np.int64)
     distinct, first, at = np.unique(h, return_index=True, return_inverse=True)

@@ -108,8 +108,8 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE, by: str = "text
     give_back()
 
 
-def words(col: pa.Array, apart: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, start, end, bytes): the words of every row in order; `apart` says which bytes separate. A-Z count as a-z, unless `exact`."""
+def words(col: pa.Array, apart: np.ndarray, exact: bool = False, cuts=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start, end, bytes): the words of every row in order; `apart` says which bytes separate. A-Z count as a-z, unless `exact`. cuts(bytes) tells before which bytes words are cut, too."""
     data, at = buffers(col)
     low = int(at[0])
     data, at = data[low : int(at[-1])], at - low
@@ -120,6 +120,8 @@ def words(col: pa.Array, apart: np.ndarray, exact: bool = False) -> tuple[np.nda
     inside = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
+    if cuts is not None:
+        edge |= cuts(data)
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]

@@ -229,6 +229,21 @@ def test_words_that_find_no_room(monkeypatch):
     assert got == [np.array(tk.encode((t or b"").decode(), add_special_tokens=False).ids, dtype).tobytes() for t in texts]
 
 
+def test_parted_units_have_the_ids_of_the_whole():
+    rng = random.Random(5)
+    kinds = [*"abcsStTmMdlLrvReE'.,;:!?-_()[]{}<>|/@#^&=~`019  \t\n\x00\x1c", *"’éÉßİẖ—“…漢字ا🙂²½", "1\u0301", ".\u0301", "=\u0338", "H\u0331", "\u200d", "<|endoftext|>", "<|", "|>", "'s", "'re", "n't", "''d"]
+    texts = ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    got, dtype = tokens.encode_texts([t.encode() for t in texts], tokens.tokenizer_path())
+    held = tokens.encoder(tokens.tokenizer_path())
+    assert held.parts and [np.frombuffer(g, dtype).tolist() for g in got] == [e.ids for e in held.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    import public_tokenizers
+
+    other = tokens.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.drops_space and not other.parts
+    with pytest.raises(ValueError, match="white space"):
+        tokens.encode_texts([b"a"], public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # ---- 4 mixing ----------------------------------------------------------------
 
 
