@@ -20,6 +20,7 @@ from stratamill.plans.tpe import Parzen, Tpe, log_interval
 from stratamill.queries import EVAL_SPACE, EVERY_HOUR, PART_SPACE, SIGNALS, TRIALS_SQL, every_hour, query, trials
 from stratamill.queries_detail import _scratch
 from stratamill.sources import bars as bars_
+from stratamill.sources import inventory
 from stratamill.storage import put
 from stratamill.types import Refusal
 
@@ -121,6 +122,29 @@ def snk5_row_space(spark, sf_dir):
     return spark.createDataFrame([(m, ",".join(sorted(d.columns)), d.first()["space_hash"] == PART_SPACE.hash() if m != "none" else None) for m, d in made.items()], "mode string, columns string, same boolean")
 
 
+@query("""SELECT * FROM (VALUES ('good', '15,1D,240,60'), ('missing', 'missing'), ('field', 'invalid'), ('alias', 'invalid'), ('unbound', 'unbound'), ('other source', 'artifact_mismatch'), ('chart', 'chart_mismatch'), ('unknown', 'unknown'), ('number', 'input_unresolved'), ('odd default', 'input_unresolved'), ('unsupported', 'selected_window_request_feed_timeframe')) t(what, outcome)""")
+def evl14_request_feeds(spark, sf_dir):
+    a, b = "a" * 64, "b" * 64
+    good = {"schema": "1", "source_sha256": a, "artifact_sha256": b, "primary_chart_timeframe": "15", "entries": [{"kind": "token", "timeframe": "240"}, {"kind": "input", "key": "tf", "default": "D"}, {"kind": "input", "key": "fixed", "default": "5"}]}
+    space = Space((Categorical("tf", ("D", "60")), Integer("n", 1, 3)))
+
+    def entry(**e):
+        return good | {"entries": [e]}
+
+    cases = {
+        "good": good, "missing": None, "field": good | {"more": 1}, "alias": entry(kind="token", timeframe="D"), "unbound": good | {"artifact_sha256": None}, "other source": good | {"source_sha256": b},
+        "chart": good | {"primary_chart_timeframe": "30"}, "unknown": entry(kind="unknown"), "number": entry(kind="input", key="n", default="5"), "odd default": entry(kind="input", key="x", default="often"), "unsupported": entry(kind="token", timeframe="7"),
+    }
+
+    def outcome(case):
+        try:
+            return ",".join(inventory.admit(case, a, b, "15", {"15", "60", "240", "1D"}, {"fixed": "15"}, space))
+        except Refusal as e:
+            return e.context.get("reason", e.context["capability"])
+
+    return spark.createDataFrame([(k, outcome(v)) for k, v in cases.items()], "what string, outcome string")
+
+
 # ---- Parzen estimation -------------------------------------------------------
 
 
