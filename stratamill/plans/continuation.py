@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.operators.ranks import below
 from stratamill.plans.samplers import Twister, continuation_seed, draw, random_indexed
-from stratamill.plans.space import Space
-from stratamill.plans.tpe import Tpe
+from stratamill.plans.space import Boolean, Categorical, Space
+from stratamill.plans.tpe import STARTUP, Parzen, Tpe, choice_mass, split, weights
 from stratamill.storage import cut_lineage
 from stratamill.types import STATUSES, Refusal
 
@@ -159,14 +160,21 @@ class Random:
 
 
 class BoundedTpe(Tpe):
-    """Parzen estimation from a bounded history: the best, the newest, and a fair sample of the rest."""
+    """Parzen estimation from a bounded history: the best, the newest, and a fair sample of the rest.
+
+    The models are made anew after REFIT observations; in between a proposal costs DRAWS
+    draws, whose ratios of densities come from a table of POINTS places (or of a
+    dimension's values). Sizes and rates are fixed values of the method.
+    """
 
     ELITES, RECENT, RESERVOIR = 25, 64, 448
+    REFIT, POINTS, DRAWS = 32, 513, 8
 
     def __init__(self, space: Space, seed: int, minimize: bool = False):
         super().__init__(space, seed, minimize)
         self.count = 0
         self.kept: list[tuple[int, dict, float]] = []
+        self.fitted_at, self.models = 0, {}
 
     def tell(self, candidate: dict, objective: float) -> None:
         self.abandon(candidate)
@@ -180,6 +188,45 @@ class BoundedTpe(Tpe):
             self.kept = [x for x in self.kept if x[0] != gone]
         self.seen = [(c, s) for _, c, s in self.kept]
 
+    def _fit(self) -> None:
+        sign = -1 if self.minimize else 1
+        good, bad = split([(sign * s, i) for i, (_, s) in enumerate(self.seen)])
+        self.fitted_at, self.models = self.count, {}
+        for d in self.space.dimensions:
+            g = np.array([self._encode(d, self.seen[i][0][d.name]) for i in good])
+            b = np.array([self._encode(d, v) for v in (*(self.seen[i][0][d.name] for i in bad), *(c[d.name] for c in self.pending))])
+            wg, wb = weights(len(g)), weights(len(b))
+            if isinstance(d, (Boolean, Categorical)):
+                share, other = (choice_mass(x.astype(int), w, d.count) for x, w in ((g, wg), (b, wb)))
+                self.models[d.name] = (share, np.log(share) - np.log(other))
+            else:
+                mg, mb = Parzen(g, wg), Parzen(b, wb)
+                at = np.linspace(0, 1, self.POINTS)
+                self.models[d.name] = (mg, at, np.array([mg.log_density(x) - mb.log_density(x) for x in at.tolist()]))
+
+    def ask(self) -> dict:
+        if len(self.seen) < max(STARTUP, 2):
+            return super().ask()
+        if not self.models or self.count - self.fitted_at >= self.REFIT:
+            self._fit()
+        drawn = {}
+        for d in self.space.dimensions:
+            if d.count == 1:
+                drawn[d.name] = [(draw(d, self.rng), 0.0)] * self.DRAWS
+            elif isinstance(d, (Boolean, Categorical)):
+                share, ratio = self.models[d.name]
+                picks = [min(int(np.searchsorted(np.cumsum(share), self.rng.unit())), d.count - 1) for _ in range(self.DRAWS)]
+                drawn[d.name] = [(bool(k) if isinstance(d, Boolean) else d.choices[k], float(ratio[k])) for k in picks]
+            else:
+                mg, at, ratio = self.models[d.name]
+                values = [self._decode(d, mg.draw(self.rng)) for _ in range(self.DRAWS)]
+                drawn[d.name] = [(v, float(np.interp(self._encode(d, v), at, ratio))) for v in values]
+        totals = [sum(drawn[n][k][1] for n in self.space.names) for k in range(self.DRAWS)]
+        k = totals.index(max(totals))
+        c = {n: drawn[n][k][0] for n in self.space.names}
+        self.pending.append(c)
+        return c
+
 
 def save_state(tpe: Tpe) -> str:
     """A sampler's state as checksummed JSON."""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from stratamill.operators import pareto, pbo
 from stratamill.plans import continuation, rolling
 from stratamill.plans.cli import main
-from stratamill.plans.space import Boolean, Integer, Real, Space
+from stratamill.plans.samplers import random_serial
+from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.spec import injective, parse
 from stratamill.plans.study import Study
 from stratamill.plans.tpe import Tpe
@@ -93,6 +94,26 @@ def test_bounded_history():
     assert len(tpe.seen) == 537 and min(s for _, s in tpe.seen) == pytest.approx(0, abs=1e-9) and 0 <= tpe.ask()["x"] <= 1
 
 
+def test_bounded_estimation_learns():
+    """A mixed space of which one corner is best; the models are made anew each 32 observations."""
+    space = Space((Real("x", 0.0, 1.0), Integer("n", 1, 40), Categorical("c", ("p", "q", "r")), Boolean("b")))
+
+    def loss(c):
+        return (c["x"] - 0.7) ** 2 + ((c["n"] - 9) / 40) ** 2 + (0 if c["c"] == "q" else 0.3) + (0 if c["b"] else 0.2)
+
+    wins = 0
+    for seed in range(4):
+        t, times = continuation.BoundedTpe(space, seed, minimize=True), []
+        t._fit = lambda fit=t._fit, times=times: (times.append(1), fit())
+        for _ in range(300):
+            c = t.ask()
+            assert space.names == list(c) and 1 <= c["n"] <= 40
+            t.tell(c, loss(c))
+        assert 5 <= len(times) <= 300 // 32 + 1
+        wins += min(s for _, _, s in t.kept) <= min(loss(c) for c in random_serial(space, seed + 50, 300))
+    assert wins >= 3
+
+
 def test_rolling_schedule(spark):
     study = Study(EVAL, "net_profit", ("net_profit", "num_trades"))
     from stratamill.operators.evaluate import threshold
