@@ -25,6 +25,8 @@ from stratamill.types import Refusal
 
 #: 48 bytes each.
 MOST_BARS = 4_000_000
+#: Trial ids that are counted together when the newest are looked for.
+BLOCK = 1 << 16
 THRESHOLD_METRICS = ("net_profit", "num_trades", "max_equity_drawdown", "time_in_market_pct")
 
 
@@ -172,8 +174,13 @@ def rungs(fractions: list[float], bars: int) -> list[int]:
 
 def cut(history: DataFrame, eta: int, median: bool = False, minimize: bool = False, recent: int = 1024) -> DataFrame:
     """rung, cut: the score that a trial has to reach, from the last `recent` scores (rung, trial_id, score) of each rung; none below eta scores."""
+    # the last blocks of ids that hold `recent` scores: what is then sorted by rung is bounded
+    h = history.where("score is not null").withColumn("_b", F.floor(F.col("trial_id") / BLOCK))
+    counts = h.groupBy("rung", "_b").agg(F.count("*").alias("_k"))
+    later = F.coalesce(F.sum("_k").over(Window.partitionBy("rung").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("_later", later).where(F.col("_later") < recent).select("rung", "_b")
     newest = Window.partitionBy("rung").orderBy(F.col("trial_id").desc())
-    h = history.where("score is not null").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= recent)
+    h = h.join(last, ["rung", "_b"]).withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= recent)
     best_first = F.col("score").asc() if minimize else F.col("score").desc()
     placed = h.withColumn("place", F.row_number().over(Window.partitionBy("rung").orderBy(best_first, "trial_id"))).withColumn("n", F.count("*").over(Window.partitionBy("rung")))
     placed = placed.where(F.col("n") >= eta)

@@ -184,6 +184,17 @@ def test_pruning(spark):
     assert out.count() == 9 and out.where("not pruned").count() >= 3
 
 
+def test_cut_of_the_newest_scores(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    rows_ = [(r, int(i), float(s)) for r in range(3) for i, s in zip(rng.permutation(90)[: 20 + 20 * r], rng.random(60), strict=False)]
+    got = {x["rung"]: x["cut"] for x in evaluate.cut(spark.createDataFrame(rows_, "rung int, trial_id bigint, score double"), 3, recent=25).collect()}
+    for r in range(3):
+        newest = sorted((x for x in rows_ if x[0] == r), key=lambda x: -x[1])[:25]
+        best = sorted(newest, key=lambda x: (-x[2], x[1]))
+        assert got[r] == best[math.ceil(len(best) / 3) - 1][2]
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿Timestamp,OPEN,high,low,close,volume,extra\n1,1,2,0.5,1.5,10,x\n\n2,1,2,0.5,1.5,10,y\n")
     got = bars.read_csv(spark, str(tmp_path / "a.csv"))
