@@ -24,6 +24,7 @@ of a result is replaced by the result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,19 +62,28 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def read_pieces(path: str) -> list[bytes]:
+    """The vocabulary's pieces of more than one byte, sorted."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = {sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    return sorted(p for p in plain if len(p) > 1)
+
+
 class Pieces:
     """The vocabulary as hashes by length; piece 0 to 255 are the single bytes."""
 
     @classmethod
     def of(cls, path: str) -> "Pieces":
-        return kept("langid", path, lambda: cls(path))
+        return cls.made(read_pieces(path))
 
-    def __init__(self, path: str):
-        import sentencepiece
+    @classmethod
+    def made(cls, plain: list[bytes]) -> "Pieces":
+        """A worker makes them of the names alone: the library that reads the file takes some 150 MB while it does."""
+        return kept("langid", zlib.crc32(b"\0".join(plain)), lambda: cls(plain))
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        plain = {sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        plain = sorted(p for p in plain if len(p) > 1)
+    def __init__(self, plain: list[bytes]):
         self.names = [bytes([b]) for b in range(256)] + plain
         self.size = len(self.names)
         by_length: dict[int, list[tuple[int, int]]] = {}
@@ -250,9 +260,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": pa.array([a for a, _ in counts], pa.string()), "word": pa.array([w for _, w in counts], pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
-def _expect(model, path: str):
+def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, (languages, probability) = Pieces.of(path), model.value
+        languages, probability, plain = model.value
+        vocabulary = Pieces.made(plain)
         factors = scaled(probability, vocabulary)
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
@@ -275,8 +286,8 @@ def smoothed(uses: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, languages: list[str], probability: np.ndarray, path: str):
-        self.languages, self.probability, self.path = languages, probability, path
+    def __init__(self, languages: list[str], probability: np.ndarray, plain: list[bytes]):
+        self.languages, self.probability, self.plain = languages, probability, plain
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS, path: str | None = None) -> Model:
@@ -285,31 +296,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS,
     docs = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(rows)
-    vocabulary = Pieces.of(path)
+    plain = read_pieces(path)
+    vocabulary = Pieces.made(plain)
     probability = np.full((vocabulary.size, len(languages)), 1 / vocabulary.size)
     if not languages:
-        return Model([], probability, path)
+        return Model([], probability, plain)
     rate = F.create_map(*(x for k, n in rows.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))[F.col("lang")]
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
     counts = chosen.select("text", "lang").mapInArrow(_count_words, "lang string, word binary, n bigint")
     counts = stage(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid_words")
     for _ in range(rounds):
-        model = spark.sparkContext.broadcast((languages, probability))
-        found = counts.mapInArrow(_expect(model, path), "k bigint, piece bigint, uses bigint").groupBy("k", "piece").agg(F.sum("uses").alias("uses"))
+        model = spark.sparkContext.broadcast((languages, probability, plain))
+        found = counts.mapInArrow(_expect(model), "k bigint, piece bigint, uses bigint").groupBy("k", "piece").agg(F.sum("uses").alias("uses"))
         uses = np.zeros_like(probability)
         for r in found.toLocalIterator():  # pieces x languages rows at most
             uses[r["piece"], r["k"]] = r["uses"] / 2**20
         probability = smoothed(uses)
-    return Model(languages, probability, path)
+    return Model(languages, probability, plain)
 
 
 # ---- Prediction --------------------------------------------------------------
 
 
-def _predict(shared, path: str, lettered_as: str, names_of: tuple[str, str]):
+def _predict(shared, lettered_as: str, names_of: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, probability = shared.value
-        vocabulary = Pieces.of(path)
+        languages, probability, plain = shared.value
+        vocabulary = Pieces.made(plain)
         factors = scaled(probability, vocabulary)
         known: dict[int, int] = {}
         values = np.zeros((1024, len(languages)))
@@ -348,11 +360,11 @@ def predict(model: Model, docs: DataFrame, pred: str = "lang_pred", score: str =
     docs = docs.drop(*(c for c in docs.columns if c.lower() in (pred.lower(), score.lower())))
     if not model.languages:
         return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.probability))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.probability, model.plain))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     lettered = free_name("_lettered", docs.columns)
     return docs.withColumn(lettered, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(
-        _predict(shared, model.path, lettered, (pred, score)), f"{fields}, `{pred}` string, `{score}` double"
+        _predict(shared, lettered, (pred, score)), f"{fields}, `{pred}` string, `{score}` double"
     )
 
 
