@@ -110,7 +110,7 @@ class Parzen:
         k = min(int(np.searchsorted(np.cumsum(self.weight), rng.unit())), len(self.mean) - 1)
         for _ in range(128):
             u, v = max(rng.unit(), 2.0**-53), rng.unit()
-            x = self.mean[k] + self.sigma[k] * math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v)
+            x = float(self.mean[k] + self.sigma[k] * math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v))
             if 0 <= x <= 1:
                 return x
         return rng.unit()

@@ -154,6 +154,12 @@ def test_adaptive_study(spark):
     assert [p.observe(*x) for x in ((False, None), (True, 1.0), (True, 1.0), (True, 0.5))] == [False, False, False, True]
 
 
+def test_adaptive_study_of_continuous_dimensions(spark):
+    space = Space((Real("entry", 9.0, 15.0), Real("exit", 4.0, 8.9)))
+    done, why = Study(space, "net_profit", ("net_profit",)).run_adaptive(spark, Tpe(space, 2), BARS, evaluate.threshold, 24, batch=12)
+    assert len(done) == 24 and why == Stop.COMPLETE and all(type(r["entry"]) is float and 9 <= r["entry"] <= 15 for r in done)
+
+
 def test_adaptive_rows_go_to_a_table(spark, tmp_path):
     study = Study(EVAL, "net_profit", ("net_profit", "num_trades"))
     out = str(tmp_path / "trials")
