@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stratamill.llm import decontam, langid, licenses, lm, mixing, neardup, ogg, rollups, secrets, tokens
+from stratamill.llm import clustering, conversations, decontam, langid, licenses, lm, mixing, neardup, ogg, rollups, secrets, tokens
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_ogg_media": ogg.op8_ogg_media,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_language_id": langid.op10_language_id,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_centroid_clustering": clustering.op12_centroid_clustering,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.ORACLE_OP4,
         "op5_license_scan": licenses.ORACLE_OP5,
         "op7_token_rollups": rollups.ORACLE_OP7,
+        "op11_conversation_repair": conversations.ORACLE_OP11,
+        "op12_centroid_clustering": clustering.ORACLE_OP12,
     }
