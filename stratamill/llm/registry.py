@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stratamill.llm import clustering, conversations, decontam, langid, licenses, lm, mixing, neardup, ogg, rollups, secrets, tokens
+from stratamill.llm import clustering, conversations, decontam, langid, licenses, lm, mixing, neardup, ogg, rollups, secrets, tokens, toxicity
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_language_id": langid.op10_language_id,
         "op11_conversation_repair": conversations.op11_conversation_repair,
         "op12_centroid_clustering": clustering.op12_centroid_clustering,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
