@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamill.operators import exact
 from stratamill.types import Refusal
 
 #: Euler-Mascheroni constant (fixed value).
@@ -54,22 +55,27 @@ def deflated(sharpe: float, count: int, skew: float, kurt: float, variance: floa
     return {"variance": variance, "sr0": sr0, "den": den, "z": z, "dsr": NormalDist().cdf(z)}
 
 
+def sharpe_variance(good: DataFrame) -> exact.Exact:
+    """Count, mean and sample variance of the Sharpe ratios of eligible rows, exactly: a last bit doesn't depend on which task came first."""
+    return exact.collected(exact.sums(good, "sharpe_per_period"))
+
+
 def dsr(stats: DataFrame, selected, trials: int | None = None) -> dict:
     """selected: a key of stats. trials: how many were tried, all rows of stats if not given. Only sums leave the executors."""
     good = eligible(stats)
     pick = good.where(F.col("key") == selected).limit(1).collect()
     if not pick:
         raise Refusal("selected_not_eligible", str(selected))
-    first = good.agg(F.count("*").alias("n"), F.avg("sharpe_per_period").alias("m"), F.max("sharpe_per_period").alias("top")).first()
-    if first["n"] < 2:
-        raise Refusal("too_few_eligible", str(first["n"]))
-    d = F.col("sharpe_per_period") - F.lit(first["m"])
-    variance = good.agg(F.sum(d * d)).first()[0] / (first["n"] - 1)
+    found = sharpe_variance(good)
+    if found.n < 2:
+        raise Refusal("too_few_eligible", str(found.n))
+    variance = exact.rounded(found.variance())
     if not variance > 0:
-        raise Refusal("zero_variance", f"{first['n']} rows of one Sharpe ratio")
+        raise Refusal("zero_variance", f"{found.n} rows of one Sharpe ratio")
+    top = good.agg(F.max("sharpe_per_period")).first()[0]
     n = trials or stats.count()
     if n < 2:
         raise Refusal("trials", str(n))
     p = pick[0]
     out = deflated(p["sharpe_per_period"], p["count"], p["skew"], p["kurt_raw"], variance, n)
-    return out | {"trials": n, "eligible": first["n"], "selected_is_max": p["sharpe_per_period"] == first["top"]}
+    return out | {"trials": n, "eligible": found.n, "selected_is_max": p["sharpe_per_period"] == top}

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamill.operators.ranks import RANGES
 from stratamill.storage import cut_lineage
 from stratamill.types import Refusal
 
-#: Distinct vectors that are sent to every executor at once.
-SENT = 50_000
-
-
 def admit(axes: list[tuple[str, str]]) -> dict[str, str]:
     """Axes as (name, direction): two or more, different names, directions that are said."""
     if len({n for n, _ in axes}) != len(axes):
@@ -53,35 +49,77 @@ def _front_2(v: DataFrame) -> DataFrame:
     return top.join(edge, "_r").withColumn("_seen", seen).where("_seen is null or _1 > _seen").select("_0", "_1")
 
 
+#: Pairs of vectors that are compared at once.
+PAIRS = 1 << 20
+
+
+def dominating(a, w, b):
+    """For each row of b the weights of the rows of a that are as large or larger on every axis.
+
+    Divide and conquer: at a middle value of the first axis the upper part of a is above
+    the lower part of b, which leaves one axis less; the two parts that share a side go on
+    with the same axis. One axis is a search in sorted values, few pairs are compared.
+    """
+    import numpy as np
+
+    out = np.zeros(len(b), np.int64)
+    stack = [(np.arange(len(a)), np.arange(len(b)), 0)]
+    while stack:
+        i, j, axis = stack.pop()
+        if not len(i) or not len(j):
+            continue
+        x, y = a[i, axis], b[j, axis]
+        i, j = i[x >= y.min()], j[y <= x.max()]
+        if not len(i) or not len(j):
+            continue
+        x, y = a[i, axis], b[j, axis]
+        if axis == a.shape[1] - 1:
+            order = np.argsort(x, kind="stable")
+            after = np.append(np.cumsum(w[i][order][::-1])[::-1], 0)
+            out[j] += after[np.searchsorted(x[order], y, "left")]
+        elif x.min() >= y.max():
+            stack.append((i, j, axis + 1))
+        elif len(i) * len(j) <= PAIRS:
+            above = np.ones((len(j), len(i)), bool)
+            for k in range(axis, a.shape[1]):
+                above &= a[i, k] >= b[j, k][:, None]
+            out[j] += above @ w[i]
+        else:
+            middle = np.sort(np.concatenate([x, y]))[(len(x) + len(y)) // 2]
+            upper, over = x >= middle, y > middle
+            stack += [(i[upper], j[~over], axis + 1), (i[upper], j[over], axis), (i[~upper], j[~over], axis)]
+    return out
+
+
+#: Vectors that a task keeps to drop others by.
+STRONG = 20_000
+
+
 def _local(names: list[str]):
+    """Vectors that nothing in sight dominates: those of their batch and the ones that the task keeps."""
+
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         kept = np.zeros((0, len(names)))
         for batch in batches:
-            x = np.vstack([kept, batch[names].to_numpy(float)])
-            x = x[np.lexsort(x.T[::-1])[::-1]]
-            kept = np.zeros((0, len(names)))
-            for row in x:
-                if not len(kept) or not (kept >= row).all(1).any():
-                    kept = np.vstack([kept, row])
+            x = np.vstack([kept, np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])])
+            kept = x[dominating(x, np.ones(len(x), np.int64), x) == 1]  # vectors are distinct, so each has itself at least
+            if len(kept) > STRONG:
+                yield pa.record_batch([pa.array(c) for c in kept.T], names=names)
+                kept = kept[:0]
         if len(kept):
-            yield pd.DataFrame(kept, columns=names)
+            yield pa.record_batch([pa.array(c) for c in kept.T], names=names)
 
     return run
 
 
-def _dominates(names: list[str], a: str, b: str) -> Column:
-    no_worse = reduce(lambda x, y: x & y, (F.col(f"{a}.{n}") >= F.col(f"{b}.{n}") for n in names))
-    return no_worse & reduce(lambda x, y: x | y, (F.col(f"{a}.{n}") > F.col(f"{b}.{n}") for n in names))
-
-
 def front(df: DataFrame, axes: dict[str, str]) -> DataFrame:
     """The rows of df that no row dominates.
 
-    Two axes need one running maximum. With more, each partition first drops what it
-    can by itself; the survivors are held against each other, a bounded block at a time.
+    Two axes need one running maximum. With more, each task first drops what it can by
+    itself; of the survivors those stay that no survivor dominates, by counts over ranges.
     """
     _axes(axes)
     names = [f"_{i}" for i in range(len(axes))]
@@ -89,94 +127,91 @@ def front(df: DataFrame, axes: dict[str, str]) -> DataFrame:
     if len(names) == 2:
         on = _front_2(v)
     else:
-        left = cut_lineage(v.mapInPandas(_local(names), ", ".join(f"{n} double" for n in names)))
-        blocks = -(-left.count() // SENT)
-        on = left
-        for b in range(blocks):
-            block = left.where(F.pmod(F.xxhash64(*names), F.lit(blocks)) == b)
-            on = on.alias("b").join(F.broadcast(block.alias("a")), _dominates(names, "a", "b"), "left_anti")
+        left = v.mapInArrow(_local(names), ", ".join(f"{n} double" for n in names)).withColumn("n", F.lit(1).cast("bigint"))
+        on = _counts(left, names).where("dominated_by = 0").select(*names)
     keys = [((F.col(a) if d == "maximize" else -F.col(a)) + 0.0) for a, d in axes.items()]
     rows = df.withColumns({n: k for n, k in zip(names, keys, strict=True)})
     return rows.join(on, names, "left_semi").drop(*names)
 
 
-#: Vectors of a range, and ranges of an axis at most (their square is the size of a table that every executor gets).
-IN_RANGE, MOST_RANGES = 50_000, 1024
-
+#: Vectors of a range, and cells of ranges at most (the size of a table that every executor gets).
+IN_RANGE, MOST_CELLS = 50_000, 1 << 20
 
-def _above(x, y, n, apart):
-    """For each point the weights of those with a larger x (`apart`), or of others with an x as large at least, and a y as large at least.
 
-    Points are different, unless only those apart count.
-    """
-    import numpy as np
+def _counts(v: DataFrame, names: list[str]) -> DataFrame:
+    """names, dominated_by of distinct vectors (names, n), without pairs of them.
 
-    order = np.lexsort((-y, -x))
-    x, y, n = x[order], y[order], n[order]
-    out = np.zeros(len(x), np.int64)
-    edges = np.flatnonzero(np.diff(x, prepend=np.inf)) if apart else np.arange(0, len(x), 1024)
-    seen, weight = np.zeros(0), np.zeros(0, np.int64)
-    for j in map(slice, edges, np.append(edges[1:], len(x))):
-        # what came before: its y in order, and the weights from each on
-        after = np.append(np.cumsum(weight[::-1])[::-1], 0)
-        out[j] = after[np.searchsorted(seen, y[j], "left")]
-        if not apart:
-            out[j] += ((x[j] >= x[j][:, None]) & (y[j] >= y[j][:, None])) @ n[j] - n[j]
-        at = np.argsort(np.append(seen, y[j]), kind="stable")
-        seen, weight = np.append(seen, y[j])[at], np.append(weight, n[j])[at]
-    back = np.empty(len(x), np.int64)
-    back[order] = out
-    return back
-
-
-def _counts_2(v: DataFrame) -> DataFrame:
-    """_0, _1, dominated_by of distinct vectors of two axes, without pairs of them.
-
-    Both axes are cut in ranges. What dominates a vector lies in its own range of the
-    first axis, or beyond that in its own range of the second, or beyond both: the first
-    two are counted inside a range, the last is a sum over cells of ranges.
+    Every axis is cut in ranges. Let k be the first axis on which what dominates a vector
+    lies in the vector's own range: on those before it the range is higher, on those after it
+    the value is as high at least. So there is one count inside the ranges of each axis, and
+    what is beyond on all axes is a sum over cells of ranges. A range with many vectors, as
+    one value of an axis may have, is cut in slices: each slice of it meets each, in a task of
+    its own.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     v = cut_lineage(v)
-    ranges = max(1, min(MOST_RANGES, -(-v.count() // IN_RANGE)))
-    cuts = [np.array(sorted(set(c))) for c in v.approxQuantile(["_0", "_1"], [i / ranges for i in range(1, ranges)], 0.1 / ranges)] if ranges > 1 else [np.zeros(0)] * 2
+    d = len(names)
+    ranges = max(1, min(int(MOST_CELLS ** (1 / d)), -(-v.count() // IN_RANGE)))
+    cuts = [np.array(sorted(set(c))) for c in v.approxQuantile(names, [i / ranges for i in range(1, ranges)], 0.1 / ranges)] if ranges > 1 else [np.zeros(0)] * d
+    places = [f"r{i}" for i in range(d)]
 
     def dealt(batches):
         for x in batches:
-            yield x.assign(r0=np.searchsorted(cuts[0], x["_0"], "right"), r1=np.searchsorted(cuts[1], x["_1"], "right"))
-
-    rows = cut_lineage(v.mapInPandas(dealt, "_0 double, _1 double, n bigint, r0 int, r1 int"))
-    cells = np.zeros((ranges + 1, ranges + 1), np.int64)
-    for c in rows.groupBy("r0", "r1").agg(F.sum("n").alias("n")).toLocalIterator():  # ranges x ranges at most
-        cells[c["r0"], c["r1"]] = c["n"]
-    beyond = v.sparkSession.sparkContext.broadcast(cells[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1])
-
-    def first(g: pd.DataFrame) -> pd.DataFrame:
-        own = _above(g["_0"].to_numpy(), g["_1"].to_numpy(), g["n"].to_numpy(), False)
-        return g[["_0", "_1"]].assign(above=own + beyond.value[g["r0"] + 1, g["r1"] + 1])
-
-    def second(g: pd.DataFrame) -> pd.DataFrame:
-        return g[["_0", "_1"]].assign(above=_above(g["r0"].to_numpy(float), g["_1"].to_numpy(), g["n"].to_numpy(), True))
-
-    kind = "_0 double, _1 double, above bigint"
-    both = rows.groupBy("r0").applyInPandas(first, kind).union(rows.groupBy("r1").applyInPandas(second, kind))
-    return both.groupBy("_0", "_1").agg(F.sum("above").alias("dominated_by"))
+            r = [pa.array(np.searchsorted(c, x.column(n).to_numpy(zero_copy_only=False), "right"), pa.int32()) for n, c in zip(names, cuts, strict=True)]
+            yield pa.record_batch([x.column(n) for n in (*names, "n")] + r, names=[*names, "n", *places])
+
+    rows = cut_lineage(v.select(*names, "n").mapInArrow(dealt, ", ".join([*(f"{n} double" for n in names), "n bigint", *(f"{p} int" for p in places)])))
+    cells, many = np.zeros((ranges + 1,) * d, np.int64), np.zeros((ranges + 1,) * d, np.int64)
+    for c in rows.groupBy(*places).agg(F.sum("n").alias("n"), F.count("*").alias("m")).toLocalIterator():  # MOST_CELLS at most
+        at = tuple(c[p] for p in places)
+        cells[at], many[at] = c["n"], c["m"]
+    for k in range(d):
+        cells = np.flip(np.flip(cells, k).cumsum(k), k)
+    beyond = v.sparkSession.sparkContext.broadcast(cells)
+
+    def over_all(batches):
+        for x in batches:
+            at = tuple(x.column(p).to_numpy() + 1 for p in places)
+            yield pa.record_batch([x.column(n) for n in names] + [pa.array(beyond.value[at])], names=[*names, "above"])
+
+    def inside(k: int):
+        def run(g: pa.Table) -> pa.Table:
+            # on axes before k the range has to be higher, from k on the value as high
+            x = np.column_stack([g.column(p if i < k else n).to_numpy().astype(float) for i, (n, p) in enumerate(zip(names, places, strict=True))])
+            w, ours = g.column("n").to_numpy(), g.column("asks").to_numpy(zero_copy_only=False)
+            asked = x[ours]
+            asked[:, :k] += 1
+            above = dominating(x[~ours], w[~ours], asked)
+            return pa.table({n: g.column(n).filter(pa.array(ours)) for n in names} | {"above": pa.array(above)})
+
+        return run
+
+    kind = ", ".join([*(f"{n} double" for n in names), "above bigint"])
+    parts = [rows.mapInArrow(over_all, kind)]
+    for k in range(d):
+        sizes = many.sum(tuple(i for i in range(d) if i != k))
+        cut = F.element_at(F.array(*(F.lit(int(-(-m // IN_RANGE)) or 1) for m in sizes)), F.col(f"r{k}") + 1)
+        sliced = rows.withColumn("_s", cut).withColumn("_own", F.pmod(F.xxhash64(*names), F.col("_s")))
+        every = F.sequence(F.lit(0).cast("bigint"), (F.col("_s") - 1).cast("bigint"))
+        asks = sliced.withColumns({"asks": F.lit(True), "_of": F.explode(every)})
+        gives = sliced.withColumns({"asks": F.lit(False), "_of": F.col("_own")}).withColumn("_own", F.explode(every))
+        both = asks.unionByName(gives)
+        parts.append(both.groupBy(f"r{k}", "_own", "_of").applyInArrow(inside(k), kind))
+    total = reduce(DataFrame.union, parts).groupBy(*names).agg(F.sum("above").alias("_above"))
+    # A vector is as high as itself, inside the ranges of the first axis.
+    return total.join(v.select(*names, "n"), names).select(*names, (F.col("_above") - F.col("n")).alias("dominated_by"))
 
 
 def domination_counts(df: DataFrame, axes: dict[str, str], max_work: int | None = None) -> DataFrame:
-    """df with `dominated_by`, the number of rows that dominate it. Two axes are counted by ranges; more cost one comparison for each pair of distinct vectors."""
+    """df with `dominated_by`, the number of rows that dominate it. Vectors are counted by ranges of their axes, not held against each other in pairs."""
     _axes(axes)
     names = [f"_{i}" for i in range(len(axes))]
     v = vectors(df, axes)
     if max_work is not None and (n := v.count()) * (n - 1) // 2 > max_work:
         raise Refusal("work", f"{n * (n - 1) // 2} comparisons, {max_work} admitted")
-    if len(names) == 2:
-        counts = _counts_2(v)
-    else:
-        pairs = v.alias("b").join(v.alias("a"), _dominates(names, "a", "b"))
-        counts = pairs.groupBy(*(F.col(f"b.{n}").alias(n) for n in names)).agg(F.sum("a.n").alias("dominated_by"))
+    counts = _counts(v, names)
     keys = [((F.col(a) if d == "maximize" else -F.col(a)) + 0.0) for a, d in axes.items()]
     rows = df.withColumns({n: k for n, k in zip(names, keys, strict=True)}).join(counts, names, "left")
     return rows.withColumn("dominated_by", F.coalesce("dominated_by", F.lit(0))).drop(*names)

@@ -15,6 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamill.operators.ranks import below
 from stratamill.storage import cut_lineage
 from stratamill.types import Refusal
 
@@ -97,9 +98,11 @@ def split_results(moments: DataFrame, blocks: int, spark: SparkSession | None =
     test = stats.where("not train").select("split", "key", F.col("stat").alias("out"))
     top = train.groupBy("split").agg(F.max("stat").alias("top"))
     best = train.join(top, "split").where("stat = top").select("split", F.col("key").alias("winner"))
-    winners = best.join(best.groupBy("split").agg(F.count("*").alias("ties")), "split")
-    reference = winners.join(test.withColumnRenamed("key", "winner"), ["split", "winner"]).withColumnRenamed("out", "ref")
-    ranked = test.join(reference, "split").groupBy("split", "winner", "ties").agg((2 * F.sum((F.col("out") < F.col("ref")).cast("long")) + F.sum((F.col("out") == F.col("ref")).cast("long")) + 1).alias("rank2"), F.count("*").alias("trials"))
+    facts = best.groupBy("split").agg(F.count("*").alias("ties")).join(test.groupBy("split").agg(F.count("*").alias("trials")), "split")
+    reference = best.join(test.withColumnRenamed("key", "winner"), ["split", "winner"])
+    # A winner's place comes from counts by (split, value), summed over ranges of values: one row a winner, however many trials tie.
+    places = below(test, "out", ["split"]).select("split", "out", (2 * F.col("before") + F.col("n") + 1).alias("rank2"))
+    ranked = reference.join(places, ["split", "out"]).join(facts, "split").select("split", "winner", "ties", "rank2", "trials")
     return ranked.withColumn("side", F.signum((F.col("rank2") - (F.col("trials") + 1)).cast("double")).cast("int"))
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import insort
+from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.operators.ranks import below
+from stratamill.plans.ordinals import OrdinalSet, build, lowest_unset
 from stratamill.plans.samplers import Twister, continuation_seed, draw, random_indexed
 from stratamill.plans.space import Boolean, Categorical, Space
 from stratamill.plans.tpe import STARTUP, Parzen, Tpe, choice_mass, split, weights
@@ -98,14 +102,15 @@ def continued_random(spark: SparkSession, space: Space, history: DataFrame, seed
 
 def lowest_untried(spark: SparkSession, space: Space, tried: DataFrame, k: int = 1) -> list[int]:
     """The k lowest ordinals that aren't among the tried vectors."""
-    return [r["ordinal"] for r in space.continued(spark, tried, k).select("ordinal").orderBy("ordinal").collect()]
+    return lowest_unset(spark, build(space.encode(tried.select(*space.names))), space.cardinality(), k)
 
 
 class Distinct:
     """A sampler that never proposes a vector twice: up to ATTEMPTS proposals, then the lowest untried ordinal."""
 
-    def __init__(self, sampler, space: Space, tried: set[int] = frozenset()):
-        self.sampler, self.space, self.tried, self.lowest = sampler, space, set(tried), 0
+    def __init__(self, sampler, space: Space, tried: OrdinalSet | Iterable[int] = ()):
+        self.sampler, self.space = sampler, space
+        self.tried = tried if isinstance(tried, OrdinalSet) else OrdinalSet(tried)
         self.size = space.cardinality()
 
     def _ordinal(self, c: dict) -> int:
@@ -132,10 +137,9 @@ class Distinct:
                 self.tried.add(o)
                 return c
             self.sampler.abandon(c)
-        while self.lowest in self.tried:
-            self.lowest += 1
-        self.tried.add(self.lowest)
-        return self._vector(self.lowest)
+        lowest = self.tried.lowest_unset()
+        self.tried.add(lowest)
+        return self._vector(lowest)
 
     def tell(self, candidate: dict, objective: float) -> None:
         self.sampler.tell(candidate, objective)
@@ -159,34 +163,96 @@ class Random:
     abandon = lambda self, candidate: None
 
 
+#: Observations that a bounded history keeps (fixed values): the best, the newest, and a sample of the others.
+ELITES, RECENT, RESERVOIR = 25, 64, 448
+
+
+def priority(seed: int, trial_id: int) -> str:
+    """A row's place in the sample: its own random number, so that the rows with the smallest ones are a uniform sample of whatever was seen."""
+    return hashlib.md5(f"{seed}:{trial_id}".encode()).hexdigest()
+
+
+def bounded_history(history: DataFrame, seed: int, minimize: bool = False, elites: int = ELITES, recent: int = RECENT, reservoir: int = RESERVOIR) -> DataFrame:
+    """The rows of a history (trial_id, objective, dimensions) that a bounded sampler keeps, with `role`: elite, recent or reservoir.
+
+    The best by objective (ties: lower id), of the others those with the highest ids, and
+    a uniform sample of the rest. Each is the top of an order, so tasks send up their own
+    tops and no row is shuffled; histories that were cut this way and are put together are
+    cut again with the same result as at once, but for rows that no longer are the best or newest.
+    """
+    value = F.col("objective").asc() if minimize else F.col("objective").desc()
+    best = history.orderBy(value, "trial_id").limit(elites)
+    ids = [r["trial_id"] for r in best.select("trial_id").collect()]
+    others = history.where(~F.col("trial_id").isin(ids)) if ids else history
+    new = others.orderBy(F.col("trial_id").desc()).limit(recent)
+    ids = [r["trial_id"] for r in new.select("trial_id").collect()]
+    rest = others.where(~F.col("trial_id").isin(ids)) if ids else others
+    number = F.md5(F.concat(F.lit(f"{seed}:"), F.col("trial_id").cast("string")).cast("binary"))
+    sample = rest.orderBy(number, "trial_id").limit(reservoir)
+    return reduce(DataFrame.unionByName, (d.withColumn("role", F.lit(k)) for d, k in ((best, "elite"), (new, "recent"), (sample, "reservoir"))))
+
+
 class BoundedTpe(Tpe):
-    """Parzen estimation from a bounded history: the best, the newest, and a fair sample of the rest.
+    """Parzen estimation from a bounded history: the best, the newest, and a uniform sample of the rest.
 
-    The models are made anew after REFIT observations; in between a proposal costs DRAWS
-    draws, whose ratios of densities come from a table of POINTS places (or of a
-    dimension's values). Sizes and rates are fixed values of the method.
+    What leaves the newest, or the best for a better one, is counted and offered to the
+    sample, which keeps the rows with the smallest random numbers of their own stream: what
+    is kept depends neither on proposals nor on the order of rows, and bounded_history() gives the same of a table. The models are made anew after REFIT observations; in
+    between a proposal costs DRAWS draws, whose ratios of densities come from a table of
+    POINTS places (or of a dimension's values). Sizes and rates are fixed values of the method.
     """
 
-    ELITES, RECENT, RESERVOIR = 25, 64, 448
     REFIT, POINTS, DRAWS = 32, 513, 8
 
     def __init__(self, space: Space, seed: int, minimize: bool = False):
         super().__init__(space, seed, minimize)
-        self.count = 0
-        self.kept: list[tuple[int, dict, float]] = []
+        self.seed, self.count, self.offered = seed, 0, 0
+        self.elites: list[tuple[float, int, dict, float]] = []  # rank, id, vector, objective
+        self.newest: list[tuple[int, dict, float]] = []
+        self.sample: list[tuple[str, int, dict, float]] = []
         self.fitted_at, self.models = 0, {}
 
+    @property
+    def kept(self) -> list[tuple[int, dict, float]]:
+        """(id, vector, objective) in the order of ids."""
+        return sorted([x[1:] for x in self.elites] + self.newest + [x[1:] for x in self.sample], key=lambda x: x[0])
+
     def tell(self, candidate: dict, objective: float) -> None:
         self.abandon(candidate)
-        self.kept.append((self.count, candidate, objective))
-        self.count += 1
-        if len(self.kept) > self.ELITES + self.RECENT + self.RESERVOIR:
-            sign = 1 if self.minimize else -1
-            best = {i for i, _, _ in sorted(self.kept, key=lambda x: (sign * x[2], x[0]))[: self.ELITES]}
-            rest = [x for x in self.kept[: -self.RECENT] if x[0] not in best]
-            gone = rest[self.rng.bounded(len(rest))][0]
-            self.kept = [x for x in self.kept if x[0] != gone]
+        self.observe(self.count, candidate, objective)
+        self.seen = [(c, s) for _, c, s in self.kept]
+
+    def observe(self, trial_id: int, candidate: dict, objective: float) -> None:
+        """Keep a row or let it go; ids rise."""
+        self.count = trial_id + 1
+        insort(self.elites, (objective if self.minimize else -objective, trial_id, candidate, objective), key=lambda x: x[:2])
+        if len(self.elites) > ELITES:
+            insort(self.newest, self.elites.pop()[1:], key=lambda x: x[0])
+        if len(self.newest) > RECENT:
+            old = self.newest.pop(0)
+            self.offered += 1
+            insort(self.sample, (priority(self.seed, old[0]), *old), key=lambda x: x[:2])
+            del self.sample[RESERVOIR:]
+
+    def roles(self) -> dict[int, str]:
+        return {x[1]: "elite" for x in self.elites} | {x[0]: "recent" for x in self.newest} | {x[1]: "reservoir" for x in self.sample}
+
+    def warm(self, history: DataFrame) -> "BoundedTpe":
+        """Take over what bounded_history() keeps of a history of any size; only that reaches the driver."""
+        rows = history.select("trial_id", "objective", *self.space.names)
+        seen = rows.agg(F.count("*").alias("n"), F.max("trial_id").alias("last")).first()
+        for r in bounded_history(rows, self.seed, self.minimize).collect():
+            c = {n: r[n] for n in self.space.names}
+            if r["role"] == "elite":
+                insort(self.elites, (r["objective"] if self.minimize else -r["objective"], r["trial_id"], c, r["objective"]), key=lambda x: x[:2])
+            elif r["role"] == "recent":
+                insort(self.newest, (r["trial_id"], c, r["objective"]), key=lambda x: x[0])
+            else:
+                insort(self.sample, (priority(self.seed, r["trial_id"]), r["trial_id"], c, r["objective"]), key=lambda x: x[:2])
+        self.count = 0 if seen["last"] is None else seen["last"] + 1
+        self.offered = max(0, seen["n"] - len(self.elites) - len(self.newest))
         self.seen = [(c, s) for _, c, s in self.kept]
+        return self
 
     def _fit(self) -> None:
         sign = -1 if self.minimize else 1
@@ -229,28 +295,43 @@ class BoundedTpe(Tpe):
 
 
 def save_state(tpe: Tpe) -> str:
-    """A sampler's state as checksummed JSON."""
-    body = {"version": 1, "seen": tpe.seen, "pending": tpe.pending, "state": tpe.rng.state, "at": tpe.rng.at, "minimize": tpe.minimize}
+    """A sampler's state as checksummed JSON; that of a bounded one holds its kept rows with their roles, and its models' age."""
+    body = {"version": 2, "kind": "bounded" if isinstance(tpe, BoundedTpe) else "full", "pending": tpe.pending, "state": tpe.rng.state, "at": tpe.rng.at, "minimize": tpe.minimize}
+    if isinstance(tpe, BoundedTpe):
+        body |= {"seed": tpe.seed, "count": tpe.count, "offered": tpe.offered, "fitted_at": tpe.fitted_at, "elites": tpe.elites, "newest": tpe.newest, "sample": tpe.sample}
+        body["models"] = {k: [x.tolist() if isinstance(x, np.ndarray) else {f: getattr(x, f).tolist() for f in Parzen.FIELDS} for x in m] for k, m in tpe.models.items()}
+    else:
+        body["seen"] = tpe.seen
     text = json.dumps(body, separators=(",", ":"))
     return json.dumps({"sha256": hashlib.sha256(text.encode()).hexdigest(), "body": text})
 
 
 def load_state(space: Space, text: str) -> Tpe:
+    """The sampler that save_state() was given; it proposes what that one would have."""
     outer = json.loads(text)
     if hashlib.sha256(outer["body"].encode()).hexdigest() != outer["sha256"]:
         raise Refusal("state_checksum")
     body = json.loads(outer["body"])
-    if body["version"] != 1:
-        raise Refusal("state_version", str(body["version"]))
-    out = Tpe(space, 0, body["minimize"])
-    out.rng.state, out.rng.at = body["state"], body["at"]
-    out.seen, out.pending = [(c, s) for c, s in body["seen"]], body["pending"]
+    if body["version"] != 2 or body["kind"] not in ("bounded", "full"):
+        raise Refusal("state_version", f"{body['version']} {body.get('kind')}")
+    if body["kind"] == "bounded":
+        out = BoundedTpe(space, body["seed"], body["minimize"])
+        out.count, out.offered, out.fitted_at = body["count"], body["offered"], body["fitted_at"]
+        out.elites, out.newest, out.sample = ([tuple(x) for x in body[k]] for k in ("elites", "newest", "sample"))
+        out.models = {k: tuple(np.array(x) if isinstance(x, list) else Parzen.restored({f: np.array(v) for f, v in x.items()}) for x in m) for k, m in body["models"].items()}
+        out.seen = [(c, s) for _, c, s in out.kept]
+    else:
+        out = Tpe(space, 0, body["minimize"])
+        out.seen = [(c, s) for c, s in body["seen"]]
+    out.rng.state, out.rng.at, out.pending = body["state"], body["at"], body["pending"]
     return out
 
 
 def warmed(tpe: Tpe, history: DataFrame, most: int = 100_000) -> Tpe:
-    """Tell a sampler the finite feasible rows of a history in id order; a longer one than `most` is refused."""
+    """Tell a sampler the finite feasible rows of a history in id order. A bounded sampler takes any number; a full one holds all rows, and more than `most` are refused."""
     good = history.where("feasible and objective is not null and not isnan(objective)")
+    if isinstance(tpe, BoundedTpe) and not tpe.count:
+        return tpe.warm(good)
     if (n := good.count()) > most:
         raise Refusal("warm_rows", f"{n} rows, {most} admitted on the driver")
     for r in good.orderBy("trial_id").select(*tpe.space.names, "objective").collect():

@@ -90,6 +90,15 @@ def log_sum(x: np.ndarray) -> float:
 class Parzen:
     """A mixture of normals on [0, 1], each as wide as the gap to its neighbours, and a wide prior."""
 
+    FIELDS = ("mean", "sigma", "weight")
+
+    @classmethod
+    def restored(cls, fields: dict[str, np.ndarray]) -> "Parzen":
+        out = cls.__new__(cls)
+        out.mean, out.sigma, out.weight = (fields[k] for k in cls.FIELDS)
+        out._ready()
+        return out
+
     def __init__(self, x: np.ndarray, w: np.ndarray):
         n = len(x)
         order = np.argsort(x, kind="stable")
@@ -102,6 +111,9 @@ class Parzen:
         sigma = np.clip(sigma, 1 / min(100, n + 2), 1.0)
         self.mean, self.sigma = np.append(x, 0.5), np.append(sigma, 1.0)
         self.weight = np.append(w, 1.0) / (w.sum() + 1.0)
+        self._ready()
+
+    def _ready(self) -> None:
         self.log_mass_of = log_interval(-self.mean / self.sigma, (1 - self.mean) / self.sigma)
         with np.errstate(divide="ignore"):
             self.log_weight = np.log(self.weight)

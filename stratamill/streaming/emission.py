@@ -1,7 +1,7 @@
 """Trials leave a study in the order of their ids, however they finish.
 
-emit() is the streaming form: state per study is the next id and the finished rows
-that wait for it. The other functions answer the same questions over a table.
+emit() is the streaming form: state per study is the next id and a bounded map of the finished
+rows that wait for it; drained() holds back what is beyond the bound. The other functions answer the same questions over a table.
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from stratamill.operators.ordered import islands, lag_within, numbered, running_max
 
@@ -24,32 +24,91 @@ def projected(status: Column) -> tuple[Column, Column]:
     return F.when(status.isin("ok", "constraint_violation"), "ok").when(status.isin("pruned", "partial"), status).otherwise("failed"), status == "ok"
 
 
-def emit(trials: DataFrame, floor: int = 0) -> DataFrame:
-    """study, trial_id, status, outcome of a stream of (study, trial_id, status).
+#: The state store with single entries of a map (a fixed name).
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Ordered(StatefulProcessor):
+    """State of a study: the next id, and a map of the finished rows up to `bound` ids beyond it.
 
-    outcome: emitted (in order), rejected (an id that was emitted or lies below the floor).
-    Rows that wait for an earlier one are held as state, however many they are.
+    Entries are read at the start of a batch; one is written when its row comes and removed when it leaves, the others stay as they are.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, ids, statuses = state.get if state.exists else (floor, [], [])
-        waiting = dict(zip(ids, statuses, strict=True))
-        out = []
-        for batch in batches:
-            for i, s in zip(batch["trial_id"], batch["status"], strict=True):
-                if i < following or i in waiting:
-                    out.append((key[0], int(i), s, "rejected"))
-                else:
-                    waiting[int(i)] = s
-        while following in waiting:
-            out.append((key[0], following, waiting.pop(following), "emitted"))
+    def __init__(self, floor: int, bound: int):
+        self.floor, self.bound = floor, bound
+
+    def init(self, handle) -> None:
+        self.following = handle.getValueState("following", "id bigint")
+        self.waiting = handle.getMapState("waiting", "id bigint", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        following = self.following.get()[0] if self.following.exists() else self.floor
+        before = {k[0]: v[0] for k, v in self.waiting.iterator()}  # `bound` entries at most
+        here, out, pool = dict(before), [], []
+        for batch in rows:
+            pool += zip(batch["trial_id"].tolist(), batch["status"].tolist(), strict=True)
+        for i, status in sorted(pool):
+            while following in here:
+                out.append((key[0], following, here.pop(following), "emitted"))
+                following += 1
+            if i < following or i in here:
+                out.append((key[0], i, status, "rejected"))
+            elif i >= following + self.bound:
+                out.append((key[0], i, status, "held"))
+            else:
+                here[i] = status
+        while following in here:
+            out.append((key[0], following, here.pop(following), "emitted"))
             following += 1
-        state.update((following, list(waiting), list(waiting.values())))
+        for i in before.keys() - here.keys():
+            self.waiting.removeKey((i,))
+        for i in here.keys() - before.keys():
+            self.waiting.updateValue((i,), (here[i],))
+        self.following.update((following,))
         yield pd.DataFrame(out, columns=["study", "trial_id", "status", "outcome"])
 
-    return trials.groupBy("study").applyInPandasWithState(
-        step, "study string, trial_id bigint, status string, outcome string", "following bigint, ids array<bigint>, statuses array<string>", "append", GroupStateTimeout.NoTimeout
-    )
+
+def emit(trials: DataFrame, floor: int = 0, bound: int = 1 << 16) -> DataFrame:
+    """study, trial_id, status, outcome of a stream of (study, trial_id, status).
+
+    outcome: emitted (in order), rejected (an id that was emitted, waits or lies below the floor),
+    held (`bound` ids or more ahead of the next one: not taken in, and to be given again
+    later, as drained() does). State needs the store ROCKS.
+    """
+    return trials.groupBy("study").transformWithStateInPandas(Ordered(floor, bound), "study string, trial_id bigint, status string, outcome string", "Append", "None")
+
+
+def drained(spark: SparkSession, source: str, folder: str, floor: int = 0, bound: int = 1 << 16, files: int = 1000) -> DataFrame:
+    """study, trial_id, status, outcome of all files of rows (study, trial_id, status; Parquet) in source, with a bounded state.
+
+    Rows that are too far ahead hold the source back: they are written to a folder that the
+    stream reads again after what it took in, for as long as any are let in. Those that
+    wait for an id that never comes stay `held` in the result, and in that folder.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = "study string, trial_id bigint, status string"
+    held, out = f"{folder}/held", f"{folder}/out"
+    spark.createDataFrame([], schema).write.mode("append").parquet(held)
+
+    def written(batch: DataFrame, number: int) -> None:
+        """One folder for each batch, so that a batch that is done again replaces its own rows."""
+        batch.where("outcome <> 'held'").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.where("outcome = 'held'").drop("outcome").write.mode("overwrite").parquet(f"{held}/batch={number}")
+
+    last = -1
+    while True:
+        given, again = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(p) for p in (source, held))
+        q = emit(given.union(again), floor, bound).writeStream.foreachBatch(written).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress = [p["batchId"] for p in q.recentProgress]
+        new = spark.read.schema(schema + ", outcome string, batch int").parquet(out).where(F.col("batch") > last)
+        if not progress or not new.where("outcome = 'emitted'").limit(1).count():
+            break
+        last = max(progress)
+    done = spark.read.schema(schema + ", outcome string").option("recursiveFileLookup", True).parquet(out)
+    rest = spark.read.schema(schema + ", batch int").option("basePath", held).parquet(held)
+    gone = done.select("study", "trial_id").distinct()
+    return done.unionByName(rest.select("study", "trial_id", "status").dropDuplicates(["study", "trial_id"]).join(gone, ["study", "trial_id"], "left_anti").withColumn("outcome", F.lit("held")))
 
 
 def watermark(trials: DataFrame, floor: int = 0) -> DataFrame:

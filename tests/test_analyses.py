@@ -61,13 +61,26 @@ def test_domination_counts_by_ranges(spark, monkeypatch):
     rows = [(i, float(rng.choice([1, 2, 2, 3, rng.randint(0, 60)])), float(rng.choice([5, 5, rng.randint(0, 60), rng.random()]))) for i in range(700)]
     got = {r["i"]: r["dominated_by"] for r in pareto.domination_counts(spark.createDataFrame(rows, "i int, a double, b double"), {"a": "maximize", "b": "minimize"}).collect()}
     assert got == {i: sum(x >= a and y <= b and (x > a or y < b) for _, x, y in rows) for i, a, b in rows}
-    points = [(float(rng.randrange(5)), float(rng.randrange(700))) for _ in range(5000)]
-    for apart, of in ((True, points), (False, list(dict.fromkeys(points)))):
-        x, y = np.array(of).T
+    for axes in (1, 2, 3, 4):
+        of = np.array([[float(rng.randrange(5)), float(rng.randrange(700)), rng.random(), float(rng.randrange(40))][:axes] for _ in range(2500)])
         n = np.array(rng.choices([1, 2, 5], k=len(of)))
-        over = (x > x[:, None] if apart else x >= x[:, None]) & (y >= y[:, None])
-        np.fill_diagonal(over, False)
-        assert (pareto._above(x, y, n, apart) == over @ n).all()
+        over = (of >= of[:, None]).all(2)
+        assert (pareto.dominating(of, n, of) == over @ n).all()
+        assert (pareto.dominating(of[:1000], n[:1000], of[1000:] + 1) == (of[:1000] >= of[1000:, None] + 1).all(2) @ n[:1000]).all()
+
+
+def test_hot_values_and_three_axes(spark, monkeypatch):
+    """One value of the second axis holds half of the vectors; ranges and slices are small."""
+    monkeypatch.setattr(pareto, "IN_RANGE", 40)
+    rng = random.Random(13)
+    rows = [(i, float(rng.randint(0, 60)), float(rng.choice([7, rng.randint(0, 20)])), float(rng.randint(0, 9))) for i in range(500)]
+    axes = {"a": "maximize", "b": "minimize", "c": "maximize"}
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double")
+    want = {i: sum(x >= a and y <= b and z >= c and (x, y, z) != (a, b, c) for _, x, y, z in rows) for i, a, b, c in rows}
+    assert {r["i"]: r["dominated_by"] for r in pareto.domination_counts(df, axes).collect()} == want
+    found = pareto.front(df, axes)
+    assert {r["i"] for r in found.collect()} == {i for i, n in want.items() if not n}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
 
 
 def test_split_results_against_brute_force(spark):
