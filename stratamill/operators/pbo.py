@@ -146,6 +146,12 @@ def roster_label(sampler: str, early_stop: bool) -> str:
     return "paper_conformant" if sampler in INDEPENDENT and not early_stop else "diagnostic_adaptive_roster"
 
 
+def roster_labels(sampler: Column, early_stop: Column) -> Column:
+    """roster_label() of columns; null for a sampler that isn't known."""
+    conformant = sampler.isin(*INDEPENDENT) & ~early_stop
+    return F.when(sampler.isin(*INDEPENDENT, *ADAPTIVE), F.when(conformant, "paper_conformant").otherwise("diagnostic_adaptive_roster"))
+
+
 def roster_defects(rows: DataFrame, roster: DataFrame, blocks: int) -> DataFrame:
     """key, defect: rows held against the declared roster (key).
 

@@ -118,9 +118,15 @@ def varying(space: Space) -> list:
 
 def sobol(spark: SparkSession, space: Space, trials: int, seed: int | None = None, first: int = 0, table=DIRECTIONS) -> DataFrame:
     """trial_id (the point's index) and the dimensions. A continuation begins at the parent's last index + 1."""
-    column = {d.name: i for i, d in enumerate(varying(space))}
     ids = spark.range(first, first + trials).withColumnRenamed("id", "trial_id")
-    bits = max(1, (first + trials).bit_length())
+    return sobol_at(ids, space, seed, max(1, (first + trials).bit_length()), table)
+
+
+def sobol_at(ids: DataFrame, space: Space, seed: int | None = None, bits: int = 40, table=DIRECTIONS) -> DataFrame:
+    """ids (trial_id, the points' indexes below 2**bits) with the dimensions. Up to WIDE columns are expressions; more are stepped over in Arrow blocks."""
+    column = {d.name: i for i, d in enumerate(varying(space))}
+    if len(column) > WIDE:
+        return _sobol_blocks(ids, space, seed, bits, table)
 
     def value(d):
         if d.name not in column:
@@ -131,10 +137,82 @@ def sobol(spark: SparkSession, space: Space, trials: int, seed: int | None = Non
     return ids.withColumns({d.name: value(d) for d in space.dimensions})
 
 
+#: Columns whose 40 terms each still make one generated class.
+WIDE = 24
+
+
+def sobol_block(index, words):
+    """Words of points (uint64: points x columns); words: V_1 ... by column. A run of indexes is stepped by Gray code, one word a step; where a run begins all of its bits are taken."""
+    import numpy as np
+
+    index = np.asarray(index, np.uint64)
+    out = np.zeros((len(index), words.shape[0]), np.uint64)
+    follows = np.zeros(len(index), bool)
+    follows[1:] = index[1:] == index[:-1] + np.uint64(1)
+    # The lowest set bit of an index says which word its step from the one before takes.
+    lowest = np.bitwise_count((index & (~index + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+    out[follows] = words[:, lowest[follows]].T
+    first = np.flatnonzero(~follows)
+    gray = index[first] ^ (index[first] >> np.uint64(1))
+    for k in range(words.shape[1]):
+        out[first] ^= np.where((gray >> np.uint64(k) & np.uint64(1))[:, None] == 1, words[:, k], np.uint64(0))
+    for a, b in zip(first, np.append(first[1:], len(index)), strict=True):
+        np.bitwise_xor.accumulate(out[a:b], axis=0, out=out[a:b])
+    return out
+
+
+def _sobol_blocks(ids: DataFrame, space: Space, seed: int | None, bits: int, table) -> DataFrame:
+    """sobol_at() for any number of columns: words by Arrow blocks, then the same expressions of words as else."""
+    import numpy as np
+
+    dims = varying(space)
+    words = np.array([direction_words(c, table)[:bits] for c in range(len(dims))], np.uint64)
+    shifts = np.array([0 if seed is None else shift_word(seed, c) for c in range(len(dims))], np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast((words, shifts))  # columns x 40 words
+    names = ids.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                w = sobol_block(some.column("trial_id").to_numpy(zero_copy_only=False), shared.value[0]) ^ shared.value[1]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32)), pa.array(w.view(np.int64).ravel()))
+                yield pa.record_batch([*(some.column(n) for n in names), lists], names=[*names, "_words"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields)
+    made = ids.mapInArrow(run, f"{kinds}, _words array<bigint>")
+    place = {d.name: i for i, d in enumerate(dims)}
+    constant = {d.name: d.value(F.lit(0).cast("long")) if not isinstance(d, Real) else F.lit(d.low) for d in space.dimensions if d.name not in place}
+    return made.select(*names, *(constant.get(d.name, decoded(d, F.col("_words")[place[d.name]]) if d.name in place else None).alias(d.name) for d in space.dimensions))
+
+
+def parts(ids: DataFrame) -> DataFrame:
+    """part, first_index, next_index, terminal_trials, exact_stream of a Sobol study's parts; ids: part (0, 1, ...), trial_id of every terminal trial.
+
+    A part goes on after the largest id before it. It is exact if the parts before it hold
+    all ids below its first and no others, and its own are all from there to its last, once
+    each. Ids are counted in the first part that has them, so a part costs one row.
+    """
+    from pyspark.sql import Window
+
+    own = ids.groupBy("part").agg(F.count("*").alias("n"), F.min("trial_id").alias("low"), F.max("trial_id").alias("high"))
+    each = ids.groupBy("trial_id").agg(F.min("part").alias("part"))
+    new = each.groupBy("part").agg(F.count("*").alias("new"))
+    distinct = ids.groupBy("part", "trial_id").agg(F.lit(1).alias("_")).groupBy("part").agg(F.count("*").alias("k"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    rows = own.join(new, "part", "left").join(distinct, "part")
+    rows = rows.withColumns({"first_index": F.coalesce(F.max("high").over(before) + 1, F.lit(0)), "_seen": F.coalesce(F.sum(F.coalesce("new", F.lit(0))).over(before), F.lit(0))})
+    following = F.greatest(F.col("high") + 1, F.col("first_index"))
+    exact = (F.col("_seen") == F.col("first_index")) & (F.col("low") == F.col("first_index")) & (F.col("n") == F.col("k")) & (F.col("k") == following - F.col("first_index"))
+    return rows.select("part", "first_index", following.alias("next_index"), F.col("n").alias("terminal_trials"), exact.alias("exact_stream"))
+
+
 def admit_sobol(spark: SparkSession, space: Space, parent: DataFrame, seed: int | None = None) -> DataFrame:
     """Rows of a parent study that its generator doesn't make at their id."""
     last = parent.agg(F.max("trial_id")).first()[0]
-    made = sobol(spark, space, (last if last is not None else -1) + 1, seed)
+    made = sobol_at(parent.select("trial_id").where("trial_id >= 0").distinct(), space, seed, max(1, (last or 0).bit_length()))
     return parent.select("trial_id", *space.names).join(made, ["trial_id", *space.names], "left_anti")
 
 
@@ -203,7 +281,11 @@ def random_serial(space: Space, seed: int, trials: int) -> list[dict]:
 
 def random_indexed(spark: SparkSession, space: Space, seed: int, trials: int, first: int = 0) -> DataFrame:
     """A random sample made in parallel: every value comes from a hash of (seed, trial, dimension). Its stream isn't the serial one."""
-    ids = spark.range(first, first + trials).withColumnRenamed("id", "trial_id")
+    return random_at(spark.range(first, first + trials).withColumnRenamed("id", "trial_id"), space, seed)
+
+
+def random_at(ids: DataFrame, space: Space, seed: int) -> DataFrame:
+    """ids (trial_id) with the values that a random sample has there."""
     words = {d.name: F.xxhash64(F.lit(signed(seed & _MASK)).cast("long"), F.col("trial_id"), F.lit(i)) for i, d in enumerate(space.dimensions)}
     return ids.withColumns({d.name: decoded(d, words[d.name]) for d in space.dimensions})
 

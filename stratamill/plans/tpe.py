@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.operators.ranks import below
@@ -146,6 +146,16 @@ def smoothed(share: np.ndarray, observations: int) -> np.ndarray:
     return (share.sum() * alpha + share) / (total * (1 + alpha * choices)) + (1.0 / total) / choices
 
 
+def encoded(d: Integer | Real, value: Column) -> Column:
+    """The place of a numeric dimension's values in [0, 1], as columns."""
+    if isinstance(d, Integer):
+        i, a = F.floor((value - d.low) / d.step) + 0.5, d.low - 0.5
+        return F.log1p(i / a) / math.log1p(d.count / a) if d.log else i / d.count
+    if d.step is not None:
+        return (F.round((value - d.low) / d.step) + 0.5) / d.count
+    return F.ln(value / d.low) / math.log(d.high / d.low) if d.log else (value - d.low) / (d.high - d.low)
+
+
 class Tpe:
     """ask() a vector, tell() its objective or abandon() it. pending vectors count as bad ones."""
 

@@ -257,17 +257,18 @@ def snk7_list_coverage(spark, sf_dir):
 # ---- Spaces and samplers -----------------------------------------------------
 
 SPACE = Space((Integer("size", 1, 50), Categorical("mode", ("ema", "sma", "wma")), Boolean("flag"), Real("x", 0.0, 0.3, 0.1)))
-GRID = "SELECT range AS trial_id, 1 + (range // 24) % 50 AS size, ['ema','sma','wma'][1 + (range // 8) % 3] AS mode, (range // 4) % 2 = 1 AS flag, list_extract(CAST([0.0, 0.1, 0.2, 0.3] AS DOUBLE[]), 1 + range % 4) AS x FROM range(1200)"
+GRID = "SELECT p_partkey AS trial_id, 1 + (range // 24) % 50 AS size, ['ema','sma','wma'][1 + (range // 8) % 3] AS mode, (range // 4) % 2 = 1 AS flag, list_extract(CAST([0.0, 0.1, 0.2, 0.3] AS DOUBLE[]), 1 + range % 4) AS x FROM (SELECT p_partkey, p_partkey % 1200 AS range FROM part)"
 
 
 @query(GRID)
 def smp1_grid(spark, sf_dir):
-    return SPACE.grid(spark)
+    """The grid's vectors, dealt to the parts by their keys."""
+    return SPACE.decode(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), (F.col("p_partkey") % 1200).alias("_o")), "_o").drop("_o")
 
 
-@query("SELECT range AS trial_id, range AS ordinal FROM range(1200)")
+@query("SELECT p_partkey AS trial_id, p_partkey % 1200 AS ordinal FROM part")
 def spc5_encode(spark, sf_dir):
-    return SPACE.encode(SPACE.grid(spark)).select("trial_id", "ordinal")
+    return SPACE.encode(smp1_grid(spark, sf_dir)).select("trial_id", "ordinal")
 
 
 @query(f"WITH {TRIALS_SQL} SELECT trial_id, CASE WHEN size % 2 = 0 OR size > 31 THEN 'size: off grid' END AS issue FROM tr WHERE size % 2 = 0 OR size > 31")
@@ -296,19 +297,23 @@ def _sobol_sql(column: int, bits: int, shift: int = 0) -> str:
     return out
 
 
-SOBOL_N = 20_000
+def _part_ids(spark, sf_dir):
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"))
+
+
 SOBOL_SPACE = Space((Integer("a", 0, 999), Real("b", 0.0, 1.0), Categorical("c", tuple(range(7))), Integer("d", 1, 100)))
 
 
-@query(f"""WITH w AS (SELECT range AS trial_id, {", ".join(f"{_sobol_sql(c, 15, samplers.shift_word(42, c))} AS w{c}" for c in range(4))} FROM range({SOBOL_N}))
+@query(f"""WITH w AS (SELECT range AS trial_id, {", ".join(f"{_sobol_sql(c, 25, samplers.shift_word(42, c))} AS w{c}" for c in range(4))} FROM (SELECT p_partkey AS range FROM part))
 SELECT trial_id, CAST((w0::HUGEINT * 1000) >> 64 AS BIGINT) AS a, round(CAST(w1 >> 11 AS DOUBLE) * pow(2.0, -53), 9) AS b, CAST((w2::HUGEINT * 7) >> 64 AS INT) AS c, 1 + CAST((w3::HUGEINT * 100) >> 64 AS BIGINT) AS d FROM w""")
 def smp4_sobol(spark, sf_dir):
-    return samplers.sobol(spark, SOBOL_SPACE, SOBOL_N, seed=42).withColumn("b", r(F.col("b"), 9))
+    """Each part's point by its key."""
+    return samplers.sobol_at(_part_ids(spark, sf_dir), SOBOL_SPACE, 42).withColumn("b", r(F.col("b"), 9))
 
 
 @query(None)
 def smp3_random(spark, sf_dir):
-    return samplers.random_indexed(spark, SOBOL_SPACE, 7, 10_000)
+    return samplers.random_at(_part_ids(spark, sf_dir), SOBOL_SPACE, 7)
 
 
 @query(f"""WITH {TRIALS_SQL}, ok AS (SELECT *, row_number() OVER (ORDER BY objective DESC, trial_id) AS rank, count(*) OVER () AS n FROM tr WHERE status = 'ok')
@@ -421,11 +426,20 @@ def par2_pareto_front(spark, sf_dir):
     return pareto.front(trials(spark, sf_dir).where("status = 'ok'"), AXES).select("trial_id", "price", "size")
 
 
-@query("""WITH s AS (SELECT s_suppkey AS trial_id, s_acctbal AS a, s_nationkey AS b, s_suppkey % 17 AS c FROM supplier)
-SELECT trial_id FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND (y.a > x.a OR y.b > x.b OR y.c > x.c))""")
+@query("""WITH v AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT * FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.a + 40 * y.b >= x.a + 40 * x.b AND y.b <= x.b AND y.c >= x.c AND (y.a + 40 * y.b > x.a + 40 * x.b OR y.b < x.b OR y.c > x.c)))
+SELECT l_orderkey AS trial_id, l_linenumber AS line FROM lineitem JOIN f ON l_quantity = a AND l_discount = b AND l_tax = c""")
 def par2_pareto_front_3_axes(spark, sf_dir):
-    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trial_id"), F.col("s_acctbal").cast("double").alias("a"), F.col("s_nationkey").alias("b"), (F.col("s_suppkey") % 17).alias("c"))
-    return pareto.front(s, dict.fromkeys("abc", "maximize")).select("trial_id")
+    s = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trial_id"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") + 40 * F.col("l_discount")).alias("a"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c"))
+    return pareto.front(s, {"a": "maximize", "b": "minimize", "c": "maximize"}).select("trial_id", "line")
+
+
+@query("""WITH v AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+k AS (SELECT x.a, x.b, x.c, any_value(x.n) AS rows, CAST(coalesce(sum(y.n) FILTER (y.a > x.a OR y.b < x.b OR y.c > x.c), 0) AS BIGINT) AS dominated_by FROM v x JOIN v y ON y.a >= x.a AND y.b <= x.b AND y.c >= x.c GROUP BY 1, 2, 3)
+SELECT a, b, c, dominated_by, CAST(rows AS BIGINT) AS rows FROM k""")
+def par3_domination_counts_3_axes(spark, sf_dir):
+    s = t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c"))
+    return pareto.domination_counts(s, {"a": "maximize", "b": "minimize", "c": "maximize"}).groupBy("a", "b", "c", "dominated_by").agg(F.count("*").alias("rows"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS trial_id, s_nationkey AS b, s_suppkey % 17 AS c FROM supplier)
@@ -457,10 +471,13 @@ def pbo6_probability(spark, sf_dir):
     return spark.createDataFrame([pbo.pbo(_moments(spark, sf_dir), 6)])
 
 
-@query("""WITH m AS (SELECT range AS m, array_to_string(list_filter([0, 1, 2, 3, 4, 5], lambda b: (range >> b) & 1 = CASE WHEN range & 1 = 1 THEN 1 ELSE 0 END), '') AS l FROM range(64) WHERE bit_count(range::BIGINT) = 3),
-n AS (SELECT m, row_number() OVER (ORDER BY (m & 1) = 0, l) - 1 AS split FROM m) SELECT CAST(split AS INT) AS split, CAST(b AS INT) AS block, (m >> b) & 1 = 1 AS train FROM n, range(6) t(b)""")
+@query(f"""WITH {CURVE}{BLOCKS}, m AS (SELECT range AS m, array_to_string(list_filter([0, 1, 2, 3, 4, 5], lambda b: (range >> b) & 1 = CASE WHEN range & 1 = 1 THEN 1 ELSE 0 END), '') AS l FROM range(64) WHERE bit_count(range::BIGINT) = 3),
+n AS (SELECT m, row_number() OVER (ORDER BY (m & 1) = 0, l) - 1 AS split FROM m)
+SELECT CAST(split AS INT) AS split, CAST(block AS INT) AS block, (m >> block) & 1 = 1 AS train, count(*) AS trials, CAST(sum(n) AS BIGINT) AS returns FROM n n0(m, split), bm GROUP BY ALL""")
 def pbo2_splits(spark, sf_dir):
-    return pbo.splits_table(spark, 6)
+    """The blocks of every split, with the trials and returns that they hold."""
+    j = curves.block_moments(user_curve(spark, sf_dir), 6).join(F.broadcast(pbo.splits_table(spark, 6)), "block")
+    return j.groupBy("split", "block", "train").agg(F.count("*").alias("trials"), F.sum("n").alias("returns"))
 
 
 def _phi_sql(x: str) -> str:

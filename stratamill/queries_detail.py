@@ -6,17 +6,19 @@ import json
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratamill.functions.expr import Expression, Policy, columns
-from stratamill.operators import curves, evaluate, holdout, neighbourhood, pareto, pbo, rows
+from stratamill.operators import curves, evaluate, exact, holdout, neighbourhood, pareto, pbo, rows
 from stratamill.operators import dsr as dsr_
-from stratamill.plans import continuation, samplers
+from stratamill.operators.ranks import below
+from stratamill.plans import continuation, ordinals, samplers
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, write_trials
 from stratamill.plans.tpe import Parzen, Tpe, weighted
-from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, EVERY_HOUR, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, SIGNALS, RETURNS, SELECTION, SOBOL_N, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _sobol_sql, _two, events, every_hour, hourly, query, r, studies, trials, user_curve
+from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, EVERY_HOUR, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, SIGNALS, RETURNS, SELECTION, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _part_ids, _sobol_sql, _two, events, every_hour, hourly, query, r, studies, t, trials, user_curve
 from stratamill.sources import bars as bars_
 from stratamill.sources import trials as trial_files
 from stratamill.storage import folder, cut_lineage
@@ -44,32 +46,25 @@ def src9_trial_lines(spark, sf_dir):
     return trial_files.read_lines(spark, path).select("trial_id", "status", "feasible", "objective", F.col("metrics")["size"].alias("size"))
 
 
-@query("SELECT range AS trial_id, 1 + range // 2 AS n, range % 2 = 1 AS b FROM range(40)")
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS trial_id, CAST(p_size AS BIGINT) AS size, p_brand AS brand FROM part")
 def src16_candidate_list(spark, sf_dir):
-    space, path = Space((Integer("n", 1, 20), Boolean("b"))), _scratch(spark, "candidates")
-    space.grid(spark).coalesce(1).select("n", "b").write.json(path)
-    return trial_files.read_candidates(spark, path + "/*.json", space)
+    """The parts' vectors as one file of lines, in the order of their keys."""
+    path = _scratch(spark, "candidates")
+    trials(spark, sf_dir).orderBy("trial_id").select("size", "brand").coalesce(1).write.json(path)
+    return trial_files.read_candidates(spark, path + "/*.json", PART_SPACE)
 
 
 @query(f"""WITH {TRIALS_SQL}, g AS (SELECT brand AS source, count(DISTINCT CASE WHEN size = 7 THEN 'b' ELSE 'a' END) AS k FROM tr GROUP BY 1) SELECT source, k = 1 AS common FROM g""")
 def src13_common_space(spark, sf_dir):
-    """Each brand as a set of sources, whose space is another one for size 7."""
-    rows_ = trials(spark, sf_dir).select("brand", F.when(F.col("size") == 7, "b").otherwise("a").alias("space_hash")).groupBy("brand").agg(F.collect_set("space_hash").alias("h"))
+    """Each brand as a source, whose space is another one for size 7."""
+    return trial_files.common_spaces(trials(spark, sf_dir).select(F.col("brand").alias("source"), F.when(F.col("size") == 7, "b").otherwise("a").alias("space_hash"))).select("source", "common")
 
-    def common(brand, hashes):
-        try:
-            trial_files.common_space(spark.createDataFrame([(h,) for h in hashes], "space_hash string"))
-            return (brand, True)
-        except trial_files.Refusal:
-            return (brand, False)
-
-    return spark.createDataFrame([common(x["brand"], x["h"]) for x in rows_.collect()], "source string, common boolean")  # a row for each brand
 
-
-@query("SELECT range AS trial_id FROM range(500) WHERE range % 45 = 8")
+@query("SELECT p_partkey AS trial_id FROM part WHERE p_size = 8")
 def src18_sobol_parent(spark, sf_dir):
-    """A parent study with some rows that its generator doesn't make."""
-    parent = samplers.sobol(spark, SOBOL_SPACE, 500, seed=3).withColumn("a", F.when(F.col("trial_id") % 45 == 8, F.pmod(F.col("a") + 1, F.lit(1000))).otherwise(F.col("a")))
+    """A parent study with a trial for each part, of which those of size 8 aren't what its generator makes."""
+    ids = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), "p_size")
+    parent = samplers.sobol_at(ids, SOBOL_SPACE, 3).withColumn("a", F.when(F.col("p_size") == 8, F.pmod(F.col("a") + 1, F.lit(1000))).otherwise(F.col("a")))
     return samplers.admit_sobol(spark, SOBOL_SPACE, parent, seed=3).select("trial_id")
 
 
@@ -106,9 +101,18 @@ def exp6_min_max(spark, sf_dir):
     return tr.select("trial_id", F.when(F.isnan(value), "nan").otherwise(F.floor(value).cast("int").cast("string")).alias("least"))
 
 
-@query("SELECT * FROM (VALUES (0, 'b.x'), (1, 'a'), (2, 'min')) t(place, name)")
+@query("SELECT DISTINCT p_name AS name, p_type AS type, array_to_string(list_distinct_in_order, ',') AS identifiers FROM (SELECT p_name, p_type, [x FOR x, i IN w IF list_position(w, x) = i] AS list_distinct_in_order FROM (SELECT p_name, p_type, list_concat(string_split(lower(p_name), ' '), [lower(p_type), string_split(lower(p_name), ' ')[1]]) AS w FROM part))")
 def exp8_identifiers(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(Expression("b.x + max(a, b.x) - min").identifiers)), "place int, name string")
+    """What an expression of a part's words asks for, in the order in which it is first asked."""
+
+    @F.pandas_udf("string")
+    def asked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: ",".join(Expression(x).identifiers))
+
+    words = F.split(F.lower("p_name"), " ")
+    kinds = t(spark, sf_dir, "part").select("p_name", "p_type").distinct()
+    text = F.concat(words[0], F.lit(" + max("), words[1], F.lit(", "), F.lower("p_type"), F.lit(") / "), words[0])
+    return kinds.select(F.col("p_name").alias("name"), F.col("p_type").alias("type"), asked(text).alias("identifiers"))
 
 
 @query(f"WITH {TRIALS_SQL} SELECT trial_id, objective IS NOT NULL AND size >= 5 AND price <= 1500 AS feasible FROM tr")
@@ -135,16 +139,21 @@ def exp14_exclusion_report(spark, sf_dir):
 # ---- Spaces and samplers -----------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('a', 4), ('b', 11), ('c', 1), ('d', 5)) t(name, count)")
+@query("SELECT DISTINCT CAST(p_size AS BIGINT) AS size, CAST(p_size + 1 AS BIGINT) AS stepped, CAST(p_size // 2 + 1 AS BIGINT) AS whole FROM part")
 def spc3_stepped_counts(spark, sf_dir):
-    dims = (Real("a", 0.0, 0.3, 0.1), Real("b", -1.0, 1.0, 0.2), Real("c", 2.0, 2.0), Integer("d", 0, 9, 2))
-    return spark.createDataFrame([(d.name, d.count) for d in dims], "name string, count int")
+    """Values from 0 to a tenth of each size by tenths, and to the size by twos."""
+
+    def counted(make):
+        return F.pandas_udf(lambda s: s.map(lambda n: make(int(n)).count), "bigint")
+
+    sizes = trials(spark, sf_dir).select("size").distinct()
+    return sizes.select("size", counted(lambda n: Real("x", 0.0, n / 10, 0.1))(F.col("size")).alias("stepped"), counted(lambda n: Integer("x", 0, n, 2))(F.col("size")).alias("whole"))
 
 
-@query("SELECT range AS ordinal, 5 * (range // 6) - 10 AS a, ['x','y'][1 + (range // 3) % 2] AS b, range % 3 + 7 AS c FROM range(30)")
+@query("SELECT p_partkey AS trial_id, 5 * (range // 6) - 10 AS a, ['x','y'][1 + (range // 3) % 2] AS b, range % 3 + 7 AS c FROM (SELECT p_partkey, p_partkey % 30 AS range FROM part)")
 def spc4_decode(spark, sf_dir):
     space = Space((Integer("a", -10, 10, 5), Categorical("b", ("x", "y")), Integer("c", 7, 9)))
-    return space.decode(spark.range(30).withColumnRenamed("id", "ordinal"))
+    return space.decode(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), (F.col("p_partkey") % 30).alias("ordinal"))).drop("ordinal")
 
 
 @query(f"""WITH {TRIALS_SQL} SELECT trial_id, '{{"brand":["string","' || brand || '"],"size":["integer","' || size || '"]}}' AS key FROM tr""")
@@ -161,21 +170,36 @@ def _split_mix_sql(x: str) -> str:
     return f"xor({x}, {x} >> 31)"
 
 
-@query(f"SELECT CAST(range AS INT) AS col, lpad(lower(hex(CAST({_split_mix_sql('((42::UHUGEINT + range::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)')} AS UBIGINT))), 16, '0') AS word FROM range(4)")
+@query(f"SELECT CAST(range AS INT) AS seed, lpad(lower(hex(CAST({_split_mix_sql('((range::UHUGEINT + 3::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)')} AS UBIGINT))), 16, '0') AS word FROM (SELECT p_partkey AS range FROM part)")
 def smp5_digital_shift(spark, sf_dir):
-    return spark.createDataFrame([(c, f"{samplers.shift_word(42, c):016x}") for c in range(4)], "col int, word string")
+    """The fourth column's shift, with each part's key for a seed."""
 
+    @F.pandas_udf("string")
+    def shift(seeds: pd.Series) -> pd.Series:
+        return seeds.map(lambda s: f"{samplers.shift_word(int(s), 3):016x}")
 
-@query(f"""WITH w AS (SELECT range AS trial_id, {_sobol_sql(0, 12)} AS w0, {_sobol_sql(1, 12)} AS w1 FROM range(2000))
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("seed"), shift("p_partkey").alias("word"))
+
+
+@query(f"""WITH w AS (SELECT range AS trial_id, {_sobol_sql(0, 25)} AS w0, {_sobol_sql(1, 25)} AS w1 FROM (SELECT p_partkey AS range FROM part))
 SELECT trial_id, CAST(least(greatest(floor(1 + 0.5 * (exp(ln(1 + 100 / 0.5) * (CAST(w0 >> 11 AS DOUBLE) * pow(2.0, -53))) - 1)), 1), 100) AS BIGINT) AS n, round(0.001 * exp(ln(1 + (10 - 0.001) / 0.001) * (CAST(w1 >> 11 AS DOUBLE) * pow(2.0, -53))), 6) AS x FROM w""")
 def smp6_log_mapping(spark, sf_dir):
     space = Space((Integer("n", 1, 100, log=True), Real("x", 0.001, 10.0, log=True)))
-    return samplers.sobol(spark, space, 2000).withColumn("x", r(F.col("x")))
+    return samplers.sobol_at(_part_ids(spark, sf_dir), space).withColumn("x", r(F.col("x")))
 
 
-@query(f"""WITH w AS (SELECT range AS trial_id, {_sobol_sql(0, 15, samplers.shift_word(42, 0))} AS w0 FROM range(1000, 1500)) SELECT trial_id, CAST((w0::HUGEINT * 1000) >> 64 AS BIGINT) AS a FROM w""")
+@query("""WITH i AS (SELECT CAST(year(o_orderdate) - 1995 AS INT) AS part, o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY year(o_orderdate)) AS z FROM orders),
+d AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS k FROM i), n AS (SELECT part, count(*) AS n FROM i GROUP BY 1), s AS (SELECT part, n, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+x AS (SELECT d.part, before + k AS trial_id FROM d JOIN s USING (part) WHERE NOT (d.part = 3 AND k = 5)),
+p AS (SELECT part, count(*) AS terminal_trials, max(trial_id) AS high FROM x GROUP BY 1)
+SELECT part, CAST(coalesce(max(high) OVER w + 1, 0) AS BIGINT) AS first_index, CAST(high + 1 AS BIGINT) AS next_index, terminal_trials, part < 3 AS exact_stream FROM p WINDOW w AS (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def smp7_sobol_continuation(spark, sf_dir):
-    return samplers.sobol(spark, SOBOL_SPACE, 500, seed=42, first=1000).select("trial_id", "a")
+    """The orders of each year as a part that goes on after the years before; the fourth part lacks one of its trials."""
+    o = t(spark, sf_dir, "orders").select((F.year("o_orderdate") - 1995).alias("part"), "o_orderkey")
+    ids = below(o, "o_orderkey", ["part"]).select("part", F.col("before").alias("k"))
+    before = ids.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each part
+    rows_ = ids.join(F.broadcast(before), "part").where(~((F.col("part") == 3) & (F.col("k") == 5)))
+    return samplers.parts(rows_.select("part", (F.col("start") + F.col("k")).alias("trial_id")))
 
 
 @query(f"""WITH {TRIALS_SQL}, k AS (SELECT trial_id, row_number() OVER (ORDER BY trial_id) AS rn, count(*) OVER () AS n FROM tr WHERE status = 'ok')
@@ -192,9 +216,27 @@ def smp11_parzen_widths(spark, sf_dir):
     return spark.createDataFrame([(round(float(v), 6), round(float(s), 6)) for v, s in zip(p.mean[:-1], p.sigma[:-1], strict=True)], "v double, sigma double")
 
 
-@query(f"WITH {TRIALS_SQL}, g AS (SELECT range AS ordinal, 1 + range // 25 AS size, 'Brand#' || (1 + range % 25) AS brand FROM range(1250)) SELECT min(ordinal) AS ordinal FROM g ANTI JOIN tr USING (size, brand)")
+@query(f"WITH {TRIALS_SQL}, g AS (SELECT range AS ordinal, 1 + range // 25 AS size, 'Brand#' || (1 + range % 25) AS brand FROM range(1250)) SELECT ordinal FROM g ANTI JOIN tr USING (size, brand) ORDER BY 1 LIMIT 20")
 def smp16_lowest_untried(spark, sf_dir):
-    return spark.createDataFrame([(o,) for o in continuation.lowest_untried(spark, PART_SPACE, trials(spark, sf_dir))], "ordinal bigint")
+    return spark.createDataFrame([(o,) for o in continuation.lowest_untried(spark, PART_SPACE, trials(spark, sf_dir), 20)], "ordinal bigint")
+
+
+LINES_TRIED = "WITH o AS (SELECT DISTINCT 9 * l_orderkey + l_linenumber AS ordinal FROM lineitem)"
+
+
+@query(f"{LINES_TRIED} SELECT ordinal, row_number() OVER (ORDER BY ordinal) - 1 AS rank FROM o")
+def smp16_ordinal_ranks(spark, sf_dir):
+    """How many tried ordinals are below each: bitmaps of two halves, merged."""
+    o = t(spark, sf_dir, "lineitem").select((9 * F.col("l_orderkey") + F.col("l_linenumber")).alias("ordinal"))
+    tried = cut_lineage(ordinals.union(ordinals.build(o.where("ordinal % 2 = 0")), ordinals.build(o.where("ordinal % 2 = 1"))))
+    return ordinals.ranks(tried, o.distinct())
+
+
+@query(f"{LINES_TRIED}, m AS (SELECT max(ordinal) + 1 AS n FROM o) SELECT range AS ordinal FROM range((SELECT n FROM m)) r ANTI JOIN o ON o.ordinal = r.range ORDER BY 1 LIMIT 500")
+def smp16_lowest_unset(spark, sf_dir):
+    o = t(spark, sf_dir, "lineitem").select((9 * F.col("l_orderkey") + F.col("l_linenumber")).alias("ordinal"))
+    tried = cut_lineage(ordinals.build(o))
+    return spark.createDataFrame([(x,) for x in ordinals.lowest_unset(spark, tried, o.agg(F.max("ordinal")).first()[0] + 1, 500)], "ordinal bigint")
 
 
 @query(None)
@@ -215,10 +257,12 @@ def smp23_random_continuation(spark, sf_dir):
 # ---- Evaluation --------------------------------------------------------------
 
 
-@query(f"WITH {HOURLY}, n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1) SELECT symbol, CAST(unnest([greatest(1, CAST(ceil(0.1 * n) AS BIGINT)), CAST(ceil(0.5 * n) AS BIGINT), n]) AS BIGINT) AS bars FROM n")
+@query(f"WITH {HOURLY}, n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1) SELECT symbol, CAST(unnest(list_sort(list_distinct([greatest(1, CAST(ceil(0.1 * n) AS BIGINT)), CAST(ceil(0.5 * n) AS BIGINT), n]))) AS BIGINT) AS bars FROM n")
 def evl3_prefixes(spark, sf_dir):
+    """Rungs of each symbol's bars; two fractions may ask for the same prefix."""
+    rungs = F.udf(lambda n: evaluate.rungs([0.1, 0.1 + 1e-12, 0.5], n), "array<bigint>")  # a row for each symbol
     n = hourly(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
-    return n.select("symbol", F.explode(F.array(F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(0.1) * F.col("n"))), F.ceil(F.lit(0.5) * F.col("n")), F.col("n"))).alias("bars"))
+    return n.select("symbol", F.explode(rungs("n")).alias("bars"))
 
 
 SCORES = STUDIES + """, x AS (SELECT window AS rung, trial_id, value AS score, row_number() OVER (PARTITION BY window ORDER BY trial_id DESC) AS recent FROM s WHERE reason IS NULL),
@@ -280,10 +324,12 @@ def agg5_statuses(spark, sf_dir):
     return curves.return_stats(c).select("key", "count", "skipped", "status")
 
 
-@query(f"WITH {CURVE} SELECT key, CAST(CASE WHEN key % 10 = 3 THEN 4 ELSE 0 END AS INT) AS status FROM c GROUP BY 1")
+@query(f"WITH {CURVE} SELECT key, CAST(CASE WHEN key % 10 = 3 THEN 4 ELSE 0 END AS INT) AS status, CAST(CASE WHEN key % 10 = 3 THEN 4 ELSE 7 END AS INT) AS monthly_status FROM c GROUP BY 1")
 def agg6_non_finite(spark, sf_dir):
-    c = user_curve(spark, sf_dir).withColumn("equity", F.when((F.col("key") % 10 == 3) & (F.col("idx") == 2), F.lit(float("nan"))).otherwise(F.col("equity")))
-    return curves.return_stats(c).select("key", "status")
+    """A curve with one value that isn't finite, and months of a chart outside UTC: the first cause is told."""
+    c = cut_lineage(user_curve(spark, sf_dir).withColumn("equity", F.when((F.col("key") % 10 == 3) & (F.col("idx") == 2), F.lit(float("nan"))).otherwise(F.col("equity"))))
+    months = curves.return_stats(c, monthly=True, utc=False).select("key", F.col("status").alias("monthly_status"))
+    return curves.return_stats(c).select("key", "status").join(months, "key")
 
 
 @query(f"WITH {CURVE}, k AS (SELECT key, count(*) - 1 AS k FROM c GROUP BY 1), b AS (SELECT key, k, unnest([0, 1, 2, 3, 4, 5]) AS block FROM k WHERE k >= 6) SELECT key, CAST(block AS INT) AS block, CAST(ceil(block * k / 6) AS BIGINT) AS first_interval, CAST(ceil((block + 1) * k / 6) - ceil(block * k / 6) AS BIGINT) AS n FROM b")
@@ -338,24 +384,47 @@ def pbo4_ranking_statistic(spark, sf_dir):
     return pbo.pooled(moments, every).select("key", r(F.col("stat"), 9).alias("stat"))
 
 
-@query("WITH x(blocks, trials) AS (VALUES (4, 4), (8, 20), (16, 100)), c AS (SELECT *, factorial(blocks) // (factorial(blocks // 2) * factorial(blocks // 2)) AS splits FROM x) SELECT blocks, trials, CAST(splits // 2 * trials * (blocks - 2) + 2 * splits * trials AS INT) AS work FROM c")
+@query("WITH x AS (SELECT user_id % 5 AS roster, count(DISTINCT user_id) AS trials FROM events GROUP BY 1), y AS (SELECT roster, trials, 2 * CAST(roster + 1 AS INT) AS blocks FROM x), c AS (SELECT *, factorial(blocks) // (factorial(blocks // 2) * factorial(blocks // 2)) AS splits FROM y) SELECT CAST(roster AS INT) AS roster, CAST(splits // 2 * trials * (blocks - 2) + 2 * splits * trials AS BIGINT) AS work FROM c")
 def pbo7_work(spark, sf_dir):
-    return spark.createDataFrame([(s, n, pbo.work(s, n)) for s, n in ((4, 4), (8, 20), (16, 100))], "blocks int, trials int, work int")
+    """Rosters of users, held over 2, 4, 6, 8 and 10 blocks."""
+    n = events(spark, sf_dir).groupBy((F.col("user_id") % 5).cast("int").alias("roster")).agg(F.count_distinct("user_id").alias("trials"))
+    figure = F.create_map(*(x for k in range(5) for x in (F.lit(k), F.lit(pbo.work(2 * k + 2, 1)))))  # work is a multiple of the trials
+    return n.select("roster", (figure[F.col("roster")] * F.col("trials")).alias("work"))
 
 
-@query("SELECT * FROM (VALUES ('grid', FALSE, 'paper_conformant'), ('grid', TRUE, 'diagnostic_adaptive_roster'), ('tpe', FALSE, 'diagnostic_adaptive_roster')) t(sampler, early_stop, label)")
+@query(f"WITH {TRIALS_SQL}, g AS (SELECT brand, ['grid', 'random', 'sobol', 'tpe', 'candidates'][1 + CAST(substr(brand, 7) AS INT) % 5] AS sampler, bool_or(status = 'pruned' AND size > 45) AS early_stop FROM tr GROUP BY 1) SELECT brand, CASE WHEN sampler IN ('grid', 'random', 'sobol') AND NOT early_stop THEN 'paper_conformant' ELSE 'diagnostic_adaptive_roster' END AS label FROM g")
 def pbo8_roster_label(spark, sf_dir):
-    return spark.createDataFrame([(s, e, pbo.roster_label(s, e)) for s, e in (("grid", False), ("grid", True), ("tpe", False))], "sampler string, early_stop boolean, label string")
+    """Each brand as a roster: its sampler by its number, stopped early if a large part was pruned."""
+    sampler = F.element_at(F.array(*map(F.lit, ("grid", "random", "sobol", "tpe", "candidates"))), F.substring("brand", 7, 9).cast("int") % 5 + 1)
+    g = trials(spark, sf_dir).groupBy("brand").agg(F.max((F.col("status") == "pruned") & (F.col("size") > 45)).alias("early_stop"))
+    return g.select("brand", pbo.roster_labels(sampler, F.col("early_stop")).alias("label"))
 
 
 @query(f"WITH {CURVE}{STATS} SELECT count(*) AS eligible, round(var_samp((mean - 0.02 / periods) / std), 6) AS variance FROM st")
 def dsr2_sharpe_variance(spark, sf_dir):
-    return dsr_.eligible(curves.return_stats(user_curve(spark, sf_dir))).agg(F.count("*").alias("eligible"), r(F.var_samp("sharpe_per_period")).alias("variance"))
+    found = dsr_.sharpe_variance(dsr_.eligible(curves.return_stats(user_curve(spark, sf_dir))))
+    return spark.createDataFrame([(found.n, round(exact.rounded(found.variance()), 6))], "eligible bigint, variance double")
+
+
+@query("""SELECT event_type AS symbol, count(*) AS n, CAST(sum(CAST(value * pow(2.0::DOUBLE, 60) AS HUGEINT)) AS VARCHAR) AS scaled_sum,
+(sum(CAST(value * pow(2.0::DOUBLE, 60) AS HUGEINT)) / count(*)) / pow(2.0::DOUBLE, 60) AS mean, round(var_samp(value), 9) AS variance FROM events GROUP BY 1""")
+def dsr2_exact_moments(spark, sf_dir):
+    """Exact sums of the events' values; scaled_sum is the sum times 2**60, which is a whole number."""
+    sums = exact.sums(events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "value"), "value", ["symbol"])
+    lift = F.pow(F.lit(2).cast("double"), F.col("power") + 60).cast("decimal(38,0)")
+    scaled = sums.groupBy("symbol").agg(F.sum((F.col("s") * lift).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias("scaled_sum"))
+    return exact.figures(sums, ["symbol"]).join(scaled, "symbol").select("symbol", "n", "scaled_sum", "mean", r(F.col("variance"), 9).alias("variance"))
 
 
-@query(f"WITH {CURVE}{STATS} SELECT key FROM st WHERE n >= 4")
+@query(f"WITH {CURVE}{STATS} SELECT key, CASE key % 7 WHEN 1 THEN 'missing' WHEN 2 THEN 'status_4' WHEN 3 THEN 'count' WHEN 4 THEN 'not_finite' END AS reason FROM st WHERE n >= 4")
 def dsr1_eligibility(spark, sf_dir):
-    return dsr_.eligible(curves.return_stats(user_curve(spark, sf_dir))).select("key")
+    """Users whose figures are spoilt in each way, and the first reason that is found."""
+    k, stats = F.col("key") % 7, curves.return_stats(user_curve(spark, sf_dir))
+    spoilt = stats.withColumns({
+        "status": F.when(k == 2, 4).when(k != 1, F.col("status")), "count": F.when(k == 3, 1).when(k != 1, F.col("count")),
+        "skew": F.when(k == 4, F.lit(float("nan"))).when(k == 3, F.lit(float("inf"))).otherwise(F.col("skew")),
+    })
+    return dsr_.reasons(spoilt).select("key", "reason")
 
 
 @query(f"WITH {POOL} SELECT CAST(row_number() OVER (ORDER BY value DESC, trial_id) AS INT) AS place, vector, trial_id, value FROM sel QUALIFY place <= 20")
@@ -374,9 +443,10 @@ def hld4_unmatched(spark, sf_dir):
     return holdout.unmatched(*_two(spark, sf_dir))
 
 
-@query(f"WITH {STUDIES}, w AS (SELECT DISTINCT window FROM s WHERE window <> 1995), n AS (SELECT window, lead(window) OVER (ORDER BY window) AS next_window FROM w) SELECT window, next_window FROM n WHERE next_window > window + 1")
+@query(f"WITH {STUDIES}, w AS (SELECT DISTINCT window FROM s WHERE window NOT IN (1997, 1999)), n AS (SELECT window, lead(window) OVER (ORDER BY window) AS next_window FROM w) SELECT window, next_window FROM n WHERE next_window > window + 1")
 def wfw2_breaks(spark, sf_dir):
-    return holdout.breaks(studies(spark, sf_dir).where(F.col("window") != 1995))
+    """Two years are left out."""
+    return holdout.breaks(studies(spark, sf_dir).where(~F.col("window").isin(1997, 1999)))
 
 
 @query(f"WITH {NBH} SELECT CAST(centre AS INT) AS centre, dimension, size, brand FROM nb")
@@ -442,10 +512,13 @@ def str8_sliding_windows(spark, sf_dir):
 # ---- Studies, documents, identities ------------------------------------------
 
 
-@query(f"WITH {CURVE}{STATS}, x AS (SELECT key, (mean - 0.02 / periods) / std AS sr FROM st) SELECT count(*) AS eligible, round(max(sr), 6) AS top, arg_max(key, sr) AS selected FROM x")
+@query(f"WITH {CURVE}{STATS}, x AS (SELECT key, (mean - 0.02 / periods) / std AS sr FROM st), o AS (SELECT key, row_number() OVER (ORDER BY sr DESC, key) AS place, count(*) OVER () AS n FROM x) SELECT key AS selected, n AS eligible, n AS trials, place = 1 AS selected_is_max FROM o WHERE place IN (1, 2, 40)")
 def dsr4_selected_is_max(spark, sf_dir):
-    good = dsr_.eligible(curves.return_stats(user_curve(spark, sf_dir)))
-    return good.agg(F.count("*").alias("eligible"), r(F.max("sharpe_per_period")).alias("top"), F.max_by("key", "sharpe_per_period").alias("selected"))
+    """The estimate for the best, the second and the fortieth user: only the first is the maximum."""
+    stats = cut_lineage(curves.return_stats(user_curve(spark, sf_dir)))
+    top = [x["key"] for x in dsr_.eligible(stats).orderBy(F.col("sharpe_per_period").desc(), "key").select("key").limit(40).collect()]
+    made = [(k, found["eligible"], found["trials"], found["selected_is_max"]) for k in (top[0], top[1], top[39]) for found in [dsr_.dsr(stats, k)]]
+    return spark.createDataFrame(made, "selected bigint, eligible bigint, trials bigint, selected_is_max boolean")
 
 
 @query(f"""WITH {CURVE}{BLOCKS}, f0 AS (SELECT key, list(struct_pack(n := n::DOUBLE, s := s, m2 := m2) ORDER BY block) AS b FROM bm GROUP BY 1),
@@ -518,25 +591,47 @@ SPEC = {
 }
 
 
-@query("SELECT 18 AS cardinality, 'a,b' AS dimensions, TRUE AS same_hash")
+@query("SELECT p_partkey AS trial_id, CASE p_partkey % 5 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 2 * CAST(p_size AS BIGINT) END AS cardinality, CASE p_partkey % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS issues FROM part")
 def src17_study_spec(spark, sf_dir):
+    """A specification for each part, bounded by its size; some lack a bound, some the objective and the sampler's kind."""
     from stratamill.plans.spec import parse
+    from stratamill.types import Refusal
 
-    spec, other = parse(json.dumps(SPEC)), parse(json.dumps(SPEC | {"sampler": {"kind": "random", "trials": 5}}))
-    return spark.createDataFrame([(spec.space.cardinality(), ",".join(spec.space.names), spec.space_hash() == other.space_hash())], "cardinality int, dimensions string, same_hash boolean")
-
-
-@query("SELECT * FROM (VALUES ('{\"a\":1}', 'ok'), ('{\"a\":1,\"a\":2}', 'json_repeated_key'), ('[NaN]', 'json_constant'), ('1e999', 'json_range'), ('{', 'json_syntax')) t(text, outcome)")
+    def admitted(batches):
+        for g in batches:
+            made = []
+            for n, k in zip(g["p_size"].tolist(), (g["p_partkey"] % 5).tolist(), strict=True):
+                spec = json.loads(json.dumps(SPEC))
+                bounds = spec["strategies"][0]["search_space"]["a"]
+                bounds["high"] = n
+                if k == 1:
+                    bounds["low"] = n + 1
+                if k == 2:
+                    spec["objective"]["direction"], spec["sampler"] = "sideways", {"kind": "guess"}
+                try:
+                    made.append((parse(json.dumps(spec)).space.cardinality(), 0))
+                except Refusal as e:
+                    made.append((None, len(e.context.get("issues", [1]))))
+            yield pd.DataFrame({"trial_id": g["p_partkey"], "cardinality": pd.array([m[0] for m in made], "Int64"), "issues": [m[1] for m in made]})
+
+    return t(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(admitted, "trial_id bigint, cardinality bigint, issues int")
+
+
+@query("SELECT p_partkey AS trial_id, ['ok', 'json_repeated_key', 'json_constant', 'json_range', 'json_syntax'][1 + p_partkey % 5] AS outcome FROM part")
 def src8_strict_json(spark, sf_dir):
-    def outcome(text):
+    """The parts as lines of JSON, of which one in five is sound."""
+
+    def read(text: str) -> str:
         try:
             trial_files.loads_strict(text)
             return "ok"
         except trial_files.Refusal as e:
             return e.code
 
-    texts = ('{"a":1}', '{"a":1,"a":2}', "[NaN]", "1e999", "{")
-    return spark.createDataFrame([(x, outcome(x)) for x in texts], "text string, outcome string")
+    outcome = F.pandas_udf(lambda s: s.map(read), "string")
+    name, price, k = (F.to_json(F.struct(F.col("p_name").alias("a"))), F.col("p_retailprice").cast("string"), F.col("p_partkey") % 5)
+    text = F.when(k == 1, F.concat(F.rtrim(name, F.lit("}")), F.lit(', "a": 1}'))).when(k == 2, F.concat(F.lit("["), price, F.lit(", NaN]"))).when(k == 3, F.concat(price, F.lit("e999"))).when(k == 4, F.rtrim(name, F.lit("}"))).otherwise(name)
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), outcome(text).alias("outcome"))
 
 
 @query(f"WITH {TRIALS_SQL} SELECT status, count(*) AS n FROM tr GROUP BY 1")
@@ -546,55 +641,73 @@ def snk1_document_counts(spark, sf_dir):
     return spark.createDataFrame(sorted(found["statuses"].items()), "status string, n bigint")
 
 
-@query("SELECT * FROM (VALUES ('a', TRUE), ('b', TRUE), ('c', TRUE), ('d', TRUE), ('e', FALSE)) t(name, refused)")
+@query("SELECT p_partkey AS trial_id, CASE p_partkey % 4 WHEN 0 THEN p_size > 25 WHEN 1 THEN p_size <= 20 WHEN 2 THEN p_size <= 10 ELSE p_size % 2 = 0 END AS refused FROM part")
 def spc1_dimension_refusals(spark, sf_dir):
+    """A dimension for each part: bounds that cross, a logarithm from 0, a step of 0, choices that repeat."""
     from stratamill.types import Refusal
 
-    def refused(make):
+    made = {
+        0: lambda n: Integer("a", n, 25), 1: lambda n: Integer("b", max(0, n - 20), 99, log=True),
+        2: lambda n: Real("c", 0.0, 1.0, max(0, n - 10) / 50), 3: lambda n: Categorical("d", ("x", "x" if n % 2 == 0 else "y")),
+    }
+
+    def refused(n: int, k: int) -> bool:
         try:
-            make()
+            made[k](n)
             return False
         except Refusal:
             return True
 
-    made = {"a": lambda: Integer("a", 2, 1), "b": lambda: Integer("b", 0, 9, log=True), "c": lambda: Real("c", 0.0, 1.0, 0.0), "d": lambda: Categorical("d", ("x", "x")), "e": lambda: Real("e", 0.5, 0.5)}
-    return spark.createDataFrame([(n, refused(f)) for n, f in made.items()], "name string, refused boolean")
+    udf = F.pandas_udf(lambda n, k: pd.Series([refused(int(a), int(b)) for a, b in zip(n, k, strict=True)]), "boolean")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), udf(F.col("p_size"), F.col("p_partkey") % 4).alias("refused"))
 
 
-@query("SELECT * FROM (VALUES ('grid', 1250), ('mixed', 1200), ('continuous', NULL)) t(space, cardinality)")
+@query("SELECT p_brand AS brand, CASE WHEN CAST(substr(p_brand, 7) AS INT) % 5 <> 0 THEN CAST(max(p_size) * 2 * count(DISTINCT p_type) * 4 AS BIGINT) END AS cardinality FROM part GROUP BY 1")
 def spc2_cardinality(spark, sf_dir):
-    mixed = Space((Integer("size", 1, 50), Categorical("mode", ("ema", "sma", "wma")), Boolean("flag"), Real("x", 0.0, 0.3, 0.1)))
-    made = {"grid": PART_SPACE, "mixed": mixed, "continuous": Space((Real("x", 0.0, 1.0),))}
-    return spark.createDataFrame([(n, s.cardinality()) for n, s in made.items()], "space string, cardinality int")
+    """A space for each brand: sizes, a switch, types and a real dimension, which has no steps for every fifth brand."""
+
+    def vectors(size: int, types: int, brand: int):
+        return Space((Integer("size", 1, size), Boolean("flag"), Categorical("type", tuple(range(types))), Real("x", 0.0, 0.3, 0.1 if brand % 5 else None))).cardinality()
 
+    udf = F.pandas_udf(lambda a, b, c: pd.Series([vectors(*map(int, x)) for x in zip(a, b, c, strict=True)], dtype="Int64"), "bigint")
+    g = t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.max("p_size").alias("size"), F.count_distinct("p_type").alias("types"))
+    return g.select("brand", udf("size", "types", F.substring("brand", 7, 9).cast("int")).alias("cardinality"))
 
-@query("SELECT * FROM (VALUES ('0.10000000000000001'), ('3'), ('true'), ('ema')) t(value)")
+
+@query("SELECT p_partkey AS trial_id, format('{:.17g}', p_retailprice / 3) AS real, CAST(p_size AS VARCHAR) AS whole, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS flag FROM part")
 def spc8_serialised(spark, sf_dir):
     from stratamill.plans.space import serialised
 
-    return spark.createDataFrame([(serialised(v),) for v in (0.1, 3, True, "ema")], "value string")
+    text = F.pandas_udf(lambda s: s.map(lambda v: serialised(bool(v) if isinstance(v, (bool, np.bool_)) else v)), "string")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), text(F.col("p_retailprice") / 3).alias("real"), text("p_size").alias("whole"), text(F.col("p_size") > 25).alias("flag"))
 
 
-@query("SELECT * FROM (VALUES ('a', TRUE), ('b', FALSE)) t(name, injective)")
+@query("SELECT DISTINCT CAST(p_size AS BIGINT) AS size, p_size <= 47 AS injective FROM part")
 def spc7_injective_grids(spark, sf_dir):
+    """Halves from a power of two on, 16 times that of the size: doubles hold them apart up to 2**51."""
     from stratamill.plans.spec import injective
 
-    return spark.createDataFrame([("a", injective(Real("a", 0.0, 1.0, 0.001))), ("b", injective(Real("b", 1e16, 1e16 + 64, 0.5)))], "name string, injective boolean")
+    udf = F.pandas_udf(lambda s: s.map(lambda n: injective(Real("x", 2.0 ** (int(n) + 4), 2.0 ** (int(n) + 4) + 64, 0.5))), "boolean")
+    return trials(spark, sf_dir).select("size").distinct().select("size", udf("size").alias("injective"))
 
 
-@query(f"SELECT lpad(lower(hex(CAST({_split_mix_sql('xor(7::UHUGEINT, 100::UHUGEINT)')} AS UBIGINT))), 16, '0') AS seed")
+@query(f"SELECT p_partkey AS trial_id, lpad(lower(hex(CAST({_split_mix_sql('xor(p_partkey::UHUGEINT, p_size::UHUGEINT)')} AS UBIGINT))), 16, '0') AS seed FROM part")
 def smp22_continuation_seed(spark, sf_dir):
-    return spark.createDataFrame([(f"{samplers.continuation_seed(7, 100):016x}",)], "seed string")
+    """Each part's key as a seed, its size as the number of warm rows."""
+    udf = F.pandas_udf(lambda s, n: pd.Series([f"{samplers.continuation_seed(int(a), int(b)):016x}" for a, b in zip(s, n, strict=True)]), "string")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), udf("p_partkey", "p_size").alias("seed"))
 
 
-@query("SELECT range AS trial_id, 1 + range // 2 AS n, range % 2 = 1 AS b FROM range(40)")
+@query("WITH c AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS trial_id, p_brand AS brand, p_retailprice AS price FROM part) SELECT brand, count(*) AS trials, CAST(min(trial_id) AS BIGINT) AS first_id, CAST(max(trial_id) AS BIGINT) AS last_id FROM c GROUP BY 1")
 def smp21_listed_candidates(spark, sf_dir):
-    return src16_candidate_list(spark, sf_dir)
+    """Each line of a list is a trial, once."""
+    return src16_candidate_list(spark, sf_dir).groupBy("brand").agg(F.count("*").alias("trials"), F.min("trial_id").alias("first_id"), F.max("trial_id").alias("last_id"))
 
 
 @query(f"WITH {EMITTED}, i AS (SELECT study, trial_id, trial_id - row_number() OVER (PARTITION BY study ORDER BY trial_id) AS k FROM em) SELECT study, trial_id, status FROM i JOIN em USING (study, trial_id) WHERE k = -1")
 def str1_ordered_emission(spark, sf_dir):
     source, out, state = (_scratch(spark, x) for x in ("stream", "emitted", "state"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", emission.ROCKS)
     _emitted(spark, sf_dir).select(F.col("study").cast("string").alias("study"), "trial_id", "status").repartition(4).write.json(source)
     stream = spark.readStream.schema("study string, trial_id bigint, status string").option("maxFilesPerTrigger", 2).json(source)
     q = emission.emit(stream).where("outcome = 'emitted'").writeStream.outputMode("append").option("checkpointLocation", state).format("parquet").option("path", out).trigger(availableNow=True).start()
@@ -602,6 +715,17 @@ def str1_ordered_emission(spark, sf_dir):
     return spark.read.parquet(out).select(F.col("study").cast("bigint").alias("study"), "trial_id", "status")
 
 
+@query("WITH p AS (SELECT p_partkey % 3 AS study, p_partkey // 3 AS trial_id FROM part) SELECT study, trial_id, CASE WHEN study = 2 AND trial_id > 5 THEN 'held' ELSE 'emitted' END AS outcome FROM p WHERE NOT (study = 2 AND trial_id = 5)")
+def str1_back_pressure(spark, sf_dir):
+    """The first id of each study comes last, and one of the third study never: state has 100 rows of a study at most, what is further ahead stays outside."""
+    p = t(spark, sf_dir, "part").select((F.col("p_partkey") % 3).cast("string").alias("study"), F.floor(F.col("p_partkey") / 3).alias("trial_id"), F.lit("ok").alias("status"))
+    p, source = p.where("not (study = '2' and trial_id = 5)"), _scratch(spark, "source")
+    p.where("trial_id > 0").coalesce(1).write.parquet(source)
+    p.where("trial_id = 0").coalesce(1).write.mode("append").parquet(source)
+    out = emission.drained(spark, source, _scratch(spark, "drained"), bound=100)
+    return out.where("outcome <> 'rejected'").select(F.col("study").cast("bigint").alias("study"), "trial_id", "outcome")
+
+
 @query(f"WITH {EMITTED} SELECT DISTINCT study, trial_id FROM em")
 def str9_repeated_trials(spark, sf_dir):
     source, out, state = (_scratch(spark, x) for x in ("stream", "distinct", "state"))

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 import json
-import math
-import time
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from stratamill.failures import CODES
-from stratamill.operators import evaluate, pareto
-from stratamill.plans import continuation, rolling, samplers
-from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
-from stratamill.plans.study import Study, data_context, exit_code, with_space
-from stratamill.plans.tpe import Parzen, Tpe, log_interval
-from stratamill.queries import EVAL_SPACE, EVERY_HOUR, PART_SPACE, SIGNALS, TRIALS_SQL, every_hour, query, trials
+from stratamill.operators import evaluate
+from stratamill.plans import continuation
+from stratamill.plans.space import Integer, Real, Space
+from stratamill.plans.study import Study, with_space
+from stratamill.plans.tpe import encoded
+from stratamill.queries import EVAL_SPACE, EVERY_HOUR, HOURLY, PART_SPACE, SIGNALS, TRIALS_SQL, every_hour, hourly, query, trials
 from stratamill.queries_detail import _scratch
 from stratamill.sources import bars as bars_
-from stratamill.sources import inventory
-from stratamill.storage import put
+from stratamill.sources import catalogue
+from stratamill.storage import cut_lineage, put
 from stratamill.types import Refusal
 
 
+def _double(x: str) -> str:
+    return f"hex(({x})::DOUBLE::BIT::BLOB)"
+
+
+def _little(hexed: str) -> str:
+    """The bytes of a hexadecimal word the other way round."""
+    return "".join(f" || substr({hexed}, {i}, 2)" for i in range(15, 0, -2))[4:]
+
+
+def _long(x: str) -> str:
+    return f"lpad(hex(CAST({x} AS BIGINT)), 16, '0')"
+
+
 def refusal(make) -> str:
     """The code by which a call is refused, or ok."""
     try:
@@ -37,6 +44,43 @@ def refusal(make) -> str:
 # ---- Sources and sinks -------------------------------------------------------
 
 
+BAR_BYTES = " || ".join(_little(_double(c)) for c in ("open", "high", "low", "close", "volume"))
+
+
+@query(f"""WITH {HOURLY}, x AS (SELECT symbol, timestamp, {BAR_BYTES} || {_little(_long('timestamp'))} || {_little(_long('timestamp + 3600000'))} AS h FROM b)
+SELECT symbol, count(*) AS bars, sha256(unhex('{catalogue.FEED.hex()}' || string_agg(h, '' ORDER BY timestamp))) AS sha256 FROM x GROUP BY 1""")
+def src6_feed_digests(spark, sf_dir):
+    """The digest of each symbol's hours: their values in order, as the machine's bytes."""
+    return catalogue.feed_digests(hourly(spark, sf_dir), "60")
+
+
+SETS = f"""WITH {HOURLY}, s AS (SELECT CASE symbol WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 2 ELSE 3 END AS dataset_id, symbol, min(timestamp) AS _ FROM b GROUP BY 1, 2),
+o AS (SELECT * FROM b JOIN (SELECT dataset_id, min(symbol) AS symbol FROM s GROUP BY 1) USING (symbol)), x AS (SELECT dataset_id, timestamp, timestamp // {bars_.BLOCK_MS} AS block, {BAR_BYTES} || {_little(_long('timestamp'))} AS h FROM o),
+d AS (SELECT dataset_id, block, count(*) AS n, min(timestamp) AS lo, max(timestamp) AS hi, sha256(unhex('{catalogue.DATASET.hex()}' || string_agg(h, '' ORDER BY timestamp))) AS h FROM x GROUP BY 1, 2),
+c AS (SELECT dataset_id, CAST(sum(n) AS BIGINT) AS bars, min(lo) AS first_ts, max(hi) AS last_ts, sha256(string_agg(h, '' ORDER BY block)) AS values_sha256 FROM d GROUP BY 1),
+k AS (SELECT CAST(c.dataset_id AS INT) AS dataset_id, list_sort(list(symbol)) AS choices, bars, first_ts, last_ts, values_sha256 FROM c JOIN s USING (dataset_id) GROUP BY ALL)"""
+
+
+def _sets(spark, sf_dir):
+    """Symbols bound to three data sets, each the bars of its first symbol."""
+    symbols = hourly(spark, sf_dir).select("symbol").distinct()
+    of = F.when(F.col("symbol") == "click", 1).when(F.col("symbol").isin("view", "purchase"), 2).otherwise(3)
+    bound = symbols.select(F.col("symbol").alias("choice"), of.alias("dataset_id"))
+    owner = bound.groupBy("dataset_id").agg(F.min("choice").alias("symbol"))
+    return catalogue.catalogue(hourly(spark, sf_dir).join(owner, "symbol"), bound)
+
+
+@query(f"{SETS} SELECT dataset_id, array_to_string(choices, ',') AS choices, bars, first_ts, last_ts, values_sha256 FROM k")
+def src19_data_sets(spark, sf_dir):
+    return _sets(spark, sf_dir).withColumn("choices", F.array_join("choices", ","))
+
+
+@query(f"""{SETS}, j AS (SELECT '[' || string_agg('{{"dataset_id":' || dataset_id || ',"choices":["' || array_to_string(choices, '","') || '"],"bars":' || bars || ',"first_ts":' || first_ts || ',"last_ts":' || last_ts || ',"values_sha256":"' || values_sha256 || '"}}', ',' ORDER BY dataset_id) || ']' AS descriptor FROM k)
+SELECT descriptor, sha256(unhex('{catalogue.CATALOGUE.hex()}' || hex(descriptor))) AS sha256 FROM j""")
+def src19_descriptor(spark, sf_dir):
+    return catalogue.descriptor(_sets(spark, sf_dir))
+
+
 @query(f"WITH {EVERY_HOUR} SELECT timestamp, open, high, low, close, volume FROM b")
 def src2_binary_bars(spark, sf_dir):
     rows = every_hour(spark, sf_dir).orderBy("timestamp").select("open", "high", "low", "close", "volume", "timestamp").collect()  # hours of a month
@@ -46,61 +90,77 @@ def src2_binary_bars(spark, sf_dir):
     return bars_.read_binary(spark, path, bars_.sidecar_of(content, "all", "60")).drop("record")
 
 
-@query("SELECT * FROM (VALUES ('again', 'ok'), ('another byte', 'sidecar_sha256'), ('another count', 'sidecar_count'), ('half a record', 'fails')) t(what, outcome)")
+@query(f"""WITH {EVERY_HOUR}, n AS (SELECT count(*) AS n FROM b) SELECT what, outcome, CASE WHEN outcome = 'ok' THEN n END AS bars FROM (VALUES ('again', 'ok'), ('another byte', 'sidecar_sha256'), ('another count', 'sidecar_count'), ('half a record', 'fails')) t(what, outcome), n""")
 def src2_sidecar(spark, sf_dir):
-    content = b"".join(bars_.RECORD.pack(1.0, 2.0, 0.5, 1.5, 10.0, 60_000 * i) for i in range(5))
-    sidecar = bars_.sidecar_of(content, "s", "1")
+    """The hours' bars as a file, whole and damaged."""
+    rows = every_hour(spark, sf_dir).orderBy("timestamp").select("open", "high", "low", "close", "volume", "timestamp").collect()  # hours of a month
+    content = b"".join(bars_.RECORD.pack(*x) for x in rows)
+    sidecar = bars_.sidecar_of(content, "s", "60")
 
-    def outcome(data: bytes, side: dict) -> str:
+    def outcome(data: bytes, side: dict) -> tuple:
         path = _scratch(spark, "bars.bin")
         put(spark, path, data)
         try:
-            bars_.read_binary(spark, path, side).count()
-            return "ok"
+            return "ok", bars_.read_binary(spark, path, side).count()
         except Refusal as e:
-            return e.code
+            return e.code, None
         except Exception:  # a refusal inside a task
-            return "fails"
+            return "fails", None
 
-    made = [("again", outcome(content, sidecar)), ("another byte", outcome(b"\1" + content[1:], sidecar)), ("another count", outcome(content, sidecar | {"count": 6})), ("half a record", outcome(content[:-20], {k: v for k, v in sidecar.items() if k != "sha256"}))]
-    return spark.createDataFrame(made, "what string, outcome string")
+    made = {"again": (content, sidecar), "another byte": (b"\1" + content[1:], sidecar), "another count": (content, sidecar | {"count": 6}), "half a record": (content[:-20], {k: v for k, v in sidecar.items() if k != "sha256"})}
+    return spark.createDataFrame([(k, *outcome(*v)) for k, v in made.items()], "what string, outcome string, bars bigint")
 
 
-@query("SELECT * FROM (VALUES ('unchanged', 'ok'), ('grown', 'input_changed')) t(what, outcome)")
+@query(f"WITH {HOURLY}, n AS (SELECT count(DISTINCT symbol) AS files FROM b) SELECT what, outcome, files FROM (VALUES ('unchanged', 'ok'), ('grown', 'input_changed')) t(what, outcome), n")
 def src5_input_unchanged(spark, sf_dir):
+    """A file of bars for each symbol, of which one grows."""
     path = _scratch(spark, "input")
-    put(spark, f"{path}/a.csv", b"1,2\n")
-    before = bars_.snapshot(spark, path)
-    same = refusal(lambda: bars_.verify_unchanged(spark, path, before))
-    put(spark, f"{path}/b.csv", b"3,4\n")
-    return spark.createDataFrame([("unchanged", same), ("grown", refusal(lambda: bars_.verify_unchanged(spark, path, before)))], "what string, outcome string")
-
-
-INDEX = {"A:X": {"syminfo": {"tickerid": "A:X", "mintick": 0.01, "other": 1}, "feeds": {"240": "x.csv", "1D": "/y.csv"}}, "B": {"feeds": {"15": "z.csv"}}}
+    hourly(spark, sf_dir).repartition("symbol").write.partitionBy("symbol").option("header", True).csv(path)
+    files = f"{path}/*/*.csv"
+    before = bars_.snapshot(spark, files)
+    same = refusal(lambda: bars_.verify_unchanged(spark, files, before))
+    put(spark, before[0][0], b"1,2\n")
+    grown = refusal(lambda: bars_.verify_unchanged(spark, files, before))
+    return spark.createDataFrame([("unchanged", same, len(before)), ("grown", grown, len(before))], "what string, outcome string, files bigint")
 
 
-@query("SELECT * FROM (VALUES ('A:X', '240', '/i/x.csv', 0.01::DOUBLE), ('A:X', '1D', '/y.csv', 0.01::DOUBLE), ('B', '15', '/i/z.csv', NULL)) t(symbol, timeframe, path, mintick)")
+@query(f"WITH {HOURLY} SELECT DISTINCT symbol, '60' AS timeframe, '/i/' || symbol || '.csv' AS path, (length(symbol) / 100.0)::DOUBLE AS mintick FROM b UNION ALL SELECT DISTINCT symbol, '1D', '/d/' || symbol || '.csv', (length(symbol) / 100.0)::DOUBLE FROM b")
 def src7_feed_index(spark, sf_dir):
-    found = bars_.load_index(json.dumps(INDEX), "/i")
+    """An index of the symbols that there are bars of."""
+    symbols = [x["symbol"] for x in hourly(spark, sf_dir).select("symbol").distinct().collect()]
+    index = {s: {"syminfo": {"tickerid": s, "mintick": len(s) / 100, "other": 1}, "feeds": {"60": f"{s}.csv", "1D": f"/d/{s}.csv"}} for s in symbols}
+    found = bars_.load_index(json.dumps(index), "/i")
     return spark.createDataFrame([(e["symbol"], e["timeframe"], e["path"], e["syminfo"].get("mintick")) for e in found], "symbol string, timeframe string, path string, mintick double")
 
 
-@query("SELECT * FROM (VALUES ('many', 'feeds'), ('field', 'feeds'), ('timeframe', 'timeframe'), ('tick', 'syminfo')) t(what, outcome)")
+@query("WITH c AS (SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1) SELECT brand, CASE WHEN n > 256 THEN 'feeds' WHEN CAST(substr(brand, 7) AS INT) % 4 = 1 THEN 'feeds' WHEN CAST(substr(brand, 7) AS INT) % 4 = 2 THEN 'timeframe' WHEN CAST(substr(brand, 7) AS INT) % 4 = 3 THEN 'syminfo' ELSE 'ok' END AS outcome FROM c")
 def src7_feed_index_refusals(spark, sf_dir):
-    odd = {"many": {str(i): {"feeds": {"1": "x"}} for i in range(257)}, "field": {"A": {"x": 1}}, "timeframe": {"A": {"feeds": {"0": "x"}}}, "tick": {"A": {"syminfo": {"mintick": -1}, "feeds": {}}}}
-    return spark.createDataFrame([(k, refusal(lambda v=v: bars_.load_index(json.dumps(v)))) for k, v in odd.items()], "what string, outcome string")
+    """An index for each brand, whose symbols are its parts: more than 256, a field, a time frame or a tick that isn't one."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("brand"), F.col("p_partkey").cast("string").alias("symbol"))
+    some = parts.groupBy("brand").agg(F.slice(F.array_sort(F.collect_set("symbol")), 1, 257).alias("symbols"))  # a symbol more than an index may have
 
+    def outcome(brand, symbols):
+        k = int(brand[6:]) % 4
+        index = {s: {"feeds": {"0" if k == 2 else "60": "x"}} | ({"x": 1} if k == 1 else {"syminfo": {"mintick": -1}} if k == 3 else {}) for s in symbols}
+        return refusal(lambda: bars_.load_index(json.dumps(index))) if len(index) <= 256 else refusal(lambda: bars_.load_index(json.dumps({s: {"feeds": {"60": "x"}} for s in symbols})))
 
-@query("""SELECT * FROM (VALUES ('{"mintick": 0.5, "session": "24x7"}', 'mintick,session'), ('{"syminfo": {"series_origin_ms": 5, "color": 1}}', 'series_origin_ms'), ('{"mintick": 0}', 'syminfo'), ('{"timezone": ""}', 'syminfo'), ('{"pointvalue": true}', 'syminfo')) t(text, facts)""")
+    return some.select("brand", F.udf(outcome, "string")("brand", "symbols").alias("outcome"))
+
+
+@query("SELECT p_partkey AS trial_id, CASE WHEN p_size % 5 = 0 THEN 'syminfo' WHEN p_size % 7 = 0 THEN 'mintick,series_origin_ms,session' ELSE 'mintick,session' END AS facts FROM part")
 def src20_symbol_info(spark, sf_dir):
+    """Each part as an instrument, flat or below a field, with a tick of 0 where its size is a multiple of five."""
+
     def facts(text):
         try:
             return ",".join(sorted(bars_.symbol_info(text)))
         except Refusal as e:
             return e.code
 
-    texts = ('{"mintick": 0.5, "session": "24x7"}', '{"syminfo": {"series_origin_ms": 5, "color": 1}}', '{"mintick": 0}', '{"timezone": ""}', '{"pointvalue": true}')
-    return spark.createDataFrame([(t, facts(t)) for t in texts], "text string, facts string")
+    size, name = F.col("p_size"), F.col("p_name")
+    flat = F.struct(F.when(size % 5 == 0, 0.0).otherwise(size / 100).alias("mintick"), name.alias("session"), name.alias("color"), F.when(size % 7 == 0, F.col("p_partkey")).alias("series_origin_ms"))
+    text = F.when(size % 2 == 0, F.to_json(flat)).otherwise(F.to_json(F.struct(flat.alias("syminfo"))))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("trial_id"), F.udf(facts, "string")(text).alias("facts"))
 
 
 @query(f"""WITH {TRIALS_SQL}, h AS (SELECT trial_id, CASE WHEN size = 3 THEN 'odd' ELSE status END AS status, feasible <> (size = 5) AS feasible, CASE WHEN size = 7 THEN NULL ELSE objective END AS objective, CASE WHEN size = 9 THEN 99 ELSE size END AS size, size = 11 AS score, trial_id % 50 = 2 AS twice FROM tr),
@@ -115,128 +175,51 @@ def src14_warm_history(spark, sf_dir):
     return continuation.history_defects(h.union(h.where("trial_id % 50 = 2")), PART_SPACE)
 
 
-@query("SELECT * FROM (VALUES ('full', 'space,space_hash,space_hash_version,trial_id', TRUE), ('hash', 'space_hash,space_hash_version,trial_id', TRUE), ('none', 'trial_id', NULL)) t(mode, columns, same)")
+@query("SELECT mode, columns, CASE WHEN mode = 'none' THEN 0 ELSE n END AS named FROM (VALUES ('full', 'space,space_hash,space_hash_version,trial_id'), ('hash', 'space_hash,space_hash_version,trial_id'), ('none', 'trial_id')) t(mode, columns), (SELECT count(*) AS n FROM part)")
 def snk5_row_space(spark, sf_dir):
-    rows = spark.range(2).withColumnRenamed("id", "trial_id")
+    rows = trials(spark, sf_dir).select("trial_id")
     made = {m: with_space(rows, PART_SPACE, m) for m in ("full", "hash", "none")}
-    return spark.createDataFrame([(m, ",".join(sorted(d.columns)), d.first()["space_hash"] == PART_SPACE.hash() if m != "none" else None) for m, d in made.items()], "mode string, columns string, same boolean")
-
-
-@query("""SELECT * FROM (VALUES ('good', '15,1D,240,60'), ('missing', 'missing'), ('field', 'invalid'), ('alias', 'invalid'), ('unbound', 'unbound'), ('other source', 'artifact_mismatch'), ('chart', 'chart_mismatch'), ('unknown', 'unknown'), ('number', 'input_unresolved'), ('odd default', 'input_unresolved'), ('unsupported', 'selected_window_request_feed_timeframe')) t(what, outcome)""")
-def evl14_request_feeds(spark, sf_dir):
-    a, b = "a" * 64, "b" * 64
-    good = {"schema": "1", "source_sha256": a, "artifact_sha256": b, "primary_chart_timeframe": "15", "entries": [{"kind": "token", "timeframe": "240"}, {"kind": "input", "key": "tf", "default": "D"}, {"kind": "input", "key": "fixed", "default": "5"}]}
-    space = Space((Categorical("tf", ("D", "60")), Integer("n", 1, 3)))
-
-    def entry(**e):
-        return good | {"entries": [e]}
-
-    cases = {
-        "good": good, "missing": None, "field": good | {"more": 1}, "alias": entry(kind="token", timeframe="D"), "unbound": good | {"artifact_sha256": None}, "other source": good | {"source_sha256": b},
-        "chart": good | {"primary_chart_timeframe": "30"}, "unknown": entry(kind="unknown"), "number": entry(kind="input", key="n", default="5"), "odd default": entry(kind="input", key="x", default="often"), "unsupported": entry(kind="token", timeframe="7"),
-    }
-
-    def outcome(case):
-        try:
-            return ",".join(inventory.admit(case, a, b, "15", {"15", "60", "240", "1D"}, {"fixed": "15"}, space))
-        except Refusal as e:
-            return e.context.get("reason", e.context["capability"])
-
-    return spark.createDataFrame([(k, outcome(v)) for k, v in cases.items()], "what string, outcome string")
+    named = {m: d.where(F.col("space_hash") == PART_SPACE.hash()).count() if m != "none" else 0 for m, d in made.items()}
+    return spark.createDataFrame([(m, ",".join(sorted(d.columns)), named[m]) for m, d in made.items()], "mode string, columns string, named bigint")
 
 
 # ---- Parzen estimation -------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES (-1e9::DOUBLE, -1.0::DOUBLE, -1.841022::DOUBLE), (-1e9, -5.0, -15.064998), (-1e9, -10.0, -53.231285), (-1e9, -20.0, -203.917155), (-1.0, 1.0, -0.381715), (10.0, 1e9, -53.231285), (0.0, 1e9, -0.693147)) t(low, high, ln)")
-def smp12_log_intervals(spark, sf_dir):
-    """Published values of the normal distribution."""
-    ends = ((-1e9, -1.0), (-1e9, -5.0), (-1e9, -10.0), (-1e9, -20.0), (-1.0, 1.0), (10.0, 1e9), (0.0, 1e9))
-    return spark.createDataFrame([(a, b, round(float(log_interval(a, b)), 6)) for a, b in ends], "low double, high double, ln double")
-
-
-@query("SELECT * FROM (VALUES ('integer', 1.0::DOUBLE), ('log integer', 1.0::DOUBLE), ('stepped', 1.0::DOUBLE), ('density', 1.0::DOUBLE)) t(dimension, mass)")
-def smp13_bin_masses(spark, sf_dir):
-    """The bins of a discrete dimension share all mass, and so does a density."""
-    stepped = Real("x", 0.0, 0.9, 0.1)
-    t, p = Tpe(Space((Integer("n", 1, 9),)), 1), Parzen(np.array([0.1, 0.4, 0.45, 0.9]), np.ones(4))
-    kinds = {"integer": [(Integer("n", 3, 40), v) for v in range(3, 41)], "log integer": [(Integer("n", 1, 60, log=True), v) for v in range(1, 61)], "stepped": [(stepped, v) for v in stepped.values()]}
-    made = [(k, round(sum(math.exp(p.log_mass(*t._bin(d, v))) for d, v in vs), 6)) for k, vs in kinds.items()]
-    x = (np.arange(20_000) + 0.5) / 20_000
-    made.append(("density", round(float(np.mean([math.exp(p.log_density(float(v))) for v in x])), 6)))
-    return spark.createDataFrame(made, "dimension string, mass double")
-
-
-@query("SELECT * FROM (VALUES (0, 0, 1, 19, 20), (1, 1, 1, 20, 20), (2, 2, 1, 21, 20)) t(asked, pending, good, other, seen)")
-def smp15_constant_liar(spark, sf_dir):
-    """What a proposal's models hold while others are pending."""
-
-    class Watched(Tpe):
-        def _dimension(self, d, good, bad):
-            held.append((len(good), len(bad)))
-            return super()._dimension(d, good, bad)
-
-    held: list = []
-    t = Watched(Space((Real("x", 0.0, 1.0),)), 5)
-    t.seen = [({"x": i / 20}, float(i)) for i in range(20)]
-    # a tenth of 20 are two good ones
-    made = []
-    for i in range(3):
-        pending = len(t.pending)
-        t.ask()
-        made.append((i, pending, held[-1][0] - 1, held[-1][1] + 1, len(t.seen)))
-    return spark.createDataFrame(made, "asked int, pending int, good int, other int, seen int")
-
-
-@query(f"""WITH {TRIALS_SQL}, s AS (SELECT DISTINCT size FROM tr) SELECT size, round((size - 0.5) / 50, 9)::DOUBLE AS plain, round(ln(1 + (size - 0.5) / 0.5) / ln(101), 9)::DOUBLE AS logged FROM s""")
+@query(f"""WITH {TRIALS_SQL} SELECT trial_id, round((size - 0.5) / 50, 9)::DOUBLE AS plain, round(ln(1 + (size - 0.5) / 0.5) / ln(101), 9)::DOUBLE AS logged FROM tr""")
 def smp18_encodings(spark, sf_dir):
-    t = Tpe(PART_SPACE, 1)
     plain, logged = Integer("n", 1, 50), Integer("n", 1, 50, log=True)
-    sizes = [x["size"] for x in trials(spark, sf_dir).select("size").distinct().collect()]  # as many as the dimension has values
-    return spark.createDataFrame([(v, round(t._encode(plain, v), 9), round(t._encode(logged, v), 9)) for v in sizes], "size bigint, plain double, logged double")
+    rows = trials(spark, sf_dir)
+    return rows.select("trial_id", F.round(encoded(plain, F.col("size")), 9).alias("plain"), F.round(encoded(logged, F.col("size")), 9).alias("logged"))
 
 
-@query("SELECT * FROM (VALUES ('restored', 'ok'), ('tampered', 'state_checksum')) t(what, outcome)")
-def smp19_checkpoint(spark, sf_dir):
-    t = Tpe(EVAL_SPACE, 9)
-    for i in range(15):
-        t.tell(t.ask(), float(i))
-    text = continuation.save_state(t)
-    again = continuation.load_state(EVAL_SPACE, text)
-    same = [t.ask() for _ in range(5)] == [again.ask() for _ in range(5)]
-    outer = json.loads(text)
-    outer["body"] = outer["body"].replace('"version":1', '"version":2')
-    return spark.createDataFrame([("restored", "ok" if same else "differs"), ("tampered", refusal(lambda: continuation.load_state(EVAL_SPACE, json.dumps(outer))))], "what string, outcome string")
-
-
-@query("SELECT * FROM (VALUES (1000, 537, 25, 64)) t(told, kept, best, newest)")
-def smp17_bounded_history(spark, sf_dir):
-    """What is kept of a thousand observations."""
-    t = continuation.BoundedTpe(Space((Real("x", 0.0, 1.0),)), 3)
-    for i in range(1000):
-        t.tell({"x": (i * 37 % 1000) / 1000}, float(i * 37 % 1000))
-    ids, values = [i for i, *_ in t.kept], {v for *_, v in t.kept}
-    return spark.createDataFrame([(t.count, len(t.kept), len(values & set(map(float, range(975, 1000)))), len(set(ids) & set(range(936, 1000))))], "told int, kept int, best int, newest int")
+LINE_SPACE = Space((Integer("quantity", 1, 50), Real("discount", 0.0, 0.1, 0.01)))
+KEPT = """WITH h AS (SELECT 9 * l_orderkey + l_linenumber AS trial_id, any_value(l_extendedprice) AS objective FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1) GROUP BY 1),
+e AS (SELECT *, 'elite' AS role FROM h ORDER BY objective DESC, trial_id LIMIT 25), r0 AS (SELECT * FROM h ANTI JOIN e USING (trial_id)), n AS (SELECT *, 'recent' AS role FROM r0 ORDER BY trial_id DESC LIMIT 64),
+r1 AS (SELECT *, 'reservoir' AS role FROM r0 ANTI JOIN n USING (trial_id) ORDER BY md5('9:' || trial_id) LIMIT 448), kept AS (SELECT * FROM e UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r1)"""
 
 
-#: The first outputs of the 64-bit Mersenne Twister seeded with 5489, as published (fixed values).
-PUBLISHED_WORDS = (14514284786278117030, 4620546740167642908, 13109570281517897720, 17462938647148434322, 355488278567739596, 7469126240319926998, 4635995468481642529, 418970542659199878, 9604170989252516556)
+def _lines(spark, sf_dir):
+    """Each line of an order as an observation; lines that share their number are left out, as ids are unique."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((9 * F.col("l_orderkey") + F.col("l_linenumber")).alias("trial_id"), F.col("l_extendedprice").alias("objective"), F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_discount").alias("discount"))
+    once = rows.groupBy("trial_id").agg(F.count("*").alias("n")).where("n = 1").select("trial_id")
+    return cut_lineage(rows.join(once, "trial_id"))
 
 
-@query(f"""WITH w AS (SELECT i - 1 AS i, CAST(x AS UBIGINT) AS x FROM (SELECT generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT [{", ".join(f"{x}::UBIGINT" for x in PUBLISHED_WORDS)}] AS l)))
-SELECT CAST(i // 3 AS BIGINT) AS trial_id, CAST(max(x % 1000) FILTER (i % 3 = 0) AS BIGINT) AS a, max(x % 2) FILTER (i % 3 = 1) = 1 AS b, CAST(max(x % 7) FILTER (i % 3 = 2) AS BIGINT) AS c FROM w GROUP BY 1""")
-def smp3_serial_stream(spark, sf_dir):
-    space = Space((Integer("a", 0, 999), Boolean("b"), Categorical("c", tuple(range(7)))))
-    return spark.createDataFrame([(i, x["a"], x["b"], x["c"]) for i, x in enumerate(samplers.random_serial(space, 5489, 3))], "trial_id bigint, a bigint, b boolean, c bigint")
+@query(f"{KEPT} SELECT trial_id, role FROM kept")
+def smp19_checkpoint(spark, sf_dir):
+    """A bounded sampler that has seen all lines, after it was saved and restored."""
+    again = continuation.load_state(LINE_SPACE, continuation.save_state(continuation.BoundedTpe(LINE_SPACE, 9).warm(_lines(spark, sf_dir))))
+    return spark.createDataFrame(list(again.roles().items()), "trial_id bigint, role string")
 
 
-# ---- Studies -----------------------------------------------------------------
+@query(f"{KEPT} SELECT trial_id, objective, role FROM kept")
+def smp17_bounded_history(spark, sf_dir):
+    """The lines' best, newest and a uniform sample of the others."""
+    return continuation.bounded_history(_lines(spark, sf_dir), 9).select("trial_id", "objective", "role")
 
 
-@query("SELECT * FROM (VALUES (0, 'timezone', 'timezone'), (1, 'override', 'slippage'), (2, 'input', 'length'), (3, 'input', 'mult'), (4, 'syminfo', 'mintick'), (5, 'feed', '240')) t(place, kind, name)")
-def evl2_setting_order(spark, sf_dir):
-    made = evaluate.settings("UTC", {"slippage": 2}, {"length": 5, "mult": 2.0}, {"mintick": 0.1}, {"240": "x.csv"})
-    return spark.createDataFrame([(i, k, n) for i, (k, n, _) in enumerate(made)], "place int, kind string, name string")
+# ---- Studies -----------------------------------------------------------------
 
 
 @query(f"WITH {SIGNALS} SELECT CASE WHEN trades >= 8 THEN 'told' ELSE 'abandoned' END AS outcome, count(*) AS n FROM m GROUP BY 1")
@@ -264,78 +247,3 @@ def lif3_told_or_abandoned(spark, sf_dir):
     return spark.createDataFrame([(k, told.count(k)) for k in sorted(set(told))], "outcome string, n bigint")
 
 
-@query("SELECT * FROM (VALUES ('ok', TRUE, 0), ('ok,trial_error', TRUE, 0), ('constraint_violation', FALSE, 2), ('ok,trial_timeout', TRUE, 3)) t(statuses, best, code)")
-def lif4_exit_codes(spark, sf_dir):
-    made = (("ok", True), ("ok,trial_error", True), ("constraint_violation", False), ("ok,trial_timeout", True))
-    return spark.createDataFrame([(s, b, exit_code(set(s.split(",")), b)) for s, b in made], "statuses string, best boolean, code int")
-
-
-@query("SELECT * FROM (VALUES (0, 'trial_timeout'), (1, 'ok'), (2, 'ok'), (3, 'ok')) t(trial_id, status)")
-def lif5_deadlines(spark, sf_dir):
-    """The first trial sleeps past its own deadline while short ones come and go."""
-
-    def evaluator(bars, p):
-        time.sleep(60 if p["n"] == 0 else 0.2)
-        return {"m": 1.0}
-
-    class Numbers:
-        def __init__(self):
-            self.n = -1
-
-        def ask(self):
-            self.n += 1
-            return {"n": self.n}
-
-        def tell(self, c, objective):
-            """Nothing is learnt."""
-
-        abandon = lambda self, c: None
-
-    study = Study(Space((Integer("n", 0, 9),)), "m", ("m",))
-    rows, _ = rolling.run(spark, study, Numbers(), {"close": np.ones(3)}, evaluator, 4, workers=2, seconds=12.0)
-    return spark.createDataFrame([(x["trial_id"], x["status"]) for x in rows], "trial_id int, status string")
-
-
-@query("SELECT * FROM (VALUES ('space again', TRUE), ('another bound', FALSE), ('another order of files', TRUE), ('another length', FALSE)) t(what, same)")
-def lif7_identities(spark, sf_dir):
-    a = Space((Integer("n", 1, 9), Boolean("b")))
-    files = [("x", 5, 1), ("y", 6, 2)]
-    made = [
-        ("space again", a.hash() == Space((Integer("n", 1, 9), Boolean("b"))).hash()), ("another bound", a.hash() == Space((Integer("n", 1, 8), Boolean("b"))).hash()),
-        ("another order of files", data_context(files) == data_context(files[::-1])), ("another length", data_context(files) == data_context([("x", 5, 1), ("y", 7, 2)])),
-    ]
-    return spark.createDataFrame(made, "what string, same boolean")
-
-
-@query("SELECT * FROM (VALUES ('request', FALSE, 23), ('environment', FALSE, 6), ('internal', FALSE, 4), ('continuation', FALSE, 2), ('resource', TRUE, 2), ('resource', FALSE, 1), ('output', TRUE, 1), ('strategy', FALSE, 1)) t(kind, retryable, codes)")
-def lif8_failure_codes(spark, sf_dir):
-    made = spark.createDataFrame([(c, k, again) for c, (k, again, _) in CODES.items()], "code string, kind string, retryable boolean")
-    return made.groupBy("kind", "retryable").agg(F.count("*").cast("int").alias("codes"))
-
-
-@query("SELECT * FROM (VALUES ('check', 0, 'cardinality,space_hash'), ('space-info', 0, 'cardinality,next_id,remaining,tried'), ('faulty', 2, '')) t(command, code, fields)")
-def lif11_command_line(spark, sf_dir):
-    import os
-    import tempfile
-
-    from stratamill.plans.cli import main
-    from stratamill.queries_detail import SPEC
-
-    def call(what: str, text: str) -> tuple:
-        with tempfile.TemporaryDirectory() as folder:  # the driver's own arguments, not data
-            path = os.path.join(folder, "spec.json")
-            with open(path, "w") as f:
-                f.write(text)
-            out = io.StringIO()
-            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(io.StringIO()):
-                code = main([what, path])
-        return code, ",".join(sorted(json.loads(out.getvalue()))) if out.getvalue() else ""
-
-    made = [("check", *call("check", json.dumps(SPEC))), ("space-info", *call("space-info", json.dumps(SPEC))), ("faulty", *call("check", "{}"))]
-    return spark.createDataFrame(made, "command string, code int, fields string")
-
-
-@query("SELECT * FROM (VALUES ('two', 'ok'), ('one', 'axes'), ('twice', 'axis_repeated'), ('direction', 'axis_direction')) t(axes, outcome)")
-def par1_axes(spark, sf_dir):
-    made = {"two": [("a", "maximize"), ("b", "minimize")], "one": [("a", "maximize")], "twice": [("a", "maximize"), ("a", "minimize")], "direction": [("a", "maximize"), ("b", "")]}
-    return spark.createDataFrame([(k, refusal(lambda v=v: pareto.admit(v))) for k, v in made.items()], "axes string, outcome string")

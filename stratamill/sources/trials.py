@@ -123,3 +123,10 @@ def common_space(sources: DataFrame) -> str:
     if len(found) != 1 or found[0] is None:
         raise Refusal("space_differs", str(found))
     return found[0]
+
+
+def common_spaces(rows: DataFrame) -> DataFrame:
+    """source, common, space_hash: whether the rows (source, space_hash) of each set of sources recorded one space."""
+    g = rows.groupBy("source").agg(F.min("space_hash").alias("low"), F.max("space_hash").alias("high"), F.max(F.col("space_hash").isNull()).alias("none"))
+    common = (F.col("low") == F.col("high")) & ~F.col("none")
+    return g.select("source", F.coalesce(common, F.lit(False)).alias("common"), F.when(common, F.col("low")).alias("space_hash"))

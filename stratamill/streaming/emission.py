@@ -83,7 +83,7 @@ def drained(spark: SparkSession, source: str, folder: str, floor: int = 0, bound
 
     Rows that are too far ahead hold the source back: they are written to a folder that the
     stream reads again after what it took in, for as long as any are let in. Those that
-    wait for an id that never comes stay `held` in the result, and in that folder.
+    wait for an id that never comes are `held` in the result.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = "study string, trial_id bigint, status string"
@@ -106,9 +106,9 @@ def drained(spark: SparkSession, source: str, folder: str, floor: int = 0, bound
             break
         last = max(progress)
     done = spark.read.schema(schema + ", outcome string").option("recursiveFileLookup", True).parquet(out)
-    rest = spark.read.schema(schema + ", batch int").option("basePath", held).parquet(held)
     gone = done.select("study", "trial_id").distinct()
-    return done.unionByName(rest.select("study", "trial_id", "status").dropDuplicates(["study", "trial_id"]).join(gone, ["study", "trial_id"], "left_anti").withColumn("outcome", F.lit("held")))
+    rest = spark.read.schema(schema).parquet(source).dropDuplicates(["study", "trial_id"])
+    return done.unionByName(rest.join(gone, ["study", "trial_id"], "left_anti").withColumn("outcome", F.lit("held")))
 
 
 def watermark(trials: DataFrame, floor: int = 0) -> DataFrame:

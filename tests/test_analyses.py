@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratamill.operators import curves, dsr, holdout, neighbourhood, pareto, pbo
+from fractions import Fraction
+
+from stratamill.operators import curves, dsr, exact, holdout, neighbourhood, pareto, pbo
 from stratamill.operators.ordered import lag_within, numbered, running
 from stratamill.operators.ranks import twice_mid_rank
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
@@ -89,7 +91,8 @@ def test_split_results_against_brute_force(spark):
     returns[11] = returns[3]  # winners may tie
     rows = [(k, b, len(x), sum(x), sum((v - sum(x) / len(x)) ** 2 for v in x)) for k, xs in returns.items() for b, x in enumerate(xs)]
     found = pbo.split_results(spark.createDataFrame(rows, "key int, block int, n int, s double, m2 double"), 4)
-    assert "Window" not in found._jdf.queryExecution().toString()  # no split in one task
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert windows and all("_range" in x for x in windows)  # by split and range, or over one row for each range
 
     def sharpe(xs):
         flat = [v for x in xs for v in x]
@@ -106,6 +109,12 @@ def test_split_results_against_brute_force(spark):
     assert {tuple(x) for x in found.select("split", "winner", "ties", "rank2", "trials", "side").collect()} == want
 
 
+def test_tied_trials_give_a_row_each(spark):
+    rows = [(k, b, 5, float(b), 2.0) for k in range(30) for b in range(4)]
+    found = pbo.split_results(spark.createDataFrame(rows, "key int, block int, n int, s double, m2 double"), 4).collect()
+    assert len(found) == 6 * 30 and {(x["ties"], x["rank2"], x["trials"], x["side"]) for x in found} == {(30, 31, 30, 0)}
+
+
 def test_overfitting_queries_hold_every_user(spark):
     from stratamill import queries
 
@@ -217,3 +226,24 @@ def test_neighbourhood(spark):
     assert p["share"] == pytest.approx(1 / 3) and p["coverage"] == pytest.approx(0.8)
     assert [tuple(r) for r in neighbourhood.missing(df, space, centre).collect()] == [(4, True, "ema")]
     assert neighbourhood.pair_map(df, space, centre, "fast", "mode").count() == 9
+
+
+def test_exact_sums_under_any_partitioning(spark):
+    rng = random.Random(31)
+    values = [rng.choice([rng.gauss(0, 1), rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300), 2.0 ** rng.randint(-1074, 1023), float(rng.randint(-9, 9)), -0.0, 5e-324, 1.7976931348623157e308]) for _ in range(3000)]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, k int")
+    odd = spark.createDataFrame([(None, 0), (float("nan"), 1), (float("inf"), 2)], "v double, k int")
+    total, squares = sum(map(Fraction, values)), sum(Fraction(v) ** 2 for v in values)
+    for parts in (1, 7):
+        found = exact.collected(exact.sums(df.repartition(parts).union(odd), "v"))
+        assert (found.n, found.total, found.squares) == (3000, total, squares)
+    half = exact.merged([exact.sums(df.where("k = 0"), "v"), exact.sums(df.where("k > 0"), "v")])
+    assert exact.collected(half).total == total
+    small = df.where("abs(v) < 1e100")
+    by = {r["k"]: r for r in exact.figures(exact.sums(small, "v", ["k"]), ["k"]).collect()}
+    for k in range(3):
+        xs = [Fraction(v) for i, v in enumerate(values) if i % 3 == k and abs(v) < 1e100]
+        mean = sum(xs) / len(xs)
+        assert (by[k]["n"], by[k]["mean"], by[k]["variance"]) == (len(xs), float(mean), float(sum((x - mean) ** 2 for x in xs) / (len(xs) - 1)))
+    none = exact.collected(exact.sums(df.limit(0), "v"))
+    assert (none.n, none.mean(), none.variance()) == (0, None, None)

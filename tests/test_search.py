@@ -286,6 +286,7 @@ def test_ordered_emission(spark, tmp_path):
     for n, ids in enumerate(([2, 0], [1, 0, 5], [3, 4])):
         (source / f"{n}.json").write_text("\n".join(json.dumps({"study": "s", "trial_id": i, "status": "ok"}) for i in ids))
     stream = spark.readStream.schema("study string, trial_id bigint, status string").option("maxFilesPerTrigger", 1).json(str(source))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", emission.ROCKS)
     q = emission.emit(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).format("parquet").option("path", out).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.read.parquet(out)
@@ -293,6 +294,17 @@ def test_ordered_emission(spark, tmp_path):
     assert [r["trial_id"] for r in got.where("outcome = 'rejected'").collect()] == [0]
 
 
+def test_a_late_first_id_holds_the_source_back(spark, tmp_path):
+    """State never has more than `bound` rows, nothing is lost, and what waits for an id that never comes stays held."""
+    rows = [("a", i, "ok") for i in range(1, 40)] + [("b", 0, "ok"), ("b", 30, "ok"), ("b", 0, "again")]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, "study string, trial_id bigint, status string").coalesce(1).write.parquet(source)
+    spark.createDataFrame([("a", 0, "late")], "study string, trial_id bigint, status string").coalesce(1).write.mode("append").parquet(source)
+    got = emission.drained(spark, source, str(tmp_path / "work"), bound=20, files=1).collect()
+    assert sorted(r["trial_id"] for r in got if r["study"] == "a" and r["outcome"] == "emitted") == list(range(40))
+    assert sorted((r["trial_id"], r["outcome"]) for r in got if r["study"] == "b") == [(0, "emitted"), (0, "rejected"), (30, "held")]
+
+
 def test_audit_and_provenance(spark, tmp_path):
     log = spark.createDataFrame([("s", 0, 1, 0), ("s", 1, 0, 0), ("s", 2, 2, 2), ("s", 3, 3, 1)], "study string, trial_id int, completion_order int, completed_before int")
     assert [r["trial_id"] for r in emission.audit(log).collect()] == [3]
