@@ -200,8 +200,11 @@ def fit(docs: DataFrame, terms: int = TERMS, rank: int = RANK, size: int = PASSA
     shared = spark.sparkContext.broadcast((idf.astype(np.float32), drawn.astype(np.float32)))
     schema = "part int, task int, z binary"
     sums = text.mapInArrow(_products(shared, terms, size), schema)
-    sums = sums.groupBy("part", (F.col("task") / FIRST).cast("int")).applyInArrow(_add, schema)
-    sums = sums.groupBy("part").applyInArrow(_add, schema).toPandas()  # terms x width numbers
+    tasks = text.rdd.getNumPartitions()
+    while tasks > 1:  # FIRST sums at a time, so that no group grows with the number of tasks
+        sums = sums.groupBy("part", F.floor(F.col("task") / FIRST).cast("int").alias("_t")).applyInArrow(_add, schema)
+        tasks = -(-tasks // FIRST)
+    sums = sums.toPandas()  # terms x width numbers
     z = np.zeros((terms, width))
     for i, x in zip(sums["part"], sums["z"], strict=True):
         z[i * PART : (i + 1) * PART] = np.frombuffer(x, np.float32).reshape(-1, width)

@@ -55,7 +55,7 @@ PAIR_D, PAIR_S = 0.75, 2.0
 WORD_D, WORD_S = 0.6, 10.0
 BYTE_D, BYTE_S = 0.5, 5.0
 #: Passes, and sweeps in each.
-BURN_IN, SAMPLES, INNER = 1, 2, 3
+BURN_IN, SAMPLES, INNER = 1, 3, 3
 #: Share of all tokens that makes a word a context, and how often a pair occurs that is kept.
 CONTEXT, LEAST = 1 / 4096, 2
 #: Words (24 bytes each) and pairs (16 bytes each) kept by every executor.
@@ -613,8 +613,8 @@ def _tokens(shared):
                         "key": pa.array(key[order]),
                         "times": pa.array(times),
                         "slot": pa.array(np.where(known, PAIR, slot[order]), pa.int32()),
-                        "b": pa.array(b.astype(np.float32).astype(float)),
-                        "miss": pa.array(miss.astype(np.float32).astype(float)),
+                        "b": pa.array(b),
+                        "miss": pa.array(miss),
                         "n_tokens": nothing,
                         "n_known": nothing,
                         "base": pa.array(np.zeros(len(order))),

@@ -362,7 +362,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     gone = stage(rows.where(~first).select(F.col("doc_id").alias(gone_id), F.col("tk").alias(gone_tk)).distinct(), "neardup_gone")
     out = docs.join(small(gone, 32), (_key() == F.col(gone_tk)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
     repeated = rows.where(first).groupBy("doc_id", "tk").agg(F.count("*").alias("times")).where("times > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    return out if repeated.isEmpty() else _once(out)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """Of rows with one doc_id and text that whose columns have the smallest hash, once."""
+    h, best, d, k = (free_name(c, docs.columns) for c in ("_h", "_best", "_d", "_k"))
+    named = docs.withColumn(h, F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256))
+    first = named.groupBy(F.col("doc_id").alias(d), _key().alias(k)).agg(F.min(h).alias(best))
+    kept = named.join(first, F.col("doc_id").eqNullSafe(F.col(d)) & (_key() == F.col(k)) & (F.col(h) == F.col(best)), "left_semi")
+    return kept.dropDuplicates([h]).drop(h)
 
 
 def op2_near_duplicates(spark, sf_dir):

@@ -100,7 +100,9 @@ class Stream:
     #: Granule position for packets that end a page's whole packets, else -1.
     granules: list[int] = field(default_factory=list)
     pages: int = 0
+    #: Packets that lack a part, and pages by their numbers that never came.
     lost: int = 0
+    missing: int = 0
     _next: int = 0
     _open: list[bytes] | None = None
 
@@ -126,8 +128,10 @@ def demux(media: bytes) -> tuple[dict[int, Stream], int]:
             at = found if found >= 0 else len(media)
             continue
         s = streams.setdefault(serial, Stream())
-        if sequence != s._next and s._open is not None:
-            s._open, s.lost = None, s.lost + 1
+        if sequence != s._next:
+            s.missing += (sequence - s._next) % (1 << 32)
+            if s._open is not None:
+                s._open, s.lost = None, s.lost + 1
         s._next, s.pages = sequence + 1, s.pages + 1
         whole = kind & CONTINUED == 0 or s._open is not None
         if not kind & CONTINUED and s._open is not None:
@@ -180,7 +184,7 @@ def features(samples: bytes, streams: dict[int, Stream], skipped: int, rate: int
     return ";".join(
         (
             f"streams={len(streams)}", f"pages={sum(s.pages for s in streams.values())}", f"packets={sum(len(s.packets) for s in streams.values())}",
-            f"bad={skipped + sum(s.lost for s in streams.values())}", f"ms={int(times[-1][1]) if times else 0}", f"gaps={gaps}", f"mean={int(x.sum()) // len(x)}",
+            f"bad={skipped + sum(s.lost + s.missing for s in streams.values())}", f"ms={int(times[-1][1]) if times else 0}", f"gaps={gaps}", f"mean={int(x.sum()) // len(x)}",
             f"power={int((centred * centred).sum()) // len(x)}", f"peak={int(x.max())}", f"crossings={crossings}",
         )
     )

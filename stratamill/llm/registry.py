@@ -16,6 +16,7 @@ def queries() -> dict:
         "op5_license_scan": licenses.op5_license_scan,
         "op6_lm_score": lm.op6_lm_score,
         "op7_token_rollups": rollups.op7_token_rollups,
+        "rollups_of_words": rollups.rollups_of_words,
         "op8_ogg_media": ogg.op8_ogg_media,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_language_id": langid.op10_language_id,
@@ -30,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": secrets.ORACLE_OP1,
         "op4_mixing": mixing.ORACLE_OP4,
         "op5_license_scan": licenses.ORACLE_OP5,
-        "op7_token_rollups": rollups.ORACLE_OP7,
+        "rollups_of_words": rollups.ORACLE_WORDS,
         "op11_conversation_repair": conversations.ORACLE_OP11,
         "op12_centroid_clustering": clustering.ORACLE_OP12,
     }

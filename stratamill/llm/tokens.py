@@ -13,7 +13,7 @@ file (any Hadoop store holds it, a rewritten task replaces it):
 
 An Elias-Fano code keeps the low bits of each offset as they are and the high bits
 in unary, about 2 + log2(tokens / documents) bits a document. select(i) finds the
-i-th one bit of `high` from sampled positions.
+i-th one bit of `high` from ranks of its stretches.
 
 Defined results: null text is empty and gives the end id alone; repeated doc_ids
 are kept next to each other, ordered by text; rows with null doc_id come first, and
@@ -54,8 +54,8 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = [1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 0 if chr(c) in "'|" else 3 for c in range(33, 127)]
 #: What is tried when a tokenizer is loaded.
 _TRIED = "ab,c12d. X-y(z)=1/2!? e.g. a_b#c@d ~x^ {q}[r] 3rd \"Oh\" don't"
-#: One position in so many is sampled for select().
-SAMPLE = 256
+#: Documents whose ends are looked up at once.
+ASKED = 1 << 14
 
 BLOCK = "part int, seq int, n_docs bigint, n_tokens bigint, width int, low_bits int, doc_ids binary, nulls bigint, ids binary, low binary, high binary"
 
@@ -74,40 +74,44 @@ def encode_bounds(ends: np.ndarray) -> tuple[int, bytes, bytes]:
     return bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(unary, bitorder="little").tobytes()
 
 
+#: The bit of a byte's k-th one.
+_ONE = np.array([[next((b for b in range(8) if (v & (1 << b) - 1).bit_count() == k and v >> b & 1), 0) for k in range(8)] for v in range(256)], np.uint8)
+
+
 class Bounds:
-    """select() over a code: the end offset of document i."""
+    """select() over a code: the end offset of documents.
+
+    Ranks are kept for each 512 bits of `high`, and for each 64 bits inside them as 16-bit
+    numbers: 24 bytes for 64 of the code. What is between is counted in eight bytes.
+    """
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
         self.n, self.bits = n, low_bits
-        self.high = np.frombuffer(high, np.uint8)
-        self.low = np.frombuffer(low, np.uint8)
-        ones = np.bitwise_count(self.high)
-        self.before = np.concatenate([[0], np.cumsum(ones, dtype=np.int64)])
-        self.sampled = np.searchsorted(self.before, np.arange(0, n + 1, SAMPLE), "right") - 1
-
-    def select(self, i: int) -> int:
-        lo = int(self.sampled[i // SAMPLE])
-        byte = lo + int(np.searchsorted(self.before[lo + 1 :], i, "right"))
-        rest, bit, word = i - int(self.before[byte]), 0, int(self.high[byte])
-        while True:
-            if word >> bit & 1:
-                if not rest:
-                    break
-                rest -= 1
-            bit += 1
-        at, value = i * self.bits, 0
+        self.high = np.frombuffer(high + b"\0" * (-len(high) % 64), np.uint8)
+        self.low = np.frombuffer(low + b"\0", np.uint8)
+        ones = np.bitwise_count(self.high.view("<u8")).reshape(-1, 8).astype(np.int64)
+        self.rank = np.cumsum(ones.sum(1)) - ones.sum(1)
+        self.inside = (np.cumsum(ones, 1) - ones).astype(np.uint16)
+
+    def select(self, i) -> np.ndarray:
+        """The end offsets of documents i."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        wide = np.searchsorted(self.rank, i, "right") - 1
+        rest = i - self.rank[wide]
+        word = (self.inside[wide] <= rest[:, None]).sum(1) - 1
+        rest = rest - self.inside[wide, word]
+        place = 8 * wide + word
+        eight = self.high.reshape(-1, 8)[place]
+        ones = np.bitwise_count(eight).astype(np.int64)
+        before = np.cumsum(ones, 1) - ones
+        byte = (before <= rest[:, None]).sum(1) - 1
+        at = np.arange(len(i))
+        bit = _ONE[eight[at, byte], rest - before[at, byte]]
+        out = (8 * (8 * place + byte) + bit - i) << self.bits
+        first = i * self.bits
         for k in range(self.bits):
-            value |= (int(self.low[(at + k) >> 3]) >> ((at + k) & 7) & 1) << k
-        return (8 * byte + bit - i) << self.bits | value
-
-    def all(self) -> np.ndarray:
-        """Every end offset at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (at - np.arange(self.n)) << self.bits
-        if not self.bits:
-            return high
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
-        return high + low.astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
+            out |= (self.low[(first + k) >> 3].astype(np.int64) >> ((first + k) & 7) & 1) << k
+        return out
 
 
 # ---- Encoding ----------------------------------------------------------------
@@ -334,7 +338,8 @@ def write(docs: DataFrame, path: str, out: str, **how) -> None:
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in batch.to_pylist():
-            ends = Bounds(b["n_docs"], b["low_bits"], b["low"], b["high"]).all()
+            bounds = Bounds(b["n_docs"], b["low_bits"], b["low"], b["high"])
+            ends = np.concatenate([bounds.select(np.arange(i, min(i + ASKED, b["n_docs"]))) for i in range(0, b["n_docs"], ASKED)])
             ids = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4")
             starts = np.concatenate([[0], ends[:-1]])
             docs = [None] * b["nulls"] + np.cumsum(np.frombuffer(b["doc_ids"], "<i8")).tolist()

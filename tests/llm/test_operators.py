@@ -173,6 +173,14 @@ def test_near_duplicates(spark, odd_rows, none):
     assert ids == sorted({c for _, c in got if c is not None}) and sum(r["doc_id"] is None for r in kept) == sum(c is None for c in {c for _, c in got})
 
 
+def test_of_repeated_rows_the_same_one_stays(spark):
+    """Rows of one doc_id and text that differ in another column: the choice doesn't depend on partitions."""
+    text = words(random.Random(3), 40)
+    rows = [(1, text, lang, source) for lang in ("en", "de", None) for source in ("a", "b")] * 2 + [(2, text, "en", "a"), (3, "other words here", "en", "a")]
+    found = {tuple(map(tuple, sorted(neardup.keep_one(frame(spark, rows).repartition(n)).collect(), key=str))) for n in (1, 5)}
+    assert len(found) == 1 and sorted(r[0] for r in next(iter(found))) == [1, 3]
+
+
 def test_large_bucket_goes_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FEW", 4)
     monkeypatch.setattr(neardup, "BLOCK", 8)
@@ -208,10 +216,20 @@ def test_elias_fano():
         ends = np.cumsum([rng.choice([0, 0, 1, 7, 5000]) for _ in range(n)])
         bits, low, high = tokens.encode_bounds(ends)
         b = tokens.Bounds(n, bits, low, high)
-        assert b.all().tolist() == ends.tolist() and [b.select(i) for i in range(n)] == ends.tolist()
+        assert b.select(np.arange(n)).tolist() == ends.tolist() and [int(b.select(i)[0]) for i in range(0, n, 7)] == ends.tolist()[::7]
         assert 8 * (len(low) + len(high)) <= n * (3 + max(1, ends[-1] / n).__ceil__().bit_length()) + 64
 
 
+def test_ranks_are_small():
+    """Ranks of a code of 100,000 documents take less than half of what the code's upper part takes."""
+    ends = np.cumsum(np.random.default_rng(2).integers(0, 900, 100_000))
+    bits, low, high = tokens.encode_bounds(ends)
+    b = tokens.Bounds(len(ends), bits, low, high)
+    assert b.rank.nbytes + b.inside.nbytes < 0.5 * len(high)
+    some = np.random.default_rng(3).integers(0, len(ends), 5000)
+    assert (b.select(some) == ends[some]).all()
+
+
 def test_token_blocks(spark, odd, odd_rows, none):
     got = sorted(map(tuple, tokens.token_ids(odd).collect()), key=lambda r: r[1])
     assert got == token_rows(odd_rows)
@@ -457,21 +475,41 @@ def test_rollups(spark, tmp_path):
     load = spark.createDataFrame([("a", "en", "1", "insert", 5, None), ("a", "en", "1", "insert", 7, None), (None, None, "1", "insert", None, None), ("b", "en", "2", "insert", 3, None)], schema)
     later = spark.createDataFrame([("a", "en", "1", "revise", 9, 7), ("b", "en", "2", "delete", 3, None)], schema)
     ledger.commit("load", load)
-    for _ in range(2):
-        ledger.commit("later", later)
+    assert ledger.commit("later", later) and not ledger.commit("later", later)
     want = {("a", "en", "1", 2, 14), (None, None, "1", 1, 0)}
     assert set(map(tuple, ledger.totals().collect())) == want
-    folded = rollups.Ledger(spark, str(tmp_path / "folded"))
-    ledger.fold(folded, ["load", "later"], "base")
-    assert set(map(tuple, folded.totals().collect())) == want
-    ledger.commit("nothing", load.limit(0))
+    ledger.fold(["load", "later"], "base")
+    ledger.fold(["load", "later"], "base")
     assert set(map(tuple, ledger.totals().collect())) == want
+    assert not ledger.commit("load", load) and not ledger.commit("later", later)  # replays after the fold
+    assert set(map(tuple, ledger.totals().collect())) == want and ledger.batches() == {"load", "later", "base"}
+    ledger.commit("more", later.where("kind = 'revise'"))
+    ledger.fold(["base", "more"], "newer")
+    assert set(map(tuple, ledger.totals().collect())) == {("a", "en", "1", 2, 16), (None, None, "1", 1, 0)}
+    assert not ledger.commit("load", load) and not ledger.commit("more", load)
+    ledger.commit("nothing", load.limit(0))
+    assert set(map(tuple, ledger.totals().collect())) == {("a", "en", "1", 2, 16), (None, None, "1", 1, 0)}
     with pytest.raises(Exception, match="unknown kind"):
         ledger.commit("bad", load.withColumn("kind", F.lit("move")))
     with pytest.raises(ValueError):
         ledger.commit("a/b", load)
 
 
+def test_a_ledger_without_batches_and_a_commit_that_dies(spark, tmp_path, monkeypatch):
+    ledger = rollups.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.totals().collect() == [] and ledger.batches() == set()
+    ledger.fold([], "empty")
+    assert ledger.totals().collect() == []
+    schema = "source string, lang string, version string, kind string, tokens bigint"
+    load = spark.createDataFrame([("a", "en", "1", "insert", 5)], schema)
+    with monkeypatch.context() as m:
+        m.setattr(rollups.Ledger, "_publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            ledger.commit("load", load)
+    assert ledger.totals().collect() == []  # sums without a name don't count
+    assert ledger.commit("load", load) and [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "1", 1, 5)]
+
+
 def test_rollup_query_and_tokenizer_versions(spark, odd, odd_rows, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -480,7 +518,13 @@ def test_rollup_query_and_tokenizer_versions(spark, odd, odd_rows, none, tmp_pat
         df.write.parquet(str(folder / "documents.parquet"))
         labels = spark.createDataFrame([(4, 0, 1), (7, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
         labels.write.parquet(str(folder / "labels.parquet"))
-        got = against_sql(rollups.op7_token_rollups(spark, str(folder)), rollups.ORACLE_OP7, documents=df.select("doc_id", "text", "lang", "source").toArrow(), labels=labels.toArrow())
+        tk, want = Tokenizer.from_file(tokens.tokenizer_path()), Counter()
+        for r in df.where("doc_id is null or doc_id <> 4").collect():
+            want[r["source"], r["lang"], rollups.VERSION, "docs"] += 1
+            want[r["source"], r["lang"], rollups.VERSION, "tokens"] += len(tk.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        made = rollups.op7_token_rollups(spark, str(folder)).where(F.col("version") == rollups.VERSION).collect()
+        assert {(r["source"], r["lang"], r["version"], k): r[k] for r in made for k in ("docs", "tokens")} == dict(want)
+        got = against_sql(rollups.rollups_of_words(spark, str(folder)), rollups.ORACLE_WORDS, documents=df.select("doc_id", "text", "lang", "source").toArrow(), labels=labels.toArrow())
         assert bool(got) == (name == "odd")
     path = tokens.tokenizer_path()
     counted = rollups.counted_by(odd, "word_bpe", path)
@@ -536,6 +580,21 @@ def test_packets_across_pages_and_multiples_of_255():
         assert not bad and streams[7].packets == packets
 
 
+def test_a_lost_page_is_seen():
+    packets = [bytes([i % 251]) * 50 for i in range(600)]
+    made = ogg.pages(packets, list(range(600)), 7)
+    whole, bad = ogg.demux(b"".join(made))
+    assert not bad and whole[7].missing == 0 and whole[7].packets == packets
+    for gone in range(1, len(made) - 1):
+        streams, bad = ogg.demux(b"".join(made[:gone] + made[gone + 1 :]))
+        assert not bad and streams[7].missing == 1 and len(streams[7].packets) < 600
+    payload = bytes(192 * 3000)
+    media = ogg.mux(payload, 1)
+    second = [i for i in range(len(media)) if media[i : i + 4] == b"OggS"][5:7]
+    streams, bad = ogg.demux(media[: second[0]] + media[second[1] :])
+    assert "bad=0" not in ogg.features(b"\x01", streams, bad, 8000) and "bad=0" in ogg.features(b"\x01", *ogg.demux(media), 8000)
+
+
 def test_damaged_pages_are_skipped():
     media = bytearray(ogg.mux(bytes(192 * 1000), 5))
     media[len(media) // 2] ^= 1
