@@ -221,3 +221,11 @@ def status(objective: tuple[Column, Column], constraints: list[tuple[Column, Col
     for value, error in constraints:
         out = out.when(error.isNotNull(), F.lit("constraint_error")).when(value == 0.0, F.lit("constraint_violation"))
     return out.otherwise(F.lit("ok"))
+
+
+def feasible(objective: tuple[Column, Column], constraints: list[tuple[Column, Column]]) -> Column:
+    """Whether a trial's objective has a value and all of its constraints do and hold."""
+    out = objective[1].isNull()
+    for value, error in constraints:
+        out = out & F.coalesce(satisfied(value, error), F.lit(False))
+    return out

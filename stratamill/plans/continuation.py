@@ -328,7 +328,7 @@ def load_state(space: Space, text: str) -> Tpe:
 
 
 def warmed(tpe: Tpe, history: DataFrame, most: int = 100_000) -> Tpe:
-    """Tell a sampler the finite feasible rows of a history in id order. A bounded sampler takes any number; a full one holds all rows, and more than `most` are refused."""
+    """Tell a sampler the finite feasible rows of a history in id order. A bounded sampler takes any number; a full one holds all rows, and more than `most` are refused: parzen.proposals() takes them from the table."""
     good = history.where("feasible and objective is not null and not isnan(objective)")
     if isinstance(tpe, BoundedTpe) and not tpe.count:
         return tpe.warm(good)

@@ -146,6 +146,18 @@ def smoothed(share: np.ndarray, observations: int) -> np.ndarray:
     return (share.sum() * alpha + share) / (total * (1 + alpha * choices)) + (1.0 / total) / choices
 
 
+def choice_masses(rows: DataFrame, choice: str, choices: tuple) -> DataFrame:
+    """choice, n, mass: smoothed probabilities of all choices from rows (choice, weight), as smoothed() gives them; one row for each choice, summed in parts."""
+    spark = rows.sparkSession
+    found = rows.groupBy(choice).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    kind = rows.schema[choice].dataType.simpleString()
+    every = spark.createDataFrame([(c,) for c in choices], f"`{choice}` {kind}").join(found, choice, "left").select(choice, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("_w"))
+    alpha, k = 1 / (F.col("_n") + 1), len(choices)
+    mass = (F.col("_w") * alpha + F.col("w")) / ((1 + F.col("_w")) * (1 + alpha * k)) + 1 / (1 + F.col("_w")) / k
+    return every.join(F.broadcast(total)).select(choice, "n", mass.alias("mass"))
+
+
 def encoded(d: Integer | Real, value: Column) -> Column:
     """The place of a numeric dimension's values in [0, 1], as columns."""
     if isinstance(d, Integer):

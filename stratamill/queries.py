@@ -324,9 +324,7 @@ def smp9_good_bad_split(spark, sf_dir):
 
 @query(f"WITH {TRIALS_SQL}, c AS (SELECT brand, count(*) AS w, sum(count(*)) OVER () AS n FROM tr WHERE status = 'ok' GROUP BY 1) SELECT brand, round(((w + n * (1.0 / (n + 1))) / ((1.0 + n) * (1 + 25.0 / (n + 1)))) + (1.0 / (1.0 + n)) / 25, 9)::DOUBLE AS mass FROM c")
 def smp14_choice_mass(spark, sf_dir):
-    found = {x["brand"]: x["n"] for x in trials(spark, sf_dir).where("status = 'ok'").groupBy("brand").agg(F.count("*").alias("n")).collect()}  # a row for each choice
-    mass = tpe.smoothed(np.array([found.get(b, 0) for b in BRANDS], float), sum(found.values()))
-    return spark.createDataFrame([(b, round(float(m), 9)) for b, m in zip(BRANDS, mass, strict=True) if b in found], "brand string, mass double")
+    return tpe.choice_masses(trials(spark, sf_dir).where("status = 'ok'").withColumn("weight", F.lit(1.0)), "brand", BRANDS).where("n > 0").select("brand", r(F.col("mass"), 9).alias("mass"))
 
 
 # ---- Evaluation --------------------------------------------------------------

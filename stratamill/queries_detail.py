@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratamill.functions.expr import Expression, Policy, columns
+from stratamill.functions.expr import Expression, Policy, columns, feasible
 from stratamill.operators import curves, evaluate, exact, holdout, neighbourhood, pareto, pbo, rows
 from stratamill.operators import dsr as dsr_
 from stratamill.operators.ranks import below
-from stratamill.plans import continuation, ordinals, samplers
+from stratamill.plans import continuation, ordinals, parzen, samplers
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, write_trials
-from stratamill.plans.tpe import Parzen, Tpe, weighted
+from stratamill.plans.tpe import Tpe, weighted
 from stratamill.queries import AXES, BLOCKS, BRAND_LIST, CURVE, EMITTED, EVAL_SPACE, EVERY_HOUR, HOLDOUT, HOURLY, NBH, PART_SPACE, POOL, SIGNALS, RETURNS, SELECTION, SOBOL_SPACE, START, STATS, STUDIES, STUDY, TRIALS_SQL, WALK, _emitted, _moments, _nbh, _part_ids, _sobol_sql, _two, events, every_hour, hourly, query, r, studies, t, trials, user_curve
 from stratamill.sources import bars as bars_
 from stratamill.sources import trials as trial_files
@@ -119,11 +119,7 @@ def exp8_identifiers(spark, sf_dir):
 def exp11_feasible(spark, sf_dir):
     tr = trials(spark, sf_dir)
     m = columns(tr.columns)
-    parts = [Expression(x).compile(m) for x in ("objective", "size >= 5", "price <= 1500")]
-    good = parts[0][1].isNull()
-    for value, error in parts[1:]:
-        good = good & error.isNull() & F.coalesce(value != 0.0, F.lit(False))
-    return tr.select("trial_id", good.alias("feasible"))
+    return tr.select("trial_id", feasible(Expression("objective").compile(m), [Expression(x).compile(m) for x in ("size >= 5", "price <= 1500")]).alias("feasible"))
 
 
 @query(f"WITH {TRIALS_SQL} SELECT trial_id, round(price * 2, 6) AS value, NULL::VARCHAR AS error FROM tr")
@@ -208,12 +204,50 @@ def smp10_weights(spark, sf_dir):
     return weighted(trials(spark, sf_dir).where("status = 'ok'").select("trial_id")).select("trial_id", r(F.col("weight"), 9).alias("weight"))
 
 
-@query(f"""WITH {TRIALS_SQL}, x AS (SELECT DISTINCT (size - 0.5) / 50 AS v FROM tr), g AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS lo, lead(v) OVER (ORDER BY v) - v AS hi, count(*) OVER () AS n FROM x)
-SELECT round(v, 6)::DOUBLE AS v, round(least(greatest(greatest(coalesce(lo, hi), coalesce(hi, lo)), 1.0 / least(100, n + 2)), 1), 6)::DOUBLE AS sigma FROM g""")
+LONG_SPACE = Space((Real("price", 0.0, 200_000.0), Integer("quantity", 1, 50)))
+NORMALS = """h AS (SELECT 9 * l_orderkey + l_linenumber AS id, any_value(l_discount * l_extendedprice) AS objective, any_value(l_extendedprice) AS price, any_value(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY 1 HAVING count(*) = 1),
+bd AS (SELECT * FROM h QUALIFY row_number() OVER (ORDER BY objective DESC, id) > 25), wt AS (SELECT *, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () AS m FROM bd),
+wx AS (SELECT *, CASE WHEN m < 25 OR rn > m - 25 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / m + (rn - 1) * (1 - 1.0::DOUBLE / m) / (m - 26) END AS w FROM wt),
+ax AS (SELECT id, w, 'price' AS dimension, price / 200000.0::DOUBLE AS x FROM wx UNION ALL SELECT id, w, 'quantity', (quantity - 0.5::DOUBLE) / 50 FROM wx),
+pl AS (SELECT dimension, x, count(*) AS n, arg_min(w, id) AS f, arg_max(w, id) AS l, sum(w) AS s FROM ax GROUP BY 1, 2),
+gp AS (SELECT *, x - lag(x) OVER o AS lo, lead(x) OVER o - x AS hi, sum(n) OVER (PARTITION BY dimension) AS tot FROM pl WINDOW o AS (PARTITION BY dimension ORDER BY x)),
+en AS (SELECT *, coalesce(lo, CASE WHEN n > 1 THEN 0 END, hi) AS low, coalesce(hi, CASE WHEN n > 1 THEN 0 END, lo) AS high FROM gp),
+nm AS (SELECT dimension, x AS mean, tot, unnest(CASE WHEN n = 1 THEN [{'g': greatest(low, high), 'w': f}] ELSE [{'g': low, 'w': f}, {'g': 0.0::DOUBLE, 'w': CASE WHEN n > 2 THEN s - f - l ELSE 0 END}, {'g': high, 'w': l}] END) AS p FROM en),
+nr AS (SELECT dimension, mean, least(greatest(p.g, 1.0::DOUBLE / least(100, tot + 2)), 1.0::DOUBLE) AS sigma, p.w AS weight FROM nm WHERE p.w > 0)"""
+
+
+def _long(spark, sf_dir):
+    """Each line of an order as an observation; lines that share their number are left out, as ids are unique."""
+    return t(spark, sf_dir, "lineitem").groupBy((9 * F.col("l_orderkey") + F.col("l_linenumber")).alias("trial_id")).agg(
+        F.count("*").alias("n"), F.max(F.col("l_discount") * F.col("l_extendedprice")).alias("objective"), F.max("l_extendedprice").alias("price"), F.max(F.col("l_quantity").cast("bigint")).alias("quantity")
+    ).where("n = 1").drop("n")
+
+
+@query(f"WITH {NORMALS} SELECT dimension, round(mean, 9) AS mean, round(sigma, 9) AS sigma, round(weight, 6) AS weight FROM nr")
 def smp11_parzen_widths(spark, sf_dir):
-    x = np.array([r_["v"] for r_ in trials(spark, sf_dir).select(((F.col("size") - 0.5) / 50).alias("v")).distinct().collect()])  # as many as the dimension has values
-    p = Parzen(x, np.ones(len(x)))
-    return spark.createDataFrame([(round(float(v), 6), round(float(s), 6)) for v, s in zip(p.mean[:-1], p.sigma[:-1], strict=True)], "v double, sigma double")
+    """The normals of all lines but the good ones."""
+    found = parzen.bad_normals(cut_lineage(_long(spark, sf_dir)), LONG_SPACE)
+    return found.select("dimension", r(F.col("mean"), 9).alias("mean"), r(F.col("sigma"), 9).alias("sigma"), r(F.col("weight")).alias("weight"))
+
+
+def _between(a: str, b: str) -> str:
+    """Normal mass between two places; beyond 8 none is left."""
+    from stratamill.queries import _phi_sql
+
+    return f"({_phi_sql(f'least(8.0, greatest(-8.0, {b}))')} - {_phi_sql(f'least(8.0, greatest(-8.0, {a}))')})"
+
+
+@query(f"""WITH {NORMALS}, ins AS (SELECT *, {_between('-mean / sigma', '(1 - mean) / sigma')} AS inside FROM nr UNION ALL SELECT DISTINCT dimension, 0.5, 1.0, 1.0, {_between('-0.5::DOUBLE', '0.5::DOUBLE')} FROM nr),
+tw AS (SELECT dimension, sum(weight) AS total FROM ins GROUP BY 1),
+dn AS (SELECT 'price' AS dimension, CAST(k AS INT) AS point, sum(weight / sigma / sqrt(2 * pi()) * exp(-0.5 * pow((k / 40.0::DOUBLE - mean) / sigma, 2)) / inside) AS v FROM ins, range(41) t(k) WHERE dimension = 'price' GROUP BY 1, 2),
+mq AS (SELECT mean, sigma, sum(weight) AS weight, any_value(inside) AS inside FROM ins WHERE dimension = 'quantity' GROUP BY 1, 2),
+ms AS (SELECT 'quantity' AS dimension, CAST(pt AS INT) AS point, sum(weight * {_between('(pt / 50.0::DOUBLE - mean) / sigma', '((pt + 1) / 50.0::DOUBLE - mean) / sigma')} / inside) AS v FROM mq, range(50) t(pt) GROUP BY 1, 2)
+SELECT dimension, point, round(ln(v / total), 6) AS ln FROM (SELECT * FROM dn UNION ALL SELECT * FROM ms) JOIN tw USING (dimension)""")
+def smp12_full_history(spark, sf_dir):
+    """The model of all lines but the good ones: ln density at 41 prices, ln mass of each quantity."""
+    quantity = np.array([(k / 50, (k + 1) / 50) for k in range(50)])
+    found = parzen.log_densities(parzen.bad_normals(cut_lineage(_long(spark, sf_dir)), LONG_SPACE), {"price": np.arange(41) / 40, "quantity": quantity})
+    return spark.createDataFrame([(d, i, round(float(v), 6)) for d, x in found.items() for i, v in enumerate(x)], "dimension string, point int, ln double")
 
 
 @query(f"WITH {TRIALS_SQL}, g AS (SELECT range AS ordinal, 1 + range // 25 AS size, 'Brand#' || (1 + range % 25) AS brand FROM range(1250)) SELECT ordinal FROM g ANTI JOIN tr USING (size, brand) ORDER BY 1 LIMIT 20")
@@ -282,11 +316,20 @@ def evl6_status_taxonomy(spark, sf_dir):
     return Study(space, "net_profit", evaluate.THRESHOLD_METRICS).run(space.grid(spark), b, evaluate.threshold).select("trial_id", "status")
 
 
-@query(f"WITH {HOURLY} SELECT symbol, TRUE AS sums, TRUE AS ends FROM b WHERE timestamp >= {START} AND timestamp < {START + 5 * 86_400_000} GROUP BY 1")
+@query(f"""WITH {HOURLY}, c AS (SELECT *, timestamp // 14400000 AS bucket, timestamp < {START} AS before FROM b WHERE timestamp >= {START - 5 * 86_400_000} AND timestamp < {START + 5 * 86_400_000}),
+g AS (SELECT symbol, bucket, row_number() OVER (PARTITION BY symbol ORDER BY bucket DESC) AS k FROM (SELECT DISTINCT symbol, bucket FROM c WHERE before)), f AS (SELECT symbol, min(bucket) AS first_bucket FROM g WHERE k <= 12 GROUP BY 1),
+q AS (SELECT c.* FROM c LEFT JOIN f USING (symbol) WHERE NOT before OR bucket >= first_bucket), n AS (SELECT symbol, count(*) AS fed, row_number() OVER (ORDER BY symbol) AS i FROM q GROUP BY 1)
+SELECT symbol, CASE i WHEN 2 THEN 'sum' WHEN 3 THEN 'first' WHEN 4 THEN 'last' END AS broken FROM n""")
 def evl11_plan_identities(spark, sf_dir):
-    p = bars_.window_plan(hourly(spark, sf_dir), ["symbol"], START, START + 5 * 86_400_000, START - 5 * 86_400_000, 4 * 3_600_000, 12)
-    ends = (F.col("first_ts") >= START - 5 * 86_400_000) & (F.col("last_ts") < START + 5 * 86_400_000)
-    return p.select("symbol", (F.col("fed_bars") == F.col("pre_bars") + F.col("window_bars")).alias("sums"), ends.alias("ends"))
+    """Plans of the symbols, of which some were spoilt: a bar more than its parts, a first bar before the floor, a last one at the end."""
+    start, day = START, 86_400_000
+    p = bars_.window_plan(hourly(spark, sf_dir), ["symbol"], start, start + 5 * day, start - 5 * day, 4 * 3_600_000, 12)
+    i = F.row_number().over(Window.orderBy("symbol"))  # a row for each symbol
+    p = p.withColumn("_i", i).withColumns({
+        "fed_bars": F.when(F.col("_i") == 2, F.col("fed_bars") + 1).otherwise(F.col("fed_bars")), "first_ts": F.when(F.col("_i") == 3, start - 6 * day).otherwise(F.col("first_ts")),
+        "last_ts": F.when(F.col("_i") == 4, start + 5 * day).otherwise(F.col("last_ts")),
+    })
+    return p.select("symbol", bars_.plan_defect(start - 5 * day, start + 5 * day).alias("broken"))
 
 
 @query(f"WITH {HOURLY} SELECT symbol, CASE symbol WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS dataset_id, sum(volume) AS volume FROM b GROUP BY 1, 2")
@@ -682,9 +725,9 @@ def spc8_serialised(spark, sf_dir):
     return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), text(F.col("p_retailprice") / 3).alias("real"), text("p_size").alias("whole"), text(F.col("p_size") > 25).alias("flag"))
 
 
-@query("SELECT DISTINCT CAST(p_size AS BIGINT) AS size, p_size <= 47 AS injective FROM part")
+@query("SELECT DISTINCT CAST(p_size AS BIGINT) AS size, p_size <= 46 AS injective FROM part")
 def spc7_injective_grids(spark, sf_dir):
-    """Halves from a power of two on, 16 times that of the size: doubles hold them apart up to 2**51."""
+    """Halves from a power of two on, 16 times that of the size: doubles hold them, and the unit that an end may be off, apart up to 2**50."""
     from stratamill.plans.spec import injective
 
     udf = F.pandas_udf(lambda s: s.map(lambda n: injective(Real("x", 2.0 ** (int(n) + 4), 2.0 ** (int(n) + 4) + 64, 0.5))), "boolean")

@@ -177,6 +177,15 @@ def window_plan(bars: DataFrame, keys: list[str], start: int, end: int, floor: i
     )
 
 
+def plan_defect(floor: int, end: int) -> Column:
+    """The first identity that a row of window_plan() breaks: its parts make up its bars, and no bar lies before the floor or at the end; null if none."""
+    return (
+        F.when(F.col("fed_bars") != F.col("pre_bars") + F.col("window_bars"), "sum")
+        .when(F.col("first_ts") < floor, "first")
+        .when((F.col("last_ts") >= end) | (F.col("last_ts") < F.col("first_ts")), "last")
+    )
+
+
 def snapshot(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """(path, length, modified) of the input's files, to be compared after a run."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.unix_millis("modificationTime").alias("at"))

@@ -10,11 +10,11 @@ import numpy as np
 import pytest
 
 from stratamill.operators import evaluate, pareto
-from stratamill.plans import continuation, rolling, samplers
+from stratamill.plans import continuation, parzen, rolling, samplers
 from stratamill.plans.cli import main
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, data_context, exit_code
-from stratamill.plans.tpe import Parzen, Tpe, log_interval
+from stratamill.plans.tpe import Parzen, Tpe, choice_mass, log_interval, split, weights
 from stratamill.queries_detail import SPEC
 from stratamill.sources import inventory
 from stratamill.types import Refusal
@@ -215,3 +215,32 @@ def test_parts_of_a_stream(spark):
     ids = [(0, i) for i in range(5)] + [(1, i) for i in range(5, 8)] + [(2, 8), (2, 8)] + [(3, i) for i in (9, 11)] + [(4, 12)]
     got = {r["part"]: tuple(r)[1:] for r in samplers.parts(spark.createDataFrame(ids, "part int, trial_id bigint")).collect()}
     assert got == {0: (0, 5, 5, True), 1: (5, 8, 3, True), 2: (8, 9, 2, False), 3: (9, 12, 2, False), 4: (12, 13, 1, False)}
+
+
+def test_models_of_a_table_are_those_of_a_list(spark):
+    """Places that many share, ends of the line, single rows; densities and masses at every point."""
+    rng = np.random.default_rng(3)
+    space = Space((Real("x", 0.0, 10.0), Integer("n", 1, 40, log=True), Real("s", 0.0, 0.9, 0.1), Categorical("c", ("p", "q", "r")), Boolean("b")))
+    steps = space.dimensions[2].values()
+    for size in (12, 40, 300):
+        rows = [(i, float(rng.standard_normal()), float(rng.choice([rng.uniform(0, 10), 3.0, 0.0, 10.0])), int(rng.integers(1, 41)), steps[int(rng.integers(10))], str(rng.choice(["p", "q"])), bool(rng.random() < 0.2)) for i in range(size)]
+        df = spark.createDataFrame(rows, "trial_id bigint, objective double, x double, n bigint, s double, c string, b boolean")
+        t = Tpe(space, 1)
+        bad = split([(o, i) for i, (_, o, *_) in enumerate(rows)])[1]
+        w = weights(len(bad))
+        points = {"x": np.linspace(0, 1, 21), "n": np.array([t._bin(space.dimensions[1], v) for v in range(1, 41)]), "s": np.array([t._bin(space.dimensions[2], v) for v in steps])}
+        got = parzen.log_densities(parzen.bad_normals(df, space), points)
+        for k, name in enumerate("xns"):
+            model = Parzen(np.array([t._encode(space.dimensions[k], rows[i][2 + k]) for i in bad]), w)
+            want = [model.log_mass(*p) for p in points[name]] if points[name].ndim == 2 else [model.log_density(float(p)) for p in points[name]]
+            assert got[name] == pytest.approx(want, abs=1e-12)
+        assert parzen.bad_choices(df, space.dimensions[3]) == pytest.approx(choice_mass(np.array(["pqr".index(rows[i][5]) for i in bad]), w, 3))
+        asked = parzen.proposals(space, df, 3, 7)
+        assert len(asked) == 3 and all(list(c) == space.names and 1 <= c["n"] <= 40 and c["s"] in steps for c in asked)
+
+
+def test_first_proposals_of_a_large_batch_learn(spark):
+    space = Space((Real("x", 0.0, 1.0),))
+    rows = [(i, -abs(i / 3000 - 0.3), i / 3000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "trial_id bigint, objective double, x double")
+    assert all(abs(c["x"] - 0.3) < 0.1 for c in parzen.proposals(space, df, 8, 2))
