@@ -58,6 +58,17 @@ def numbered(df: DataFrame, keys: list[str], block: str, order: list[str], out:
     return df.withColumn("_own", F.row_number().over(inside) - 1).join(edge, [*keys, block]).withColumn(out, F.col("_own") + F.col("_edge")).drop("_own", "_edge")
 
 
+def numbered_running(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, number: str, total: str) -> DataFrame:
+    """numbered() and running() of one order together: one window over a block, one table of blocks."""
+    df = df.withColumn("_v", value)
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    sums = df.groupBy(*keys, block).agg(F.count("*").alias("_k"), F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    edge = sums.select(*keys, block, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_t"))
+    rows = df.withColumns({number: F.row_number().over(inside) - 1, total: F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))}).drop("_v")
+    return rows.join(edge, [*keys, block]).withColumns({number: F.col(number) + F.col("_n"), total: F.col(total) + F.col("_t")}).drop("_n", "_t")
+
+
 def islands(df: DataFrame, keys: list[str], number: str, block: int = 1 << 16) -> DataFrame:
     """df with `_island`, the same for numbers of a key that follow each other without a gap; each number comes once."""
     rows = df.withColumn("_block", F.floor(F.col(number) / block))

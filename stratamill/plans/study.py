@@ -152,8 +152,12 @@ class Study:
                 return kept, Stop.PATIENCE
         return kept, Stop.COMPLETE if any_good else Stop.NO_FEASIBLE
 
-    def document(self, trials: DataFrame, sampler: str) -> dict:
-        """The study's result without its trials, which are written as a table."""
+    def document(self, trials: DataFrame, sampler: str, ancestors: DataFrame | None = None) -> dict:
+        """The study's result without its trials, which are written as a table.
+
+        coverage: what the ids and vectors of the trials cover; ancestors: the same of the
+        rows that the study went on from, and how many of its own vectors they had tried.
+        """
         counts = {r["status"]: r["n"] for r in trials.groupBy("status").agg(F.count("*").alias("n")).collect()}
         ok = trials.where("status = 'ok' and objective is not null")
         order = F.col("objective").asc() if self.minimize else F.col("objective").desc()
@@ -164,8 +168,17 @@ class Study:
             "contract": "stratamill-study-1", "sampler": sampler, "objective": self.objective, "constraints": list(self.constraints), "space": json.loads(self.space.canonical()), "space_hash": self.space.hash(),
             "cardinality": n, "tried": tried, "statuses": counts, "exhaustive": n is not None and tried == n and set(counts) <= {"ok", "constraint_violation"},
             "best": None if not top else {"trial_id": top[0]["trial_id"], "objective": top[0]["objective"], "parameters": {d: top[0][d] for d in self.space.names}},
+            "coverage": self._coverage(trials), "ancestors": None if ancestors is None else self._coverage(ancestors) | {"repeated_vectors": trials.select(*self.space.names).distinct().join(ancestors, self.space.names, "left_semi").count()},
         }
 
+    def _coverage(self, trials: DataFrame) -> dict:
+        """Trials, the ids they span and miss, distinct vectors, and those that are scored."""
+        scored = F.col("status").isin("ok", "constraint_violation") & F.col("objective").isNotNull()
+        a = trials.agg(F.count("*").alias("trials"), F.min("trial_id").alias("first_id"), F.max("trial_id").alias("last_id"), F.count_distinct("trial_id").alias("ids"), F.sum(scored.cast("long")).alias("scored")).first().asDict()
+        ids, a["scored"] = a.pop("ids"), a["scored"] or 0
+        missing = 0 if a["last_id"] is None else a["last_id"] - a["first_id"] + 1 - ids
+        return a | {"missing_ids": missing, "vectors": trials.select(*self.space.names).distinct().count()}
+
 
 def data_context(paths: list[tuple]) -> str:
     """A name for the input that a study saw: a digest of its files' listing."""

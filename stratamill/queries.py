@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratamill.functions.expr import Expression, Policy, columns, satisfied, status, violation
 from stratamill.operators import curves, evaluate, holdout, neighbourhood, pareto, pbo, rows
 from stratamill.operators.dsr import dsr
-from stratamill.operators.ordered import numbered, running
+from stratamill.operators.ordered import numbered, numbered_running
 from stratamill.plans import samplers, tpe
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 from stratamill.plans.study import Study, list_coverage
@@ -70,8 +70,7 @@ DAY = 86_400_000
 def user_curve(spark, sf_dir):
     """key, idx, time_ms, equity by user: running sums in blocks of days"""
     e = events(spark, sf_dir).withColumn("key", F.col("user_id")).withColumn("_day", F.floor(F.col("ms") / DAY))
-    e = numbered(e, ["key"], "_day", ["ms", "event_id"], "idx")
-    e = running(e, ["key"], "_day", ["ms", "event_id"], F.col("value").cast("decimal(18,6)") - F.lit(10).cast("decimal(18,6)"), "gain")
+    e = numbered_running(e, ["key"], "_day", ["ms", "event_id"], F.col("value").cast("decimal(18,6)") - F.lit(10).cast("decimal(18,6)"), "idx", "gain")
     return e.select("key", "idx", F.col("ms").alias("time_ms"), (F.lit(1000).cast("decimal(18,6)") + F.col("gain")).cast("double").alias("equity"))
 
 
@@ -79,8 +78,7 @@ def order_curve(spark, sf_dir):
     """key, idx, time_ms, equity by customer number mod 20, over years"""
     o = t(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("key"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"), "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
     o = o.withColumn("_y", F.floor(F.col("ms") / (DAY * 365)))
-    o = numbered(o, ["key"], "_y", ["ms", "o_orderkey"], "idx")
-    o = running(o, ["key"], "_y", ["ms", "o_orderkey"], F.col("p"), "gain")
+    o = numbered_running(o, ["key"], "_y", ["ms", "o_orderkey"], F.col("p"), "idx", "gain")
     return o.select("key", "idx", F.col("ms").alias("time_ms"), (F.lit(1000000).cast("decimal(18,2)") + F.col("gain")).cast("double").alias("equity"))
 
 
@@ -616,10 +614,22 @@ def nbh5_disagreeing_vectors(spark, sf_dir):
     return neighbourhood.disagreeing(trials(spark, sf_dir), PART_SPACE)
 
 
-@query(f"WITH {NBH}, f AS (SELECT dimension, sum((cell LIKE 'scored%' AND NOT (cell = 'scored_ok' AND best - objective <= 50))::INT) AS far FROM lk, be GROUP BY 1) SELECT a.dimension AS first, b.dimension AS second, CAST(a.far + b.far AS BIGINT) AS score FROM f a JOIN f b ON a.dimension < b.dimension")
+THREE = Space((Integer("size", 1, 50), Categorical("brand", BRANDS), Categorical("kind", (0, 1, 2)), Boolean("flag")))
+FAR = TRIALS_SQL + f""", t4 AS (SELECT *, CAST(trial_id % 3 AS INT) AS kind, trial_id % 4 < 2 AS flag FROM tr), u AS (SELECT * FROM t4 QUALIFY row_number() OVER (PARTITION BY size, brand, kind, flag ORDER BY trial_id) = 1),
+ce AS (SELECT row_number() OVER (ORDER BY objective DESC, trial_id) AS centre, size, brand, kind, flag FROM u WHERE status = 'ok' QUALIFY centre <= 20),
+nb AS (SELECT 'size' AS dimension, size + d AS size, brand, kind, flag FROM ce, (VALUES (-1), (1)) x(d) WHERE size + d BETWEEN 1 AND 50 UNION ALL SELECT 'brand', size, y.brand, kind, flag FROM ce, (SELECT unnest({BRAND_LIST}) AS brand) y WHERE y.brand <> ce.brand
+       UNION ALL SELECT 'kind', size, brand, z.kind, flag FROM ce, (VALUES (0), (1), (2)) z(kind) WHERE z.kind <> ce.kind UNION ALL SELECT 'flag', size, brand, kind, NOT flag FROM ce),
+be AS (SELECT max(objective) AS best FROM u WHERE status = 'ok'),
+f AS (SELECT dimension, CAST(coalesce(sum((status IN ('ok', 'constraint_violation') AND objective IS NOT NULL AND NOT (status = 'ok' AND best - objective <= 50))::INT), 0) AS BIGINT) AS far FROM nb LEFT JOIN u USING (size, brand, kind, flag), be GROUP BY 1)"""
+
+
+@query(f"WITH {FAR} SELECT a.dimension AS first, b.dimension AS second, a.far + b.far AS score FROM f a JOIN f b ON a.dimension < b.dimension ORDER BY score DESC, first, second LIMIT 4")
 def sen1_pair_ranking(spark, sf_dir):
-    u = _nbh(spark, sf_dir)
-    return neighbourhood.pair_ranking(u, PART_SPACE, neighbourhood.top(u, PART_SPACE, 5), 50.0, 1)
+    """The four of six pairs of dimensions with most neighbours that are far from the best; equal scores go by name."""
+    tr = trials(spark, sf_dir).withColumns({"kind": (F.col("trial_id") % 3).cast("int"), "flag": F.col("trial_id") % 4 < 2})
+    first = tr.groupBy(*THREE.names).agg(F.min("trial_id").alias("trial_id"))
+    u = cut_lineage(tr.join(first, [*THREE.names, "trial_id"]))
+    return neighbourhood.pair_ranking(u, THREE, neighbourhood.top(u, THREE, 20), 50.0, 4)
 
 
 @query(f"""WITH {NBH}, a AS (SELECT centre, size AS c_size, brand AS c_brand, unnest([size - 1, size, size + 1]) AS size FROM ce), ab AS (SELECT a.centre, a.size, y.brand, (a.size <> c_size)::INT + (y.brand <> c_brand)::INT AS moved FROM a, (SELECT unnest({BRAND_LIST}) AS brand) y WHERE a.size BETWEEN 1 AND 50)

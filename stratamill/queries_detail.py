@@ -684,6 +684,19 @@ def snk1_document_counts(spark, sf_dir):
     return spark.createDataFrame(sorted(found["statuses"].items()), "status string, n bigint")
 
 
+@query(f"""WITH {TRIALS_SQL}, o AS (SELECT * FROM tr WHERE trial_id >= 700 AND trial_id % 9 <> 4), a AS (SELECT * FROM tr WHERE trial_id < 700 AND size > 3),
+c AS (SELECT part, count(*) AS trials, min(trial_id) AS first_id, max(trial_id) AS last_id, max(trial_id) - min(trial_id) + 1 - count(*) AS missing_ids, CAST(sum((status IN ('ok', 'constraint_violation') AND objective IS NOT NULL)::INT) AS BIGINT) AS scored, count(DISTINCT (size, brand)) AS vectors
+FROM (SELECT 'own' AS part, * FROM o UNION ALL SELECT 'ancestors', * FROM a) GROUP BY 1), b AS (SELECT trial_id, objective FROM o WHERE status = 'ok' ORDER BY objective DESC, trial_id LIMIT 1)
+SELECT c.*, CASE WHEN part = 'ancestors' THEN (SELECT count(*) FROM (SELECT DISTINCT size, brand FROM o) SEMI JOIN a USING (size, brand)) END AS repeated_vectors, CASE WHEN part = 'own' THEN b.trial_id END AS best FROM c, b""")
+def snk1_document(spark, sf_dir):
+    """Coverage of a study that goes on from earlier trials, with some ids missing, and its best trial."""
+    tr = cut_lineage(trials(spark, sf_dir))
+    d = Study(PART_SPACE, "price", ("price",)).document(tr.where("trial_id >= 700 and trial_id % 9 <> 4"), "grid", tr.where("trial_id < 700 and size > 3"))
+    rows_ = [{"part": "own", "best": d["best"]["trial_id"], "repeated_vectors": None} | d["coverage"], {"part": "ancestors", "best": None} | d["ancestors"]]
+    kind = "part string, trials bigint, first_id bigint, last_id bigint, missing_ids bigint, scored bigint, vectors bigint, repeated_vectors bigint, best bigint"
+    return spark.createDataFrame([tuple(x[c.split()[0]] for c in kind.split(", ")) for x in rows_], kind)
+
+
 @query("SELECT p_partkey AS trial_id, CASE p_partkey % 4 WHEN 0 THEN p_size > 25 WHEN 1 THEN p_size <= 20 WHEN 2 THEN p_size <= 10 ELSE p_size % 2 = 0 END AS refused FROM part")
 def spc1_dimension_refusals(spark, sf_dir):
     """A dimension for each part: bounds that cross, a logarithm from 0, a step of 0, choices that repeat."""
