@@ -1,4 +1,4 @@
-"""The closed list of failure codes, with what each is about and the names that come with it."""
+"""Failure codes that this library raises, with what each is about and the names that come with it. Those of native toolchains, jails and command lines that it doesn't have are left out."""
 
 from __future__ import annotations
 
@@ -6,46 +6,8 @@ from stratamill.types import Refusal
 
 #: code, class, whether trying again can help, arguments (fixed values).
 FAILURES = """
-hpo_cli_usage request no
-hpo_dataset_invalid request no
-hpo_fd6_below_floor request no trial_id
-hpo_fd6_counter_overflow resource no
-hpo_fd6_duplicate_issue request no trial_id
-hpo_fd6_duplicate_skip request no trial_id
-hpo_fd6_duplicate_terminal request no trial_id
-hpo_fd6_finalized request no trial_id
-hpo_fd6_flush_finalized request no
-hpo_fd6_internal internal no
-hpo_fd6_pending_after_skip request no trial_id
-hpo_fd6_pending_after_terminal request no trial_id
-hpo_fd6_skip_after_terminal request no trial_id
-hpo_fd6_unissued_trial request no trial_id
-hpo_fd6_unknown_status request no trial_id
-hpo_generated_cpp_hash_mismatch request no
-hpo_generated_cpp_invalid request no reason
-hpo_input_file_invalid request no
-hpo_invariant internal no
-hpo_metric_expression_failed request no
-hpo_output_io_failed output yes
-hpo_plugin_invalid environment no reason
-hpo_portable_math_unavailable environment no requirement
-hpo_recorded_space_too_large request no actual_bytes max_bytes
-hpo_report_invalid internal no
-hpo_seccomp_unavailable environment no reason
-hpo_space_exhausted continuation no
-hpo_strategy_create_failed resource yes
-hpo_study_spec_invalid request no reason
-hpo_toolchain_unavailable environment no reason
-hpo_transpile_failed strategy no
-hpo_trial_timeout resource yes
-hpo_unclassified_error internal no
 hpo_walkforward_inventory_invalid request no capability reason
-hpo_walkforward_plan_refused request no option status
 hpo_walkforward_timeframe_unsupported request no capability
-hpo_walkforward_unavailable environment no reason
-hpo_warm_start_rejected continuation no
-hpo_wrapper_bypass_refused request no route
-hpo_wrapper_codegen_unsupported environment no policy reason
 """
 
 CODES = {x[0]: (x[1], x[2] == "yes", tuple(x[3:])) for x in map(str.split, FAILURES.strip().splitlines())}

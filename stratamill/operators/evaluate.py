@@ -193,7 +193,7 @@ def cut(history: DataFrame, eta: int, median: bool = False, minimize: bool = Fal
 def survivors(scores: DataFrame, cuts: DataFrame, minimize: bool = False) -> DataFrame:
     """scores that aren't strictly worse than their rung's cut; ties stay, and so does everything where there's no cut."""
     worse = F.col("score") > F.col("cut") if minimize else F.col("score") < F.col("cut")
-    return scores.join(F.broadcast(cuts), "rung", "left").where(F.col("cut").isNull() | ~worse)
+    return scores.join(cuts, "rung", "left").where(F.col("cut").isNull() | ~worse)
 
 
 def halving(candidates: DataFrame, bars: dict, evaluator, metrics: tuple[str, ...], objective: Callable[[DataFrame], Column], fractions: list[float], eta: int, minimize: bool = False) -> DataFrame:
@@ -215,4 +215,4 @@ def halving(candidates: DataFrame, bars: dict, evaluator, metrics: tuple[str, ..
 
 def routed(trials: DataFrame, bindings: DataFrame, choice: str) -> DataFrame:
     """trials with dataset_id: a categorical choice names the data that a trial runs on. A choice without data gives null."""
-    return trials.join(F.broadcast(bindings.select(F.col("choice").alias(choice), "dataset_id")), choice, "left")
+    return trials.join(bindings.select(F.col("choice").alias(choice), "dataset_id"), choice, "left")

@@ -97,9 +97,9 @@ def carried(rows: DataFrame) -> DataFrame:
     following = F.lead("window").over(Window.orderBy("window"))  # one row per window
     chain = supplied.select("window", following.alias("next_window")).where("next_window = window + 1")
     asked = chosen.join(chain, "window").select(F.col("window").alias("from"), F.col("next_window").alias("window"), "vector", F.col("trial_id").alias("chosen_id"))
-    own = rows.join(F.broadcast(asked), ["window", "vector"]).groupBy("window").agg(F.min_by("value", F.struct(F.col("reason").isNotNull(), "trial_id")).alias("next_value"), F.min_by(F.coalesce("reason", F.lit("")), "trial_id").alias("why"), F.max(F.col("reason").isNull()).alias("usable"))
+    own = rows.join(asked, ["window", "vector"]).groupBy("window").agg(F.min_by("value", F.struct(F.col("reason").isNotNull(), "trial_id")).alias("next_value"), F.min_by(F.coalesce("reason", F.lit("")), "trial_id").alias("why"), F.max(F.col("reason").isNull()).alias("usable"))
     got = asked.join(own, "window", "left").withColumn("next_value", F.when(F.col("usable"), F.col("next_value")))
-    against = rows.where("reason is null").join(F.broadcast(got.select("window", "next_value")), "window").groupBy("window").agg(F.sum((F.col("value") > F.col("next_value")).cast("long")).alias("better"), F.sum((F.col("value") == F.col("next_value")).cast("long")).alias("equal"))
+    against = rows.where("reason is null").join(got.select("window", "next_value"), "window").groupBy("window").agg(F.sum((F.col("value") > F.col("next_value")).cast("long")).alias("better"), F.sum((F.col("value") == F.col("next_value")).cast("long")).alias("equal"))
     out = got.join(against, "window", "left")
     return out.select(F.col("from").alias("window"), F.col("window").alias("next_window"), F.col("chosen_id").alias("trial_id"), "vector", "next_value", F.when(F.col("next_value").isNotNull(), 2 * F.col("better") + F.col("equal") + 1).alias("rank2"), F.when(F.col("next_value").isNull(), F.coalesce("why", F.lit("no_row"))).alias("reason"))
 

@@ -125,9 +125,9 @@ def test_rolling_schedule(spark):
 def test_failure_codes_are_closed():
     from stratamill.failures import CODES, Failure
 
-    assert len(CODES) == 40 and Failure("hpo_trial_timeout").retryable
-    assert str(Failure("hpo_fd6_finalized", trial_id=3)) == "hpo_fd6_finalized: trial_id=3"
-    for code, args in (("hpo_fd6_finalized", {}), ("hpo_trial_timeout", {"x": 1}), ("hpo_other", {})):
+    made = Failure("hpo_walkforward_timeframe_unsupported", capability="x")
+    assert len(CODES) == 2 and not made.retryable and str(made) == "hpo_walkforward_timeframe_unsupported: capability=x"
+    for code, args in (("hpo_walkforward_timeframe_unsupported", {}), ("hpo_walkforward_timeframe_unsupported", {"x": 1}), ("hpo_other", {})):
         with pytest.raises(ValueError):
             Failure(code, **args)
 
