@@ -1,16 +1,16 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 Three kinds of restaurants are stacked. A context restaurant holds the tokens that
-follow one word; a new table there is a customer of the word restaurant, which all
-contexts share as their parent and which also holds the tokens after words without a
-restaurant. A new table there draws its word from a spelling model, in which every
+follow one word, or one of the rarer words that end in the same two bytes, so that every
+token has a context; a new table there is a customer of the word restaurant, which all
+contexts share as their parent. A new table there draws its word from a spelling model, in which every
 context of up to two bytes is a restaurant of its own: contexts that end alike share
 the parent that is one byte shorter, and the root draws from all bytes equally.
 
-A word has a context restaurant if it makes up CONTEXT of all training tokens, and a
-pair of words has a seat there of its own if it occurs LEAST times: rarer pairs are
-pruned, and what a context loses by them goes to its parent, as new tables do. Both
-bounds are shares and counts of the data, so the model grows with it.
+A word has a context restaurant of its own if it makes up CONTEXT of all training
+tokens. Every pair of a context and a word has a seat there, which `least` may raise to
+pairs that occur more often; what a context loses by that goes to its parent, as new
+tables do.
 
 Seating is sampled by Gibbs sweeps. A step takes all customers of one dish out of a
 restaurant and seats them again given all others: the number of their tables is drawn
@@ -21,7 +21,7 @@ sampled in parallel; a word's own tables in its parent move at once. A pass hold
 sweeps; after BURN_IN passes the seatings of SAMPLES passes are averaged.
 
 The model is a distributed table, a row for each word with the contexts it was seen
-in. What the driver holds is bounded: 1 / CONTEXT contexts, counts of three-byte
+in. What the driver holds is bounded: 1 / CONTEXT contexts and ENDINGS, counts of three-byte
 strings, totals, and of the words and pairs only the most frequent, at most FREQUENT
 and PAIRS of them, which every executor keeps so that frequent tokens needn't be
 joined. All other tokens are joined with the table by hash.
@@ -56,8 +56,8 @@ WORD_D, WORD_S = 0.6, 10.0
 BYTE_D, BYTE_S = 0.5, 5.0
 #: Passes, and sweeps in each.
 BURN_IN, SAMPLES, INNER = 1, 3, 3
-#: Share of all tokens that makes a word a context, and how often a pair occurs that is kept.
-CONTEXT, LEAST = 1 / 4096, 2
+#: Share of all tokens that makes a word a context of its own, and how often a pair occurs that has a seat: all do.
+CONTEXT, LEAST = 1 / 4096, 1
 #: Words (24 bytes each) and pairs (16 bytes each) kept by every executor.
 FREQUENT, PAIRS = 1 << 20, 1 << 20
 #: Customers up to which Stirling numbers are exact, and tables up to which a longer queue's distribution isn't taken for a normal one.
@@ -68,6 +68,8 @@ STEP = 1 / 16
 END = b"\n"
 #: Bytes that stand around a word in its spelling.
 EDGE = 10
+#: Endings of two bytes, and that of the end.
+ENDINGS, END_ENDING = 1 << 16, EDGE << 8 | EDGE
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -279,21 +281,29 @@ def _merged(held) -> pa.RecordBatch:
     )
 
 
-def in_order(row: np.ndarray, h: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, hash of the token before, place of each word) of all tokens of `count` texts, their ends included."""
-    token = np.full(len(h) + count, _U(END_HASH))
+def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The last two bytes of each word, A-Z as a-z, as a number; a word of one byte has EDGE before it."""
+    last = data[end - 1].astype(np.int64)
+    before = np.where(end - start > 1, data[np.maximum(end - 2, 0)], EDGE).astype(np.int64)
+    last, before = (x + 32 * ((x >= 65) & (x <= 90)) for x in (last, before))
+    return before << 8 | last
+
+
+def in_order(row: np.ndarray, h: np.ndarray, ending: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, hash and ending of the token before, place of each word) of all tokens of `count` texts, their ends included."""
+    token, kind = np.full(len(h) + count, _U(END_HASH)), np.full(len(h) + count, END_ENDING)
     place = np.arange(len(h)) + row
-    token[place] = h
+    token[place], kind[place] = h, ending
     rows = np.repeat(np.arange(count), np.bincount(row, minlength=count) + 1)
-    return rows, token.view(np.int64), np.append(_U(END_HASH), token[:-1]).view(np.int64), place
+    return rows, token.view(np.int64), np.append(_U(END_HASH), token[:-1]).view(np.int64), np.append(END_ENDING, kind[:-1]), place
 
 
-def _slots(contexts: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """The number of each token's context, or -1."""
+def _slots(contexts: np.ndarray, before: np.ndarray, ending: np.ndarray) -> np.ndarray:
+    """The number of each token's context: that of the word before, or else of its ending."""
     if not len(contexts):
-        return np.full(len(before), -1)
+        return ending
     at = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-    return np.where(contexts[at] == before, at, -1)
+    return np.where(contexts[at] == before, at, len(contexts) + ending)
 
 
 def _count_pairs(shared):
@@ -314,12 +324,9 @@ def _count_pairs(shared):
             return pa.record_batch({"slot": pa.array(slot, pa.int32()), "h": pa.array(h), "n": pa.array(n)})
 
         for batch in pieces(batches):
-            row, h, *_ = words(batch.column("text"), SPACES)
-            _, token, before, _ = in_order(row, h, batch.num_rows)
-            slot = _slots(shared.value, before)
-            at = np.flatnonzero(slot >= 0)
-            if len(at):
-                held.append(summed(slot[at], token[at], np.ones(len(at), np.int64)))
+            row, h, start, end, data = words(batch.column("text"), SPACES)
+            _, token, before, ending, _ = in_order(row, h, endings(data, start, end), batch.num_rows)
+            held.append(summed(_slots(shared.value, before, ending), token, np.ones(len(token), np.int64)))
             if len(held) >= 32:
                 yield merged()
         if held:
@@ -453,6 +460,13 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     # 1 / context words at most
     often = held.where(F.col("n") >= F.lit(context * tokens)).select("h", "n").orderBy("h").toPandas()
     contexts, context_n = often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
+    rare = held.where(F.col("n") < F.lit(context * tokens))
+    tail = F.conv(F.hex(F.substring("word", -2, 2)), 16, 10).cast("int")
+    ending = F.when(F.length("word") > 1, tail).otherwise(tail + (EDGE << 8))
+    by_ending = np.zeros(ENDINGS, np.int64)
+    for r in rare.groupBy(ending.alias("e")).agg(F.sum("n").alias("n")).toLocalIterator():  # ENDINGS at most
+        by_ending[r["e"]] = r["n"]
+    context_n = np.append(context_n, by_ending)
     pairs = docs.select("text").mapInArrow(_count_pairs(spark.sparkContext.broadcast(contexts)), "slot int, h bigint, n bigint")
     pairs = pairs.groupBy("h", "slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     pairs = pairs.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("of"))  # as many as there are contexts, at most
@@ -467,7 +481,7 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     def totals(rows: DataFrame, number: int):
         """(spelling, tables, customers, tables by context). At most 2**24 strings, in practice some ten thousand."""
         sums = rows.mapInArrow(_totals, "key bigint, uses bigint").groupBy("key").agg(F.sum("uses").alias("uses")).orderBy("key")
-        strings, own, in_context = {}, {-1: 0, -2: 0}, np.zeros(len(contexts), np.int64)
+        strings, own, in_context = {}, {-1: 0, -2: 0}, np.zeros(len(context_n), np.int64)
         for r in sums.toLocalIterator():
             if r["key"] >= 0:
                 strings[r["key"]] = r["uses"]
@@ -483,7 +497,7 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
         step = stage(held.mapInArrow(_pass(shared, number, (number > burn_in) / samples), SEATS), f"lm_pass_{number}")
         drop_stage(held)
         held, state = step, totals(step, number)
-    spelling, backed = state[0], np.ones(len(contexts))
+    spelling, backed = state[0], np.ones(len(context_n))
     for r in held.select(F.explode(F.arrays_zip("slots", "a")).alias("x")).groupBy("x.slots").agg(F.sum("x.a").alias("a")).collect():
         backed[r["slots"]] = 1 - r["a"]
     left = 1 - held.agg(F.sum("q")).first()[0]
@@ -556,18 +570,17 @@ def _tokens(shared):
         for batch in pieces(batches):
             count = batch.num_rows
             row, h, start, end, data = words(batch.column("text"), SPACES)
-            row, token, before, place = in_order(row, h, count)
-            slot = _slots(contexts, before)
-            share = np.where(slot >= 0, backed[slot] if len(backed) else 1.0, 1.0)
+            row, token, before, ending, place = in_order(row, h, endings(data, start, end), count)
+            slot = _slots(contexts, before, ending)
+            share = backed[slot] if len(backed) else np.ones(len(slot))
             at, hit = _found(top, token)
             base = np.bincount(row[hit], np.log10((top_n[at[hit]] + 1) / denominator), count)
             p = np.where(hit, share * (top_p[at] if len(top_p) else 0.0), 0.0)
             key = np.where(hit, pair_key(token, slot), token)
-            paired = hit & (slot >= 0)
-            pair, there = _found(pair_keys, key[paired])
-            p[np.flatnonzero(paired)[there]] += pair_a[pair[there]]
+            pair, there = _found(pair_keys, key[hit])
+            p[np.flatnonzero(hit)[there]] += pair_a[pair[there]]
             rest = ~hit
-            rest[np.flatnonzero(paired)[~there]] = True
+            rest[np.flatnonzero(hit)[~there]] = True
             own = np.bincount(row[~rest], np.log10(p[~rest]), count)
             names = batch.column("row")
             none = np.zeros(count)

@@ -368,7 +368,7 @@ def test_words_in_order(spark):
     for r in model.words.collect():
         for slot, x in zip(r["slots"], r["a"], strict=True):
             a[slot] += x
-    assert all(a[k] + b == pytest.approx(1) and 0 < b < 1 for k, b in enumerate(model.backed))
+    assert all(a[k] + b == pytest.approx(1) and (0 < b < 1 if k in a else b == 1) for k, b in enumerate(model.backed.tolist()))
 
 
 def test_contexts_help_on_texts_held_out(spark):
@@ -385,8 +385,24 @@ def test_contexts_help_on_texts_held_out(spark):
 
     df = frame(spark, [(i, text(), "en", "a") for i in range(120)])
     learnt, held = df.where("doc_id % 4 != 1"), df.where("doc_id % 4 = 1")
-    own, flat = (lm.score(lm.fit(learnt, context=c), held).agg(lm.perplexity().alias("p")).first()["p"] for c in (0.001, 2.0))
-    assert own < 6 < 15 < flat
+    own, ending, flat = (lm.score(lm.fit(learnt, context=c, least=n), held).agg(lm.perplexity().alias("p")).first()["p"] for c, n in ((0.001, 1), (2.0, 1), (0.001, 1 << 40)))
+    assert own < 6 < 15 < flat and ending < 6  # these words are as long as an ending
+
+
+def test_rare_words_share_the_context_of_their_ending(spark):
+    rng = random.Random(16)
+
+    def text(letters):
+        out = []
+        for _ in range(30):
+            end, after = rng.choice([("xq", "left"), ("zv", "right")])
+            out += ["".join(rng.choice(letters) for _ in range(6)) + end, after]
+        return " ".join(out)
+
+    model = lm.fit(frame(spark, [(i, text("abcd"), "en", "a") for i in range(30)]))
+    texts = ["kkkxq left", "kkkxq right", "kkkzv right", "kkkzv left"]
+    got = {r["doc_id"]: r["score"] for r in lm.score(model, frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got[0] > got[1] + 1.5 and got[2] > got[3] + 1.5
 
 
 def test_seats_against_all_seatings():
