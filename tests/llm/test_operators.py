@@ -399,7 +399,7 @@ def test_rare_words_share_the_context_of_their_ending(spark):
             out += ["".join(rng.choice(letters) for _ in range(6)) + end, after]
         return " ".join(out)
 
-    model = lm.fit(frame(spark, [(i, text("abcd"), "en", "a") for i in range(30)]))
+    model = lm.fit(frame(spark, [(i, text("abcd"), "en", "a") for i in range(30)]), context=0.05)
     texts = ["kkkxq left", "kkkxq right", "kkkzv right", "kkkzv left"]
     got = {r["doc_id"]: r["score"] for r in lm.score(model, frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     assert got[0] > got[1] + 1.5 and got[2] > got[3] + 1.5
