@@ -17,7 +17,11 @@ SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learnt languages stay. Where there is no label to learn from, all do."""
+    """Documents in one of the learnt languages stay. Where there is no label to learn from, all do.
+
+    A text that is null, empty or without a letter has no language and goes, as do texts of
+    which no language is more likely than SURE; repeated rows go or stay together; an empty table gives an empty one.
+    """
     bound_batches(spark)
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model.languages:
@@ -28,23 +32,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that with the smallest doc_id."""
+    """One document of each class of near duplicates stays, that with the smallest doc_id (of equal ones that with the smaller text hash).
+
+    Null and empty texts are one class. A null doc_id comes last. Of repeated rows that whose
+    columns have the smallest hash stays, once; an empty table gives an empty one.
+    """
     bound_batches(spark)
     return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
+    """Documents that hold no benchmark item stay, those without a text too. Repeated rows go or stay together; without items or documents nothing goes."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice. A row without words adds none; a null source is a source; ties at a threshold go by hash; an empty table gives an empty one."""
     return mixing.take(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token blocks are written and read back: place, length and checksum of every document's ids."""
+    """Token blocks are written and read back: place, length and checksum of every document's ids. A null text is the end id alone, a null doc_id comes first, repeated rows follow each other by text; an empty table gives no rows."""
     bound_batches(spark)
     return tokens.token_ids(docs)
 

@@ -88,3 +88,16 @@ def test_stages(spark, tmp_path):
     for name, f in corpus_pipeline.STAGES[:-1]:
         docs = f(spark, docs, str(tmp_path))
         assert docs.columns == frame(spark, []).columns, name
+
+
+def test_sure_languages_only(spark, monkeypatch):
+    """A text without letters goes; so do all if no language can be sure enough, and none of the others if any is."""
+    rng = random.Random(19)
+    rows = [(i, words(rng, 30, kind), lang, "a") for i, (kind, lang) in enumerate([("abc", "xa"), ("xyz", "xb")] * 12)]
+    rows += [(100, "12 34", "xa", "a"), (101, None, "xb", "a"), (102, "abc cab xyz zyx", None, "a")]
+    docs = frame(spark, rows)
+    left = {}
+    for sure in (0.0, 0.5, 1.1):
+        monkeypatch.setattr(corpus_pipeline, "SURE", sure)
+        left[sure] = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert left[0.0] == set(range(24)) | {102} and left[0.5] >= set(range(24)) and left[1.1] == set()
