@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.operators.ordered import running
+from stratamill.operators.ordered import running, running_max
 
 #: Ordinals of a block: the size of Spark's bitmaps (a fixed value).
 BITS = 32_768
@@ -65,8 +65,6 @@ def ranks(members: DataFrame, rows: DataFrame, ordinal: str = "ordinal", out: st
     here = known.where("_before is not null").withColumn(out, F.col("_before") + _below(F.col("_p")))
     missing = known.where("_before is null")
     gaps = missing.select("block").distinct().withColumn("_with", F.lit(None).cast("bigint")).unionByName(starts.select("block", F.col("_with").cast("bigint").alias("_with")))
-    from stratamill.operators.ordered import running_max
-
     carried = running_max(gaps.withColumns({"_group": F.floor(F.col("block") / GROUP), "_none": F.lit(0)}), ["_none"], "_group", ["block"], F.col("_with"), "_upto").where("_with is null")
     rest = missing.join(carried.select("block", "_upto"), "block").withColumn(out, F.coalesce("_upto", F.lit(0)))
     names = [*rows.columns, out]

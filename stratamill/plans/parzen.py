@@ -21,14 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.operators.ordered import lag_within
+from stratamill.plans.samplers import draw
 from stratamill.plans.space import Boolean, Categorical, Space
 from stratamill.plans.tpe import DRAWN, STARTUP, Parzen, Tpe, encoded, log_interval, smoothed, split_rows, weighted, weights
 from stratamill.storage import cut_lineage
 
 #: Ranges of [0, 1] in which places are sorted.
 RANGES = 4096
-#: Places that are held against the points at once.
+#: Normals that are held against the points at once.
 TOGETHER = 2048
+#: Widths beyond which a normal adds nothing to a sum, and beyond which none of it lies outside.
+FAR, WHOLE = 16, 9
 
 
 def places(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -82,18 +85,24 @@ def _sums(points, masses):
             mean, sigma, w = (batch.column(c).to_numpy() for c in ("mean", "sigma", "weight"))
             for name in dict.fromkeys(names.tolist()):
                 at = np.flatnonzero(names == name)
+                at = at[np.argsort(mean[at], kind="stable")]
                 weight[name] = weight.get(name, 0.0) + float(w[at].sum())
                 asked = points.value[name]
+                low, high = (asked[:, 0], asked[:, 1]) if masses.value[name] else (asked, asked)
                 own = total.setdefault(name, np.zeros(len(asked)))
                 for part in np.array_split(at, max(1, -(-len(at) // TOGETHER))):
-                    m, s = mean[part][:, None], sigma[part][:, None]
-                    inside = log_interval(-m / s, (1 - m) / s)
+                    m, s = mean[part], sigma[part]
+                    # Neighbours reach as far; what is further away than FAR is less than a double's last bit.
+                    near = np.flatnonzero((high >= m[0] - FAR * s.max()) & (low <= m[-1] + FAR * s.max()))
+                    inside, edge = np.zeros(len(part)), np.flatnonzero((m < WHOLE * s) | (1 - m < WHOLE * s))
+                    inside[edge] = log_interval(-m[edge] / s[edge], (1 - m[edge]) / s[edge])
+                    m, s, inside = m[:, None], s[:, None], inside[:, None]
                     if masses.value[name]:
-                        ln = log_interval((asked[:, 0] - m) / s, (asked[:, 1] - m) / s) - inside
+                        ln = log_interval((low[near] - m) / s, (high[near] - m) / s) - inside
                     else:
-                        z = (asked - m) / s
+                        z = (asked[near] - m) / s
                         ln = -0.5 * z * z - np.log(s * math.sqrt(2 * math.pi)) - inside
-                    own += w[part] @ np.exp(ln)
+                    own[near] += w[part] @ np.exp(ln)
         for name, x in total.items():
             yield pa.record_batch({"dimension": pa.array([name] * (len(x) + 1)), "point": pa.array(np.arange(-1, len(x)), pa.int32()), "value": pa.array(np.append(weight[name], x))})
 
@@ -151,7 +160,7 @@ def proposals(space: Space, history: DataFrame, k: int, seed: int, minimize: boo
     points: dict[str, np.ndarray] = {}
     for d in space.dimensions:
         if d.count == 1:
-            drawn[d.name], ratio[d.name] = [tpe.space and d.low] * (k * DRAWN), np.zeros(k * DRAWN)
+            drawn[d.name], ratio[d.name] = [draw(d, tpe.rng)] * (k * DRAWN), np.zeros(k * DRAWN)
         elif isinstance(d, (Boolean, Categorical)):
             values = [tpe._encode(d, r[d.name]) for r in good]
             share = smoothed(np.array([w[[int(v) == c for v in values]].sum() for c in range(d.count)]), len(good))
