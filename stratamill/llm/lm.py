@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm.store import drop_stage, stage, table
+from stratamill.llm.store import drop_stage, release, stage, table
 from stratamill.llm.words import SPACES, buffers, mix64, pieces, words
 
 #: Discount and strength of the context restaurants, the word restaurant and the spelling restaurants.
@@ -472,11 +472,14 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     pairs = pairs.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("of"))  # as many as there are contexts, at most
     nothing = F.array().cast("array<struct<slot:int,n:bigint>>")
     of = F.coalesce("of", nothing)
-    held = held.join(pairs, "h", "left").select(
+    words_, held = held, held.join(pairs, "h", "left").select(
         "h", "word", "n", F.lit(1).cast("long").alias("tables"), F.lit(0.0).alias("q"), of["slot"].alias("slots"), of["n"].alias("ns"),
         F.transform(of, lambda x: F.lit(1).cast("long")).alias("ts"), F.transform(of, lambda x: F.lit(0.0)).alias("a"),
     )
     held = stage(held, "lm_seats")
+    drop_stage(words_)
+    del words_, counted, pairs, rare, of
+    release(spark)
 
     def totals(rows: DataFrame, number: int):
         """(spelling, tables, customers, tables by context). At most 2**24 strings, in practice some ten thousand."""
@@ -503,6 +506,7 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     left = 1 - held.agg(F.sum("q")).first()[0]
     done = stage(held.mapInArrow(_finished(spark.sparkContext.broadcast((spelling, left))), WORDS), "lm_model")
     drop_stage(held)
+    release(spark)
     learnt = done.agg(F.sum("p")).first()[0]
     return Model(done, contexts, backed, left, spelling, max(1 - learnt, 1e-12), tokens, types)
 

@@ -8,6 +8,7 @@ table's real size when it decides on a broadcast.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more; it finds them when the driver collects its garbage, which a large heap puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lower the rows of an Arrow batch to `rows`: texts are long, and a batch of 10,000 takes some 100 MB on each side of the pipe."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
