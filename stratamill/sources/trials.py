@@ -6,13 +6,14 @@ import json
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratamill.plans.space import Space
+from stratamill.plans.space import Categorical, Space
+from stratamill.storage import cut_lineage
 from stratamill.types import TRIAL, Refusal
 
-#: Limits of a candidate list (fixed values).
+#: Limits of one candidate list (fixed values).
 MOST_LINES, MOST_BYTES, MOST_LINE_BYTES = 50_000, 32 << 20, 64 << 10
 
 
@@ -89,31 +90,84 @@ def read_result(spark: SparkSession, text: str, source_index: int = 0) -> DataFr
     return spark.createDataFrame([as_row(r) for r in rows], TRIAL).withColumn("source_index", F.lit(source_index))
 
 
+def _typed(d, v):
+    """v as the dimension's column holds it; a value of another type is refused."""
+    if isinstance(d, Categorical):
+        if v is None or type(v) in map(type, d.choices):
+            return v
+        if type(v) is int and float in map(type, d.choices):
+            return float(v)
+    elif type(v) is {"Integer": int, "Real": float, "Boolean": bool}[type(d).__name__] and (type(v) is not int or -(1 << 63) <= v < 1 << 63):
+        return v
+    raise Refusal("candidates_type", d.name)
+
+
+def _kind(d) -> str:
+    value = d.choices[0] if isinstance(d, Categorical) else {"Integer": 0, "Real": 0.0, "Boolean": False}[type(d).__name__]
+    return {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
+
+
+def _admitted(space: Space):
+    """The lines of each list: its path, their places, values and faults. A list with too many lines is one fault."""
+    fields = [f"_{i}" for i in range(len(space.dimensions))]
+
+    def lines(content: bytes) -> Iterator[tuple]:
+        found = content.split(b"\n")
+        if not found[-1]:
+            found.pop()
+        if len(found) > MOST_LINES:
+            yield 0, (None,) * len(fields), "candidates_lines", str(len(found))
+            return
+        for i, line in enumerate(found):
+            try:
+                if len(line) > MOST_LINE_BYTES:
+                    raise Refusal("candidates_line")
+                try:
+                    raw = loads_strict(line.decode())
+                except UnicodeDecodeError as e:
+                    raise Refusal("candidates_utf8", e.reason) from e
+                if type(raw) is not dict or set(raw) != set(space.names):
+                    raise Refusal("candidates_keys")
+                yield i, tuple(_typed(d, raw[d.name]) for d in space.dimensions), None, None
+            except Refusal as e:
+                yield i, (None,) * len(fields), e.code, e.detail
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                at, values, codes, details = zip(*lines(bytes(content)), strict=True)
+                columns = dict(zip(fields, (pd.Series(v, dtype=object) for v in zip(*values, strict=True)), strict=True))
+                yield pd.DataFrame({"_path": path, "_at": at, **columns, "_code": pd.Series(codes, dtype=object), "_detail": pd.Series(details, dtype=object)})
+
+    return run, "_path string, _at bigint, " + ", ".join(f"{f} {_kind(d)}" for f, d in zip(fields, space.dimensions, strict=True)) + ", _code string, _detail string"
+
+
+def write_candidates(vectors: DataFrame, order: str, path: str) -> None:
+    """vectors (order and the dimensions) as candidate lists under path: in that order, as many as their limit of lines asks for."""
+    names = [c for c in vectors.columns if c != order]
+    vectors.orderBy(order).select(*names).write.option("maxRecordsPerFile", MOST_LINES).json(path)
+
+
 def read_candidates(spark: SparkSession, path: str, space: Space) -> DataFrame:
-    """trial_id (the line's place) and the dimensions. The whole list is admitted or none of it; repeated vectors stay."""
-    files = spark.read.format("binaryFile").load(path).select("length", "content")
-    if (size := files.agg(F.sum("length")).first()[0] or 0) > MOST_BYTES:
-        raise Refusal("candidates_bytes", str(size))
-    lines = [x for (c,) in files.select("content").collect() for x in bytes(c).decode().splitlines()]  # at most MOST_BYTES
-    if len(lines) > MOST_LINES:
-        raise Refusal("candidates_lines", str(len(lines)))
-    rows, kinds = [], {"Integer": int, "Real": float, "Boolean": bool}
-    for i, line in enumerate(lines):
-        if len(line.encode()) > MOST_LINE_BYTES:
-            raise Refusal("candidates_line", str(i))
-        raw = loads_strict(line)
-        if type(raw) is not dict or set(raw) != set(space.names):
-            raise Refusal("candidates_keys", str(i))
-        for d in space.dimensions:
-            kind = kinds.get(type(d).__name__)
-            if kind and type(raw[d.name]) is not kind:
-                raise Refusal("candidates_type", f"{i}: {d.name}")
-        rows.append({"trial_id": i} | raw)
-    if not rows:
+    """trial_id (the line's place) and the dimensions; repeated vectors stay. path may stand for any number of lists: they follow each other by their paths, and the limits are each one's. All lists are admitted or none of them; a list is one task's."""
+    files = spark.read.format("binaryFile").load(path)
+    if long := files.where(F.col("length") > MOST_BYTES).select("length").head():
+        raise Refusal("candidates_bytes", str(long[0]))
+    run, schema = _admitted(space)
+    rows = cut_lineage(files.where("length > 0").select("path", "content").mapInPandas(run, schema))
+    counts = rows.groupBy("_path").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))  # a row for each list
+    first = counts.select("_path", F.coalesce(before, F.lit(0)).alias("_first"))
+    placed = rows.join(first, "_path").withColumn("trial_id", F.col("_first") + F.col("_at"))
+    if bad := placed.where("_code is not null").orderBy("trial_id").select("trial_id", "_code", "_detail").head():
+        raise Refusal(bad["_code"], f"{bad['trial_id']}: {bad['_detail']}" if bad["_detail"] else str(bad["trial_id"]))
+    frame = placed.select("trial_id", *(F.col(f"_{i}").alias(n) for i, n in enumerate(space.names)))
+    if not rows.head(1):
         raise Refusal("candidates_empty")
-    frame = spark.createDataFrame(rows).select("trial_id", *space.names)
-    if bad := space.issues(frame).limit(1).collect():
-        raise Refusal("candidates_value", f"{bad[0]['trial_id']}: {bad[0]['issue']}")
+    if bad := space.issues(frame).orderBy("trial_id").head():
+        raise Refusal("candidates_value", f"{bad['trial_id']}: {bad['issue']}")
     return frame
 
 

@@ -280,6 +280,21 @@ def test_candidate_lists(spark, tmp_path):
             trials.read_candidates(spark, path, SPACE)
 
 
+def test_several_candidate_lists(spark, tmp_path):
+    """Lists follow each other, limits are each one's, and a bad line in one refuses all."""
+    vectors = spark.range(120_001).select("id", (F.col("id") % 9).alias("n"))
+    space = Space((Integer("n", 0, 8),))
+    trials.write_candidates(vectors, "id", str(tmp_path / "lists"))
+    found = trials.read_candidates(spark, str(tmp_path / "lists" / "*.json"), space)
+    assert found.where("n = trial_id % 9").agg(F.count("*"), F.count_distinct("trial_id"), F.max("trial_id")).first() == (120_001, 120_001, 120_000)
+    (tmp_path / "lists" / "z.json").write_text('{"n": 1}\n\n{"n": 2}')
+    with pytest.raises(Refusal, match="json_syntax: 120002"):
+        trials.read_candidates(spark, str(tmp_path / "lists" / "*.json"), space)
+    (tmp_path / "lists" / "z.json").write_text('{"n": 1}\n' * 50_001)
+    with pytest.raises(Refusal, match="candidates_lines"):
+        trials.read_candidates(spark, str(tmp_path / "lists" / "z.json"), space)
+
+
 def test_ordered_emission(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
