@@ -280,6 +280,12 @@ def test_candidate_lists(spark, tmp_path):
             trials.read_candidates(spark, path, SPACE)
 
 
+def test_prefixes_of_close_fractions():
+    """A fraction that lies a rounding error above another doesn't add a prefix of one bar more where the first ends on a bar."""
+    assert evaluate.rungs([0.1, 0.1 + 1e-12, 0.5], 720) == [72, 360, 720]
+    assert evaluate.rungs([0.1, 0.1014, 0.5], 720) == [72, 74, 360, 720]
+
+
 def test_several_candidate_lists(spark, tmp_path):
     """Lists follow each other, limits are each one's, and a bad line in one refuses all."""
     vectors = spark.range(120_001).select("id", (F.col("id") % 9).alias("n"))
