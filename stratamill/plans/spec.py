@@ -7,6 +7,7 @@ import json
 import math
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from stratamill.functions.expr import Expression, ExpressionError
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
@@ -110,6 +111,15 @@ def injective(d: Real) -> bool:
     return d.step > math.ulp(max(abs(d.low), abs(d.high)))
 
 
+@lru_cache(1024)
+def _fault(text: str) -> str | None:
+    """What an expression's reader says against it; specifications of one kind repeat their expressions."""
+    try:
+        Expression(text)
+    except ExpressionError as x:
+        return str(x)
+
+
 def parse(text: str) -> Spec:
     raw, issues = loads_strict(text), []
     if type(raw) is not dict:
@@ -155,10 +165,8 @@ def parse(text: str) -> Spec:
     if goal.get("kind") != "expression" or goal.get("direction") not in ("maximize", "minimize"):
         issues.append("objective")
     for what, e in [("objective", goal.get("expression")), *(("constraint", c) for c in goal.get("constraints", []))]:
-        try:
-            Expression(e if type(e) is str else "")
-        except ExpressionError as x:
-            issues.append(f"{what}: {x}")
+        if fault := _fault(e if type(e) is str else ""):
+            issues.append(f"{what}: {fault}")
     sampler = fields("sampler", raw.get("sampler"), SAMPLER)
     if sampler.get("kind") not in SAMPLERS:
         issues.append(f"sampler: {sampler.get('kind')!r} isn't one of {SAMPLERS}")

@@ -52,6 +52,14 @@ def test_all_faults_are_told():
     assert all(x in text for x in ("schema_version", "unknown ['extra']", "objective: expected", "'guess'", "search_space.n"))
 
 
+def test_parts_are_dealt_before_python_reads_them(spark):
+    """The parts' file is one task's; what Python makes of each row isn't."""
+    from stratamill import queries_detail
+
+    for name in ("src17_study_spec", "src8_strict_json", "spc1_dimension_refusals", "spc8_serialised", "smp5_digital_shift", "smp22_continuation_seed"):
+        assert getattr(queries_detail, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 3
+
+
 def test_grids_that_collapse():
     assert injective(Real("a", 0.0, 1.0, 0.1)) and not injective(Real("a", 1e16, 1e16 + 64, 0.5)) and injective(Real("a", 0.0, 1e7, 0.5))
 
