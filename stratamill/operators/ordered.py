@@ -21,6 +21,16 @@ def lag_within(df: DataFrame, keys: list[str], block: str, order: list[str], val
     return joined.withColumn(out, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_own"))).drop("_own", "_first", "_edge")
 
 
+def neighbours_within(df: DataFrame, keys: list[str], block: str, value: str, below: str, above: str) -> DataFrame:
+    """df with the values of the rows before and after in the key's order by value, which is unique in a key; blocks must ascend with it."""
+    inside = Window.partitionBy(*keys, block).orderBy(value)
+    ends = df.groupBy(*keys, block).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    blocks = Window.partitionBy(*keys).orderBy(block)
+    edge = ends.select(*keys, block, F.lag("_high").over(blocks).alias("_back"), F.lead("_low").over(blocks).alias("_on"))
+    rows = df.withColumns({below: F.lag(value).over(inside), above: F.lead(value).over(inside)}).join(edge, [*keys, block])
+    return rows.withColumns({below: F.coalesce(below, "_back"), above: F.coalesce(above, "_on")}).drop("_back", "_on")
+
+
 def lead_within(df: DataFrame, keys: list[str], number: str, block: int, out: str) -> DataFrame:
     """df with `out`: the number of the row after in the key's order by that number, dealt out by blocks of it."""
     back = df.withColumn("_back", -F.col(number)).withColumn("_block", F.floor(F.col("_back") / block))

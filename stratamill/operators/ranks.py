@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratamill.storage import written
+
 RANGES = 64
 
 
@@ -33,6 +35,17 @@ def below(df: DataFrame, value: str, by: list[str] | None = None, descending: bo
     return counts.withColumn("_own", own).join(edges, [*by, "_range"]).select(*by, value, "n", (F.col("_own") + F.col("_edge")).alias("before"))
 
 
+def in_order(df: DataFrame, key: str, out: str) -> DataFrame:
+    """df, written, with `out`: how many rows come before each in the order of key, which is unique. Rows are dealt by ranges of it and numbered where they are sorted; one row per range carries the count over."""
+    dealt = df.repartitionByRange(key).sortWithinPartitions(key)
+    at = written(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return at.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(out, F.col("_first") + place).drop("_part", "_at", "_first")
+
+
 def twice_mid_rank(df: DataFrame, value: str, by: list[str] | None = None, descending: bool = False, out: str = "rank2") -> DataFrame:
     """df with twice its mid-rank, 1-based: ties share the mean of their places."""
     by = by or []

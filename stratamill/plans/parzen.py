@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.operators.ordered import lag_within
+from stratamill.operators.ordered import neighbours_within
 from stratamill.plans.samplers import draw
 from stratamill.plans.space import Boolean, Categorical, Space
-from stratamill.plans.tpe import DRAWN, STARTUP, Parzen, Tpe, encoded, log_interval, smoothed, split_rows, weighted, weights
-from stratamill.storage import cut_lineage
+from stratamill.plans.tpe import DRAWN, STARTUP, Parzen, Tpe, encoded, log_interval, smoothed, split_rows, weighted_bad, weights
+from stratamill.storage import cut_lineage, written
 
 #: Ranges of [0, 1] in which places are sorted.
 RANGES = 4096
@@ -42,8 +42,8 @@ def places(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["_none"]
     own = rows if keys != ["_none"] else rows.withColumn("_none", F.lit(0))
     g = own.groupBy(*keys, "x").agg(F.count("*").alias("n"), F.min_by("weight", "id").alias("first"), F.max_by("weight", "id").alias("_last"), F.sum("weight").alias("_all"))
-    g = g.withColumns({"_r": F.floor(F.col("x") * RANGES), "_back": -F.col("x")}).withColumn("_rb", F.floor(F.col("_back") * RANGES))
-    g = lag_within(lag_within(g, keys, "_r", ["x"], "x", "_below"), keys, "_rb", ["_back"], "x", "_above")
+    g = written(g).withColumn("_r", F.floor(F.col("x") * RANGES))  # what follows reads the places more than once, and the rows are read for them alone
+    g = neighbours_within(g, keys, "_r", "x", "_below", "_above")
     low, high = F.col("x") - F.col("_below"), F.col("_above") - F.col("x")
     several = F.col("n") > 1
     out = g.select(
@@ -136,7 +136,7 @@ def numeric(space: Space) -> list:
 def bad_normals(history: DataFrame, space: Space, minimize: bool = False) -> DataFrame:
     """dimension, mean, sigma, weight of the normals of all observations that aren't good; history: trial_id, objective, dimensions."""
     h = history.withColumn("_v", -F.col("objective") if minimize else F.col("objective"))
-    bad = weighted(split_rows(h, "_v").where("not good"))
+    bad = weighted_bad(h.select("trial_id", "_v", *(f"`{d.name}`" for d in numeric(space))), "_v")
     axes = F.explode(F.array(*(F.struct(F.lit(d.name).alias("dimension"), encoded(d, F.col(f"`{d.name}`")).alias("x")) for d in numeric(space))))
     rows = bad.select(F.col("trial_id").alias("id"), "weight", axes.alias("a")).select("id", "weight", "a.*")
     return components(places(rows, ["dimension"]), ["dimension"])
@@ -187,7 +187,7 @@ def proposals(space: Space, history: DataFrame, k: int, seed: int, minimize: boo
 def bad_choices(history: DataFrame, d, minimize: bool = False) -> np.ndarray:
     """Smoothed probabilities of a dimension's choices among the observations that aren't good: weights are summed by choice."""
     h = history.withColumn("_v", -F.col("objective") if minimize else F.col("objective"))
-    bad = weighted(split_rows(h, "_v").where("not good"))
+    bad = weighted_bad(h.select("trial_id", "_v", f"`{d.name}`"), "_v")
     found = {r["c"]: (r["w"], r["n"]) for r in bad.groupBy(F.col(f"`{d.name}`").alias("c")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}  # a row for each choice
     choices = (False, True) if isinstance(d, Boolean) else d.choices
     return smoothed(np.array([found.get(c, (0.0, 0))[0] for c in choices]), sum(n for _, n in found.values()))

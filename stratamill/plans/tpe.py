@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.operators.ranks import below
+from stratamill.operators.ranks import in_order
 from stratamill.plans.samplers import Twister, draw
 from stratamill.plans.space import Boolean, Categorical, Integer, Real, Space
 
@@ -27,13 +27,26 @@ def weights(n: int) -> np.ndarray:
     return np.concatenate([ramp, np.ones(FULL)])
 
 
+def _weight(before: Column, n: int) -> Column:
+    """weights() of n observations, of which `before` are older."""
+    ramp = 1 / n + before * ((1 - 1 / n) / max(n - FULL - 1, 1)) if n else F.lit(1.0)
+    return F.when(before < n - FULL, ramp).otherwise(1.0)
+
+
 def weighted(trials: DataFrame, key: str = "trial_id") -> DataFrame:
     """trials and their `weight`, as weights() gives it in the order of key, which is unique."""
-    n = trials.count()
-    ranks = below(trials, key).select(key, "before")
-    ramp = 1 / n + F.col("before") * ((1 - 1 / n) / max(n - FULL - 1, 1)) if n else F.lit(1.0)
-    weight = F.when(F.col("before") < n - FULL, ramp).otherwise(1.0)
-    return trials.join(ranks, key).withColumn("weight", weight).drop("before")
+    rows = in_order(trials, key, "_before")
+    return rows.withColumn("weight", _weight(F.col("_before"), rows.count())).drop("_before")
+
+
+def weighted_bad(trials: DataFrame, objective: str = "objective", key: str = "trial_id") -> DataFrame:
+    """The trials that split_rows() doesn't call good, weighted() among themselves; all of them are ordered and written once."""
+    rows = in_order(trials, key, "_before")
+    n = rows.count()
+    good = _good(rows, objective, key, n)
+    older = F.col("_before") - sum(((F.col(key) > g).cast("long") for g in good), F.lit(0).cast("long"))
+    bad = rows.where(~F.col(key).isin(good)) if good else rows
+    return bad.withColumn("weight", _weight(older, n - len(good))).drop("_before")
 
 
 def split_size(n: int) -> int:
@@ -48,11 +61,15 @@ def split(scores: list[tuple[float, int]]) -> tuple[list[int], list[int]]:
     return sorted(order[:good]), sorted(order[good:])
 
 
-def split_rows(trials: DataFrame, objective: str = "objective", key: str = "trial_id") -> DataFrame:
-    """trials with `good`, as split() tells it: the best rows by the objective, ties to the lower key, are sent to all others; they are MOST_GOOD at most."""
+def _good(trials: DataFrame, objective: str, key: str, n: int) -> list:
+    """Keys of the good ones of n trials: the best rows by the objective, ties to the lower key, MOST_GOOD at most."""
     best = trials.orderBy(F.col(objective).desc(), key).limit(MOST_GOOD).select(key, objective).collect()
-    most = split_size(trials.count())
-    good = [r[key] for r in sorted(best, key=lambda r: (-r[objective], r[key]))[: max(0, most)]]
+    return [r[key] for r in sorted(best, key=lambda r: (-r[objective], r[key]))[: max(0, split_size(n))]]
+
+
+def split_rows(trials: DataFrame, objective: str = "objective", key: str = "trial_id") -> DataFrame:
+    """trials with `good`, as split() tells it: the good keys are sent to all others; they are MOST_GOOD at most."""
+    good = _good(trials, objective, key, trials.count())
     return trials.withColumn("good", F.col(key).isin(good) if good else F.lit(False))
 
 

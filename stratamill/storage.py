@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder by columns and read again: for long tables, of which later steps read some columns."""
+    path = f"{folder(df.sparkSession)}/stratamill/{uuid.uuid4().hex}/written"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """Write a small file to any store that Spark reaches."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -339,3 +339,14 @@ def test_weights_of_a_whole_table(spark, n):
     found = weighted(spark.range(n).select((F.col("id") * 7).alias("trial_id"))).orderBy("trial_id").collect()
     assert [x["trial_id"] for x in found] == [7 * i for i in range(n)]
     assert [x["weight"] for x in found] == pytest.approx(list(weights(n)) if n else [])
+
+
+def test_places_are_found_from_one_read_of_the_rows(spark):
+    """The plan after the places reads what was written and no row again, and neighbours cross the edges of ranges."""
+    from stratamill.plans import parzen
+
+    rows = spark.range(1000).select("id", (F.col("id") % 100 / 100).alias("x"), F.lit(1.0).alias("weight"))
+    found = parzen.places(rows)
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {round(r["x"], 2): (r["n"], round(r["low"], 9), round(r["high"], 9)) for r in found.collect()}
+    assert len(got) == 100 and got[0.0] == (10, 0.0, 0.01) and got[0.5] == (10, 0.01, 0.01) and got[0.99] == (10, 0.01, 0.0)
