@@ -67,12 +67,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch: those that wait on both sides of the pipe count as an executor's memory, outside its heap.
+BATCH = 8 << 20
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the rows of an Arrow batch to `rows`: texts are long, and a batch of 10,000 takes some 100 MB on each side of the pipe."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+    """Lower an Arrow batch to `rows` rows and BATCH bytes: texts and token blocks are long, and a batch of 10,000 texts takes some 100 MB on each side of the pipe."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = size(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
 
 
 def free_name(name: str, columns: list[str]) -> str:

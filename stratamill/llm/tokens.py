@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import stage, table
-from stratamill.llm.words import SPACES, kept, pieces, words
+from stratamill.llm.words import SPACES, forget, give_back, kept, pieces, words
 
 END = 1
 #: A block is closed when it holds so many token ids.
@@ -336,11 +336,15 @@ def write(docs: DataFrame, path: str, out: str, **how) -> None:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks are taken one at a time; the tokenizer that wrote them isn't needed any more."""
+    forget()
     for batch in batches:
-        for b in batch.to_pylist():
+        for i in range(batch.num_rows):
+            b = {c: batch.column(c)[i] for c in batch.schema.names}
+            ids = np.frombuffer(b.pop("ids").as_buffer(), f"<u{b['width'].as_py()}").astype("<u4")
+            b = {c: v.as_py() for c, v in b.items()}
             bounds = Bounds(b["n_docs"], b["low_bits"], b["low"], b["high"])
             ends = np.concatenate([bounds.select(np.arange(i, min(i + ASKED, b["n_docs"]))) for i in range(0, b["n_docs"], ASKED)])
-            ids = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4")
             starts = np.concatenate([[0], ends[:-1]])
             docs = [None] * b["nulls"] + np.cumsum(np.frombuffer(b["doc_ids"], "<i8")).tolist()
             yield pa.record_batch(
@@ -351,6 +355,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "ids_crc32": pa.array([zlib.crc32(ids[s:e]) for s, e in zip(starts, ends, strict=True)], pa.int64()),
                 }
             )
+    give_back()
 
 
 def read(blocks: DataFrame) -> DataFrame:

@@ -67,6 +67,11 @@ def kept(owner: str, key, make):
     return _kept[key]
 
 
+def forget() -> None:
+    """Drop what is kept: a step that needs none of it doesn't carry it along."""
+    _kept.clear()
+
+
 def lowered(col: pa.Array) -> pa.Array:
     """The column in lower case by Unicode."""
     return pc.utf8_lower(col)

@@ -230,6 +230,21 @@ def test_ranks_are_small():
     assert (b.select(some) == ends[some]).all()
 
 
+def test_blocks_are_read_in_small_batches_without_the_tokenizer(spark, tmp_path):
+    """Long blocks reach Python a few at a time, and the worker that wrote them drops its tokenizer."""
+    from stratamill.llm import store, words
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "64m")
+    store.bound_batches(spark)
+    assert int(spark.conf.get(key)) == store.BATCH
+    blocks = spark.range(24, numPartitions=1).select(F.expr("cast(repeat('x', 2000000) as binary)").alias("ids"))
+    sizes = blocks.mapInArrow(lambda it: (pa.record_batch({"n": pa.array([b.num_rows], pa.int64())}) for b in it), "n bigint").collect()
+    assert sum(r["n"] for r in sizes) == 24 and max(r["n"] for r in sizes) <= 5
+    words.kept("tokens", "x", lambda: 1)
+    assert not list(tokens._documents(iter([]))) and not words._kept
+
+
 def test_token_blocks(spark, odd, odd_rows, none):
     got = sorted(map(tuple, tokens.token_ids(odd).collect()), key=lambda r: r[1])
     assert got == token_rows(odd_rows)
