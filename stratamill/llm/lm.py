@@ -18,7 +18,9 @@ from its conditional distribution, by generalised Stirling numbers for up to EXA
 customers and by their saddle-point ratios beyond that.
 What the other dishes hold in sum is taken from the pass before, so that words are
 sampled in parallel; a word's own tables in its parent move at once. A pass holds INNER
-sweeps; after BURN_IN passes the seatings of SAMPLES passes are averaged.
+sweeps; after BURN_IN passes the seatings of SAMPLES passes are averaged. A dish with one
+customer has one table in every seating: pairs and words that occur once are counted in
+the totals of every pass, but only what occurs again is in the table that passes rewrite.
 
 The model is a distributed table, a row for each word with the contexts it was seen
 in. What the driver holds is bounded: 1 / CONTEXT contexts and ENDINGS, counts of three-byte
@@ -144,7 +146,8 @@ def reseat(customers: np.ndarray, others: np.ndarray, parent, discount: float, s
         few = few[np.argsort(customers[few], kind="stable")]
         kinds, first = np.unique(customers[few], return_index=True)
         for c, at in zip(kinds.tolist(), np.split(few, first[1:]), strict=True):
-            steps = np.stack([np.log(strength + discount * (others[at] + i)) + np.log(parent(i, at)) for i in range(c)], axis=1)
+            steps = np.stack([(strength + discount * (others[at] + i)) * parent(i, at) for i in range(c)], axis=1)
+            np.log(steps, out=steps)
             tables[at] = 1 + _drawn(np.cumsum(steps, axis=1) + ways[c, 1 : c + 1], rng)
     many = np.flatnonzero(customers > EXACT)
 
@@ -166,9 +169,14 @@ def reseat(customers: np.ndarray, others: np.ndarray, parent, discount: float, s
             step = np.maximum(1.0, t / 20)
             slope = np.minimum((rise(t + step, at) - rise(t - step, at)) / (2 * step), -1e-12)
             tables[at] = np.clip(np.round(t + 0.5 + rng.standard_normal(len(at)) / np.sqrt(-slope)), 1, customers[at])
-        for at in np.array_split(many[~wide], max(1, int((~wide).sum()) // 4096)):
+        by_mode = np.flatnonzero(~wide)
+        by_mode = by_mode[np.argsort(low[by_mode], kind="stable")]
+        for part in np.array_split(by_mode, max(1, len(by_mode) // 1024)):
+            at = many[part]
             if len(at):
-                steps = np.stack([np.zeros(len(at)), *(rise(float(t), at) for t in range(1, LISTED))], axis=1)
+                # beyond three times the most likely number and some more, no weight is left that a double would hold
+                longest = min(LISTED, int(3 * low[part[-1]]) + 32)
+                steps = np.stack([np.zeros(len(at)), *(rise(float(t), at) for t in range(1, longest))], axis=1)
                 tables[at] = np.minimum(1 + _drawn(np.cumsum(steps, axis=1), rng), customers[at])
     return tables
 
@@ -252,14 +260,30 @@ def letters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 # ---- Counting ----------------------------------------------------------------
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the first key, and where in it a row begins that differs from the one before in some key."""
+    order = np.argsort(keys[0])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([(x := k[order])[1:] != x[:-1] for k in keys])
+    return order, np.flatnonzero(new)
+
+
+def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes from each start to its end, A-Z as a-z."""
+    at = np.append(0, np.cumsum(end - start))
+    found = data[np.repeat(start - at[:-1], end - start) + np.arange(at[-1])]
+    found = found + 32 * ((found >= 65) & (found <= 90)).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(found)])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, list[bytes], np.ndarray]] = []
+    held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
     for batch in pieces(batches):
         row, h, start, end, data = words(batch.column("text"), SPACES)
-        raw = data.tobytes().lower() if len(data) else b""
-        key, first, n = np.unique(h, return_index=True, return_counts=True)
-        found = [raw[start[f] : end[f]] for f in first.tolist()]
-        held.append((np.append(key, _U(END_HASH)), [*found, END], np.append(n, batch.num_rows)))
+        order, first = _runs(h)
+        n, one = np.diff(np.append(first, len(order))), order[first]
+        held.append((np.append(h[one], _U(END_HASH)), pa.concat_arrays([_cut(data, start[one], end[one]), pa.array([END], pa.binary())]), np.append(n, batch.num_rows)))
         if len(held) >= 32:
             yield _merged(held)
             held = []
@@ -269,18 +293,63 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merged(held) -> pa.RecordBatch:
     key = np.concatenate([k for k, _, _ in held])
-    names = [w for _, ws, _ in held for w in ws]
     n = np.concatenate([c for _, _, c in held])
-    distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
+    order, first = _runs(key)
+    one = order[first]
     return pa.record_batch(
         {
-            "h": pa.array(distinct.view(np.int64)),
-            "word": pa.array([names[i] for i in first.tolist()], pa.binary()),
-            "n": pa.array(np.bincount(at, n).astype(np.int64)),
+            "h": pa.array(key[one].view(np.int64)),
+            "word": pa.concat_arrays([ws for _, ws, _ in held]).take(pa.array(one)),
+            "n": pa.array(np.add.reduceat(n[order], first).astype(np.int64)),
         }
     )
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of h as one row for each h."""
+    left: list[pa.RecordBatch] = []
+    for batch in _together(batches):
+        batch = pa.Table.from_batches([*left, batch]).combine_chunks().to_batches()[0]
+        h, n = batch.column("h").to_numpy(), batch.column("n").to_numpy()
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        made = pa.record_batch({"h": pa.array(h[first]), "word": batch.column("word").take(pa.array(first)), "n": pa.array(np.add.reduceat(n, first))})
+        yield made.slice(0, len(first) - 1)
+        left = [made.slice(len(first) - 1)]
+    yield from left
+
+
+def _seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of words (slot -1) and their pairs in the order of h, as one row for each word: SEATS."""
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.take(pa.array(np.lexsort((batch.column("slot").to_numpy(), batch.column("h").to_numpy()))))
+        slot, n = batch.column("slot").to_numpy(), batch.column("n").to_numpy()
+        of_word = slot < 0
+        first, owner = np.flatnonzero(of_word), np.cumsum(of_word) - 1
+        h, word = (batch.column(c).take(pa.array(first)) for c in ("h", "word"))
+
+        def lists(there: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(owner[there], minlength=len(first)))).astype(np.int32))
+            return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+        again, once = ~of_word & (n > 1), ~of_word & (n == 1)
+        k = int(again.sum())
+        slots, ns, ts, a = lists(again, slot[again], n[again], np.ones(k, np.int64), np.zeros(k))
+        tables, q = pa.array(np.ones(len(first), np.int64)), pa.array(np.zeros(len(first)))
+        return pa.record_batch({"h": h, "word": word, "n": pa.array(n[first]), "tables": tables, "q": q, "slots": slots, "ns": ns, "ts": ts, "a": a, "once": lists(once, slot[once])[0]})
+
+    left: list[pa.RecordBatch] = []
+    for batch in _together(batches):
+        batch = pa.Table.from_batches([*left, batch]).combine_chunks().to_batches()[0]
+        h = batch.column("h").to_numpy()
+        last = int(np.searchsorted(h, h[-1]))
+        if last:
+            yield made(batch.slice(0, last))
+        left = [batch.slice(last)]
+    for batch in left:
+        yield made(batch)
+
+
 def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The last two bytes of each word, A-Z as a-z, as a number; a word of one byte has EDGE before it."""
     last = data[end - 1].astype(np.int64)
@@ -310,10 +379,9 @@ def _count_pairs(shared):
     """How often each word stands after each context."""
 
     def summed(slot, h, n):
-        order = np.lexsort((h, slot))
-        slot, h, n = slot[order], h[order], n[order]
-        first = np.flatnonzero((np.diff(slot, prepend=-1) != 0) | np.append(True, h[1:] != h[:-1]))
-        return slot[first], h[first], np.add.reduceat(n, first)
+        order, first = _runs(pair_key(h, slot), h, slot)
+        one = order[first]
+        return slot[one], h[one], np.add.reduceat(n[order], first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -357,12 +425,19 @@ def _together(batches: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iterator
 class Seats:
     """A batch of the words' table as numpy arrays; `owner` says whose word each pair is."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        self.h, self.n, self.tables, self.q = (batch.column(c).to_numpy().copy() for c in ("h", "n", "tables", "q"))
-        lists = [batch.column(c) for c in ("slots", "ns", "ts", "a")]
-        self.slots, self.ns, self.ts, self.a = (x.flatten().to_numpy().copy() for x in lists)
-        self.offsets = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy())).astype(np.int32)
-        self.owner = np.repeat(np.arange(len(self.n)), np.diff(self.offsets))
+    def __init__(self, batch: pa.RecordBatch, means: bool = True):
+        """Without means, q and a needn't be there."""
+        self.h, self.n, self.tables = (batch.column(c).to_numpy().copy() for c in ("h", "n", "tables"))
+        self.slots, self.ns, self.ts = (batch.column(c).flatten().to_numpy().copy() for c in ("slots", "ns", "ts"))
+        if means:
+            self.q, self.a = batch.column("q").to_numpy().copy(), batch.column("a").flatten().to_numpy().copy()
+        self.offsets, self.owner = self.spans(batch, "slots")
+
+    @staticmethod
+    def spans(batch: pa.RecordBatch, lists: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each row's list begins, and the row of each of their elements."""
+        offsets = np.append(0, np.cumsum(batch.column(lists).value_lengths().to_numpy())).astype(np.int32)
+        return offsets, np.repeat(np.arange(batch.num_rows), np.diff(offsets))
 
     def of_pairs(self, x: np.ndarray) -> np.ndarray:
         """Sums over each word's pairs."""
@@ -376,15 +451,39 @@ class Seats:
         return pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(x))
 
 
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The three-byte strings in the words' spelling, and their sums by each of the weights of words."""
+    context, byte, word = letters(data, start, end)
+    used = np.flatnonzero(np.bincount(context, minlength=ENDINGS))
+    row = np.zeros(ENDINGS, np.int64)
+    row[used] = np.arange(len(used))
+    at = row[context] << 8 | byte
+    sums = [np.bincount(at, w[word], len(used) << 8) for w in weights]
+    there = np.flatnonzero(np.add.reduce(sums))
+    return used[there >> 8] << 8 | (there & 255), [x[there] for x in sums]
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each three-byte string occurs in the spelling of the words at tables; tables (-1), customers (-2), and tables in each context (-3, -4, ...)."""
+    """How often each three-byte string occurs in the spelling of the words at tables; tables (-1), customers (-2), and tables in each context (-3, -4, ...).
+
+    uses: of what occurs more than once; fixed: of words that occur once, and of the pairs in `once`.
+    """
+    held = []
     for batch in _together(batches):
-        seats = Seats(batch)
-        context, byte, word = letters(*_flat(batch.column("word")))
-        key, at = np.unique(context << 8 | byte, return_inverse=True)
-        slot, own = np.unique(seats.slots, return_inverse=True)
-        uses = np.concatenate([np.bincount(at, seats.tables[word]), [seats.tables.sum(), seats.customers().sum()], np.bincount(own, seats.ts, len(slot))])
-        yield pa.record_batch({"key": pa.array(np.concatenate([key, [-1, -2], -3 - slot.astype(np.int64)])), "uses": pa.array(uses.astype(np.int64))})
+        x = Seats(batch, means=False)
+        single = x.n == 1
+        key, sums = _strings(*_flat(batch.column("word")), [np.where(single, 0, x.tables), np.where(single, x.tables, 0)])
+        customers = x.customers()
+        once = batch.column("once").flatten().to_numpy() if "once" in batch.schema.names else np.zeros(0, np.int64)
+        most = int(max(x.slots.max(initial=-1), once.max(initial=-1))) + 1
+        inside = np.bincount(x.slots, x.ts, most), np.bincount(once, minlength=most)
+        slot = np.flatnonzero(inside[0] + inside[1])
+        of_words = ([x.tables[k].sum(), customers[k].sum()] for k in (~single, single))
+        held.append([np.concatenate([key, [-1, -2], -3 - slot]), *(np.concatenate([s, w, i[slot]]) for s, w, i in zip(sums, of_words, inside, strict=True))])
+    if held:
+        key, uses, fixed = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, at = np.unique(key, return_inverse=True)
+        yield pa.record_batch({"key": pa.array(key), **{c: pa.array(np.bincount(at, v).astype(np.int64)) for c, v in (("uses", uses), ("fixed", fixed))}})
 
 
 def _pass(shared, number: int, weight: float):
@@ -424,21 +523,34 @@ def pair_key(h: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def _finished(shared):
-    """p, the probability of each word in the word restaurant, and the keys of its pairs."""
+    """p, the probability of each word in the word restaurant, and all its pairs, those that occur once among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, left = shared.value
+        spelling, left, a_once = shared.value
         for batch in _together(batches):
             x = Seats(batch)
             p = np.maximum(x.q + left * np.exp(spelling.log_p(*_flat(batch.column("word")))), 1e-300)
-            keys = pair_key(x.h[x.owner], x.slots)
-            yield pa.record_batch({"h": batch.column("h"), "n": batch.column("n"), "p": pa.array(p), "slots": batch.column("slots"), "ns": batch.column("ns"), "a": batch.column("a"), "keys": x.list_of(keys)})
+            once = batch.column("once").flatten().to_numpy()
+            owner = np.append(x.owner, x.spans(batch, "once")[1])
+            order = np.argsort(owner, kind="stable")
+            lists = {"slots": np.append(x.slots, once), "ns": np.append(x.ns, np.ones(len(once), np.int64)), "a": np.append(x.a, a_once[once])}
+            x.offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(x.n)))).astype(np.int32)
+            yield pa.record_batch({"h": batch.column("h"), "n": batch.column("n"), "p": pa.array(p), **{c: x.list_of(v[order]) for c, v in lists.items()}})
 
     return run
 
 
-SEATS = "h bigint, word binary, n bigint, tables bigint, q double, slots array<int>, ns array<bigint>, ts array<bigint>, a array<double>"
-WORDS = "h bigint, n bigint, p double, slots array<int>, ns array<bigint>, a array<double>, keys array<bigint>"
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of words (h, slots, ns, a) by their keys."""
+    for batch in batches:
+        if batch.num_rows:
+            slots, m, a = (batch.column(c).flatten() for c in ("slots", "ns", "a"))
+            h = batch.column("h").to_numpy()[Seats.spans(batch, "slots")[1]]
+            yield pa.record_batch({"key": pa.array(pair_key(h, slots.to_numpy())), "m": m, "a": a})
+
+
+SEATS = "h bigint, word binary, n bigint, tables bigint, q double, slots array<int>, ns array<bigint>, ts array<bigint>, a array<double>, once array<int>"
+WORDS = "h bigint, n bigint, p double, slots array<int>, ns array<bigint>, a array<double>"
 
 
 class Model:
@@ -453,7 +565,7 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     """Learn from docs (text)."""
     spark = docs.sparkSession
     counted = docs.select("text").mapInArrow(_count, "h bigint, word binary, n bigint")
-    held = stage(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "lm_words")
+    held = stage(counted.repartition("h").sortWithinPartitions("h").mapInArrow(_distinct, "h bigint, word binary, n bigint"), "lm_words")
     tokens, types = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not tokens:
         return Model(spark.createDataFrame([], WORDS), np.zeros(0, np.int64), np.zeros(0), 1.0, Spelling(), 1.0, 0, 0)
@@ -469,43 +581,61 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     context_n = np.append(context_n, by_ending)
     pairs = docs.select("text").mapInArrow(_count_pairs(spark.sparkContext.broadcast(contexts)), "slot int, h bigint, n bigint")
     pairs = pairs.groupBy("h", "slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pairs = pairs.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("of"))  # as many as there are contexts, at most
-    nothing = F.array().cast("array<struct<slot:int,n:bigint>>")
-    of = F.coalesce("of", nothing)
-    words_, held = held, held.join(pairs, "h", "left").select(
-        "h", "word", "n", F.lit(1).cast("long").alias("tables"), F.lit(0.0).alias("q"), of["slot"].alias("slots"), of["n"].alias("ns"),
-        F.transform(of, lambda x: F.lit(1).cast("long")).alias("ts"), F.transform(of, lambda x: F.lit(0.0)).alias("a"),
-    )
-    held = stage(held, "lm_seats")
-    drop_stage(words_)
-    del words_, counted, pairs, rare, of
+    rows = held.withColumn("slot", F.lit(-1)).unionByName(pairs, allowMissingColumns=True)
+    # a word has as many rows as there are contexts, at most
+    seats = stage(rows.repartition("h").sortWithinPartitions("h").mapInArrow(_seated, SEATS), "lm_seats")
+    drop_stage(held)
+    del held, counted, pairs, rare, rows
     release(spark)
 
-    def totals(rows: DataFrame, number: int):
-        """(spelling, tables, customers, tables by context). At most 2**24 strings, in practice some ten thousand."""
-        sums = rows.mapInArrow(_totals, "key bigint, uses bigint").groupBy("key").agg(F.sum("uses").alias("uses")).orderBy("key")
-        strings, own, in_context = {}, {-1: 0, -2: 0}, np.zeros(len(context_n), np.int64)
-        for r in sums.toLocalIterator():
-            if r["key"] >= 0:
-                strings[r["key"]] = r["uses"]
-            elif r["key"] > -3:
-                own[r["key"]] = r["uses"]
-            else:
-                in_context[-3 - r["key"]] = r["uses"]
-        return Spelling(strings, np.random.default_rng(number)), own[-1], own[-2], in_context
-
-    state = totals(held, 0)
+    def sums(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+        """The totals of what occurs again, and of what doesn't. At most 2**24 strings, in practice some ten thousand."""
+        used = [c for c in ("h", "word", "n", "tables", "slots", "ns", "ts", "once") if c in rows.columns]
+        found = rows.select(*used).mapInArrow(_totals, "key bigint, uses bigint, fixed bigint").groupBy("key").agg(F.sum("uses").alias("uses"), F.sum("fixed").alias("fixed")).orderBy("key")
+        uses, fixed = {}, {}
+        for r in found.toLocalIterator():
+            if r["uses"]:
+                uses[r["key"]] = r["uses"]
+            if r["fixed"]:
+                fixed[r["key"]] = r["fixed"]
+        return uses, fixed
+
+    uses, fixed = sums(seats)
+
+    def totals(uses: dict[int, int], number: int):
+        """(spelling, tables, customers, tables by context), what occurs once included."""
+        every = dict(uses)
+        for k, n in fixed.items():
+            every[k] = every.get(k, 0) + n
+        in_context = np.zeros(len(context_n), np.int64)
+        for k, n in every.items():
+            if k <= -3:
+                in_context[-3 - k] = n
+        strings = {k: every[k] for k in sorted(every) if k >= 0}
+        return Spelling(strings, np.random.default_rng(number)), every[-1], every[-2], in_context
+
+    state = totals(uses, 0)
+    held, q_once = seats.where(F.col("n") > 1), 0.0
     for number in range(1, burn_in + samples + 1):
-        shared = spark.sparkContext.broadcast((*state, context_n))
-        step = stage(held.mapInArrow(_pass(shared, number, (number > burn_in) / samples), SEATS), f"lm_pass_{number}")
-        drop_stage(held)
-        held, state = step, totals(step, number)
+        weight = (number > burn_in) / samples
+        q_once += weight * (1 - WORD_D) / (WORD_S + state[2])
+        step = stage(held.mapInArrow(_pass(spark.sparkContext.broadcast((*state, context_n)), number, weight), SEATS), f"lm_pass_{number}")
+        if number > 1:
+            drop_stage(held)
+        held, state = step, totals(sums(step.drop("once"))[0], number)
+    a_once = (1 - PAIR_D) / (PAIR_S + context_n)
     spelling, backed = state[0], np.ones(len(context_n))
+    for k, n in fixed.items():
+        if k <= -3:
+            backed[-3 - k] -= n * a_once[-3 - k]
     for r in held.select(F.explode(F.arrays_zip("slots", "a")).alias("x")).groupBy("x.slots").agg(F.sum("x.a").alias("a")).collect():
-        backed[r["slots"]] = 1 - r["a"]
-    left = 1 - held.agg(F.sum("q")).first()[0]
-    done = stage(held.mapInArrow(_finished(spark.sparkContext.broadcast((spelling, left))), WORDS), "lm_model")
+        backed[r["slots"]] -= r["a"]
+    left = 1 - (held.agg(F.coalesce(F.sum("q"), F.lit(0.0))).first()[0] + q_once * fixed.get(-1, 0))
+    single = seats.where(F.col("n") == 1).withColumn("q", F.lit(q_once))
+    done = stage(held.unionByName(single).mapInArrow(_finished(spark.sparkContext.broadcast((spelling, left, a_once))), WORDS), "lm_model")
     drop_stage(held)
+    drop_stage(seats)
+    del held, seats, single, step
     release(spark)
     learnt = done.agg(F.sum("p")).first()[0]
     return Model(done, contexts, backed, left, spelling, max(1 - learnt, 1e-12), tokens, types)
@@ -535,21 +665,20 @@ class Frequent:
 
     def __init__(self, model: Model, most: int = FREQUENT, most_pairs: int = PAIRS):
         words = model.words.select("h", "n", "p")
-        pairs = model.words.select("n", F.explode(F.arrays_zip("keys", "ns", "a")).alias("x")).select("n", F.col("x.keys").alias("key"), F.col("x.ns").alias("m"), F.col("x.a").alias("a"))
         never = F.lit(False)
         bound = _bound(words, most)
         is_word = never if bound is None else _level(F.col("n")) >= bound
-        pairs = pairs.where(is_word)
-        pair_bound = _bound(pairs.select(F.col("m").alias("n")), most_pairs)
+        pairs = model.words.where(is_word).select("h", "slots", "ns", "a").mapInArrow(_pairs, "key bigint, m bigint, a double")
+        pair_bound = _bound(model.words.where(is_word).select(F.explode("ns").alias("n")), most_pairs)
         is_pair = never if pair_bound is None else _level(F.col("m")) >= pair_bound
-        top = words.where(is_word).orderBy("h").toArrow()
+        top = words.where(is_word).toArrow().sort_by("h")
         self.h, self.n, self.p = (top.column(c).to_numpy() for c in ("h", "n", "p"))
-        top = pairs.where(is_pair).orderBy("key").toArrow()
+        top = pairs.where(is_pair).select("key", "a").toArrow().sort_by("key")
         self.keys, self.a = top.column("key").to_numpy(), top.column("a").to_numpy()
         #: What must be joined: words by hash, and pairs of frequent words by key.
         rare = model.words.where(~is_word).select(F.col("h").alias("key"), "n", "p", "slots", "a")
-        other = pairs.where(~is_pair).select("key", F.lit(0).cast("long").alias("n"), F.lit(1.0).alias("p"), F.array(F.lit(PAIR)).alias("slots"), F.array("a").alias("a"))
-        self.rest = rare.unionByName(other)
+        other = pairs.where(~is_pair).select("key", F.col("a").alias("p"))
+        self.rest = rare.unionByName(other, allowMissingColumns=True)
 
 
 #: The slot of rows that are joined by the key of a pair.
@@ -561,87 +690,89 @@ def _spelt(spelling: Spelling, left: float, data: np.ndarray, start: np.ndarray,
     return (np.log(max(left, 1e-300)) + spelling.log_p(data, start, end)) / np.log(10)
 
 
-def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
+class Lookup:
+    """Places of hashes among sorted ones, sought from where those with the same first bits begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, _U(64 - max(1, len(keys).bit_length()))
+        self.first = np.searchsorted(self._high(keys), np.arange(1 << (64 - int(self.bits)), dtype=_U)).astype(np.int32)
+
+    def _high(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(_U) ^ _U(1 << 63)) >> self.bits
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there)."""
+        last = len(self.keys) - 1
+        if last < 0:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(self.first[self._high(keys)], last)
+        left = np.flatnonzero(self.keys[at] < keys)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] <= last]
+            left = left[self.keys[at[left]] < keys[left]]
+        at = np.minimum(at, last)
+        return at, self.keys[at] == keys
 
 
 def _tokens(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (top, top_n, top_p, pair_keys, pair_a), (contexts, backed), (spelling, left), denominator = shared.value
+        top, pair_keys = Lookup(top), Lookup(pair_keys)
+        counted = np.log10((top_n + 1) / denominator)
         for batch in pieces(batches):
             count = batch.num_rows
             row, h, start, end, data = words(batch.column("text"), SPACES)
             row, token, before, ending, place = in_order(row, h, endings(data, start, end), count)
             slot = _slots(contexts, before, ending)
             share = backed[slot] if len(backed) else np.ones(len(slot))
-            at, hit = _found(top, token)
-            base = np.bincount(row[hit], np.log10((top_n[at[hit]] + 1) / denominator), count)
+            at, hit = top(token)
+            base = np.bincount(row[hit], counted[at[hit]], count)
             p = np.where(hit, share * (top_p[at] if len(top_p) else 0.0), 0.0)
             key = np.where(hit, pair_key(token, slot), token)
-            pair, there = _found(pair_keys, key[hit])
-            p[np.flatnonzero(hit)[there]] += pair_a[pair[there]]
-            rest = ~hit
-            rest[np.flatnonzero(hit)[~there]] = True
-            own = np.bincount(row[~rest], np.log10(p[~rest]), count)
+            pair, there = pair_keys(key)
+            there &= hit
+            p[there] += pair_a[pair[there]]
+            own = np.bincount(row[there], np.log10(p[there]), count)
             names = batch.column("row")
-            none = np.zeros(count)
-            yield pa.record_batch(
-                {
-                    "row": names,
-                    "doc_id": batch.column("doc_id"),
-                    "key": pa.array(mix64(names.to_numpy().astype(_U) + _GOLD).view(np.int64)),
-                    "times": pa.array(none.astype(np.int64)),
-                    "slot": pa.array(none, pa.int32()),
-                    "b": pa.array(none),
-                    "miss": pa.array(none),
-                    "n_tokens": pa.array(np.bincount(row, minlength=count)),
-                    "n_known": pa.array(np.bincount(row[hit], minlength=count)),
-                    "base": pa.array(base.astype(float)),
-                    "own": pa.array(own.astype(float)),
-                }
-            )
-            rest = np.flatnonzero(rest)
+            doc = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.bincount(row, minlength=count)), "n_known": pa.array(np.bincount(row[hit], minlength=count)), "base": pa.array(base.astype(float)), "own": pa.array(own.astype(float))}
+            doc = pa.StructArray.from_arrays(list(doc.values()), list(doc))
+            keys = mix64(names.to_numpy().astype(_U) + _GOLD).view(np.int64)
+            none = np.zeros(count, np.int32)
+            yield _looked_up(names, keys, none, none, pa.nulls(count, pa.float32()), pa.nulls(count, pa.float32()), doc)
+            rest = np.flatnonzero(~there)
             if len(rest):  # one row for each text, context and word
-                order = rest[np.lexsort((slot[rest], key[rest], row[rest]))]
-                new = (np.diff(row[order], prepend=-1) != 0) | np.append(True, (key[order][1:] != key[order][:-1]) | (slot[order][1:] != slot[order][:-1]))
-                first = np.flatnonzero(new)
-                times, order = np.diff(np.append(first, len(order))), order[first]
+                row, key, slot = row[rest], key[rest], slot[rest]
+                order, first = _runs(mix64(key.view(_U) ^ mix64(row.astype(_U) << _U(32) | slot.astype(_U))), key, row, slot)
+                one, times = order[first], np.diff(np.append(first, len(order)))
+                by_row = np.argsort(one)
+                one, times = one[by_row], times[by_row]
+                row, key, slot, order = row[one], key[one], slot[one], rest[one]
                 known = hit[order]
-                b, miss = np.where(known, p[order], share[order]), np.zeros(len(order))
-                with np.errstate(divide="ignore"):
-                    miss[known] = np.log10(p[order][known])
+                strange = np.flatnonzero(~known)
                 word = np.full(len(token), -1)
                 word[place] = np.arange(len(place))
-                strange = np.flatnonzero(~known)
                 spelt = word[order[strange]]  # an end isn't among them where anything was learnt
                 _, one, back = np.unique(token[order[strange]], return_index=True, return_inverse=True)
                 some = spelt[one]
                 values = np.zeros(len(some))
                 values[some >= 0] = _spelt(spelling, left, data, start[some[some >= 0]], end[some[some >= 0]])
+                miss = np.zeros(len(order), np.float32)
                 miss[strange] = np.log10(share[order[strange]]) + values[back]
-                nothing = pa.array(np.zeros(len(order), np.int64))
-                yield pa.record_batch(
-                    {
-                        "row": names.take(pa.array(row[order])),
-                        "doc_id": pa.nulls(len(order), pa.int64()),
-                        "key": pa.array(key[order]),
-                        "times": pa.array(times),
-                        "slot": pa.array(np.where(known, PAIR, slot[order]), pa.int32()),
-                        "b": pa.array(b),
-                        "miss": pa.array(miss),
-                        "n_tokens": nothing,
-                        "n_known": nothing,
-                        "base": pa.array(np.zeros(len(order))),
-                        "own": pa.array(np.zeros(len(order))),
-                    }
-                )
+                b = np.where(known, p[order], share[order]).astype(np.float32)
+                yield _looked_up(names.take(pa.array(row)), key, times, np.where(known, PAIR, slot), pa.array(b), pa.array(miss, mask=known), pa.nulls(len(order), doc.type))
 
     return run
 
 
+LOOKED_UP = "row bigint, key bigint, times int, slot int, b float, miss float, doc struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, own: double>"
+
+
+def _looked_up(row, key, times, slot, b, miss, doc) -> pa.RecordBatch:
+    """Rows that are joined with the model by key: texts (doc, times is 0), words (miss: log10 of what they have if they weren't learnt) and pairs of frequent words (slot PAIR)."""
+    return pa.record_batch({"row": row, "key": pa.array(key), "times": pa.array(times, pa.int32()), "slot": pa.array(slot, pa.int32()), "b": b, "miss": miss, "doc": doc})
+
+
 def score(model: Model, docs: DataFrame, most: int = FREQUENT, most_pairs: int = PAIRS) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -649,19 +780,21 @@ def score(model: Model, docs: DataFrame, most: int = FREQUENT, most_pairs: int =
     denominator = float(model.tokens + model.types + 1)
     shared = spark.sparkContext.broadcast(((top.h, top.n, top.p, top.keys, top.a), (model.contexts, model.backed), (model.spelling, model.left), denominator))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    made = rows.mapInArrow(_tokens(shared), "row bigint, doc_id bigint, key bigint, times bigint, slot int, b double, miss double, n_tokens bigint, n_known bigint, base double, own double")
+    made = rows.mapInArrow(_tokens(shared), LOOKED_UP)
     found = made.join(top.rest, "key", "left")
-    times, is_word = F.col("times"), (F.col("slot") != PAIR) & (F.col("times") > 0)
+    times, b, p = F.col("times"), F.col("b").cast("double"), F.col("p")
+    is_pair = F.col("slot") == PAIR
+    is_word = ~is_pair & (times > 0)
     of_pair = F.coalesce(F.expr("try_element_at(a, cast(nullif(array_position(slots, slot), 0) as int))"), F.lit(0.0))
-    own = F.when(F.col("p").isNull(), F.col("miss")).otherwise(F.log10(of_pair + F.col("b") * F.col("p"))) if model.tokens else F.lit(0.0)
+    own = F.when(is_pair, F.log10(F.coalesce(p, F.lit(0.0)) + b)).when(p.isNull(), F.col("miss").cast("double")).otherwise(F.log10(of_pair + b * p)) if model.tokens else F.lit(0.0)
     return (
         found.groupBy("row")
         .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.sum("n_tokens").alias("n_tokens"),
-            (F.sum("n_known") + F.sum(F.when(is_word & F.col("n").isNotNull(), times).otherwise(0))).alias("n_known"),
-            F.sum(F.col("base") + F.when(is_word, times * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(denominator))).otherwise(0.0)).alias("base_score"),
-            F.sum(F.col("own") + F.when(times > 0, times * own).otherwise(0.0)).alias("score"),
+            F.max("doc.doc_id").alias("doc_id"),
+            F.sum("doc.n_tokens").alias("n_tokens"),
+            (F.sum("doc.n_known") + F.sum(F.when(is_word & F.col("n").isNotNull(), times).otherwise(0))).alias("n_known"),
+            (F.sum("doc.base") + F.sum(F.when(is_word, times * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(denominator))).otherwise(0.0))).alias("base_score"),
+            (F.sum("doc.own") + F.sum(F.when(times > 0, times * own).otherwise(0.0))).alias("score"),
         )
         .drop("row")
     )

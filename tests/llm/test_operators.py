@@ -465,6 +465,63 @@ def test_seats_against_all_seatings():
     assert np.allclose(x.a, want, rtol=0.07)
 
 
+def test_what_occurs_once_is_counted_but_not_swept(spark, monkeypatch):
+    texts = ["one two three", "one two four", "Five six", None]
+    swept = {}
+
+    def spy(df, name):
+        out = stage(df, name)
+        if name == "lm_pass_1":
+            swept.update({r["n"]: r["ns"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(lm, "stage", spy)
+    for some, again in ((texts, {2, 4}), (["a b c"], set())):  # an end follows each text, and stands before it
+        swept.clear()
+        model = lm.fit(frame(spark, [(i, t, "en", "a") for i, t in enumerate(some)]), context=0.01)
+        got = model.words.collect()
+        want = Counter((v, w_) for t in some for v, w_ in itertools.pairwise(["\n", *lm_tokens(t)]))
+        assert sum(sum(r["ns"]) for r in got) == sum(want.values()) == model.tokens and sorted(n for r in got for n in r["ns"]) == sorted(want.values())
+        assert set(swept) == again and all(n > 1 for ns in swept.values() for n in ns)
+        n_of, a = Counter(), Counter()
+        for r in got:
+            for slot, n, x in zip(r["slots"], r["ns"], r["a"], strict=True):
+                n_of[slot] += n
+                a[slot] += x
+        assert all(x == pytest.approx((1 - lm.PAIR_D) / (lm.PAIR_S + n_of[slot])) for r in got for slot, n, x in zip(r["slots"], r["ns"], r["a"], strict=True) if n == 1)
+        assert all(a[k] + b == pytest.approx(1) for k, b in enumerate(model.backed.tolist()))
+        assert sum(r["p"] for r in got) + model.unknown == pytest.approx(1)
+
+
+def test_words_and_seats_in_batches_that_cut_them(monkeypatch):
+    monkeypatch.setattr(lm, "_together", lambda batches: batches)
+
+    def cut(columns, n):
+        whole = pa.record_batch(columns)
+        return (whole.slice(i, n) for i in range(0, whole.num_rows, n))
+
+    named = {1: b"a", 5: b"b", 9: b"c"}
+    h = [1, 5, 5, 5, 5, 9, 9]
+    pairs = {"h": pa.array(h), "word": pa.array([b"a", None, None, b"b", None, None, b"c"], pa.binary()), "n": pa.array([2, 1, 3, 5, 1, 4, 4]), "slot": pa.array([-1, 7, 2, -1, 0, 3, -1], pa.int32())}
+    for n in range(1, 8):
+        got = pa.Table.from_batches(lm._distinct(cut({"h": pa.array(h), "word": pa.array([named[x] for x in h], pa.binary()), "n": pa.array(range(1, 8))}, n))).to_pylist()
+        assert [(r["h"], r["word"], r["n"]) for r in got] == [(1, b"a", 1), (5, b"b", 14), (9, b"c", 13)]
+        got = pa.Table.from_batches(lm._seated(cut(pairs, n))).to_pylist()
+        assert [(r["h"], r["word"], r["n"], r["slots"], r["ns"], r["ts"], r["once"]) for r in got] == [(1, b"a", 2, [], [], [], []), (5, b"b", 5, [2], [3], [1], [0, 7]), (9, b"c", 4, [3], [4], [1], [])]
+    assert list(lm._seated(iter([]))) == list(lm._distinct(iter([]))) == []
+
+
+def test_lookup():
+    rng = np.random.default_rng(3)
+    ends = np.array([-(2**63), -1, 0, 2**63 - 1])
+    for size in (0, 1, 2, 1000):
+        keys = np.unique(np.append(rng.integers(-(2**63), 2**63 - 1, size), ends[: size % 5]))
+        near = np.concatenate([keys, keys[keys < 2**63 - 1] + 1, ends, rng.integers(-(2**63), 2**63 - 1, 100)])
+        at, there = lm.Lookup(keys)(near)
+        assert there.tolist() == np.isin(near, keys).tolist() and (not len(keys) or (keys[at[there]] == near[there]).all())
+    assert lm.Lookup(np.arange(50))(np.arange(60))[1].sum() == 50  # all in one bucket
+
+
 def test_long_queues():
     rng = np.random.default_rng(2)
     ways = lm.stirling(400, 0.75)
