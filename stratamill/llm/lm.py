@@ -64,6 +64,12 @@ CONTEXT, LEAST = 1 / 4096, 1
 FREQUENT, PAIRS = 1 << 20, 1 << 20
 #: Customers up to which Stirling numbers are exact, and tables up to which a longer queue's distribution isn't taken for a normal one.
 EXACT, LISTED = 32, 128
+#: Customers up to which weights are products of doubles: 16 factors of at most 1e18 fit.
+PRODUCTS = 16
+#: Even steps in which saddle-point ratios are looked up, and the ln x below which they are too steep for that.
+EVEN, STEEP = 1 << 14, 0.02
+#: Parts of all hashes, at least, tokens of a part on average, and pairs that a task puts together at once.
+PARTS, PART_TOKENS, PAIRS_AT_ONCE = 1 << 10, 1 << 20, 1 << 20
 #: Share of a queue that is seated in one step.
 STEP = 1 / 16
 #: The end of a text, as a word: no text holds white space inside a word.
@@ -127,7 +133,27 @@ def saddle(discount: float) -> tuple[np.ndarray, np.ndarray]:
     return np.log(z * (1 - z) ** (discount - 1) / f), np.log(f)
 
 
-_ways: dict[float, tuple] = {}
+class Ways:
+    """The generalised Stirling numbers of a discount: ln exact, and ratios by ln x."""
+
+    def __init__(self, discount: float):
+        self.exact = stirling(EXACT, discount)
+        self.ln_x, self.ln_f = saddle(discount)
+        self.per = EVEN / self.ln_x[-1]
+        self.even = np.interp(np.arange(EVEN + 2) / self.per, self.ln_x, self.ln_f)
+
+    def ratio(self, x: np.ndarray) -> np.ndarray:
+        at = np.minimum(x * self.per, EVEN)
+        k = at.astype(np.int32)
+        low = self.even[k]
+        out = low + (at - k) * (self.even[k + 1] - low)
+        steep = np.flatnonzero(x < STEEP)
+        if len(steep):
+            out[steep] = np.interp(x[steep], self.ln_x, self.ln_f)
+        return out
+
+
+_ways: dict[float, Ways] = {}
 
 
 def reseat(customers: np.ndarray, others: np.ndarray, parent, discount: float, strength: float, rng) -> np.ndarray:
@@ -138,31 +164,39 @@ def reseat(customers: np.ndarray, others: np.ndarray, parent, discount: float, s
     theirs are there.
     """
     if discount not in _ways:
-        _ways[discount] = stirling(EXACT, discount), saddle(discount)
-    ways, (ln_x, ln_f) = _ways[discount]
+        _ways[discount] = Ways(discount)
+    ways = _ways[discount]
     tables = np.minimum(customers, 1).astype(np.int64)
     few = np.flatnonzero((customers > 1) & (customers <= EXACT))
     if len(few):
-        few = few[np.argsort(customers[few], kind="stable")]
-        kinds, first = np.unique(customers[few], return_index=True)
-        for c, at in zip(kinds.tolist(), np.split(few, first[1:]), strict=True):
-            steps = np.stack([(strength + discount * (others[at] + i)) * parent(i, at) for i in range(c)], axis=1)
-            np.log(steps, out=steps)
-            tables[at] = 1 + _drawn(np.cumsum(steps, axis=1) + ways[c, 1 : c + 1], rng)
+        kind = customers[few].astype(np.uint8)
+        few = few[np.argsort(kind, kind="stable")]
+        size = np.bincount(kind)
+        kinds = np.flatnonzero(size)
+        for c, at in zip(kinds.tolist(), np.split(few, np.cumsum(size[kinds])[:-1]), strict=True):
+            # weights of 1, 2, ... tables by that of one
+            seated, w = others[at], np.ones((c, len(at)))
+            exact = (ways.exact[c, 1 : c + 1] - ways.exact[c, 1])[:, None]
+            for i in range(1, c):
+                np.multiply(strength + discount * (seated + i), parent(i, at), out=w[i])
+            if c <= PRODUCTS:
+                tables[at] = 1 + _chosen(_running(np.multiply, w) * np.exp(exact), rng)
+            else:
+                tables[at] = 1 + _drawn(_running(np.add, np.log(w)) + exact, rng)
     many = np.flatnonzero(customers > EXACT)
 
     def rise(t, at):
         """ln of how much likelier t + 1 tables are than t."""
-        x = np.log(np.maximum(customers[at] / (t + 0.5), 1.0))
-        return np.log(strength + discount * (others[at] + t)) + np.log(parent(t, at)) + np.interp(x, ln_x, ln_f) - np.log(t)
+        x = np.maximum(np.log(customers[at] / (t + 0.5)), 0.0)
+        return np.log((strength + discount * (others[at] + t)) * parent(t, at) / t) + ways.ratio(x)
 
     if len(many):
         # the most likely number, by halving: rise() falls with t
         low, high = np.ones(len(many)), customers[many].astype(float)
-        while (high - low > 0.5).any():
-            t = (low + high) / 2
-            up = rise(t, many) > 0
-            low, high = np.where(up, t, low), np.where(up, high, t)
+        while len(left := np.flatnonzero(high - low > 0.5)):
+            t = (low[left] + high[left]) / 2
+            up = rise(t, many[left]) > 0
+            low[left[up]], high[left[~up]] = t[up], t[~up]
         wide = low > LISTED / 3
         at, t = many[wide], low[wide]
         if len(at):
@@ -176,15 +210,27 @@ def reseat(customers: np.ndarray, others: np.ndarray, parent, discount: float, s
             if len(at):
                 # beyond three times the most likely number and some more, no weight is left that a double would hold
                 longest = min(LISTED, int(3 * low[part[-1]]) + 32)
-                steps = np.stack([np.zeros(len(at)), *(rise(float(t), at) for t in range(1, longest))], axis=1)
-                tables[at] = np.minimum(1 + _drawn(np.cumsum(steps, axis=1), rng), customers[at])
+                steps = np.stack([np.zeros(len(at)), *(rise(float(t), at) for t in range(1, longest))])
+                tables[at] = np.minimum(1 + _drawn(_running(np.add, steps), rng), customers[at])
     return tables
 
 
+def _running(f, w: np.ndarray) -> np.ndarray:
+    """f.accumulate(w), in place; by rows it is faster."""
+    for i in range(1, len(w)):
+        f(w[i], w[i - 1], out=w[i])
+    return w
+
+
+def _chosen(w: np.ndarray, rng) -> np.ndarray:
+    """A row of each column, by their weights, which don't stay."""
+    w = _running(np.add, w)
+    return (rng.random(w.shape[1]) * w[-1] >= w[:-1]).sum(0)
+
+
 def _drawn(w: np.ndarray, rng) -> np.ndarray:
-    """A column of each row, by the logarithms of their weights."""
-    w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
-    return (rng.random(len(w))[:, None] * w[:, -1:] >= w).sum(1)
+    """A row of each column, by the logarithms of their weights."""
+    return _chosen(np.exp(w - w.max(0)), rng)
 
 
 class Spelling:
@@ -322,7 +368,9 @@ def _seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of words (slot -1) and their pairs in the order of h, as one row for each word: SEATS."""
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-        batch = batch.take(pa.array(np.lexsort((batch.column("slot").to_numpy(), batch.column("h").to_numpy()))))
+        h, slot = batch.column("h").to_numpy(), batch.column("slot").to_numpy()
+        if not ((h[1:] > h[:-1]) | ((h[1:] == h[:-1]) & (slot[1:] > slot[:-1]))).all():
+            batch = batch.take(pa.array(np.lexsort((slot, h))))
         slot, n = batch.column("slot").to_numpy(), batch.column("n").to_numpy()
         of_word = slot < 0
         first, owner = np.flatnonzero(of_word), np.cumsum(of_word) - 1
@@ -375,26 +423,34 @@ def _slots(contexts: np.ndarray, before: np.ndarray, ending: np.ndarray) -> np.n
     return np.where(contexts[at] == before, at, len(contexts) + ending)
 
 
-def _count_pairs(shared):
-    """How often each word stands after each context."""
+def _summed(slot: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One of each pair."""
+    order, first = _runs(pair_key(h, slot), h, slot)
+    one = order[first]
+    return slot[one], h[one], np.add.reduceat(n[order], first)
+
 
-    def summed(slot, h, n):
-        order, first = _runs(pair_key(h, slot), h, slot)
-        one = order[first]
-        return slot[one], h[one], np.add.reduceat(n[order], first)
+def _count_pairs(shared, bits: int):
+    """How often each word stands after each context: a row for each part of the hashes (their first bits) with all of a task's pairs there, so that Spark moves blocks and not pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
         def merged():
-            slot, h, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            slot, h, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            return pa.record_batch({"slot": pa.array(slot, pa.int32()), "h": pa.array(h), "n": pa.array(n)})
+            part = h >> (64 - bits)
+            order = np.argsort((part + (1 << (bits - 1))).astype(np.uint16 if bits <= 16 else np.int64), kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            offsets = np.append(first, len(part))
+            lists = {"hs": h[order], "slots": slot[order].astype(np.int32), "ns": n[order]}
+            return pa.record_batch({"part": pa.array(part[first]), **{c: _bytes(offsets, x) for c, x in lists.items()}})
 
         for batch in pieces(batches):
             row, h, start, end, data = words(batch.column("text"), SPACES)
             _, token, before, ending, _ = in_order(row, h, endings(data, start, end), batch.num_rows)
-            held.append(summed(_slots(shared.value, before, ending), token, np.ones(len(token), np.int64)))
+            held.append(_summed(_slots(shared.value, before, ending), token, np.ones(len(token), np.int64)))
             if len(held) >= 32:
                 yield merged()
         if held:
@@ -403,6 +459,55 @@ def _count_pairs(shared):
     return run
 
 
+def _in_parts(least: int):
+    """Words (h, word, n) and blocks of pairs in the order of their parts, as rows in the order of h: words (slot -1), each before its pairs, which are summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, blocks, size, folded, part = [], [], 0, 0, None
+
+        def put_together() -> pa.RecordBatch:
+            found = pa.Table.from_batches(kept).combine_chunks()
+            found = found.take(pa.array(np.argsort(found.column("h").to_numpy())))
+            own, data = found.column("h").to_numpy(), found.column("word").combine_chunks()
+            slot, h, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            # a pair's key is its word's place and its slot: sorted, pairs follow their words
+            shift = int(slot.max(initial=0) + 1).bit_length()
+            key = np.append(np.arange(len(own)) << shift, Lookup(own)(h)[0].astype(np.int64) << shift | slot + 1)
+            order, first = _runs(key)
+            key, n = key[order[first]], np.add.reduceat(np.append(found.column("n").to_numpy(), n)[order], first)
+            slot = (key & ((1 << shift) - 1)) - 1
+            there = (slot < 0) | (n >= least)
+            key, slot, n = key[there], slot[there], n[there]
+            data, at = buffers(data)
+            ends = np.append(0, np.cumsum(np.where(slot < 0, np.diff(at)[key >> shift], 0))).astype(np.int32)
+            word = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(data[at[0] : at[-1]])])
+            return pa.record_batch({"h": pa.array(own[key >> shift]), "word": word, "n": pa.array(n), "slot": pa.array(slot, pa.int32())})
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            bounds = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
+            for first, last in zip(bounds, np.append(bounds[1:], len(parts)), strict=True):
+                rows = batch.slice(first, last - first)
+                if part != parts[first]:
+                    if size >= PAIRS_AT_ONCE:
+                        yield put_together()
+                        kept, blocks, size, folded = [], [], 0, 0
+                    part = parts[first]
+                block = rows.column("hs").is_valid().to_numpy(zero_copy_only=False)
+                if not block.all():
+                    kept.append(rows.filter(pa.array(~block)).select(["h", "word", "n"]))
+                if block.any():
+                    blocks.append(tuple(_numbers(rows.column(c), kind) for c, kind in (("slots", np.int32), ("hs", np.int64), ("ns", np.int64))))
+                    size += len(blocks[-1][0])
+                if size >= max(4 * PAIRS_AT_ONCE, 2 * folded):  # a part has no more pairs than its words have contexts, but as many blocks as there are tasks
+                    blocks = [_summed(*(np.concatenate(x) for x in zip(*blocks, strict=True)))]
+                    size = folded = len(blocks[0][0])
+        if kept:
+            yield put_together()
+
+    return run
+
+
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, at = buffers(col)
     return data, at[:-1], at[1:]
@@ -422,21 +527,46 @@ def _together(batches: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _numbers(col: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of lists, one list after another; lists may be packed as their bytes."""
+    if pa.types.is_binary(col.type):
+        data, at = buffers(col)
+        return data[at[0] : at[-1]].copy().view(kind)
+    return col.flatten().to_numpy().copy()
+
+
+def _bytes(offsets: np.ndarray, x: np.ndarray) -> pa.Array:
+    """Lists of numbers, packed as their bytes: Spark copies them whole."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+#: Lists of the words' table that are packed in its files, and what they hold.
+PACKED = {"slots": np.int32, "ts": np.int64, "a": np.float64, "once": np.int32}
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = {c: _bytes(Seats.spans(batch, c)[0], _numbers(batch.column(c), kind)) for c, kind in PACKED.items()}
+        yield pa.record_batch([made.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+
 class Seats:
     """A batch of the words' table as numpy arrays; `owner` says whose word each pair is."""
 
     def __init__(self, batch: pa.RecordBatch, means: bool = True):
         """Without means, q and a needn't be there."""
         self.h, self.n, self.tables = (batch.column(c).to_numpy().copy() for c in ("h", "n", "tables"))
-        self.slots, self.ns, self.ts = (batch.column(c).flatten().to_numpy().copy() for c in ("slots", "ns", "ts"))
+        self.slots, self.ns, self.ts = (_numbers(batch.column(c), PACKED.get(c, np.int64)) for c in ("slots", "ns", "ts"))
         if means:
-            self.q, self.a = batch.column("q").to_numpy().copy(), batch.column("a").flatten().to_numpy().copy()
-        self.offsets, self.owner = self.spans(batch, "slots")
+            self.q, self.a = batch.column("q").to_numpy().copy(), _numbers(batch.column("a"), np.float64)
+        self.offsets, self.owner = self.spans(batch, "ns")
 
     @staticmethod
     def spans(batch: pa.RecordBatch, lists: str) -> tuple[np.ndarray, np.ndarray]:
         """Where each row's list begins, and the row of each of their elements."""
-        offsets = np.append(0, np.cumsum(batch.column(lists).value_lengths().to_numpy())).astype(np.int32)
+        col = batch.column(lists)
+        sizes = np.diff(buffers(col)[1]) // np.dtype(PACKED[lists]).itemsize if pa.types.is_binary(col.type) else col.value_lengths().to_numpy()
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
         return offsets, np.repeat(np.arange(batch.num_rows), np.diff(offsets))
 
     def of_pairs(self, x: np.ndarray) -> np.ndarray:
@@ -474,7 +604,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single = x.n == 1
         key, sums = _strings(*_flat(batch.column("word")), [np.where(single, 0, x.tables), np.where(single, x.tables, 0)])
         customers = x.customers()
-        once = batch.column("once").flatten().to_numpy() if "once" in batch.schema.names else np.zeros(0, np.int64)
+        once = _numbers(batch.column("once"), np.int32) if "once" in batch.schema.names else np.zeros(0, np.int32)
         most = int(max(x.slots.max(initial=-1), once.max(initial=-1))) + 1
         inside = np.bincount(x.slots, x.ts, most), np.bincount(once, minlength=most)
         slot = np.flatnonzero(inside[0] + inside[1])
@@ -512,7 +642,7 @@ def _pass(shared, number: int, weight: float):
                     own = x.customers()
                     x.q += weight / INNER * (own - WORD_D * x.tables) / (WORD_S + customers)
                     x.a += weight / INNER * (x.ns - PAIR_D * x.ts) / (PAIR_S + context_n[x.slots])
-            made = {"q": pa.array(x.q), "tables": pa.array(x.tables), "ts": x.list_of(x.ts), "a": x.list_of(x.a)}
+            made = {"q": pa.array(x.q), "tables": pa.array(x.tables), "ts": _bytes(x.offsets, x.ts), "a": _bytes(x.offsets, x.a)}
             yield pa.record_batch([made.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
     return run
@@ -530,7 +660,7 @@ def _finished(shared):
         for batch in _together(batches):
             x = Seats(batch)
             p = np.maximum(x.q + left * np.exp(spelling.log_p(*_flat(batch.column("word")))), 1e-300)
-            once = batch.column("once").flatten().to_numpy()
+            once = _numbers(batch.column("once"), np.int32)
             owner = np.append(x.owner, x.spans(batch, "once")[1])
             order = np.argsort(owner, kind="stable")
             lists = {"slots": np.append(x.slots, once), "ns": np.append(x.ns, np.ones(len(once), np.int64)), "a": np.append(x.a, a_once[once])}
@@ -549,7 +679,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"key": pa.array(pair_key(h, slots.to_numpy())), "m": m, "a": a})
 
 
-SEATS = "h bigint, word binary, n bigint, tables bigint, q double, slots array<int>, ns array<bigint>, ts array<bigint>, a array<double>, once array<int>"
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each context gives its own words, as far as they occur again."""
+    for batch in _together(batches):
+        slot, a = _numbers(batch.column("slots"), np.int32), _numbers(batch.column("a"), np.float64)
+        kinds, at = np.unique(slot, return_inverse=True)
+        yield pa.record_batch({"slot": pa.array(kinds), "a": pa.array(np.bincount(at, a, len(kinds)))})
+
+
+SEATS = "h bigint, word binary, n bigint, tables bigint, q double, slots binary, ns array<bigint>, ts binary, a binary, once binary"
 WORDS = "h bigint, n bigint, p double, slots array<int>, ns array<bigint>, a array<double>"
 
 
@@ -579,11 +717,11 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     for r in rare.groupBy(ending.alias("e")).agg(F.sum("n").alias("n")).toLocalIterator():  # ENDINGS at most
         by_ending[r["e"]] = r["n"]
     context_n = np.append(context_n, by_ending)
-    pairs = docs.select("text").mapInArrow(_count_pairs(spark.sparkContext.broadcast(contexts)), "slot int, h bigint, n bigint")
-    pairs = pairs.groupBy("h", "slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = held.withColumn("slot", F.lit(-1)).unionByName(pairs, allowMissingColumns=True)
-    # a word has as many rows as there are contexts, at most
-    seats = stage(rows.repartition("h").sortWithinPartitions("h").mapInArrow(_seated, SEATS), "lm_seats")
+    bits = max(PARTS, tokens // PART_TOKENS).bit_length() - 1
+    pairs = docs.select("text").mapInArrow(_count_pairs(spark.sparkContext.broadcast(contexts), bits), "part bigint, hs binary, slots binary, ns binary")
+    rows = held.withColumn("part", F.shiftright("h", 64 - bits)).unionByName(pairs, allowMissingColumns=True)
+    together = _in_parts(least)
+    seats = stage(rows.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _packed(_seated(together(batches))), SEATS), "lm_seats")
     drop_stage(held)
     del held, counted, pairs, rare, rows
     release(spark)
@@ -628,8 +766,8 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, context
     for k, n in fixed.items():
         if k <= -3:
             backed[-3 - k] -= n * a_once[-3 - k]
-    for r in held.select(F.explode(F.arrays_zip("slots", "a")).alias("x")).groupBy("x.slots").agg(F.sum("x.a").alias("a")).collect():
-        backed[r["slots"]] -= r["a"]
+    for r in held.select("slots", "a").mapInArrow(_given, "slot int, a double").groupBy("slot").agg(F.sum("a").alias("a")).collect():
+        backed[r["slot"]] -= r["a"]
     left = 1 - (held.agg(F.coalesce(F.sum("q"), F.lit(0.0))).first()[0] + q_once * fixed.get(-1, 0))
     single = seats.where(F.col("n") == 1).withColumn("q", F.lit(q_once))
     done = stage(held.unionByName(single).mapInArrow(_finished(spark.sparkContext.broadcast((spelling, left, a_once))), WORDS), "lm_model")

@@ -511,6 +511,83 @@ def test_words_and_seats_in_batches_that_cut_them(monkeypatch):
     assert list(lm._seated(iter([]))) == list(lm._distinct(iter([]))) == []
 
 
+def test_pairs_move_in_blocks(monkeypatch):
+    """A task hands over a row for each part of the hashes and not for each pair; blocks of many tasks are put together as words and their sorted, summed pairs."""
+
+    class Shared:
+        value = np.zeros(0, np.int64)
+
+    rng = random.Random(17)
+    texts = [words(rng, 3000, "abcdefghij") for _ in range(3)]
+    blocks = [next(lm._count_pairs(Shared, 4)(iter([pa.record_batch({"text": pa.array([t])})]))) for t in texts]
+    assert all(b.num_rows <= 16 < 1000 < len(lm._numbers(b.column("hs"), np.int64)) for b in blocks)
+
+    def hashed(word):
+        return int(w.words(pa.array([word]), np.zeros(256, bool))[1].view(np.int64)[0])
+
+    want, counts = Counter(), Counter()
+    for t in texts:
+        for v, word in itertools.pairwise(["\n", *lm_tokens(t)]):
+            want[hashed(word), ((v[-2:].encode() if len(v) > 1 else b"\n" + v.encode())[0] << 8) | v.encode()[-1]] += 1
+            counts[word] += 1
+    held = sorted((hashed(x), x.encode(), n) for x, n in counts.items())
+    named = pa.record_batch({"part": pa.array([h >> 60 for h, _, _ in held]), "h": pa.array([h for h, _, _ in held]), "word": pa.array([x for _, x, _ in held], pa.binary()), "n": pa.array([n for _, _, n in held])})
+    rows = pa.concat_tables([pa.Table.from_batches([x]) for x in (named, *blocks)], promote_options="default").sort_by("part").combine_chunks().to_batches()[0]
+    for at_once, n, least in ((1 << 20, 7, 1), (1, 1, 1), (100, 1000, 1), (500, 50, 2)):
+        monkeypatch.setattr(lm, "PAIRS_AT_ONCE", at_once)
+        made = pa.Table.from_batches(lm._in_parts(least)(rows.slice(i, n) for i in range(0, rows.num_rows, n))).to_pylist()
+        assert [(r["h"], r["word"], r["n"]) for r in made if r["slot"] < 0] == held
+        assert {(r["h"], r["slot"]): r["n"] for r in made if r["slot"] >= 0} == {k: n for k, n in want.items() if n >= least}
+        assert [(r["h"], r["slot"]) for r in made] == sorted((r["h"], r["slot"]) for r in made)
+    assert list(lm._in_parts(1)(iter([]))) == []
+
+
+def test_many_words_at_once():
+    """More words together than 16 bits number, each with its pairs."""
+    h = np.arange(100_000) - 50_000
+    named = pa.record_batch({"part": pa.array(np.zeros(len(h), np.int64)), "h": pa.array(h), "word": pa.array([b"w"] * len(h), pa.binary()), "n": pa.array(np.full(len(h), 3))})
+    at = np.array([0, len(h)])
+    block = pa.record_batch({"part": pa.array([0]), **{c: lm._bytes(at, x) for c, x in {"hs": h, "slots": (h % 65_536).astype(np.int32), "ns": np.full(len(h), 3)}.items()}})
+    (rows,) = pa.concat_tables([pa.Table.from_batches([x]) for x in (block, named)], promote_options="default").combine_chunks().to_batches()
+    (made,) = lm._in_parts(1)(iter([rows]))
+    assert (made.column("h").to_numpy() == np.repeat(h, 2)).all() and (made.column("slot").to_numpy()[1::2] == h % 65_536).all()
+
+
+def test_packed_lists():
+    lists = {"slots": [[3, 1], [], [2]], "ns": [[5, 2], [], [3]], "ts": [[2, 1], [], [1]], "a": [[0.5, 0.25], [], [1.0]], "once": [[], [7, 9], [4]]}
+    kinds = {"slots": pa.int32(), "ns": pa.int64(), "ts": pa.int64(), "a": pa.float64(), "once": pa.int32()}
+    plain = pa.record_batch({"h": pa.array([1, 2, 3]), "n": pa.array([7, 2, 4]), "tables": pa.array([1, 1, 1]), "q": pa.array([0.1, 0.2, 0.3]), **{c: pa.array(v, pa.list_(kinds[c])) for c, v in lists.items()}})
+    for first, n in ((0, 3), (1, 2), (2, 1), (1, 1), (0, 0)):
+        some = plain.slice(first, n)
+        (packed,) = lm._packed(iter([some]))
+        assert pa.types.is_binary(packed.schema.field("a").type)
+        for got in (packed, some):
+            x = lm.Seats(got)
+            for c in ("slots", "ns", "ts", "a"):
+                assert getattr(x, c).tolist() == [v for row in lists[c][first : first + n] for v in row]
+            assert x.owner.tolist() == [i for i, row in enumerate(lists["ns"][first : first + n]) for _ in row]
+            assert lm.Seats.spans(got, "once")[1].tolist() == [i for i, row in enumerate(lists["once"][first : first + n]) for _ in row]
+
+
+def test_short_queues():
+    """By products and by logarithms: drawn as often as the weights of all ways to seat a queue say."""
+    rng = np.random.default_rng(4)
+    ways = lm.stirling(lm.EXACT, 0.75)
+    for c, p, others in ((2, 0.3, 4), (3, 1e-3, 2000), (lm.PRODUCTS, 0.05, 30), (lm.PRODUCTS + 1, 0.05, 30), (lm.EXACT, 1e-300, 10)):
+        t = np.arange(1, c + 1)
+        want = ways[c, 1 : c + 1] + np.cumsum(np.log(2.0 + 0.75 * (others + t - 1)) + np.log(p))
+        want = np.exp(want - want.max())
+        got = lm.reseat(np.full(40_000, c), np.full(40_000, others), lambda i, at: np.full(len(at), p), 0.75, 2.0, rng)
+        assert np.allclose(np.bincount(got, minlength=c + 1)[1:] / 40_000, want / want.sum(), atol=0.015)
+
+
+def test_saddle_ratios_in_even_steps():
+    for discount in (lm.PAIR_D, lm.WORD_D, lm.BYTE_D):
+        ways = lm.Ways(discount)
+        x = np.concatenate([[0.0], np.geomspace(1e-6, ways.ln_x[-1] * 1.5, 5000)])
+        assert np.allclose(ways.ratio(x), np.interp(x, ways.ln_x, ways.ln_f), atol=1e-3)
+
+
 def test_lookup():
     rng = np.random.default_rng(3)
     ends = np.array([-(2**63), -1, 0, 2**63 - 1])
