@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm.store import drop_stage, release, stage, table
-from stratamill.llm.words import SPACES, buffers, mix64, pieces, words
+from stratamill.llm.words import SPACES, buffers, give_back, mix64, pieces, words
 
 #: Discount and strength of the context restaurants, the word restaurant and the spelling restaurants.
 PAIR_D, PAIR_S = 0.75, 2.0
@@ -69,7 +69,7 @@ PRODUCTS = 16
 #: Even steps in which saddle-point ratios are looked up, and the ln x below which they are too steep for that.
 EVEN, STEEP = 1 << 14, 0.02
 #: Parts of all hashes, at least, tokens of a part on average, and pairs that a task puts together at once.
-PARTS, PART_TOKENS, PAIRS_AT_ONCE = 1 << 10, 1 << 20, 1 << 20
+PARTS, PART_TOKENS, PAIRS_AT_ONCE = 1 << 10, 1 << 20, 1 << 18
 #: Share of a queue that is seated in one step.
 STEP = 1 / 16
 #: The end of a text, as a word: no text holds white space inside a word.
@@ -504,6 +504,8 @@ def _in_parts(least: int):
                     size = folded = len(blocks[0][0])
         if kept:
             yield put_together()
+        kept, blocks = [], []
+        give_back()
 
     return run
 
